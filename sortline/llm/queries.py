@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import decontaminate
+from .mix import mix
+from .secrets import KINDS, scan_secrets
+from .shards import shard
 from .simhash import near_duplicates
 
 
@@ -23,12 +26,42 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to weights 5, 2, 1 with at most three copies of each."""
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op3_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_simhash_neardup)}
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of near equal bytes, equal texts together."""
+    placed = shard(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _listed(entries):
+    return F.array_join(F.transform(entries, lambda x: F.concat_ws(":", x.kind, x.start, x.end)), ",")
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document; values of one owner that look live are added as spans of their own."""
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("secrets", lambda x: x["rank"] < len(KINDS))
+    of = lambda kind: F.size(F.filter("secrets", lambda x: x.kind == kind)).cast("long").alias(f"n_{kind}")
+    judged = lambda verdict: F.size(F.filter(base, lambda x: x.verdict == verdict)).cast("long").alias(f"n_judged_{verdict}")
+    return found.select(
+        "doc_id",
+        *(of(kind) for kind, *_ in KINDS),
+        F.sha2(_listed(base), 256).alias("base_sha256"),
+        _listed("secrets").alias("spans"),
+        *(judged(v) for v in ("example", "live", "weak")),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_mixing, op3_simhash_neardup, op4_sharding, op5_secret_scan)}
 
 SQL = {
     "op1_decontamination": r"""
