@@ -43,12 +43,14 @@ def rarest_token(docs: DataFrame, windows: DataFrame, small: bool) -> DataFrame:
     tokens = windows.select("w_id", F.posexplode("w_words").alias("w_at", "w_token"))
     vocab = tokens.select("w_token").distinct()
     said = docs.select(F.explode("words").alias("w_token"))
+    code = F.xxhash64("w_token").alias("code")  # a long is much cheaper to count by, and any order of tokens gives right results
     if small:
-        freq = said.join(F.broadcast(vocab), "w_token", "left_semi").groupBy("w_token").count()
+        freq = said.join(F.broadcast(vocab), "w_token", "left_semi").groupBy(code).count()
     else:
-        freq = said.groupBy("w_token").count().join(vocab, "w_token", "left_semi")
+        freq = said.groupBy(code).count().join(vocab.select(code).distinct(), "code", "left_semi")
     first = (
-        tokens.join(freq, "w_token", "left")
+        tokens.withColumn("code", code)
+        .join(freq, "code", "left")
         .groupBy("w_id")
         .agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "w_token", "w_at")).alias("p"))
     )
