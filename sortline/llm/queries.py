@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .chat import rotate
+from .common import materialize, table
 from .decontaminate import decontaminate
+from .media import digests
 from .mix import mix
+from .quality import fit, score
 from .secrets import KINDS, scan_secrets
 from .shards import shard
 from .simhash import near_duplicates
+from .warc import audit, damage, record_hashes, to_records
+from .wrappers import extract_text
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +38,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +66,37 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_mixing, op3_simhash_neardup, op4_sharding, op5_secret_scan)}
+def op6_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by the wrapper of its host."""
+    return extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, by classifiers co-trained on the labels."""
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")), "q").select("doc_id", "q.p_text", "q.p_meta", "q.score", "q.accepted")
+
+
+def op8_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as an MPEG audio stream, read back."""
+    return digests(table(spark, sf_dir, "documents"))
+
+
+def op9_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation rendered for each of its participants."""
+    return rotate(table(spark, sf_dir, "conversations"))
+
+
+def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages stored as WARC records, and the faults of a damaged replica found by its trees."""
+    pages = table(spark, sf_dir, "pages")
+    stored = materialize(to_records(pages, archives=pages.count() // 1000 + 1), "records")
+    faults = audit(record_hashes(stored), record_hashes(damage(stored)))
+    where = stored.select("archive", "offset", "page_id")
+    return faults.join(where, ["archive", "offset"]).select("page_id", "fault", "length", "other_length")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_mixing, op3_simhash_neardup, op4_sharding, op5_secret_scan, op6_html_wrappers, op7_quality, op8_mpeg_audio, op9_perspective_rotation, op10_warc_fixity)}
 
 SQL = {
     "op1_decontamination": r"""
@@ -85,5 +120,27 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
+""",
+    "op9_perspective_rotation": r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') || '<|end|>' || chr(10) AS rest,
+         coalesce(CAST(floor(turn / 512) AS BIGINT), -1) AS part FROM conversations),
+speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM said WHERE role <> 'system'),
+seen AS (
+  SELECT s.*, speaker, CASE WHEN role = speaker THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>' ELSE '<|user name=' || role || '|>' END AS head
+  FROM said s JOIN speakers p ON s.conv_id IS NOT DISTINCT FROM p.conv_id)
+SELECT conv_id, speaker, part, count(*) AS n_turns,
+       string_agg(head || rest, '' ORDER BY turn, role, rest) AS text,
+       string_agg(length(head) || ':0,' || length(rest) || CASE WHEN role = speaker THEN ':1' ELSE ':0' END, ',' ORDER BY turn, role, rest) AS mask,
+       CAST(sum(CASE WHEN role = speaker THEN length(rest) ELSE 0 END) AS BIGINT) AS n_trained
+FROM seen GROUP BY conv_id, speaker, part
+""",
+    "op10_warc_fixity": r"""
+WITH made AS (
+  SELECT page_id, CAST(143 + strlen(CAST(page_id AS VARCHAR)) + strlen(coalesce(url, '')) + strlen(CAST(strlen(coalesce(html, '')) AS VARCHAR)) + strlen(coalesce(html, '')) AS BIGINT) AS length
+  FROM pages WHERE page_id % 50 = 0)
+SELECT page_id, CASE WHEN page_id % 200 = 0 THEN 'missing' ELSE 'changed' END AS fault, length,
+       CASE WHEN page_id % 200 = 0 THEN NULL ELSE length END AS other_length
+FROM made
 """,
 }

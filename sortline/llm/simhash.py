@@ -59,16 +59,16 @@ def _fingerprint(data: bytes | None, size: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
+    """doc_id, text_key (xxhash64 of the text) and fp (the fingerprint as a signed long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).cast(pa.binary())
+            texts = b.column(2).cast(pa.binary())
             fps = np.array([_fingerprint(t.as_py(), size) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], ["doc_id", "text_key", "fp"])
 
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text"))
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, fp long")
 
 
 def _bytes_shared(a, b):
@@ -151,7 +151,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, distance: int = 2, size: int = 3, id_col: str = "doc_id", text_col: str = "text", longest: int = LONGEST
 ) -> DataFrame:
-    """For every row: doc_id, fingerprint (16 hex digits), component_id (least doc_id linked with it over any number of links).
+    """For every row: doc_id, fingerprint (16 hex digits), component_id (least doc_id linked with it over any number of links),
+    text_key (xxhash64 of the text) and root (names the component).
 
     Null, empty and blank texts have the fingerprint zero and link like any other. Rows with equal texts or ids each give
     a row. Null ids never become a component_id unless all of the component's are null. Other columns are ignored.
@@ -160,5 +161,6 @@ def near_duplicates(
     groups = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "groups")
     roots = components(groups, links(groups.select("fp"), distance, longest))
     ids = groups.join(roots, "fp").select("root", "first").groupBy("root").agg(F.min("first").alias("component_id"))
-    known = roots.join(ids, "root").select("fp", "component_id")
-    return rows.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    known = roots.join(ids, "root").select("fp", "root", "component_id")
+    fingerprint = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    return rows.join(known, "fp").select("doc_id", fingerprint, "component_id", "text_key", "root")
