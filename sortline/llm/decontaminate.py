@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 
 from .common import lower_ascii, materialize
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What parts words; a word is any run of other characters.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Windows up to this many (each holds `window` words) are broadcast; more are joined by shuffle.
 BROADCAST_WINDOWS = 200_000
 
 
 def words_of(c):
-    return F.regexp_extract_all(lower_ascii(c), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(lower_ascii(c), BETWEEN), "")
 
 
 def item_windows(items: DataFrame, window: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -42,7 +43,7 @@ def rarest_token(docs: DataFrame, windows: DataFrame, small: bool) -> DataFrame:
     """windows with w_token and w_at: the token of each that is rarest in the documents, and its first place."""
     tokens = windows.select("w_id", F.posexplode("w_words").alias("w_at", "w_token"))
     vocab = tokens.select("w_token").distinct()
-    said = docs.select(F.explode("words").alias("w_token"))
+    said = docs.select(F.explode_outer("words").alias("w_token"))  # explode() would split each text three times, for its null and size filters
     code = F.xxhash64("w_token").alias("code")  # a long is much cheaper to count by, and any order of tokens gives right results
     if small:
         freq = said.join(F.broadcast(vocab), "w_token", "left_semi").groupBy(code).count()
