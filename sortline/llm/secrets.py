@@ -42,7 +42,7 @@ def scan_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     lists = [F.transform(F.coalesce(_found(F.col("text"), p), F.array()), lambda x, k=k: F.struct(F.lit(k).alias("rank"), x.gap.alias("gap"), x.hit.alias("hit"))) for k, (_, p, _, _) in enumerate(KINDS)]
     base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(owner_col).cast("string").alias("owner"), text.alias("text"))
-    by_kind = base.select("doc_id", "text_key", "owner", F.explode(F.array(*(F.struct(F.lit(k).alias("rank"), x.alias("found")) for k, x in enumerate(lists)))).alias("k"))
+    by_kind = base.select("doc_id", "text_key", "owner", F.explode_outer(F.array(*(F.struct(F.lit(k).alias("rank"), x.alias("found")) for k, x in enumerate(lists)))).alias("k"))
     hits = by_kind.select("doc_id", "text_key", "owner", "k.rank", F.posexplode_outer("k.found").alias("nth", "m"))
     value = F.coalesce(*(F.when(F.col("rank") == k, F.regexp_extract("m.hit", p, g)) for k, (_, p, g, _) in enumerate(KINDS)))
     hits = (
