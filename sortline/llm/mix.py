@@ -74,7 +74,7 @@ def mix(
     )
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     budget = total if budget is None else budget
-    digits = max(1, math.ceil(math.log(max(n, 1) / SLICE_ROWS, 16))) if n > SLICE_ROWS else 1
+    digits = max(2, math.ceil(math.log(max(n / SLICE_ROWS, 1), 16)))
     rows = rows.withColumn("slice", F.substring("turn", 1, digits)).withColumn("stream", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
     sliced = materialize(rows.groupBy("stream", "source", "slice").agg(F.sum("size").alias("words")), "slices")
     targets = source_targets(sliced.groupBy("source").agg(F.sum("words").alias("source_size")), budget, weights, most)
@@ -93,7 +93,7 @@ def mix(
     copies = F.filter(F.array(*(F.struct(w.alias("words"), F.try_divide((e + w).cast("double"), F.col("target")).alias("finish")) for w, e in zip(words, ends))), lambda c: c.words > 0)
     key = ["stream", "slice", "nth", "doc_id", "text_key", "source", "size", "source_size", "target"]
     copies = offered.select(*key, F.explode_outer(copies).alias("copy")).select(*key, "copy.words", "copy.finish")
-    placed = _range_sort(materialize(copies, "copies"), max(1, math.ceil(n / SLICE_ROWS)))
+    placed = _range_sort(materialize(copies, "copies"), max(256, math.ceil(n / SLICE_ROWS)))
     kept = F.greatest(F.lit(0), F.least("words", F.lit(budget) - F.col("at")))
     parts = F.array_sort(F.collect_list(F.when(kept > 0, F.struct(F.col("at"), kept.cast("long").alias("words")))))
     return (

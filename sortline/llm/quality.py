@@ -211,7 +211,7 @@ def fit(
     labelled = some.join(F.broadcast(marks), some["of"] == marks["label_of"])  # max_labelled bounds the side that is broadcast
     known = _features(labelled, "label").orderBy("of", "x").limit(2 * max_labelled).toPandas()
     pool = _features(some.filter(F.col("spot") >= 1_000_000 - share(max_pool, n_docs)).withColumn("label", F.lit(0)), "label").orderBy("of", "x").limit(2 * max_pool).toPandas()
-    split = lambda pdf: tuple(np.array([np.asarray(v) for v in pdf[c]], float).reshape(len(pdf), -1) for c in ("x", "m"))
+    split = lambda pdf: tuple(np.array([np.asarray(v) for v in pdf[c]], float).reshape(len(pdf), -1 if len(pdf) else 1) for c in ("x", "m"))
     return co_train(split(known), known["label"].to_numpy(float), split(pool), rounds)
 
 
