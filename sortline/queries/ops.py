@@ -1 +1,72 @@
-"""Queries."""
+"""Queries of cleanup, feedback and retention."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
+from ..functions import fixed as V
+from ..operators import maintenance as M
+from ..sources import fixtures as X
+from .registry import NOW, query
+
+HIT = "(coalesce(upper(normalized_wave_code) = 'W7', false) AND status NOT IN (3, 5))"
+
+
+@query(f"SELECT id, CASE WHEN {HIT} THEN 5 ELSE status END AS status, is_exception OR {HIT} AS is_exception FROM tasks")
+def wave_cleaned(spark, d):
+    return M.clean_wave(X.tasks(spark, d), "w7", V.EXCEPTION, NOW)[0].select("id", "status", "is_exception")
+
+
+@query(f"SELECT 'W7' AS wave_code, false AS dry_run, count(*) AS found, count(*) FILTER ({HIT}) AS cleanable, count(*) FILTER ({HIT}) AS cleaned, 'completed' AS outcome, TIMESTAMP '{NOW}' AS started_time FROM tasks WHERE upper(normalized_wave_code) = 'W7'")
+def wave_cleanup_audit(spark, d):
+    return M.clean_wave(X.tasks(spark, d), "W7", V.EXCEPTION, NOW)[1]
+
+
+@query(f"SELECT 'W7' AS wave_code, true AS dry_run, count(*) AS found, count(*) FILTER ({HIT}) AS cleanable, 0 AS cleaned, 'completed' AS outcome, TIMESTAMP '{NOW}' AS started_time FROM tasks WHERE upper(normalized_wave_code) = 'W7'")
+def wave_cleanup_dry_run(spark, d):
+    return M.clean_wave(X.tasks(spark, d), "W7", V.EXCEPTION, NOW, dry_run=True)[1]
+
+
+CLAIMED = "claimed AS (SELECT * FROM tasks WHERE feedback_status = 1 OR (feedback_status = 4 AND updated_time < TIMESTAMP '1998-01-01 11:50:00') ORDER BY created_time, id LIMIT 200)"
+
+
+@query("SELECT id, created_time FROM claimed", (X.TASKS, CLAIMED))
+def feedback_claimed(spark, d):
+    return M.claim_feedback(X.tasks(spark, d), V.PENDING, 200, "1998-01-01 12:00:00").select("id", "created_time")
+
+
+@query("SELECT id, CASE WHEN id IN (SELECT id FROM claimed) THEN 4 ELSE feedback_status END AS feedback_status FROM tasks", (X.TASKS, CLAIMED))
+def feedback_processing(spark, d):
+    rows = X.tasks(spark, d)
+    return M.mark_claimed(rows, M.claim_feedback(rows, V.PENDING, 200, "1998-01-01 12:00:00"), "1998-01-01 12:00:00").select("id", "feedback_status")
+
+
+@query("SELECT id, CASE WHEN id IN (SELECT id FROM claimed) THEN 2 ELSE feedback_status END AS feedback_status FROM tasks", (X.TASKS, CLAIMED))
+def feedback_finished(spark, d):
+    rows = X.tasks(spark, d)
+    claimed = M.claim_feedback(rows, V.PENDING, 200, "1998-01-01 12:00:00")
+    return M.finish_feedback(rows, claimed, claimed.count(), "1998-01-01 12:00:00").select("id", "feedback_status")
+
+
+@query("SELECT id, CASE WHEN id IN (SELECT id FROM claimed) THEN 3 ELSE feedback_status END AS feedback_status FROM tasks", (X.TASKS, CLAIMED))
+def feedback_short_write(spark, d):
+    rows = X.tasks(spark, d)
+    claimed = M.claim_feedback(rows, V.PENDING, 200, "1998-01-01 12:00:00")
+    return M.finish_feedback(rows, claimed, claimed.count() - 1, "1998-01-01 12:00:00").select("id", "feedback_status")
+
+
+@query("SELECT shard_month, count(*) AS rows FROM tasks WHERE shard_month < '199708' GROUP BY 1")
+def expired_months(spark, d):
+    return M.expired_months(X.tasks(spark, d), "1998-01-15 00:00:00", 6)
+
+
+@query("SELECT id FROM tasks WHERE created_time >= TIMESTAMP '1997-08-01'")
+def rows_kept(spark, d):
+    return M.delete_before(X.tasks(spark, d), "created_time", "1997-08-01 00:00:00").select("id")
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || '0|' || event_type || '|' AS business_key FROM events", ())
+def business_keys(spark, d):
+    e = X.load(spark, d, "events").withColumn("none", F.lit(None).cast("string"))
+    return e.select("event_id", C.business_key(("ts", "timestamp_ntz"), ("event_type", "string"), ("none", "string")).alias("business_key"))
