@@ -1,7 +1,7 @@
 """Sharding by a minimax contiguous partition of atomic groups.
 
 Equal texts form a group, which no shard boundary parts. Groups stand in the order of their text's hash. The smallest
-shard capacity for which a greedy walk needs no more than the shards there are is searched; the walk's ends are the cuts.
+shard capacity for which a greedy walk needs no more than the shards there are is searched; at that capacity the shards are cut, as evenly as it allows.
 
 A group above its fair share (all bytes left / shards left) takes a shard of its own first, as it would raise the
 capacity of all. Groups and their running sums stay in a table; a step of the walk reads only a span of that table as long as
@@ -60,7 +60,30 @@ def capacity_cuts(sums: DataFrame, total: int, largest: int, shards: int) -> lis
         if k < len(tried):
             best, high = walked[k], tried[k] - 1
         low = tried[k - 1] + 1 if k else high + 1
-    return best[1:-1]
+    capacity = max(b - a for a, b in zip(best, best[1:]))
+    return _evened(sums, capacity, shards, largest, total)
+
+
+def _near(sums: DataFrame, at: int, largest: int) -> tuple[int | None, int | None]:
+    """The last group end up to `at`, and the first from there on."""
+    span = sums.filter((F.col("upto") > at - largest) & (F.col("upto") <= at + largest))
+    return tuple(span.agg(F.max(F.when(F.col("upto") <= at, F.col("upto"))), F.min(F.when(F.col("upto") >= at, F.col("upto")))).first())
+
+
+def _evened(sums: DataFrame, capacity: int, shards: int, largest: int, total: int) -> list[int]:
+    """Cuts at the found capacity. The greedy walk leaves what is short to the last shard; here each shard ends as near to an equal share of what is left as
+    the capacity, its own and of those after it, allows."""
+    first = [total]  # from the back: the first places where the shards may be cut
+    for _ in range(shards - 1):
+        at = first[0] - capacity
+        first.insert(0, _near(sums, at, largest)[1] if at > 0 else 0)
+    cuts = [0]
+    for k, early in enumerate(first[:-1], 1):
+        share = cuts[-1] + (total - cuts[-1]) // (shards - k + 1)
+        below, above = _near(sums, share, largest)
+        fits = [c for c in (below, above, early) if c is not None and max(early, cuts[-1]) <= c <= cuts[-1] + capacity]
+        cuts.append(min(fits, key=lambda c: (abs(c - share), c)))
+    return cuts[1:]
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
