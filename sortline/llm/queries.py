@@ -11,7 +11,7 @@ from .decontaminate import decontaminate
 from .media import digests
 from .mix import mix
 from .quality import fit, score
-from .secrets import KINDS, scan_secrets
+from .secrets import KINDS, PLACEHOLDER, scan_secrets
 from .shards import shard
 from .simhash import near_duplicates
 from .warc import audit, damage, record_hashes, to_records
@@ -98,7 +98,58 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_mixing, op3_simhash_neardup, op4_sharding, op5_secret_scan, op6_html_wrappers, op7_quality, op8_mpeg_audio, op9_perspective_rotation, op10_warc_fixity)}
 
+
+def _kind_sql(rank: int, pattern: str, group: int, least: int) -> str:
+    p = pattern.replace("'", "''")
+    return f"""
+  SELECT doc_id, source, {rank} AS rank, start, start + length(hit) AS stop, start + length(hit) - length(v) AS v_start, v FROM (
+    SELECT doc_id, source, hits[i] AS hit, regexp_extract(hits[i], '{p}', {group}) AS v,
+      list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS start
+    FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (
+      SELECT doc_id, source, regexp_split_to_array(t, '{p}') AS gaps, regexp_extract_all(t, '{p}', 0) AS hits FROM docs WHERE regexp_matches(t, '{p}')))) WHERE length(v) >= {least}"""
+
+
 SQL = {
+    "op2_mixing": r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(doc_id || '#42') AS turn FROM documents),
+weighed AS (
+  SELECT source, z, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w
+  FROM (SELECT source, CAST(sum(size) AS BIGINT) AS z FROM sized GROUP BY source)),
+ratios AS (SELECT *, CAST(3 * z AS DOUBLE) / w AS ratio FROM weighed),
+levels AS (
+  SELECT *, CAST((SELECT sum(z) FROM weighed) - (sum(3 * z) OVER o - 3 * z) AS DOUBLE) / CAST(sum(w) OVER () - (sum(w) OVER o - w) AS DOUBLE) AS own
+  FROM ratios WINDOW o AS (ORDER BY ratio, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+targets AS (
+  SELECT source, z, CASE WHEN z = 0 OR level IS NULL OR ratio < level THEN CAST(3 * z AS DOUBLE) ELSE w * level END AS target
+  FROM (SELECT *, (SELECT max(own) FROM levels WHERE ratio >= own) AS level FROM levels)),
+streams AS (
+  SELECT doc_id, size, z, target, CAST(sum(size) OVER (PARTITION BY s.source ORDER BY turn, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS start
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, z AS source_size, target,
+  CAST(greatest(0, least(size, floor(target) - start)) + greatest(0, least(size, floor(target) - start - z)) + greatest(0, least(size, floor(target) - start - 2 * z)) AS BIGINT) AS taken
+FROM streams
+""",
+    "op5_secret_scan": f"""
+WITH docs AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+found AS ({" UNION ALL ".join(_kind_sql(k, p, g, n) for k, (_, p, g, n) in enumerate(KINDS))}),
+owned AS (SELECT v, count(DISTINCT coalesce('=' || source, '')) AS owners FROM found GROUP BY v),
+judged AS (
+  SELECT f.*, ['{"', '".join(k for k, *_ in KINDS)}'][rank + 1] AS kind, CASE WHEN owners >= 2 THEN 'example' WHEN length(v) >= 12 AND len(list_distinct(string_split(v, ''))) >= 8
+    AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND NOT regexp_matches(v, '{PLACEHOLDER}') THEN 'live' ELSE 'weak' END AS verdict
+  FROM found f JOIN owned USING (v)),
+spans AS (
+  SELECT doc_id, start, rank, stop, kind || ':' || start || ':' || stop AS span FROM judged
+  UNION ALL SELECT doc_id, v_start, 3, stop, 'live:' || v_start || ':' || stop FROM judged WHERE verdict = 'live'),
+listed AS (
+  SELECT doc_id, string_agg(span, ',' ORDER BY start, rank, stop) AS spans, string_agg(span, ',' ORDER BY start, rank, stop) FILTER (rank < 3) AS base FROM spans GROUP BY doc_id),
+counts AS (
+  SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k, *_ in KINDS)}, {", ".join(f"count(*) FILTER (verdict = '{v}') AS n_judged_{v}" for v in ("example", "live", "weak"))}
+  FROM judged GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k, *_ in KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  {", ".join(f"coalesce(n_judged_{v}, 0) AS n_judged_{v}" for v in ("example", "live", "weak"))}
+FROM docs LEFT JOIN listed USING (doc_id) LEFT JOIN counts USING (doc_id)
+""",
     "op1_decontamination": r"""
 WITH docs AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),

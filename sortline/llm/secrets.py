@@ -20,7 +20,7 @@ KINDS = (
 )
 #: Kind of the spans that this method adds: values judged live-looking.
 LIVE = "live"
-PLACEHOLDER = r"(?i)example|sample|dummy|placeholder|changeme|your[_-]|xxx|(.)\1{5,}|0123456|1234567|abcdef"
+PLACEHOLDER = r"(?i)example|sample|dummy|placeholder|changeme|your[_-]|xxx|000000|123456|abcdef"
 
 
 def _found(text: Column, pattern: str) -> Column:
@@ -31,7 +31,7 @@ def _found(text: Column, pattern: str) -> Column:
 
 
 def looks_random(value: Column) -> Column:
-    """Twelve characters or more, of eight or more kinds, with letters and digits, and no placeholder words or runs."""
+    """Twelve characters or more, of eight or more kinds, with letters and digits, and no placeholder words or sequences."""
     kinds = F.size(F.array_distinct(F.split(value, "")))
     return (F.length(value) >= 12) & (kinds >= 8) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~value.rlike(PLACEHOLDER)
 
