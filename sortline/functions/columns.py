@@ -107,6 +107,17 @@ def business_key(*cs: tuple[str, str]) -> Column:
     return F.concat_ws("|", *(F.coalesce(one(n, t), F.lit("")) for n, t in cs))
 
 
+def split_key(c: Name, n: int) -> list[Column]:
+    """The n values of a business key. Wrong where a value holds |; keep key columns where that can be."""
+    parts = F.split(_c(c), r"\|")
+    return [F.get(parts, F.lit(k)) for k in range(n)]
+
+
+def generated_code(c: Name, prefix: str = "S") -> Column:
+    """A stable code for a key that has none."""
+    return F.concat(F.lit(prefix), F.lpad(F.hex(F.xxhash64(_c(c))), 16, "0"))
+
+
 def row_digest(*names: str) -> Column:
     """SHA-256 over names and values with their lengths, names in order ignoring case. Only equality matters."""
     parts = []

@@ -45,6 +45,11 @@ def claim_feedback(tasks: DataFrame, status: int, n: int, now) -> DataFrame:
     return tasks.filter(due).orderBy("created_time", "id").limit(n)
 
 
+def claim_by_code(tasks: DataFrame, task_code: str, status: int, now) -> DataFrame:
+    """The claim of a single task, if it is due."""
+    return claim_feedback(tasks.filter(F.col("task_code") == task_code), status, 1, now)
+
+
 def mark_claimed(tasks: DataFrame, claimed: DataFrame, now) -> DataFrame:
     return _mark(tasks, claimed, {"feedback_status": F.lit(V.PROCESSING), "updated_time": C.ntz(now)})
 

@@ -12,6 +12,8 @@ from ..functions import fixed as V
 
 #: Task columns that a projection may change later.
 MUTABLE = ("wave_code", "wave_remark", "working_area", "order_id", "store_id", "store_name", "product_code", "pick_location", "updated_time")
+#: Longest texts that a task takes (fixed values).
+LENGTHS = {"barcode": 128, "wave_code": 64, "wave_remark": 128, "working_area": 32, "order_id": 64, "store_id": 64, "store_name": 300, "product_code": 64, "pick_location": 64}
 TEXTS = ("barcode", "wave_code", "wave_remark", "working_area", "order_id", "store_id", "store_name", "product_code", "pick_location")
 
 
@@ -28,8 +30,8 @@ class Projection:
 
 
 def project(rows: DataFrame, p: Projection, now) -> tuple[DataFrame, DataFrame]:
-    """(tasks, rejects). Rows with a blank key are skipped: they are in neither. Rejects have business_key and reason: too long a key, no creation time, or an
-    unknown source type."""
+    """(tasks, rejects). Rows with a blank key are skipped: they are in neither. Rejects have business_key and reason: an unknown source type, too
+    long a key or text, or no creation time."""
     key, created = C.blank_to_null(F.col(p.key).cast("string")), F.col(p.created).try_cast("timestamp_ntz")
     texts = [(C.blank_to_null(F.col(p.texts[t]).cast("string")) if t in p.texts else F.lit(None).cast("string")).alias(t) for t in TEXTS]
     made = rows.select(
@@ -49,6 +51,8 @@ def project(rows: DataFrame, p: Projection, now) -> tuple[DataFrame, DataFrame]:
         .when(F.length("business_key") > p.key_length, "key too long")
         .when(F.col("created_time").isNull(), "no creation time")
     )
+    for name in p.texts:
+        reason = reason.when(F.length(name) > LENGTHS[name], f"{name} too long")
     judged = made.withColumn("reason", reason)
     return judged.filter(F.col("reason").isNull()).drop("reason"), judged.filter(F.col("reason").isNotNull()).select("business_key", "reason")
 

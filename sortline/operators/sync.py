@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions import fixed as V
 
 INSERT, UPDATE, SKIP, DELETE = "I", "U", "S", "D"
 DISABLED, SOFT, HARD = "disabled", "soft", "hard"
@@ -177,5 +176,3 @@ def failed_checkpoint(checkpoint: DataFrame, error: str) -> DataFrame:
     """A failed run keeps the cursor and records why."""
     return checkpoint.withColumn("last_error", F.lit(error))
 
-
-STATUS_ORDER = (V.BATCH_PENDING, V.BATCH_RUNNING, V.BATCH_COMPLETED, V.BATCH_FAILED)

@@ -114,6 +114,8 @@ def test_scalars(spark):
     assert one(C.has_zone(F.lit("2026-01-01 00:00:00+08:00"))) and not one(C.has_zone(F.lit("2026-01-01 00:00:00")))
     assert one(C.clean_text(F.lit("a\nb\tcdef"), 4)) == "abcd" and one(C.blank_to_null(F.lit("　 "))) is None
     assert str(one(C.month_of_name(F.lit("tasks_202602")))) == "2026-02-01" and one(C.month_of_name(F.lit("tasks_x"))) is None
+    assert [one(c) for c in C.split_key(F.lit("a||c"), 4)] == ["a", "", "c", None]
+    assert one(C.generated_code(F.lit("x"))) == one(C.generated_code(F.lit("x"))) != one(C.generated_code(F.lit("y")))
     df = spark.createDataFrame([("a", 1), ("a", None)], "x string, y int")
     assert df.select(C.row_digest("x", "y")).distinct().count() == 2 and df.select(C.row_digest("y", "x")).subtract(df.select(C.row_digest("x", "y"))).isEmpty()
 
@@ -240,10 +242,10 @@ def test_run_twice_changes_nothing(spark, sf):
 def test_projection_upsert_rules(spark):
     now = "2026-07-06 12:00:00"
     old = tasks(spark, dict(), dict(barcode="keep"), dict(status=V.DROPPED), dict(business_key="stay"))
-    rows = spark.createDataFrame([("K1", T0, "w9", "new"), ("K2", T0, "w9", "new"), ("K3", T0, "w9", "new"), ("K9", T0, "w9", "new"), (" ", T0, "w", "b"), ("x" * 70, T0, "w", "b"), ("K8", None, "w", "b")], "k string, t timestamp_ntz, w string, b string")
+    rows = spark.createDataFrame([("K1", T0, "w9", "new"), ("K2", T0, "w9", "new"), ("K3", T0, "w9", "new"), ("K9", T0, "w9", "new"), (" ", T0, "w", "b"), ("x" * 70, T0, "w", "b"), ("K8", None, "w", "b"), ("K7", T0, "w" * 65, "b")], "k string, t timestamp_ntz, w string, b string")
     p = P.Projection("T", V.SPLIT, "k", "t", {"wave_code": "w", "barcode": "b"})
     good, bad = P.project(rows, p, now)
-    assert {(r.business_key[:2], r.reason) for r in bad.collect()} == {("xx", "key too long"), ("K8", "no creation time")}
+    assert {(r.business_key[:2], r.reason) for r in bad.collect()} == {("xx", "key too long"), ("K8", "no creation time"), ("K7", "wave_code too long")}
     out = {r.business_key: r for r in P.upsert(old, good).collect()}
     assert [(out[k].barcode, out[k].wave_code, out[k].change) for k in ("K1", "K2", "K3", "stay", "K9")] == [("new", "w9", "U"), ("keep", "w9", "U"), (None, "w9", "U"), (None, "WAVE-001", None), ("new", "w9", "I")]
     assert out["K9"].status == V.CREATED and out["K9"].shard_month == "202607" and out["K3"].normalized_wave_code == "w9"
@@ -363,6 +365,7 @@ def test_csv_report(spark, tmp_path):
 def test_feedback_claims(spark):
     rows = tasks(spark, dict(feedback_status=V.PENDING), dict(feedback_status=V.PROCESSING, updated_time=T0 - timedelta(minutes=11)), dict(feedback_status=V.PROCESSING, updated_time=T0 - timedelta(minutes=9)), dict(feedback_status=V.COMPLETED))
     claimed = M.claim_feedback(rows, V.PENDING, 10, T0)
+    assert M.claim_by_code(rows, "T1", V.PENDING, T0).count() == 1 and M.claim_by_code(rows, "T4", V.PENDING, T0).isEmpty()
     assert {r.id for r in claimed.collect()} == {1, 2}
     assert {r.id: r.feedback_status for r in M.finish_feedback(rows, claimed, 2, T0).collect()} == {1: V.COMPLETED, 2: V.COMPLETED, 3: V.PROCESSING, 4: V.COMPLETED}
     assert M.audit_failed(M.clean_wave(rows, "WAVE-001", V.EXCEPTION, T0)[1], "x\ny").first().outcome == "failed"
