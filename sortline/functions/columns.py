@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import fixed as V
@@ -188,3 +188,13 @@ def in_range(c: Name, start, end) -> Column:
 
 def ntz(t) -> Column:
     return t if isinstance(t, Column) else F.lit(str(t)).cast("timestamp_ntz")
+
+
+# --- rows ------------------------------------------------------------------------------------------------------------
+
+
+def first_of(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
+    """The first row of each key. Spark keeps one row a key and task before it shuffles (WindowGroupLimit), so a hot key meets in no task alone, and
+    columns that aren't used aren't read, which a max_by() over a struct of them would prevent."""
+    nth = "__nth"
+    return df.withColumn(nth, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(nth) == 1).drop(nth)

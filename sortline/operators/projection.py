@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -59,8 +59,7 @@ def project(rows: DataFrame, p: Projection, now) -> tuple[DataFrame, DataFrame]:
 
 def last_of_batch(rows: DataFrame, keys: tuple[str, ...], order: str) -> DataFrame:
     """Of rows with one key the last by `order`."""
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
-    return rows.withColumn("nth", nth).filter("nth = 1").drop("nth")
+    return C.first_of(rows, list(keys), F.desc(order))
 
 
 def upsert(tasks: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -50,16 +50,13 @@ def active_tasks(tasks: DataFrame) -> DataFrame:
 
 def newest_by(tasks: DataFrame, *keys: str) -> DataFrame:
     """The newest created task of each key; null keys aren't found. Ids part equal times."""
-    rows = tasks.dropna(subset=list(keys))
-    rest = F.struct(*(c for c in tasks.columns if c not in keys))
-    return rows.groupBy(*keys).agg(F.max_by(rest, F.struct("created_time", "shard_month", "id")).alias("t")).select(*keys, "t.*")
+    return C.first_of(tasks.dropna(subset=list(keys)), list(keys), F.desc("created_time"), F.desc("shard_month"), F.desc("id"))
 
 
 def by_newest_month(tasks: DataFrame) -> DataFrame:
     """One task for each id: ids repeat over months, and the newest month wins, with legacy rows last."""
     month = F.when(F.col("shard_month") == LEGACY, "").otherwise(F.col("shard_month"))
-    rest = F.struct(*(c for c in tasks.columns if c != "id"))
-    return tasks.groupBy("id").agg(F.max_by(rest, F.struct(month, F.col("created_time"))).alias("t")).select("id", "t.*")
+    return C.first_of(tasks, ["id"], F.desc(month), F.desc("created_time"))
 
 
 def with_pairs(tasks: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -75,8 +75,7 @@ def merge_state(state: DataFrame, rows: DataFrame, now, months_ahead: int = 1) -
 
 def latest_state(state: DataFrame) -> DataFrame:
     """One state row for each key: the last one written, whatever its month."""
-    rest = F.struct(*state.columns)
-    return state.groupBy(C.key_text("business_key").alias("key")).agg(F.max_by(rest, F.struct("updated_time", "shard_month")).alias("s")).select("s.*")
+    return C.first_of(state.withColumn("key", C.key_text("business_key")), ["key"], F.desc("updated_time"), F.desc("shard_month")).drop("key")
 
 
 def moved_keys(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -162,8 +162,7 @@ def wave_details(tasks: DataFrame, start, end, wave: str) -> DataFrame:
 
 def latest_batches(batches: DataFrame) -> DataFrame:
     """The latest batch of each table."""
-    rest = F.struct(*(c for c in batches.columns if c != "table_code"))
-    return batches.groupBy("table_code").agg(F.max_by(rest, F.struct(batch_time(), F.col("batch_id"))).alias("b")).select("table_code", "b.*")
+    return C.first_of(batches, ["table_code"], F.desc(batch_time()), F.desc("batch_id"))
 
 
 def batch_time() -> Column:

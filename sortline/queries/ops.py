@@ -23,7 +23,7 @@ def wave_cleanup_audit(spark, d):
     return M.clean_wave(X.tasks(spark, d), "W7", V.EXCEPTION, NOW)[1]
 
 
-@query(f"SELECT 'W7' AS wave_code, true AS dry_run, count(*) AS found, count(*) FILTER ({HIT}) AS cleanable, 0 AS cleaned, 'completed' AS outcome, TIMESTAMP '{NOW}' AS started_time FROM tasks WHERE upper(normalized_wave_code) = 'W7'")
+@query(f"SELECT 'W7' AS wave_code, true AS dry_run, count(*) AS found, count(*) FILTER ({HIT}) AS cleanable, CAST(0 AS BIGINT) AS cleaned, 'completed' AS outcome, TIMESTAMP '{NOW}' AS started_time FROM tasks WHERE upper(normalized_wave_code) = 'W7'")
 def wave_cleanup_dry_run(spark, d):
     return M.clean_wave(X.tasks(spark, d), "W7", V.EXCEPTION, NOW, dry_run=True)[1]
 

@@ -16,8 +16,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One task for each order line: of rows with one key the latest shipped counts."""
     lines = load(spark, sf_dir, "lineitem")
-    rest = F.struct(*(c for c in lines.columns if c not in ("l_orderkey", "l_linenumber")))
-    lines = lines.groupBy("l_orderkey", "l_linenumber").agg(F.max_by(rest, F.struct("l_shipdate", "l_partkey", "l_suppkey")).alias("r")).select("l_orderkey", "l_linenumber", "r.*")
+    lines = C.first_of(lines, ["l_orderkey", "l_linenumber"], F.desc("l_shipdate"), F.desc("l_partkey"), F.desc("l_suppkey"))
     rows = lines.join(load(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     pick = lambda key, *values: F.element_at(F.array(*(F.lit(v).cast("string") for v in values)), (key + 1).cast("int"))
     flag, part, supp, nr = (F.col(c) for c in ("l_returnflag", "l_partkey", "l_suppkey", "l_linenumber"))
