@@ -27,20 +27,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: lineage is cut, lost executors cost no recomputation."""
+    """Write df as Parquet in the shared folder and read it again: lineage is cut, lost executors cost no recomputation. The files go when the application ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written_at = path
+    out_path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(out_path)
+    path, fs = _file(spark, out_path)
+    fs.deleteOnExit(path)
+    out = spark.read.schema(df.schema).parquet(out_path)
+    out._written_at = out_path
     return out
 
 
+def _file(spark: SparkSession, path: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a materialized table that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._written_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    path, fs = _file(df.sparkSession, df._written_at)
+    fs.delete(path, True)
 
 
 def lower_ascii(c: Column) -> Column:
