@@ -44,19 +44,34 @@ def measures() -> dict[str, Column]:
     }
 
 
-def _as(exprs: dict[str, Column]) -> list[Column]:
-    return [c.alias(n) for n, c in exprs.items()]
-
-
 def newest_remark() -> Column:
     """The newest remark that isn't blank; of equal times the greatest."""
     remark = C.blank_to_null("wave_remark")
     return F.max_by(remark, F.when(remark.isNotNull(), F.struct("updated_time", remark)))
 
 
+def _merged(name: str) -> Column:
+    if name == "earliest_created":
+        return F.min(name).alias(name)
+    return F.sum(name).cast("decimal(28,3)" if name in ("volume_mm3", "weight_gram") else "long").alias(name)
+
+
+def by_code(rows: DataFrame, codes: dict[str, Column], exprs: dict[str, Column], remark: bool = False) -> DataFrame:
+    """exprs for each group of codes that are equal ignoring case, shown by the least of each; with wave_remark, the newest, if asked for.
+
+    Rows are first grouped by the codes as they are (and the remark), which keeps texts out of the aggregates' values: Spark then hashes and needn't sort all rows. The few
+    groups that are left are put together by upper case."""
+    keys = [c.alias(n) for n, c in codes.items()]
+    newest = [F.max("updated_time").alias("__newest")] if remark else []
+    first = rows.groupBy(*keys, *([C.blank_to_null("wave_remark").alias("__remark")] if remark else [])).agg(F.count("*").alias("__rows"), *(c.alias(n) for n, c in exprs.items()), *newest)
+    latest = [F.max_by("__remark", F.when(F.col("__remark").isNotNull(), F.struct("__newest", "__remark"))).alias("wave_remark")] if remark else []
+    out = first.groupBy(*(C.key_text(n).alias(f"__{n}") for n in codes)).agg(*(F.min(n).alias(n) for n in codes), *map(_merged, exprs), *latest)
+    return out.drop(*(f"__{n}" for n in codes))
+
+
 def wave_dashboard(tasks: DataFrame, start, end) -> DataFrame:
     """A row for each wave, tasks without one under 未分波次."""
-    return in_months(tasks, start, end).groupBy(C.key_text(wave_or_none()).alias("wave_key")).agg(F.min(wave_or_none()).alias("wave_code"), *_as(measures())).drop("wave_key")
+    return by_code(in_months(tasks, start, end), {"wave_code": wave_or_none()}, measures())
 
 
 def dock_dashboard(tasks: DataFrame, start, end, wave: str | None = None, dock: str | None = None) -> DataFrame:
@@ -79,25 +94,21 @@ def dock_dashboard(tasks: DataFrame, start, end, wave: str | None = None, dock:
         "recirculated": count_if(C.is_recirculated_dock()),
         "exceptions": count_if(C.is_exceptional()),
     }
-    return rows.groupBy(C.key_text("resolved_dock_code").alias("dock_key")).agg(F.min("resolved_dock_code").alias("dock_code"), *_as(exprs)).drop("dock_key")
+    return by_code(rows, {"dock_code": F.col("resolved_dock_code")}, exprs)
 
 
 def recirculation_summary(tasks: DataFrame, start, end, chute: str | None = None) -> DataFrame:
     """Recirculated tasks for each chute and wave."""
-    rows = in_months(tasks, start, end).filter(C.is_recirculated_dock()).select(C.chute().alias("chute_code"), wave_or_none().alias("wave_code"))
+    rows = in_months(tasks, start, end).filter(C.is_recirculated_dock())
     if chute is not None:
-        rows = rows.filter(C.key_text("chute_code") == chute.upper())
-    keys = (C.key_text("chute_code").alias("ck"), C.key_text("wave_code").alias("wk"))
-    return rows.groupBy(*keys).agg(F.min("chute_code").alias("chute_code"), F.min("wave_code").alias("wave_code"), F.count("*").cast("long").alias("recirculated")).drop("ck", "wk")
+        rows = rows.filter(C.key_text(C.chute()) == chute.upper())
+    return by_code(rows, {"chute_code": C.chute(), "wave_code": wave_or_none()}, {"recirculated": F.count("*").cast("long")})
 
 
 def cleanable_waves(tasks: DataFrame) -> DataFrame:
     """Waves of any time with tasks that can be cleaned up; tasks without a wave don't count."""
     rows = tasks.filter(C.normalized_wave().isNotNull())
-    out = rows.groupBy(C.key_text(C.normalized_wave()).alias("wave_key")).agg(
-        F.min(C.normalized_wave()).alias("wave_code"), *_as(measures()), count_if(C.is_cleanable()).alias("cleanable"), newest_remark().alias("wave_remark")
-    )
-    return out.filter("cleanable > 0").drop("wave_key")
+    return by_code(rows, {"wave_code": C.normalized_wave()}, measures() | {"cleanable": count_if(C.is_cleanable())}, remark=True).filter("cleanable > 0")
 
 
 def feedback_totals(tasks: DataFrame, start, end) -> DataFrame:
@@ -111,14 +122,12 @@ def recognition_totals(logs: DataFrame, start, end) -> DataFrame:
 
 def wave_codes(tasks: DataFrame, start, end) -> DataFrame:
     """Waves in the range."""
-    rows = in_months(tasks, start, end).select(wave_or_none().alias("wave_code"))
-    return rows.groupBy(C.key_text("wave_code").alias("k")).agg(F.min("wave_code").alias("wave_code")).drop("k")
+    return by_code(in_months(tasks, start, end), {"wave_code": wave_or_none()}, {})
 
 
 def wave_options(tasks: DataFrame, start, end) -> DataFrame:
     """Waves in the range with their newest remark."""
-    rows = in_months(tasks, start, end)
-    return rows.groupBy(C.key_text(wave_or_none()).alias("k")).agg(F.min(wave_or_none()).alias("wave_code"), newest_remark().alias("wave_remark")).drop("k")
+    return by_code(in_months(tasks, start, end), {"wave_code": wave_or_none()}, {}, remark=True)
 
 
 def sync_rollup(batches: DataFrame) -> DataFrame:

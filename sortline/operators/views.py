@@ -87,9 +87,9 @@ def wave_zones(tasks: DataFrame, start, end, wave: str) -> DataFrame:
 
 def wave_list(tasks: DataFrame, start, end) -> DataFrame:
     """Waves with counts, newest remark and status text."""
-    rows = in_months(tasks, start, end).groupBy(C.key_text(A.wave_or_none()).alias("k"))
-    out = rows.agg(F.min(A.wave_or_none()).alias("wave_code"), *(c.alias(n) for n, c in A.measures().items()), A.newest_remark().alias("wave_remark"))
-    return out.drop("k", "recognised", "volume_mm3", "weight_gram").withColumn("wave_status", wave_status())
+    exprs = {n: c for n, c in A.measures().items() if n not in ("recognised", "volume_mm3", "weight_gram")}
+    out = A.by_code(in_months(tasks, start, end), {"wave_code": A.wave_or_none()}, exprs, remark=True)
+    return out.withColumn("wave_status", wave_status())
 
 
 def shown_exceptions() -> Column:
