@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -10,6 +10,17 @@ from ..functions import columns as C
 EQUALS, IS_NULL, IGNORE = "equals", "is_null", "ignore"
 
 
+def jdbc_source(
+    spark: SparkSession, url: str, table: str, properties: dict[str, str], column: str | None = None, low=None, high=None, partitions: int = 1, fetch_rows: int = 5000
+) -> DataFrame:
+    """A remote table. Filters and columns that are asked for later run there. With a numeric or time column and its bounds the read is dealt into partitions, which take
+    the place of pages; rows outside the bounds are read too."""
+    reader = spark.read.format("jdbc").options(url=url, dbtable=table, fetchsize=fetch_rows, **properties)
+    if column is not None:
+        reader = reader.options(partitionColumn=column, lowerBound=str(low), upperBound=str(high), numPartitions=partitions)
+    return reader.load()
+
+
 def incremental(source: DataFrame, cursor: str, start, end) -> DataFrame:
     """Rows whose cursor is in (start, end]."""
     return source.filter((F.col(cursor) > C.ntz(start)) & (F.col(cursor) <= C.ntz(end)))

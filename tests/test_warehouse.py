@@ -352,6 +352,18 @@ def test_seed_and_write_backs(spark):
     assert seen.value == 2
 
 
+def test_remote_tables(spark, sf):
+    url, driver = "jdbc:derby:memory:remote;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = X.load(spark, sf, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("timestamp").alias("o_orderdate"))
+    sinks.write_jdbc(rows, url, "orders", driver)
+    source = scans.jdbc_source(spark, url, "orders", driver, "o_orderkey", 0, 2000, 4)
+    some = scans.incremental(source, "O_ORDERDATE", "1997-01-01", "1998-01-01").select("o_orderkey")
+    want = scans.incremental(rows, "o_orderdate", "1997-01-01", "1998-01-01")
+    assert source.rdd.getNumPartitions() == 4 and some.count() == want.count() > 0
+    scan = some._jdf.queryExecution().executedPlan().toString().split("JDBCRelation")[1]
+    assert "PushedFilters" in scan and "O_CUSTKEY" not in scan.upper().split("READSCHEMA")[1]
+
+
 def test_csv_report(spark, tmp_path):
     rows = tasks(spark, dict(wave_remark='a "b", c', wave_code="W,1"))
     path = str(tmp_path / "csv")
