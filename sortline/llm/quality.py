@@ -24,10 +24,10 @@ ROUNDS = 3
 #: Share of a view's pool rows that it labels in a round, for each class at most, and how sure it must be.
 EXCHANGED = 0.05
 SURE = 0.95
-#: Good held-out rows that the threshold must keep.
+#: Share of the good labelled rows that the threshold must keep.
 KEPT_GOOD = 0.999
 #: The threshold is never above this: rejected documents must look clearly bad.
-MOST_THRESHOLD = 0.2
+MOST_THRESHOLD = 0.1
 
 LANGS, SOURCES = 8, 16
 LINE = re.compile(r"\n+")
@@ -154,8 +154,9 @@ class CoTrained:
         a, b = views(text, lang, source, n_chars)
         if not len(a):
             return pd.DataFrame({"p_text": [], "p_meta": [], "score": [], "accepted": np.zeros(0, bool)})
-        score = self.both.sure(np.column_stack([self.text.logit(a), self.meta.logit(b)]))
-        return pd.DataFrame({"p_text": self.text.sure(a), "p_meta": self.meta.sure(b), "score": score, "accepted": score >= self.threshold})
+        score, p_text = self.both.sure(np.column_stack([self.text.logit(a), self.meta.logit(b)])), self.text.sure(a)
+        # metadata alone reject nothing: they say little of a short text
+        return pd.DataFrame({"p_text": p_text, "p_meta": self.meta.sure(b), "score": score, "accepted": (score >= self.threshold) | (p_text >= 0.5)})
 
 
 def co_train(xs: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS) -> CoTrained:
@@ -183,7 +184,8 @@ def co_train(xs: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.nd
                 exchanged += len(rows)
     z = np.column_stack([m.logit(x[held]) for m, x in zip(models, xs)])
     both = Logistic.fit(z, y[held], ridge=0.1)
-    good = np.sort(both.sure(z)[y[held] == 1])
+    every = np.column_stack([m.logit(x) for m, x in zip(models, xs)])
+    good = np.sort(both.sure(every)[y == 1])
     threshold = min(MOST_THRESHOLD, float(good[int((1 - KEPT_GOOD) * len(good))]))
     return CoTrained(*models, both, threshold, prior, exchanged)
 
@@ -228,7 +230,8 @@ def _features(df: DataFrame, label: str) -> DataFrame:
 
 
 def score(docs: DataFrame, model: CoTrained, column: str = "quality_score") -> DataFrame:
-    """docs with a struct `column`: p_text, p_meta, score (of being good) and accepted, for every row. Null texts count as empty, null metadata as unknown."""
+    """docs with a struct `column`: p_text, p_meta, score (of being good) and accepted, for every row. Rejected are
+    documents with a score below the threshold that the text view finds bad too. Null texts count as empty, null metadata as unknown."""
 
     @F.pandas_udf("p_text double, p_meta double, score double, accepted boolean")
     def predict(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
