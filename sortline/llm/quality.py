@@ -29,6 +29,9 @@ KEPT_GOOD = 0.999
 #: The threshold is never above this: rejected documents must look clearly bad.
 MOST_THRESHOLD = 0.1
 
+#: Places that a hash gives an id, of which a share is read: many, so that a share of any table can be told.
+SPOTS = 1 << 50
+
 LANGS, SOURCES = 8, 16
 LINE = re.compile(r"\n+")
 
@@ -203,16 +206,16 @@ def fit(
 
     Rows with a null id or label aren't read. Repeated rows count as often as they come. An id with both labels counts as 0.
     """
-    spot = F.pmod(F.xxhash64(F.col(id_col), F.lit("fit")), F.lit(1_000_000))
-    share = lambda most, n: int(min(1, most / max(1, n)) * 1_000_000)
+    spot = F.pmod(F.xxhash64(F.col(id_col), F.lit("fit")), F.lit(SPOTS))
+    share = lambda most, n: int(min(1, most / max(1, n)) * SPOTS)
     marks = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("label_of")).agg(F.min(label_col).alias("label"))
     n_marks, n_docs = marks.count(), docs.count()
-    marks = marks.filter(F.pmod(F.xxhash64("label_of", F.lit("fit")), F.lit(1_000_000)) < share(max_labelled, n_marks))
+    marks = marks.filter(F.pmod(F.xxhash64("label_of", F.lit("fit")), F.lit(SPOTS)) < share(max_labelled, n_marks))
     fields = [F.col(c) for c in ("text", "lang", "source", "n_chars")]
     some = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("of"), *fields, spot.alias("spot"))
     labelled = some.join(F.broadcast(marks), some["of"] == marks["label_of"])  # max_labelled bounds the side that is broadcast
     known = _features(labelled, "label").orderBy("of", "x").limit(2 * max_labelled).toPandas()
-    pool = _features(some.filter(F.col("spot") >= 1_000_000 - share(max_pool, n_docs)).withColumn("label", F.lit(0)), "label").orderBy("of", "x").limit(2 * max_pool).toPandas()
+    pool = _features(some.filter(F.col("spot") >= SPOTS - share(max_pool, n_docs)).withColumn("label", F.lit(0)), "label").orderBy("of", "x").limit(2 * max_pool).toPandas()
     split = lambda pdf: tuple(np.array([np.asarray(v) for v in pdf[c]], float).reshape(len(pdf), -1 if len(pdf) else 1) for c in ("x", "m"))
     return co_train(split(known), known["label"].to_numpy(float), split(pool), rounds)
 
