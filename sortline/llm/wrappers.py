@@ -1,10 +1,12 @@
 """HTML extraction by union-free wrappers.
 
 Pages of a host are aligned one after another into a wrapper: a regular expression over tags without alternatives. Where a page and the wrapper differ,
-siblings that repeat become a repeated group, those that one side lacks an optional group, and differing texts a slot. A text that all pages share
-stays a constant: template, not content. The wrapper tells which slots hold the article; every page gives the texts of those.
+siblings that repeat become a repeated group, those that one side lacks an optional group, and differing texts a slot. A text that nearly all pages of a
+host repeat at a path is a constant: template, not content. The slots are weighed by the text that varies over the host's pages, and the content
+is the subtree of the wrapper that holds most of it; names of elements only weigh in. Every page gives the texts of those slots.
 
-Pages are folded into wrappers where they are read, so the shuffle carries one wrapper for each host and task, however many pages a host has.
+Pages are folded into wrappers where they are read, so the shuffle carries one wrapper for each host and task, however many pages a host has, and a
+number for each distinct text of a host and task.
 """
 
 from __future__ import annotations
@@ -25,6 +27,19 @@ from .common import materialize
 BROADCAST_BYTES = 8 << 20
 #: Hosts whose wrappers a task holds at once.
 HELD_HOSTS = 2_000
+#: Texts that a task counts at once.
+HELD_TEXTS = 200_000
+
+#: A text is a constant if this share of the pages that have its path, and this many of them at least, have it there.
+FIXED_SHARE = 0.9
+FIXED_PAGES = 3
+#: Slices that the texts of a path are dealt into, so that a hot host's are in no task alone.
+SLICES = 32
+#: A child is the content of its parent if it holds this share of the parent's varying text.
+CONTENT_SHARE = 2 / 3
+#: Weights of text in a main part, and in menus and the like; those count only in hosts that show them to vary: on so many pages, by so many characters a page.
+MAIN_WEIGHT, BOILER_WEIGHT = 8.0, 0.02
+BOILER_PAGES, BOILER_CHARS = 3, 200
 
 # Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -35,6 +50,9 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 SCOPES = frozenset("ul ol dl table body article main section div select".split())
 NOT_TEXT = frozenset("head title nav footer aside form button select option dialog menu object canvas audio video fieldset".split())
 MAIN = frozenset(("article", "main"))
+CONTAINERS = frozenset("html body div section main article center form table tbody tr td span aside header footer nav".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+NEVER_TEXT = frozenset("head title select option object canvas audio video".split())
 NOT_TEXT_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert sidebar side menu "
     "navbar nav navigation breadcrumb breadcrumbs footer masthead comment comments disqus reply replies respond share sharing social related recommended "
@@ -119,10 +137,14 @@ def is_article(path: tuple[str, ...]) -> bool | None:
     for label in path:
         if _boiler(label, inside):
             return False
-        inside = inside or label.split(" ")[0] in MAIN or " main" in f" {label.partition(' ')[2]}"
+        inside = inside or _main(label)
     return inside or None
 
 
+def _main(label: str) -> bool:
+    return label.split(" ")[0] in MAIN or " main" in f" {label.partition(' ')[2]}"
+
+
 # A wrapper's node is [label, quantity, children]: quantity "", "?", "+" or "*". A text's is ["#", quantity, hash], the hash of a constant or 0 for a slot.
 
 
@@ -225,15 +247,90 @@ def pattern(wrapper: list) -> str:
     return "".join(f"({one(x)}){x[1]}" if x[1] else one(x) for x in wrapper)
 
 
+def choose(wrapper: list, stats: dict[tuple[str, ...], tuple[int, float]]) -> set[tuple[str, ...]]:
+    """Paths of the content's slots. stats: for each path of a text the pages that have it, and its characters that vary over the pages.
+
+    From the root, the content is sought in the child that holds most of its parent's varying text, until no single child does; repeated groups are content of their parent.
+    Names weigh in: texts of main parts count more, those of menus and the like less. Headings and main parts beside the way down stay.
+    """
+    inner: dict[tuple[str, ...], tuple[int, float]] = {}
+    for path, (pages, chars) in stats.items():
+        for k in range(len(path) + 1):
+            most, total = inner.get(path[:k], (0, 0.0))
+            inner[path[:k]] = max(most, pages), total + chars
+    memo: dict[tuple[str, ...], float] = {}
+    by_label: dict[tuple[str, ...], dict[str, list]] = {}
+
+    def children(nodes: list, path: tuple[str, ...]) -> dict[str, list]:
+        if path not in by_label:
+            by_label[path] = {}
+            for x in nodes:
+                if x[0] != "#":
+                    by_label[path].setdefault(x[0], []).append(x)
+        return by_label[path]
+
+    def below(same: list) -> list:
+        return [y for x in same for y in x[2]]
+
+    def shares(nodes: list, path: tuple[str, ...], inside: bool) -> dict[str, float]:
+        """What the children weigh among each other, names included."""
+        out = {}
+        for label, same in children(nodes, path).items():
+            at = (*path, label)
+            if label.split(" ")[0] in NEVER_TEXT or "!hidden" in label:
+                continue
+            w = weight(below(same), at, inside or _main(label))
+            if _boiler(label, inside):
+                pages, chars = inner.get(at, (0, 0.0))
+                w *= BOILER_WEIGHT if pages >= BOILER_PAGES and chars >= BOILER_CHARS * pages else 0
+            elif _main(label) and not inside:
+                w *= MAIN_WEIGHT
+            out[label] = w
+        return out
+
+    def weight(nodes: list, path: tuple[str, ...], inside: bool) -> float:
+        if path not in memo:
+            memo[path] = stats.get(path, (0, 0.0))[1] + sum(shares(nodes, path, inside).values())
+        return memo[path]
+
+    def slots_below(nodes: list, path: tuple[str, ...], inside: bool) -> set[tuple[str, ...]]:
+        out = {path} if path in stats else set()
+        for label, same in children(nodes, path).items():
+            if not _boiler(label, inside):
+                out |= slots_below(below(same), (*path, label), inside or _main(label))
+        return out
+
+    nodes, path, inside, out = wrapper, (), False, set()
+    if not weight(wrapper, (), False):
+        return out
+    while not inside:
+        among = shares(nodes, path, inside)
+        best = max(among, key=among.get, default=None)
+        if best is None or among[best] <= 0 or among[best] < CONTENT_SHARE * memo[path] or best.split(" ")[0] not in CONTAINERS:
+            break
+        same = children(nodes, path)[best]
+        if not _main(best) and (len(same) > 1 or same[0][1] in ("+", "*")):
+            break
+        for label, others in children(nodes, path).items():
+            if label != best and not _boiler(label, inside) and (label.split(" ")[0] in HEADINGS or _main(label)):
+                out |= slots_below(below(others), (*path, label), inside or _main(label))
+        nodes, path, inside = below(same), (*path, best), inside or _main(best)
+    return out | slots_below(nodes, path, inside)
+
+
 def extract(page: str | None, main: set[tuple[str, ...]], fixed: set[tuple[tuple[str, ...], int]]) -> str:
-    """The article of a page. main: paths of the article's slots in the wrapper of its host. fixed: the constants. A page without any
-    text in those gives its other texts that aren't menus, adverts and such, first without constants, then with them."""
+    """The article of a page. main: paths of the content's slots in the wrapper of its host. fixed: the constants, which only a page of nothing else gives. A page without any
+    text in those gives the texts of its named article, or its other texts that aren't menus, adverts and such, again without constants if it has others."""
     found = [(p, " ".join(t.split())) for p, t in blocks(page or "")]
-    text = [t for p, t in found if p in main]
-    if not text:
-        rest = [(p, t) for p, t in found if is_article(p) is None]
-        text = [t for p, t in rest if (p, zlib.crc32(t.encode()) or 1) not in fixed] or [t for _, t in rest]
-    return " ".join(text)
+    for part in (lambda p: p in main, is_article, lambda p: is_article(p) is None):
+        some = [(p, t) for p, t in found if part(p)]
+        if some:
+            return " ".join([t for p, t in some if (p, text_hash(t)) not in fixed] or [t for _, t in some])
+    return ""
+
+
+def text_hash(text: str) -> int:
+    return zlib.crc32(text.encode()) or 1
 
 
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
@@ -243,23 +340,40 @@ def host(c) -> F.Column:
     return F.lower(F.coalesce(F.regexp_extract(c, HOST, 1), F.lit("")))
 
 
+FOLDED = "host string, n_pages long, wrapper string, path string, path_key long, text_key long, chars long"
+
+
 def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, n_pages and wrapper (JSON) of every host. Pages without a host share the empty one."""
+    """host, n_pages, wrapper (JSON) and slots of every host: path (JSON), pages that have it, characters that vary, and hashes of its constant texts. Pages without a host share the empty one."""
 
     def fold_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, tuple[int, list]] = {}
+        seen: dict[tuple[str, int, int], list] = {}
 
         def out() -> pd.DataFrame:
-            rows = [(h, n, json.dumps(w, ensure_ascii=False)) for h, (n, w) in held.items()]
+            rows = [(h, n, json.dumps(w, ensure_ascii=False), None, None, None, None) for h, (n, w) in held.items()]
+            rows += [(h, n, None, p, k, t, c) for (h, k, t), (n, c, p) in seen.items()]
             held.clear()
-            return pd.DataFrame(rows, columns=["host", "n_pages", "wrapper"])
+            seen.clear()
+            return pd.DataFrame(rows, columns=["host", "n_pages", "wrapper", "path", "path_key", "text_key", "chars"]).astype({c: "Int64" for c in ("n_pages", "path_key", "text_key", "chars")})
 
         for pdf in batches:
             for h, page in zip(pdf["host"], pdf["page"]):
                 own = page_wrapper(page or "")
                 n, w = held.get(h, (0, own))
                 held[h] = n + 1, merge(w, own) if n else own
-                if len(held) >= HELD_HOSTS:
+                on_page: dict[tuple[int, int], list] = {}
+                for path, text in blocks(page or ""):
+                    text = " ".join(text.split())
+                    name = json.dumps(path, ensure_ascii=False)
+                    key = zlib.crc32(name.encode())
+                    on_page.setdefault((key, 0), [0, name])[0] += len(text)
+                    on_page.setdefault((key, text_hash(text)), [0, None])[0] += len(text)
+                for (key, text_key), (chars, name) in on_page.items():
+                    count = seen.setdefault((h, key, text_key), [0, 0, name])
+                    count[0] += 1
+                    count[1] += chars
+                if len(held) >= HELD_HOSTS or len(seen) >= HELD_TEXTS:
                     yield out()
         yield out()
 
@@ -272,7 +386,24 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
 
     kinds = "host string, n_pages long, wrapper string"
     read = pages.select(host(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("page"))
-    return read.mapInPandas(fold_pages, kinds).groupBy("host").applyInPandas(merge_tasks, kinds)
+    folded = materialize(read.mapInPandas(fold_pages, FOLDED), "folded")
+    wrappers = folded.filter(F.col("wrapper").isNotNull()).select("host", "n_pages", "wrapper").groupBy("host").applyInPandas(merge_tasks, kinds)
+    # text_key 0 stands for the path; texts of few pages are no constants, so few are left for the join
+    counted = folded.filter(F.col("wrapper").isNull()).groupBy("host", "path_key", "text_key").agg(F.sum("n_pages").alias("pages"), F.sum("chars").alias("chars"), F.max("path").alias("path"))
+    counted = materialize(counted.filter((F.col("text_key") == 0) | (F.col("pages") >= FIXED_PAGES)), "counted")
+    paths = counted.filter(F.col("text_key") == 0).select("host", "path_key", "path", "pages", "chars")
+    dealt = paths.select("host", "path_key", "pages", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("slice"))
+    texts = counted.filter(F.col("text_key") != 0).select(F.col("host").alias("of"), F.col("path_key").alias("at"), "text_key", F.col("pages").alias("on"), F.col("chars").alias("same"), F.pmod("text_key", F.lit(SLICES)).alias("nth"))
+    fixed = (
+        dealt.join(texts, (F.col("host") == F.col("of")) & (F.col("path_key") == F.col("at")) & (F.col("slice") == F.col("nth")) & (F.col("on") >= FIXED_SHARE * F.col("pages")))
+        .groupBy("of", "at")
+        .agg(F.sum("same").alias("same"), F.array_sort(F.collect_list("text_key")).alias("texts"))
+    )
+    listed = paths.join(fixed, (F.col("host") == F.col("of")) & (F.col("path_key") == F.col("at")), "left").select(
+        "host", F.struct("path", "pages", (F.col("chars") - F.coalesce("same", F.lit(0))).alias("varying"), F.coalesce("texts", F.array().cast("array<bigint>")).alias("fixed")).alias("slot")
+    )
+    slots_of = listed.groupBy("host").agg(F.to_json(F.array_sort(F.collect_list("slot"))).alias("slots")).withColumnRenamed("host", "of")
+    return wrappers.join(slots_of, F.col("host") == F.col("of"), "left").select("host", "n_pages", "wrapper", F.coalesce("slots", F.lit("[]")).alias("slots"))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -282,8 +413,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     ignored.
     """
     wrappers = materialize(infer_wrappers(pages, url_col, html_col), "wrappers")
-    size = wrappers.agg(F.coalesce(F.sum(F.octet_length("wrapper")), F.lit(0))).first()[0]
-    wrappers = wrappers.select(F.col("host").alias("of"), F.when(F.col("n_pages") > 1, F.col("wrapper")).alias("wrapper"), F.col("wrapper").alias("own"))
+    size = wrappers.agg(F.coalesce(F.sum(F.octet_length("wrapper") + F.octet_length("slots")), F.lit(0))).first()[0]
+    wrappers = wrappers.select(F.col("host").alias("of"), "wrapper", "slots")
     read = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("page")).withColumn("host", host(F.col("url")))
     both = read.join(F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers, F.col("host") == F.col("of"), "left")
     schema = f"page_id {read.schema['page_id'].dataType.simpleString()}, url string, host string, text string"
@@ -292,13 +423,13 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         known: dict[str, tuple[set, set]] = {}
         for pdf in batches:
             texts = []
-            for own, shared, page in zip(pdf["own"], pdf["wrapper"], pdf["page"]):
-                if own not in known:
+            for h, wrapper, listed, page in zip(pdf["host"], pdf["wrapper"], pdf["slots"], pdf["page"]):
+                if h not in known:
                     if len(known) > HELD_HOSTS:
                         known.clear()
-                    w = json.loads(own)
-                    known[own] = {p for p in slots(w) if is_article(p)}, constants(w) if shared else set()
-                texts.append(extract(page, *known[own]))
+                    of = [(tuple(json.loads(x["path"])), x) for x in json.loads(listed)]
+                    known[h] = choose(json.loads(wrapper), {p: (x["pages"], x["varying"]) for p, x in of}), {(p, t) for p, x in of for t in x["fixed"]}
+                texts.append(extract(page, *known[h]))
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "host": pdf["host"], "text": texts})
 
-    return both.select("page_id", "url", "host", "page", "wrapper", "own").mapInPandas(run, schema)
+    return both.select("page_id", "url", "host", "page", "wrapper", "slots").mapInPandas(run, schema)

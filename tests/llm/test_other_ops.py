@@ -76,6 +76,21 @@ def test_wrappers_generalise_without_alternatives():
     assert {p[-1] for p in wrappers.slots(total) if wrappers.is_article(p)} == {"h1", "p", "h2"}
 
 
+def test_wrapper_decides_what_is_content(spark):
+    body = lambda k: f"The {k} long body of this page, told in words of its own {k * 7}. " * 6
+    shared = "<p>Share this on all networks</p>"
+    rows = [(k, f"http://named.example/{k}", f"<body><article><h1>Head {k}</h1><p>{body(k)}</p>{shared}</article></body>") for k in range(1, 6)]
+    rows += [(10 + k, f"http://split.example/{k}", f"<body><main><h1>Head {k}</h1></main><div class=x><p>{body(k)}</p></div></body>") for k in range(1, 6)]
+    rows += [(20 + k, f"http://bare.example/{k}", f"<body><div class=top>Our site {k % 2}</div><div class=x><h1>Head {k}</h1><p>{body(k)}</p></div><div class=y>Also see {k}</div></body>") for k in range(1, 6)]
+    got = {r.page_id: r.text for r in wrappers.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(1, 6):
+        want = f"Head {k} {body(k).strip()}"
+        assert [got[k], got[10 + k], got[20 + k]] == [want] * 3
+    # pages that are all alike have constants alone, which are their text
+    same = spark.createDataFrame([(k, "http://same.example", rows[0][2]) for k in range(4)], "page_id long, url string, html string")
+    assert {r.text for r in wrappers.extract_text(same).collect()} == {f"Head 1 {body(1)}Share this on all networks"}
+
+
 # --- quality ---------------------------------------------------------------------------------------------------------
 
 
