@@ -37,7 +37,7 @@ FIXED_PAGES = 3
 SLICES = 32
 #: A child is the content of its parent if it holds this share of the parent's varying text.
 CONTENT_SHARE = 2 / 3
-#: Weights of text in a main part, and in menus and the like; those count only in hosts that show them to vary: on so many pages, by so many characters a page.
+#: Weights of text in a main part, and in menus and the like; those count only in hosts that show them to vary (on so many pages, by so many characters a page) and around a main part.
 MAIN_WEIGHT, BOILER_WEIGHT = 8.0, 0.02
 BOILER_PAGES, BOILER_CHARS = 3, 200
 
@@ -50,6 +50,7 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 SCOPES = frozenset("ul ol dl table body article main section div select".split())
 NOT_TEXT = frozenset("head title nav footer aside form button select option dialog menu object canvas audio video fieldset".split())
 MAIN = frozenset(("article", "main"))
+NAMED_BY_TAG = MAIN | {"html", "body"}
 CONTAINERS = frozenset("html body div section main article center form table tbody tr td span aside header footer nav".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 NEVER_TEXT = frozenset("head title select option object canvas audio video".split())
@@ -67,13 +68,15 @@ TOKEN = re.compile(
 ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 NAME = re.compile(r"[a-z]+")
+#: Class words that tell of a state and not of a kind, as "no-sidebar": they stay one name.
+STATE = re.compile(r"\b(no|not|without|with|has|have|hide|show|is)[-_]+(?=[a-z])")
 
 
 def _label(tag: str, attrs: str) -> str:
-    """tag and the words of its class, id and role, without numbers."""
+    """tag and the words of its class, id and role, all of them, without numbers."""
     if not attrs or "=" not in attrs and "hidden" not in attrs:
         return tag
-    names = sorted({n for m in ATTR.finditer(attrs) for n in NAME.findall((m[2] or m[3] or m[4] or "").lower())})[:8]
+    names = sorted({n for m in ATTR.finditer(attrs) for n in NAME.findall(STATE.sub(r"\1", (m[2] or m[3] or m[4] or "").lower()))})
     if HIDDEN.search(attrs):
         names.append("!hidden")
     return " ".join([tag, *names])
@@ -126,7 +129,7 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
 
 def _boiler(label: str, inside: bool) -> bool:
     tag, *names = label.split(" ")
-    if tag in NOT_TEXT or "!hidden" in names or not NOT_TEXT_NAMES.isdisjoint(names):
+    if tag in NOT_TEXT or "!hidden" in names or tag not in NAMED_BY_TAG and not NOT_TEXT_NAMES.isdisjoint(names):
         return True
     return not inside and (tag == "header" or "header" in names)
 
@@ -282,7 +285,9 @@ def choose(wrapper: list, stats: dict[tuple[str, ...], tuple[int, float]]) -> se
             w = weight(below(same), at, inside or _main(label))
             if _boiler(label, inside):
                 pages, chars = inner.get(at, (0, 0.0))
-                w *= BOILER_WEIGHT if pages >= BOILER_PAGES and chars >= BOILER_CHARS * pages else 0
+                seen = pages >= BOILER_PAGES and chars >= BOILER_CHARS * pages
+                around = not inside and label.split(" ")[0] not in NOT_TEXT and any(_main(x) for p in stats if p[: len(at)] == at for x in p[len(at) :])
+                w *= BOILER_WEIGHT if seen or around else 0
             elif _main(label) and not inside:
                 w *= MAIN_WEIGHT
             out[label] = w

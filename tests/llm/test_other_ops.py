@@ -91,6 +91,21 @@ def test_wrapper_decides_what_is_content(spark):
     assert {r.text for r in wrappers.extract_text(same).collect()} == {f"Head 1 {body(1)}Share this on all networks"}
 
 
+def test_names_neither_get_lost_nor_drop_an_article(spark):
+    article = "<article class='has-comments'><h1>Head</h1><p>Body of the page.</p><div class='comments'>first!</div></article>"
+    many = '<div class="bg border col content flex grid item layout sidebar">Elsewhere</div>'
+    pages = [
+        f"<body class='no-sidebar'>{article}</body>",
+        f"<body><div class='with-menu'>{article}</div></body>",
+        f"<body class='sidebar'><div class='layout menu'>{article}</div><div class='menu'>Home</div></body>",
+        f"<body>{many}<div class='a b c d e f g h main'><h1>Head</h1><p>Body of the page.</p></div></body>",
+        f"<body><h1>Head</h1><p>Body of the page.</p>{many}</body>",
+    ]
+    rows = [(k, f"http://h{k}.example/", page) for k, page in enumerate(pages)]
+    got = wrappers.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 5 and {r.text for r in got} == {"Head Body of the page."}
+
+
 # --- quality ---------------------------------------------------------------------------------------------------------
 
 
