@@ -1,8 +1,8 @@
 """Quality classifier by co-training.
 
 Two logistic classifiers see separate views of a document: its text (words, letters, repetition) and its page metadata
-(language, source, length, line layout). Over some rounds each labels the rows of an unlabelled pool that it is surest of, for the other to
-learn from. Their outputs, calibrated on held-out labelled rows, are combined, and all documents are scored.
+(language, source, length, line layout). Over some rounds each labels those of all unlabelled rows that it is sure of, for the other to
+learn from; rows stay in Spark, and a step of the fit reads their sums. Their outputs, calibrated on held-out labelled rows, are combined, and all documents are scored.
 """
 
 from __future__ import annotations
@@ -14,18 +14,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of what the fit reads on the driver: labelled rows, and rows of the unlabelled pool.
+from .common import discard, materialize
+
+#: Labelled ids that the fit reads.
 MAX_LABELLED = 10_000
-MAX_POOL = 10_000
 ROUNDS = 3
-#: Share of a view's pool rows that it labels in a round, for each class at most, and how sure it must be.
-EXCHANGED = 0.05
+#: How sure a view must be of a row to label it.
 SURE = 0.95
-#: Share of the good labelled rows that the threshold must keep.
-KEPT_GOOD = 0.999
+NEWTON_STEPS = 20
+MOST_STEP = 1.0
+#: What a share of good rows rejected costs, in shares of bad rows kept.
+GOOD_COST = 10
+LEAST_THRESHOLD = 1e-6
 #: The threshold is never above this: rejected documents must look clearly bad.
 MOST_THRESHOLD = 0.1
 
@@ -114,22 +118,8 @@ class Logistic:
     scale: np.ndarray
     weights: np.ndarray
 
-    @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> Logistic:
-        mean, scale = x.mean(0), x.std(0) + 1e-6
-        z = np.column_stack([np.clip((x - mean) / scale, -8, 8), np.ones(len(x))])
-        # both classes weigh alike, whatever their shares
-        case = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
-        w = np.zeros(z.shape[1])
-        for _ in range(25):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            grad = z.T @ (case * (p - y)) + ridge * w
-            hess = (z * (case * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ z + ridge * np.eye(len(w))
-            step = np.linalg.solve(hess, grad)
-            w -= step
-            if np.abs(step).max() < 1e-6:
-                break
-        return cls(mean, scale, w)
+    def columns(self, x: np.ndarray) -> np.ndarray:
+        return np.column_stack([np.clip((x - self.mean) / self.scale, -8, 8), np.ones(len(x))])
 
     def logit(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -8, 8)
@@ -162,35 +152,145 @@ class CoTrained:
         return pd.DataFrame({"p_text": p_text, "p_meta": self.meta.sure(b), "score": score, "accepted": (score >= self.threshold) | (p_text >= 0.5)})
 
 
-def co_train(xs: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS) -> CoTrained:
-    """Fit on labelled rows (views xs, labels y) and an unlabelled pool. Each fourth labelled row is held out to calibrate."""
-    prior = float(y.mean()) if len(y) else 1.0
-    held = np.arange(len(y)) % 4 == 3
-    if min(sum(y[~held] == c) for c in (0, 1)) < 5 or min(sum(y[held] == c) for c in (0, 1)) < 2:
-        return CoTrained(None, None, None, 0.0, prior)
-    given = [[x[~held]] for x in xs]
-    labels = [[y[~held]] for _ in xs]
-    free = [np.ones(len(pool[0]), bool) for _ in xs]  # pool rows that a view hasn't been given
-    exchanged = 0
-    for n in range(rounds + 1):
-        models = [Logistic.fit(np.concatenate(g), np.concatenate(v)) for g, v in zip(given, labels)]
-        if n == rounds or not len(pool[0]):
+class Rows:
+    """Rows to fit on: views x and m, label (1, 0, or -1 for unlabelled) and whether a row is held out to calibrate. `total` sums a function of batches over all of them."""
+
+    def __init__(self, x: np.ndarray, m: np.ndarray, label: np.ndarray, held: np.ndarray):
+        self.batch = x, m, label, held
+        self.widths = [x.shape[1], m.shape[1]]
+
+    def total(self, f) -> np.ndarray:
+        return f(*self.batch)
+
+
+class SparkRows(Rows):
+    """Rows of a DataFrame with x, m, label and held. Every task gives one row of sums."""
+
+    def __init__(self, df: DataFrame):
+        self.df = df
+        self.widths = [len(text_view("")), len(meta_view("", None, None, 0.0))]
+
+    def total(self, f) -> np.ndarray:
+        def run(batches):
+            out = None
+            for batch in batches:
+                if batch.num_rows:
+                    one = f(*_arrays(batch))
+                    out = one if out is None else out + one
+            if out is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([out.tolist()], pa.list_(pa.float64()))], names=["sums"])
+
+        got = [np.array(r[0], float) for r in self.df.mapInArrow(run, "sums array<double>").collect()]
+        return sum(got[1:], got[0]) if got else f(*(np.zeros((0, w)) for w in self.widths), np.zeros(0), np.zeros(0, bool))
+
+
+def _arrays(batch) -> tuple:
+    x, m = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1) for c in ("x", "m"))
+    return x, m, batch.column("label").to_numpy(zero_copy_only=False), batch.column("held").to_numpy(zero_copy_only=False)
+
+
+def _standard(rows: Rows, views_of, widths: list[int]) -> list[Logistic]:
+    """Regressions without weights yet, with the mean and scale of their columns. views_of: the columns and weights of a batch, for each."""
+    got = rows.total(lambda *batch: np.concatenate([np.r_[w.sum(), w @ z, w @ (z * z)] for z, w in views_of(*batch)]))
+    out = []
+    for width in widths:
+        n, total, squares = max(1.0, got[0]), got[1 : width + 1], got[width + 1 : 2 * width + 1]
+        mean = total / n
+        out.append(Logistic(mean, np.sqrt(np.maximum(squares / n - mean * mean, 0)) + 1e-6, np.zeros(width + 1)))
+        got = got[2 * width + 1 :]
+    return out
+
+
+def _newton(rows: Rows, models: list[Logistic], cases, ridge: float) -> list[Logistic]:
+    """Ridge logistic regressions from where `models` stand. cases: the columns, labels and weights of a batch, for each. A step needs the sums of gradients and Hessians alone."""
+    for _ in range(NEWTON_STEPS):
+
+        def sums(*batch, models=models):
+            out = []
+            for model, (x, y, case) in zip(models, cases(*batch)):
+                used = case > 0
+                z, y, case = model.columns(x[used]), y[used], case[used]
+                p = 1 / (1 + np.exp(-np.clip(z @ model.weights, -30, 30)))
+                out += [z.T @ (case * (p - y)), np.ravel((z * (case * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ z)]
+            return np.concatenate(out)
+
+        got, moved, most = rows.total(sums), [], 0.0
+        for model in models:
+            n = len(model.weights)
+            step = np.linalg.solve(got[n : n + n * n].reshape(n, n) + ridge * np.eye(n), got[:n] + ridge * model.weights)
+            step *= min(1, MOST_STEP / max(np.abs(step).max(), 1e-12))  # a full step may overshoot where classes part widely
+            got, most = got[n + n * n :], max(most, np.abs(step).max())
+            moved.append(Logistic(model.mean, model.scale, model.weights - step))
+        models = moved
+        if most < 1e-3:
             break
-        for k in (0, 1):
-            p = models[k].sure(pool[k])
-            for label, sure in ((1, p), (0, 1 - p)):
-                rows = np.flatnonzero(free[1 - k] & (sure >= SURE))
-                rows = rows[np.argsort(-sure[rows], kind="stable")][: int(EXCHANGED * len(p)) + 1]
-                free[1 - k][rows] = False
-                given[1 - k].append(pool[1 - k][rows])
-                labels[1 - k].append(np.full(len(rows), label))
-                exchanged += len(rows)
-    z = np.column_stack([m.logit(x[held]) for m, x in zip(models, xs)])
-    both = Logistic.fit(z, y[held], ridge=0.1)
-    every = np.column_stack([m.logit(x) for m, x in zip(models, xs)])
-    good = np.sort(both.sure(every)[y == 1])
-    threshold = min(MOST_THRESHOLD, float(good[int((1 - KEPT_GOOD) * len(good))]))
-    return CoTrained(*models, both, threshold, prior, exchanged)
+    return models
+
+
+def _given(views_: tuple, past: list, k: int) -> np.ndarray:
+    """What view k is told of a batch by the other view's models of the rounds before: 1, 0, or -1 where none was sure. The first word stands."""
+    out = np.full(len(views_[0]), -1)
+    for models in past:
+        p = models[1 - k].sure(views_[1 - k])
+        out = np.where(out >= 0, out, np.where(p >= SURE, 1, np.where(p <= 1 - SURE, 0, -1)))
+    return out
+
+
+def co_train_rows(rows: Rows, rounds: int = ROUNDS) -> CoTrained:
+    """Fit on labelled and unlabelled rows. In each round every unlabelled row is scored by both views, and those that one is sure of teach the other;
+    together they weigh no more than the labelled rows of their class."""
+    n = rows.total(lambda x, m, label, held: np.array([((label == c) & (held == h)).sum() for h in (0, 1) for c in (0, 1)], float))
+    fitted, prior = n[:2], float((n[1] + n[3]) / n.sum()) if n.sum() else 1.0
+    if min(fitted) < 5 or min(n[2:]) < 2:
+        return CoTrained(None, None, None, 0.0, prior)
+    models = _standard(rows, lambda x, m, label, held: [(z, np.where(held & (label >= 0), 0.0, 1.0)) for z in (x, m)], rows.widths)
+    past, told = [], np.zeros((2, 2))
+    for nth in range(rounds + 1):
+        if nth:
+            counts = lambda x, m, label, held, past=tuple(past): np.array([((label < 0) & (_given((x, m), past, k) == c)).sum() for k in (0, 1) for c in (0, 1)], float)
+            told = rows.total(counts).reshape(2, 2)
+            if not told.any():
+                break
+        share = np.minimum(1, fitted / np.maximum(1, told))
+        # both classes weigh alike, whatever their shares
+        whole = fitted + share * told
+        by_class = 0.5 * whole.sum(1, keepdims=True) / whole
+
+        def cases(x, m, label, held, past=tuple(past), share=share, by_class=by_class):
+            out = []
+            for k, z in enumerate((x, m)):
+                given = np.where(label < 0, _given((x, m), past, k), np.where(held, -1, label)).astype(int)
+                weight = by_class[k][given] * np.where(label < 0, share[k][given], 1.0)
+                out.append((z, given.astype(float), np.where(given >= 0, weight, 0.0)))
+            return out
+
+        models = _newton(rows, models, cases, 1.0)
+        past.append(tuple(models))
+    text, meta = models
+    both_of = lambda x, m: np.column_stack([text.logit(x), meta.logit(m)])
+    kept = lambda label, held: (held & (label >= 0)).astype(float)
+    start = _standard(rows, lambda x, m, label, held: [(both_of(x, m), kept(label, held))], [2])
+    classes = 0.5 * n[2:].sum() / n[2:]
+    calibrating = lambda x, m, label, held: [(both_of(x, m), label.astype(float), kept(label, held) * classes[np.maximum(label, 0).astype(int)])]
+    (both,) = _newton(rows, start, calibrating, 0.1)
+    # shares of held-out bad rows kept and of good ones rejected at each threshold: a few good rows that look bad cannot pull it down to junk
+    spots = np.geomspace(LEAST_THRESHOLD, MOST_THRESHOLD, 61)
+
+    def errors(x, m, label, held):
+        score = both.sure(both_of(x, m))
+        good, bad = np.sort(score[held & (label == 1)]), np.sort(score[held & (label == 0)])
+        return np.r_[np.searchsorted(good, spots), len(bad) - np.searchsorted(bad, spots)].astype(float)
+
+    rejected, kept_bad = rows.total(errors).reshape(2, -1)
+    threshold = float(spots[np.argmin(GOOD_COST * rejected / n[3] + kept_bad / n[2])])
+    return CoTrained(text, meta, both, threshold, prior, int(told.sum()))
+
+
+def co_train(xs: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS) -> CoTrained:
+    """Fit on labelled rows (views xs, labels y) and unlabelled rows that are at hand. Each fourth labelled row is held out to calibrate."""
+    x, m = (np.concatenate([a, b]) if len(b) else a for a, b in zip(xs, pool))
+    held = np.r_[np.arange(len(y)) % 4 == 3, np.zeros(len(pool[0]), bool)]
+    return co_train_rows(Rows(x, m, np.r_[y, np.full(len(pool[0]), -1)], held), rounds)
 
 
 def fit(
@@ -199,37 +299,33 @@ def fit(
     id_col: str = "doc_id",
     label_col: str = "quality",
     max_labelled: int = MAX_LABELLED,
-    max_pool: int = MAX_POOL,
     rounds: int = ROUNDS,
 ) -> CoTrained:
-    """Fit on at most about `max_labelled` labelled and `max_pool` unlabelled rows, picked by a hash of the id; smaller tables are read whole.
+    """Fit on the rows of at most about `max_labelled` labelled ids, picked by a hash of the id, and on all other rows as unlabelled; smaller tables of labels are read whole.
 
-    Rows with a null id or label aren't read. Repeated rows count as often as they come. An id with both labels counts as 0.
+    Labels with a null id or label aren't read. Repeated rows count as often as they come. An id with both labels counts as 0.
     """
-    spot = F.pmod(F.xxhash64(F.col(id_col), F.lit("fit")), F.lit(SPOTS))
-    share = lambda most, n: int(min(1, most / max(1, n)) * SPOTS)
-    marks = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("label_of")).agg(F.min(label_col).alias("label"))
-    n_marks, n_docs = marks.count(), docs.count()
-    marks = marks.filter(F.pmod(F.xxhash64("label_of", F.lit("fit")), F.lit(SPOTS)) < share(max_labelled, n_marks))
-    fields = [F.col(c) for c in ("text", "lang", "source", "n_chars")]
-    some = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("of"), *fields, spot.alias("spot"))
-    labelled = some.join(F.broadcast(marks), some["of"] == marks["label_of"])  # max_labelled bounds the side that is broadcast
-    known = _features(labelled, "label").orderBy("of", "x").limit(2 * max_labelled).toPandas()
-    pool = _features(some.filter(F.col("spot") >= SPOTS - share(max_pool, n_docs)).withColumn("label", F.lit(0)), "label").orderBy("of", "x").limit(2 * max_pool).toPandas()
-    split = lambda pdf: tuple(np.array([np.asarray(v) for v in pdf[c]], float).reshape(len(pdf), -1 if len(pdf) else 1) for c in ("x", "m"))
-    return co_train(split(known), known["label"].to_numpy(float), split(pool), rounds)
-
-
-def _features(df: DataFrame, label: str) -> DataFrame:
-    """of, label and the two views, made where the texts are."""
-    id_type = df.schema["of"].dataType.simpleString()
+    spot = F.pmod(F.xxhash64("label_of", F.lit("fit")), F.lit(SPOTS))
+    marks = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("label_of")).agg(F.min(label_col).cast("int").alias("label"))
+    marks = marks.filter(spot < int(min(1, max_labelled / max(1, marks.count())) * SPOTS))
+    read = docs.select(F.col(id_col).alias("of"), *(F.col(c) for c in ("text", "lang", "source", "n_chars")))
+    both = read.join(F.broadcast(marks), F.col("of") == F.col("label_of"), "left")  # max_labelled bounds the side that is broadcast
+    held = F.coalesce(F.pmod(F.xxhash64("of", F.lit("held")), F.lit(4)) == 3, F.lit(False))
+    rows = materialize(_features(both.withColumn("held", held).withColumn("label", F.coalesce("label", F.lit(-1)))), "features")
+    model = co_train_rows(SparkRows(rows), rounds)
+    discard(rows)
+    return model
+
+
+def _features(df: DataFrame) -> DataFrame:
+    """label, held and the two views, made where the texts are."""
 
     def run(batches):
         for pdf in batches:
             a, b = views(pdf["text"], pdf["lang"], pdf["source"], pdf["n_chars"].astype(float))
-            yield pd.DataFrame({"of": pdf["of"], "label": pdf[label], "x": list(a), "m": list(b)})
+            yield pd.DataFrame({"label": pdf["label"], "held": pdf["held"], "x": list(a), "m": list(b)})
 
-    return df.select("of", label, "text", "lang", "source", "n_chars").mapInPandas(run, f"of {id_type}, label int, x array<double>, m array<double>")
+    return df.select("label", "held", "text", "lang", "source", "n_chars").mapInPandas(run, "label int, held boolean, x array<float>, m array<float>")
 
 
 def score(docs: DataFrame, model: CoTrained, column: str = "quality_score") -> DataFrame:

@@ -135,6 +135,19 @@ def test_quality_of_odd_rows(spark):
     assert ((fake > 0.5) == (y == 1)).mean() > 0.95
 
 
+def test_all_unlabelled_rows_and_repeats_take_part(spark, monkeypatch):
+    # more unlabelled rows than the 10,000 of a pool; one labelled id comes as often as a third of the labelled rows
+    good, bad = "A calm line of plain words that ends well, as told by {}.", "BUY!!! $$$ NOW {} WIN WIN WIN %%% ###"
+    rows = [(k, (bad if k % 3 == 0 else good).format(k), "en", "a", 40 + k % 7) for k in range(12_000)] + [(9_000_000, bad.format("again"), "en", "a", 40)] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(100)] + [(9_000_000, 0)], "doc_id long, quality int")
+    seen, run = [], quality.co_train_rows
+    count = lambda x, m, label, held: np.array([(label == c).sum() for c in (-1, 0, 1)], float)
+    monkeypatch.setattr(quality, "co_train_rows", lambda rows, rounds: seen.append(rows.total(count)) or run(rows, rounds))
+    model = quality.fit(docs, labels)
+    assert model.exchanged > 11_900 and seen[0].tolist() == [11_900, 34 + 50, 66]
+
+
 # --- MPEG audio ------------------------------------------------------------------------------------------------------
 
 
