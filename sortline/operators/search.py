@@ -171,6 +171,7 @@ def audit_page(audit: DataFrame, start, end, number: int, size: int, **equal) ->
 
 
 def source_page(rows: DataFrame, order: list[str], number: int, size: int) -> DataFrame:
-    """Page of a source window by row number, for sources that must be read by pages. All rows pass one task, so a whole window should be read without."""
-    nth = F.row_number().over(Window.orderBy(*order))
-    return rows.withColumn("row_nr", nth).filter(F.col("row_nr").between((number - 1) * size + 1, number * size))
+    """Page of a source window by row number, for sources that must be read by pages. Each task keeps the rows up to the page's end alone; the numbers are given to the page's rows."""
+    before = (number - 1) * size
+    page = rows.orderBy(*order).offset(before).limit(size)
+    return page.withColumn("row_nr", F.row_number().over(Window.orderBy(*order)) + before)

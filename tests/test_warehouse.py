@@ -479,3 +479,13 @@ def test_refresh_stream(spark, sf, tmp_path):
     kept = []
     stream.refresh_stream(spark.readStream.schema("id long").parquet(src), lambda: rows, None, lambda s: kept.append(s) or s, str(tmp_path / "c"), lambda: T0 + timedelta(hours=1)).awaitTermination()
     assert kept and kept[-1].rows.count() == 5
+
+
+def test_source_page_sorts_only_the_page_in_one_task(spark):
+    from sortline.operators.search import source_page
+
+    page = source_page(spark.range(1000, numPartitions=7), ["id"], 3, 10)
+    assert [(r.id, r.row_nr) for r in page.orderBy("id").collect()] == [(k, k + 1) for k in range(20, 30)]
+    assert source_page(spark.range(5), ["id"], 2, 10).count() == 0
+    plan = source_page(spark.range(1000, numPartitions=7), ["id"], 3, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "offset=20" in plan.replace(" ", "")
