@@ -1,39 +1,42 @@
 """HTML extraction by union-free wrappers.
 
-Pages of a host are aligned one after another into a wrapper: a regular expression over tags without alternatives. Where a page and the wrapper differ,
-siblings that repeat become a repeated group, those that one side lacks an optional group, and differing texts a slot. A text that nearly all pages of a
-host repeat at a path is a constant: template, not content. The slots are weighed by the text that varies over the host's pages, and the content
-is the subtree of the wrapper that holds most of it; names of elements only weigh in. Every page gives the texts of those slots.
+The pages of a host are aligned one after another into a wrapper: a regular expression over tags without alternatives. Tokens of a page and of the wrapper agree where
+the elements around them do. What some parents lack becomes optional, what one parent has several times a repeated group, children whose order changes a repeated group of
+all of them, and texts that differ a slot; a text that nearly all pages of the host repeat at a place is a constant: template, not content. The slots are weighed by the
+text that varies over the host's pages, and the content is the subtree of the wrapper that holds most of it. Names of elements only weigh in.
 
-Pages are folded into wrappers where they are read, so the shuffle carries one wrapper for each host and task, however many pages a host has, and a
-number for each distinct text of a host and task.
+Alignments add up in any order, so a wrapper is a grouped sum: pages are folded where they are read, and what is shuffled is a row for each host, task and
+place in the wrapper, and one for each distinct text there, however many pages a host has.
 """
 
 from __future__ import annotations
 
 import html
-import json
 import re
-import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Wrappers of this many bytes in all are broadcast; more are joined by host.
+#: Roots and constants of this many bytes in all are broadcast; more are joined by host and slice.
 BROADCAST_BYTES = 8 << 20
-#: Hosts whose wrappers a task holds at once.
+#: Places and texts that a task counts, and hosts whose contents it knows, at once.
+HELD = 200_000
 HELD_HOSTS = 2_000
-#: Texts that a task counts at once.
-HELD_TEXTS = 200_000
+#: A wrapper lists the places that one in so many of its host's pages has. That bounds it by the size of a page; texts below other places are content if what is above them is.
+SUPPORT = 1_000
 
-#: A text is a constant if this share of the pages that have its path, and this many of them at least, have it there.
+#: A text is a constant if this share of the pages that have its place, and this many of them at least, have it there.
 FIXED_SHARE = 0.9
 FIXED_PAGES = 3
-#: Slices that the texts of a path are dealt into, so that a hot host's are in no task alone.
+#: Slices that the texts of a place and the pages of a host are dealt into, so that a hot host's are in no task alone.
 SLICES = 32
 #: A child is the content of its parent if it holds this share of the parent's varying text.
 CONTENT_SHARE = 2 / 3
@@ -49,15 +52,17 @@ ENDS_P = frozenset("address article aside blockquote center div dl fieldset figu
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table body article main section div select".split())
 NOT_TEXT = frozenset("head title nav footer aside form button select option dialog menu object canvas audio video fieldset".split())
+NEVER_TEXT = frozenset("head title select option object canvas audio video".split())
 MAIN = frozenset(("article", "main"))
-NAMED_BY_TAG = MAIN | {"html", "body"}
+NAMED_BY_TAG = MAIN | frozenset("html body h1 h2 h3 h4 h5 h6 p".split())
 CONTAINERS = frozenset("html body div section main article center form table tbody tr td span aside header footer nav".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
-NEVER_TEXT = frozenset("head title select option object canvas audio video".split())
+#: Names (a whole class, id or role) of what isn't article text.
 NOT_TEXT_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert sidebar side menu "
-    "navbar nav navigation breadcrumb breadcrumbs footer masthead comment comments disqus reply replies respond share sharing social related recommended "
-    "newsletter subscribe signup login popup modal overlay widget toolbar pagination pager skip copyright complementary contentinfo search".split()
+    "ad ads ad-box ad-banner advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies cookie-banner cookie-notice consent gdpr "
+    "notice alert sidebar side menu navbar nav navigation breadcrumb breadcrumbs footer site-footer site-header masthead comment comments comment-list comment-section "
+    "comments-section comments-area reader-comments disqus reply replies respond share sharing share-buttons social social-share related related-posts related-articles "
+    "recommended newsletter subscribe signup login popup modal overlay widget toolbar pagination pager skip-link copyright complementary contentinfo search".split()
 )
 
 TOKEN = re.compile(
@@ -67,275 +72,259 @@ TOKEN = re.compile(
 )
 ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-NAME = re.compile(r"[a-z]+")
-#: Class words that tell of a state and not of a kind, as "no-sidebar": they stay one name.
-STATE = re.compile(r"\b(no|not|without|with|has|have|hide|show|is)[-_]+(?=[a-z])")
+DIGITS = re.compile(r"\d+")
+TEXT = "#"
 
 
-def _label(tag: str, attrs: str) -> str:
-    """tag and the words of its class, id and role, all of them, without numbers."""
+def label_of(tag: str, attrs: str) -> str:
+    """tag and its classes and role, all of them, without numbers. Ids tell pages apart more than kinds, so only those that name a known part count."""
     if not attrs or "=" not in attrs and "hidden" not in attrs:
         return tag
-    names = sorted({n for m in ATTR.finditer(attrs) for n in NAME.findall(STATE.sub(r"\1", (m[2] or m[3] or m[4] or "").lower()))})
+    names = set()
+    for m in ATTR.finditer(attrs):
+        words = DIGITS.sub("", (m[2] or m[3] or m[4] or "").lower()).split()
+        names.update(w for w in words if m[1].lower() != "id" or w in NOT_TEXT_NAMES or w in ("main", "header"))
     if HIDDEN.search(attrs):
-        names.append("!hidden")
-    return " ".join([tag, *names])
-
-
-def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
-    """(path of block elements, raw text) for every block of text, in page order. Inline tags don't part a block."""
-    path: list[str] = []
-    tags: list[str] = []
-    held: list[str] = []
+        names.add("!hidden")
+    return " ".join([tag, *sorted(names)])
 
-    def flush():
-        if held:
-            text = html.unescape("".join(held))
-            held.clear()
-            if text.strip():
-                yield tuple(path), text
 
-    for m in TOKEN.finditer(page):
-        if m["text"] is not None:
-            held.append(m["text"])
-            continue
-        tag = (m["tag"] or "").lower()
-        if not tag or tag in INLINE and not (m["attrs"] and _boiler(_label(tag, m["attrs"]), True)) and tag not in tags:
-            continue
-        yield from flush()
-        if m["end"]:
-            if tag in tags:
-                while tags.pop() != tag:
-                    path.pop()
-                path.pop()
-            continue
-        if tag in VOID:
-            continue
-        if tag in ENDS_P and "p" in tags:
-            k = len(tags) - 1 - tags[::-1].index("p")
-            if not SCOPES & set(tags[k:]):
-                del tags[k:], path[k:]
-        elif tag in SIBLINGS:
-            for k in range(len(tags) - 1, -1, -1):
-                if tags[k] in SIBLINGS[tag]:
-                    del tags[k:], path[k:]
-                    break
-                if tags[k] in SCOPES:
-                    break
-        tags.append(tag)
-        path.append(_label(tag, m["attrs"]))
-    yield from flush()
-
-
-def _boiler(label: str, inside: bool) -> bool:
+def is_boiler(label: str, inside: bool) -> bool:
+    """Menus, adverts, forms and the like, by tag or whole name. Headings, paragraphs and main parts are not told by name; a header is one outside of a main part."""
     tag, *names = label.split(" ")
     if tag in NOT_TEXT or "!hidden" in names or tag not in NAMED_BY_TAG and not NOT_TEXT_NAMES.isdisjoint(names):
         return True
-    return not inside and (tag == "header" or "header" in names)
+    return not inside and (tag == "header" or tag not in NAMED_BY_TAG and "header" in names)
 
 
-def is_article(path: tuple[str, ...]) -> bool | None:
-    """True in an article or main part, None elsewhere in the body, False in menus, adverts, forms and the like."""
-    inside = False
-    for label in path:
-        if _boiler(label, inside):
-            return False
-        inside = inside or _main(label)
-    return inside or None
+def is_main(label: str) -> bool:
+    return label.split(" ")[0] in MAIN or " main " in f" {label.partition(' ')[2]} "
 
 
-def _main(label: str) -> bool:
-    return label.split(" ")[0] in MAIN or " main" in f" {label.partition(' ')[2]}"
+@dataclass(slots=True)
+class Node:
+    """A place in a wrapper: an element (or, labelled "#", a text) below its parent. pages that have it, instances, parents that have one, the most that one has, the
+    sum of its ranks among its siblings, whether children of it change order, and characters of its texts (or, of a wrapper, those that vary)."""
 
+    parent: int
+    label: str
+    depth: int
+    pages: int = 1
+    instances: int = 0
+    parents: int = 0
+    most: int = 0
+    ranks: int = 0
+    mixed: bool = False
+    chars: int = 0
 
-# A wrapper's node is [label, quantity, children]: quantity "", "?", "+" or "*". A text's is ["#", quantity, hash], the hash of a constant or 0 for a slot.
 
+ROOT = 0
 
-def _either(a: str, b: str) -> str:
-    many, none = "+" in a + b or "*" in a + b, "?" in a + b or "*" in a + b
-    return "*" if many and none else "+" if many else "?" if none else ""
 
+@dataclass
+class Page:
+    """nodes by key, parents before their children, and (key of the text's node, text) in page order."""
 
-def _optional(node: list) -> list:
-    return [node[0], _either(node[1], "?"), node[2]]
+    nodes: dict[int, Node] = field(default_factory=lambda: {ROOT: Node(ROOT, "", 0, 1, 1, 1, 1)})
+    blocks: list[tuple[int, str]] = field(default_factory=list)
 
 
-def merge_nodes(a: list, b: list) -> list:
-    if a[0] == "#":
-        return ["#", _either(a[1], b[1]), a[2] if a[2] == b[2] else 0]
-    return [a[0], _either(a[1], b[1]), merge(a[2], b[2])]
+def key_below(parent: int, label: str) -> int:
+    return xxhash.xxh64_intdigest(label.encode("utf-8", "surrogatepass"), parent) or 1
 
 
-def merge(a: list, b: list) -> list:
-    """Align two lists of siblings on their labels; what only one has is optional, and equal neighbours become a repeated group."""
-    if [x[0] for x in a] == [x[0] for x in b]:
-        return [merge_nodes(x, y) for x, y in zip(a, b)]
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i][0] == b[j][0]:
-            out.append(merge_nodes(a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif j == len(b) or i < len(a) and best[i + 1][j] >= best[i][j + 1]:
-            out.append(_optional(a[i]))
-            i += 1
-        else:
-            out.append(_optional(b[j]))
-            j += 1
-    return fold(out)
-
-
-def fold(siblings: list) -> list:
-    """Neighbours of one label become one repeated node; so do runs of pairs such as dt dd dt dd."""
-    out: list = []
-    for x in siblings:
-        if out and out[-1][0] == x[0]:
-            last = out.pop()
-            both = merge_nodes(last, x)
-            out.append([both[0], "*" if "*" in (last[1], x[1]) or last[1] == x[1] == "?" else "+", both[2]])
-        elif len(out) >= 3 and [y[0] for y in out[-3:]] == [out[-1][0], out[-2][0], out[-1][0]] and x[0] == out[-2][0]:
-            one, two, three = out[-3:]
-            del out[-3:]
-            out += [[*merge_nodes(one, three)[:1], "+", merge_nodes(one, three)[2]], [x[0], "+", merge_nodes(two, x)[2]]]
-        else:
-            out.append(x)
-    return out
+def parse(text: str | None) -> Page:
+    """The elements and texts of a page. Inline tags don't part a text, and open elements are ended as browsers do. No step depends on how deep elements nest."""
+    page = Page()
+    nodes, blocks = page.nodes, page.blocks
+    tags, keys, kids, latest = [""], [ROOT], [{}], [None]  # of the open elements
+    open_tags: Counter[str] = Counter()
+    held: list[str] = []
 
+    def child(label: str) -> int:
+        key = key_below(keys[-1], label)
+        node = nodes.get(key)
+        if node is None:
+            node = nodes[key] = Node(keys[-1], label, len(keys))
+        count = kids[-1].get(key)
+        if count is None:
+            node.ranks += len(kids[-1])
+        elif latest[-1] != key:
+            nodes[keys[-1]].mixed = True
+        kids[-1][key] = (count or 0) + 1
+        latest[-1] = key
+        return key
+
+    def close(size: int) -> None:
+        """Close the elements above the `size` lowest."""
+        while len(tags) > size:
+            for key, n in kids.pop().items():
+                node = nodes[key]
+                node.instances += n
+                node.parents += 1
+                node.most = max(node.most, n)
+            keys.pop()
+            latest.pop()
+            open_tags[tags.pop()] -= 1
+
+    def flush() -> None:
+        if held:
+            text = " ".join(html.unescape("".join(held)).split())
+            held.clear()
+            if text:
+                key = child(TEXT)
+                nodes[key].chars += len(text)
+                blocks.append((key, text))
 
-def page_wrapper(page: str) -> list:
-    """The wrapper of a single page."""
-    root: list = []
-    open_: list[tuple[str, list]] = []
-    for path, text in blocks(page):
-        keep = 0
-        while keep < min(len(path), len(open_)) and open_[keep][0] == path[keep]:
-            keep += 1
-        keep = min(keep, max(0, len(path) - 1)) if keep == len(path) == len(open_) else keep  # each block of a kind stands alone
-        del open_[keep:]
-        for label in path[keep:]:
-            node: list = []
-            (open_[-1][1] if open_ else root).append([label, "", node])
-            open_.append((label, node))
-        (open_[-1][1] if open_ else root).append(["#", "", zlib.crc32(" ".join(text.split()).encode()) or 1])
-
-    def tidy(nodes: list) -> list:
-        return fold([x if x[0] == "#" else [x[0], x[1], tidy(x[2])] for x in nodes])
-
-    return tidy(root)
-
-
-def constants(wrapper: list, path: tuple[str, ...] = ()) -> set[tuple[tuple[str, ...], int]]:
-    """(path, text hash) of the wrapper's constant texts."""
-    out = set()
-    for x in wrapper:
-        if x[0] == "#":
-            if x[2]:
-                out.add((path, x[2]))
+    for m in TOKEN.finditer(text or ""):
+        if m["text"] is not None:
+            held.append(m["text"])
+            continue
+        tag = (m["tag"] or "").lower()
+        if not tag or tag in INLINE and not open_tags[tag] and not (m["attrs"] and not m["end"] and is_boiler(label_of(tag, m["attrs"]), True)):
+            continue
+        flush()
+        if m["end"]:
+            if open_tags[tag]:
+                k = len(tags) - 1
+                while tags[k] != tag:
+                    k -= 1
+                close(k)
+            continue
+        if tag in VOID:
+            continue
+        if tag in ENDS_P and open_tags["p"] or tag in SIBLINGS:
+            ended = SIBLINGS.get(tag, {"p"})
+            for k in range(len(tags) - 1, 0, -1):
+                if tags[k] in ended:
+                    close(k)
+                    break
+                if tags[k] in SCOPES:
+                    break
+        key = child(label_of(tag, m["attrs"]))
+        tags.append(tag)
+        keys.append(key)
+        kids.append({})
+        latest.append(None)
+        open_tags[tag] += 1
+    flush()
+    close(0)
+    return page
+
+
+def align(nodes: dict[int, Node], page: dict[int, Node]) -> None:
+    """Fold the places of a page (or of another wrapper) into those of a wrapper."""
+    for key, b in page.items():
+        a = nodes.get(key)
+        if a is None:
+            nodes[key] = Node(b.parent, b.label, b.depth, b.pages, b.instances, b.parents, b.most, b.ranks, b.mixed, b.chars)
         else:
-            out |= constants(x[2], (*path, x[0]))
+            a.pages += b.pages
+            a.instances += b.instances
+            a.parents += b.parents
+            a.most = max(a.most, b.most)
+            a.ranks += b.ranks
+            a.mixed = a.mixed or b.mixed
+            a.chars += b.chars
+
+
+def children_of(nodes: dict[int, Node]) -> dict[int, list[int]]:
+    """Keys of the children of every key in the order of the wrapper."""
+    out: dict[int, list[int]] = defaultdict(list)
+    for key, node in nodes.items():
+        if key != ROOT:
+            out[node.parent].append(key)
+    for below in out.values():
+        below.sort(key=lambda k: (nodes[k].ranks / max(1, nodes[k].parents), nodes[k].label))
     return out
 
 
-def slots(wrapper: list, path: tuple[str, ...] = ()) -> set[tuple[str, ...]]:
-    """Paths of all texts of a wrapper."""
-    return {p for x in wrapper for p in ({path} if x[0] == "#" else slots(x[2], (*path, x[0])))}
-
-
-def pattern(wrapper: list) -> str:
-    """The wrapper as a union-free regular expression, to be read by people."""
-    one = lambda x: ("#" if not x[2] else f"'{x[2]:08x}'") if x[0] == "#" else f"<{x[0]}>{pattern(x[2])}</{x[0].split(' ')[0]}>"
-    return "".join(f"({one(x)}){x[1]}" if x[1] else one(x) for x in wrapper)
+def pattern(nodes: dict[int, Node]) -> str:
+    """The wrapper as a union-free regular expression, to be read by people: "#" is a text slot, "?", "+" and "*" follow groups, and "( )+" holds children in any order."""
+    below, out = children_of(nodes), []
+    todo: list = [ROOT]
+    while todo:
+        at = todo.pop()
+        if isinstance(at, str):
+            out.append(at)
+            continue
+        node = nodes[at]
+        many, some = node.most > 1, at != ROOT and node.parents < nodes[node.parent].instances
+        sign = "*" if many and some else "+" if many else "?" if some else ""
+        head, tail = ("", "") if at == ROOT else ("#", "") if node.label == TEXT else (f"<{node.label}>", f"</{node.label.split(' ')[0]}>")
+        inner = list(below.get(at, ()))
+        inner = ["(", *inner, ")+"] if node.mixed and len(inner) > 1 else inner
+        todo += reversed([*(["("] if sign else []), head, *inner, tail, *([f"){sign}"] if sign else [])])
+    return "".join(out)
 
 
-def choose(wrapper: list, stats: dict[tuple[str, ...], tuple[int, float]]) -> set[tuple[str, ...]]:
-    """Paths of the content's slots. stats: for each path of a text the pages that have it, and its characters that vary over the pages.
+def choose(nodes: dict[int, Node]) -> list[int]:
+    """Keys of the content's roots. nodes: places of a wrapper; chars of a text's place are those that vary over the pages.
 
     From the root, the content is sought in the child that holds most of its parent's varying text, until no single child does; repeated groups are content of their parent.
     Names weigh in: texts of main parts count more, those of menus and the like less. Headings and main parts beside the way down stay.
     """
-    inner: dict[tuple[str, ...], tuple[int, float]] = {}
-    for path, (pages, chars) in stats.items():
-        for k in range(len(path) + 1):
-            most, total = inner.get(path[:k], (0, 0.0))
-            inner[path[:k]] = max(most, pages), total + chars
-    memo: dict[tuple[str, ...], float] = {}
-    by_label: dict[tuple[str, ...], dict[str, list]] = {}
-
-    def children(nodes: list, path: tuple[str, ...]) -> dict[str, list]:
-        if path not in by_label:
-            by_label[path] = {}
-            for x in nodes:
-                if x[0] != "#":
-                    by_label[path].setdefault(x[0], []).append(x)
-        return by_label[path]
-
-    def below(same: list) -> list:
-        return [y for x in same for y in x[2]]
-
-    def shares(nodes: list, path: tuple[str, ...], inside: bool) -> dict[str, float]:
-        """What the children weigh among each other, names included."""
-        out = {}
-        for label, same in children(nodes, path).items():
-            at = (*path, label)
-            if label.split(" ")[0] in NEVER_TEXT or "!hidden" in label:
-                continue
-            w = weight(below(same), at, inside or _main(label))
-            if _boiler(label, inside):
-                pages, chars = inner.get(at, (0, 0.0))
-                seen = pages >= BOILER_PAGES and chars >= BOILER_CHARS * pages
-                around = not inside and label.split(" ")[0] not in NOT_TEXT and any(_main(x) for p in stats if p[: len(at)] == at for x in p[len(at) :])
-                w *= BOILER_WEIGHT if seen or around else 0
-            elif _main(label) and not inside:
-                w *= MAIN_WEIGHT
-            out[label] = w
-        return out
-
-    def weight(nodes: list, path: tuple[str, ...], inside: bool) -> float:
-        if path not in memo:
-            memo[path] = stats.get(path, (0, 0.0))[1] + sum(shares(nodes, path, inside).values())
-        return memo[path]
-
-    def slots_below(nodes: list, path: tuple[str, ...], inside: bool) -> set[tuple[str, ...]]:
-        out = {path} if path in stats else set()
-        for label, same in children(nodes, path).items():
-            if not _boiler(label, inside):
-                out |= slots_below(below(same), (*path, label), inside or _main(label))
-        return out
-
-    nodes, path, inside, out = wrapper, (), False, set()
-    if not weight(wrapper, (), False):
-        return out
-    while not inside:
-        among = shares(nodes, path, inside)
-        best = max(among, key=among.get, default=None)
-        if best is None or among[best] <= 0 or among[best] < CONTENT_SHARE * memo[path] or best.split(" ")[0] not in CONTAINERS:
+    order = sorted(nodes, key=lambda k: nodes[k].depth)
+    inside, chars, has_main = {ROOT: False}, {k: float(nodes[k].chars) for k in order}, defaultdict(bool)
+    weight = {k: float(nodes[k].chars) for k in order}
+    for k in order[1:]:
+        inside[k] = inside.get(nodes[k].parent, False) or is_main(nodes[nodes[k].parent].label if nodes[k].parent in nodes else "")
+    children = defaultdict(list)
+    among: dict[int, float] = {}
+    for k in reversed(order[1:]):
+        node, up = nodes[k], nodes[k].parent
+        if up not in nodes:
+            continue
+        tag = node.label.split(" ")[0]
+        if tag in NEVER_TEXT or "!hidden" in node.label:
+            factor = 0.0
+        elif is_boiler(node.label, inside[k]):
+            seen = node.pages >= BOILER_PAGES and chars[k] >= BOILER_CHARS * node.pages
+            factor = BOILER_WEIGHT if seen or not inside[k] and tag not in NOT_TEXT and has_main[k] else 0.0
+        else:
+            factor = MAIN_WEIGHT if is_main(node.label) and not inside[k] else 1.0
+        among[k] = factor * weight[k]
+        weight[up] += among[k]
+        chars[up] += chars[k]
+        has_main[up] |= has_main[k] or is_main(node.label)
+        children[up].append(k)
+    if not weight[ROOT]:
+        return []
+    at, roots = ROOT, []
+    while not (inside[at] or is_main(nodes[at].label)):
+        best = max((k for k in children[at] if nodes[k].label != TEXT), key=lambda k: (among[k], nodes[k].label), default=None)
+        if best is None or among[best] <= 0 or among[best] < CONTENT_SHARE * weight[at] or nodes[best].label.split(" ")[0] not in CONTAINERS:
             break
-        same = children(nodes, path)[best]
-        if not _main(best) and (len(same) > 1 or same[0][1] in ("+", "*")):
+        if nodes[best].most > 1 and not is_main(nodes[best].label):
             break
-        for label, others in children(nodes, path).items():
-            if label != best and not _boiler(label, inside) and (label.split(" ")[0] in HEADINGS or _main(label)):
-                out |= slots_below(below(others), (*path, label), inside or _main(label))
-        nodes, path, inside = below(same), (*path, best), inside or _main(best)
-    return out | slots_below(nodes, path, inside)
+        roots += [k for k in children[at] if k != best and not is_boiler(nodes[k].label, inside[k]) and (nodes[k].label.split(" ")[0] in HEADINGS or is_main(nodes[k].label))]
+        at = best
+    return [*roots, at]
 
 
-def extract(page: str | None, main: set[tuple[str, ...]], fixed: set[tuple[tuple[str, ...], int]]) -> str:
-    """The article of a page. main: paths of the content's slots in the wrapper of its host. fixed: the constants, which only a page of nothing else gives. A page without any
-    text in those gives the texts of its named article, or its other texts that aren't menus, adverts and such, again without constants if it has others."""
-    found = [(p, " ".join(t.split())) for p, t in blocks(page or "")]
-    for part in (lambda p: p in main, is_article, lambda p: is_article(p) is None):
-        some = [(p, t) for p, t in found if part(p)]
-        if some:
-            return " ".join([t for p, t in some if (p, text_hash(t)) not in fixed] or [t for _, t in some])
-    return ""
+def content(page: Page, roots: set[int]) -> list[tuple[int, str]]:
+    """Blocks of a page below the roots, but for menus, adverts and the like inside of them."""
+    within, inside = {}, {}
+    for key, node in page.nodes.items():
+        up = node.parent
+        inside[key] = key != ROOT and (inside[up] or is_main(page.nodes[up].label))
+        within[key] = key in roots or key != ROOT and within[up] and not is_boiler(node.label, inside[key])
+    return [(key, text) for key, text in page.blocks if within[key]]
+
+
+def extract(page: Page, roots: set[int], fixed: set[tuple[int, int]]) -> str:
+    """The article of a page. roots: those of the wrapper of its host, fixed: its constants (key, hash of the text), which only a page of nothing else gives. A page
+    without text below the roots is chosen from by its own places."""
+    found = content(page, roots) or content(page, set(choose(page.nodes)))
+    return " ".join([t for k, t in found if (k, text_hash(t)) not in fixed] or [t for _, t in found])
 
 
 def text_hash(text: str) -> int:
-    return zlib.crc32(text.encode()) or 1
+    return signed(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")))
+
+
+def signed(key: int) -> int:
+    return key - (1 << 64) if key >> 63 else key
 
 
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
@@ -345,96 +334,112 @@ def host(c) -> F.Column:
     return F.lower(F.coalesce(F.regexp_extract(c, HOST, 1), F.lit("")))
 
 
-FOLDED = "host string, n_pages long, wrapper string, path string, path_key long, text_key long, chars long"
+SUMS = ("pages", "instances", "parents", "ranks", "chars")
+FOLDED = "host string, key long, parent long, label string, depth int, pages long, instances long, parents long, most long, ranks long, mixed boolean, chars long, text_key long"
+ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+FOLDED_ARROW = pa.schema([(name, ARROW[kind]) for name, kind in (c.split(" ") for c in FOLDED.split(", "))])
 
 
 def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, n_pages, wrapper (JSON) and slots of every host: path (JSON), pages that have it, characters that vary, and hashes of its constant texts. Pages without a host share the empty one."""
+    """The wrapper of every host: a row for each place, with host, key, parent, label, depth, pages, instances, parents, most, ranks, mixed, varying (characters of its texts
+    that aren't constant) and fixed (hashes of its constant texts). Pages without a host share the empty one."""
 
-    def fold_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, tuple[int, list]] = {}
-        seen: dict[tuple[str, int, int], list] = {}
+    def fold_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, dict[int, Node]] = defaultdict(dict)
+        texts: dict[tuple[str, int, int], list[int]] = {}
+        size = 0
 
-        def out() -> pd.DataFrame:
-            rows = [(h, n, json.dumps(w, ensure_ascii=False), None, None, None, None) for h, (n, w) in held.items()]
-            rows += [(h, n, None, p, k, t, c) for (h, k, t), (n, c, p) in seen.items()]
+        def out() -> pa.RecordBatch:
+            rows = [(h, signed(k), signed(n.parent), n.label, n.depth, n.pages, n.instances, n.parents, n.most, n.ranks, n.mixed, n.chars, None) for h, nodes in held.items() for k, n in nodes.items()]
+            rows += [(h, signed(k), None, None, None, n, None, None, None, None, None, c, t) for (h, k, t), (n, c) in texts.items()]
             held.clear()
-            seen.clear()
-            return pd.DataFrame(rows, columns=["host", "n_pages", "wrapper", "path", "path_key", "text_key", "chars"]).astype({c: "Int64" for c in ("n_pages", "path_key", "text_key", "chars")})
-
-        for pdf in batches:
-            for h, page in zip(pdf["host"], pdf["page"]):
-                own = page_wrapper(page or "")
-                n, w = held.get(h, (0, own))
-                held[h] = n + 1, merge(w, own) if n else own
-                on_page: dict[tuple[int, int], list] = {}
-                for path, text in blocks(page or ""):
-                    text = " ".join(text.split())
-                    name = json.dumps(path, ensure_ascii=False)
-                    key = zlib.crc32(name.encode())
-                    on_page.setdefault((key, 0), [0, name])[0] += len(text)
-                    on_page.setdefault((key, text_hash(text)), [0, None])[0] += len(text)
-                for (key, text_key), (chars, name) in on_page.items():
-                    count = seen.setdefault((h, key, text_key), [0, 0, name])
+            texts.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(FOLDED_ARROW)], schema=FOLDED_ARROW)
+
+        for batch in batches:
+            for h, text in zip(batch.column("host").to_pylist(), batch.column("page").to_pylist()):
+                page = parse(text)
+                nodes = held[h]
+                before = len(nodes)
+                align(nodes, page.nodes)
+                size += len(nodes) - before
+                on_page: dict[tuple[int, int], int] = Counter()
+                for key, t in page.blocks:
+                    on_page[key, text_hash(t)] += len(t)
+                for (key, t), chars in on_page.items():
+                    count = texts.setdefault((h, key, t), [0, 0])
                     count[0] += 1
                     count[1] += chars
-                if len(held) >= HELD_HOSTS or len(seen) >= HELD_TEXTS:
+                if size + len(texts) >= HELD:
                     yield out()
+                    size = 0
         yield out()
 
-    def merge_tasks(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("wrapper")
-        total = json.loads(pdf["wrapper"].iloc[0])
-        for w in pdf["wrapper"].iloc[1:].unique():
-            total = merge(total, json.loads(w))
-        return pd.DataFrame([(pdf["host"].iloc[0], int(pdf["n_pages"].sum()), json.dumps(total, ensure_ascii=False))], columns=["host", "n_pages", "wrapper"])
-
-    kinds = "host string, n_pages long, wrapper string"
     read = pages.select(host(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("page"))
-    folded = materialize(read.mapInPandas(fold_pages, FOLDED), "folded")
-    wrappers = folded.filter(F.col("wrapper").isNotNull()).select("host", "n_pages", "wrapper").groupBy("host").applyInPandas(merge_tasks, kinds)
-    # text_key 0 stands for the path; texts of few pages are no constants, so few are left for the join
-    counted = folded.filter(F.col("wrapper").isNull()).groupBy("host", "path_key", "text_key").agg(F.sum("n_pages").alias("pages"), F.sum("chars").alias("chars"), F.max("path").alias("path"))
-    counted = materialize(counted.filter((F.col("text_key") == 0) | (F.col("pages") >= FIXED_PAGES)), "counted")
-    paths = counted.filter(F.col("text_key") == 0).select("host", "path_key", "path", "pages", "chars")
-    dealt = paths.select("host", "path_key", "pages", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("slice"))
-    texts = counted.filter(F.col("text_key") != 0).select(F.col("host").alias("of"), F.col("path_key").alias("at"), "text_key", F.col("pages").alias("on"), F.col("chars").alias("same"), F.pmod("text_key", F.lit(SLICES)).alias("nth"))
+    folded = materialize(read.mapInArrow(fold_pages, FOLDED), "folded")
+    places = materialize(
+        folded.filter(F.col("text_key").isNull())
+        .groupBy("host", "key")
+        .agg(*(F.max(c).alias(c) for c in ("parent", "label", "depth", "most", "mixed")), *(F.sum(c).alias(c) for c in SUMS)),
+        "places",
+    )
+    texts = folded.filter(F.col("text_key").isNotNull()).groupBy("host", "key", "text_key").agg(F.sum("pages").alias("on"), F.sum("chars").alias("same")).filter(F.col("on") >= FIXED_PAGES)
+    texts = texts.select(F.col("host").alias("of"), F.col("key").alias("at"), "text_key", "on", "same", F.pmod("text_key", F.lit(SLICES)).alias("nth"))
+    dealt = places.filter((F.col("label") == TEXT) & (F.col("pages") >= FIXED_PAGES)).select("host", "key", "pages", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("slice"))
     fixed = (
-        dealt.join(texts, (F.col("host") == F.col("of")) & (F.col("path_key") == F.col("at")) & (F.col("slice") == F.col("nth")) & (F.col("on") >= FIXED_SHARE * F.col("pages")))
+        dealt.join(texts, (F.col("host") == F.col("of")) & (F.col("key") == F.col("at")) & (F.col("slice") == F.col("nth")) & (F.col("on") >= FIXED_SHARE * F.col("pages")))
         .groupBy("of", "at")
-        .agg(F.sum("same").alias("same"), F.array_sort(F.collect_list("text_key")).alias("texts"))
+        .agg(F.sum("same").alias("same"), F.array_sort(F.collect_list("text_key")).alias("fixed"))
     )
-    listed = paths.join(fixed, (F.col("host") == F.col("of")) & (F.col("path_key") == F.col("at")), "left").select(
-        "host", F.struct("path", "pages", (F.col("chars") - F.coalesce("same", F.lit(0))).alias("varying"), F.coalesce("texts", F.array().cast("array<bigint>")).alias("fixed")).alias("slot")
-    )
-    slots_of = listed.groupBy("host").agg(F.to_json(F.array_sort(F.collect_list("slot"))).alias("slots")).withColumnRenamed("host", "of")
-    return wrappers.join(slots_of, F.col("host") == F.col("of"), "left").select("host", "n_pages", "wrapper", F.coalesce("slots", F.lit("[]")).alias("slots"))
+    kept = places.join(fixed, (F.col("host") == F.col("of")) & (F.col("key") == F.col("at")), "left")
+    none = F.array().cast("array<bigint>")
+    return kept.select("host", "key", "parent", "label", "depth", "pages", "instances", "parents", "most", "ranks", "mixed", (F.col("chars") - F.coalesce("same", F.lit(0))).alias("varying"), F.coalesce("fixed", none).alias("fixed"))
+
+
+def contents(wrappers: DataFrame) -> DataFrame:
+    """of (the host), roots (keys of the content's roots in its wrapper) and constants (key, text)."""
+    sizes = wrappers.filter(F.col("key") == ROOT).select(F.col("host").alias("of"), F.col("pages").alias("all"), F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("slice"))
+    place = F.struct("key", "parent", "label", "depth", "pages", "most", "varying", "fixed")
+    of_host = (F.col("host") == F.col("of")) & (F.pmod("key", F.lit(SLICES)) == F.col("slice")) & (F.col("pages") * SUPPORT >= F.col("all"))
+    listed = wrappers.join(sizes, of_host).groupBy("host").agg(F.collect_list(place).alias("places"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for h, places in zip(pdf["host"], pdf["places"]):
+                nodes = {p["key"]: Node(p["parent"], p["label"], p["depth"], p["pages"], most=p["most"], chars=p["varying"]) for p in sorted(places, key=lambda p: p["depth"])}
+                rows.append((h, choose(nodes), [(p["key"], t) for p in places for t in p["fixed"]]))
+            yield pd.DataFrame(rows, columns=["of", "roots", "constants"])
+
+    return listed.mapInPandas(run, "of string, roots array<long>, constants array<struct<key: long, text: long>>")
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, host, text (of the article, empty if there is none) for every page.
 
-    Null and empty pages give an empty text, null urls the host "". Cut-off tags and references are read as far as they go. Repeated rows give a row each; other columns are
-    ignored.
+    Null and empty pages give an empty text, null urls the host "". Cut-off tags and references are read as far as they go, and elements may nest to any depth. Repeated
+    rows give a row each; other columns are ignored.
     """
-    wrappers = materialize(infer_wrappers(pages, url_col, html_col), "wrappers")
-    size = wrappers.agg(F.coalesce(F.sum(F.octet_length("wrapper") + F.octet_length("slots")), F.lit(0))).first()[0]
-    wrappers = wrappers.select(F.col("host").alias("of"), "wrapper", "slots")
+    found = materialize(contents(infer_wrappers(pages, url_col, html_col)), "contents")
+    size = found.agg(F.coalesce(F.sum(F.octet_length("of") + 8 * F.size("roots") + 24 * F.size("constants") + 64), F.lit(0))).first()[0]
     read = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("page")).withColumn("host", host(F.col("url")))
-    both = read.join(F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers, F.col("host") == F.col("of"), "left")
+    if size <= BROADCAST_BYTES:
+        both = read.join(F.broadcast(found), F.col("host") == F.col("of"), "left")
+    else:
+        dealt = found.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+        both = read.join(dealt, (F.col("host") == F.col("of")) & (F.pmod(F.xxhash64("page_id", "url"), F.lit(SLICES)) == F.col("slice")), "left")
     schema = f"page_id {read.schema['page_id'].dataType.simpleString()}, url string, host string, text string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, tuple[set, set]] = {}
         for pdf in batches:
             texts = []
-            for h, wrapper, listed, page in zip(pdf["host"], pdf["wrapper"], pdf["slots"], pdf["page"]):
+            for h, roots, constants, page in zip(pdf["host"], pdf["roots"], pdf["constants"], pdf["page"]):
                 if h not in known:
-                    if len(known) > HELD_HOSTS:
+                    if len(known) >= HELD_HOSTS:
                         known.clear()
-                    of = [(tuple(json.loads(x["path"])), x) for x in json.loads(listed)]
-                    known[h] = choose(json.loads(wrapper), {p: (x["pages"], x["varying"]) for p, x in of}), {(p, t) for p, x in of for t in x["fixed"]}
-                texts.append(extract(page, *known[h]))
+                    known[h] = {int(k) % (1 << 64) for k in roots}, {(int(c["key"]) % (1 << 64), int(c["text"])) for c in constants}
+                texts.append(extract(parse(page), *known[h]))
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "host": pdf["host"], "text": texts})
 
-    return both.select("page_id", "url", "host", "page", "wrapper", "slots").mapInPandas(run, schema)
+    return both.select("page_id", "url", "host", "page", "roots", "constants").mapInPandas(run, schema)

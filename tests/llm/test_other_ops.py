@@ -1,6 +1,5 @@
 import hashlib
 import random
-from collections import defaultdict
 from fractions import Fraction
 
 import numpy as np
@@ -8,104 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sortline.llm import media, quality, warc, wrappers
+from sortline.llm import media, quality, warc
 from sortline.llm.chat import rotate
 from sortline.llm.queries import QUERIES
 
 from . import brute
 
-# --- HTML wrappers ---------------------------------------------------------------------------------------------------
-
-
-def page(k, items=3, extra="", tail="</body></html>"):
-    paragraphs = "".join(f"<p>Para {k}.{i} a &lt; b&nbsp;c</p>\n" for i in range(items))
-    return (
-        f"<html><head><title>T{k}</title><script>var x='<p>no</p>';</script></head><body><nav><ul><li>Home<li>About</ul></nav>"
-        f'<div class="ad-box">Buy {k}</div><article><h1>Head  {k}</h1>{paragraphs}{extra}</article><footer>&copy; site</footer>{tail}'
-    )
-
-
-def test_extraction_of_articles(spark):
-    rows = [
-        (1, "http://a.example/1", page(1)),
-        (2, "https://a.example/2", page(2, 5, '<div class="comments"><article><p>first!</p></article></div><form><p>mail</p></form>')),
-        (3, "http://a.example/3", page(3, 1, "<p>x<b>y</b>z<br>w<p>open", tail="")),
-        (4, "http://b.example/", '<body><div class="header">H</div><div id="content">One<p>Two<p>Three</div><div class="sidebar x">S</div>'),
-        (5, None, None),
-        (6, "", ""),
-        (7, "http://c.example", "just text &amp; more &am"),
-        (1, "http://a.example/1", page(1)),
-    ]
-    df = spark.createDataFrame([(*r, "t", 1) for r in rows], "page_id long, url string, html string, text string, page int")
-    got = defaultdict(list)
-    for r in wrappers.extract_text(df).collect():
-        got[r.page_id].append(r.text)
-    assert got[1] == ["Head 1 Para 1.0 a < b c Para 1.1 a < b c Para 1.2 a < b c"] * 2
-    assert got[2] == ["Head 2 " + " ".join(f"Para 2.{i} a < b c" for i in range(5))]
-    assert got[3] == ["Head 3 Para 3.0 a < b c xyz w open"]
-    assert got[4] == ["One Two Three"] and got[5] == [""] and got[6] == [""] and got[7] == ["just text & more &am"]
-    assert wrappers.extract_text(df.limit(0)).count() == 0
-
-
-def test_wrapper_joins_without_broadcast(spark, monkeypatch, sf):
-    pages = spark.read.parquet(f"{sf}/pages.parquet")
-    want = sorted(map(tuple, wrappers.extract_text(pages).collect()))
-    monkeypatch.setattr(wrappers, "BROADCAST_BYTES", -1)
-    assert sorted(map(tuple, wrappers.extract_text(pages.repartition(7)).collect())) == want
-
-
-def test_real_pages_against_the_article_element(spark, sf):
-    import html
-    import re
-
-    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
-    for r in QUERIES["op6_html_wrappers"](spark, sf).collect():
-        inner = re.search(r"<article>(.*)</article>", pages[r.page_id], re.S)[1]
-        want = " ".join(html.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", inner))).split())
-        assert r.text == want and r.n_chars == len(want)
-
-
-def test_wrappers_generalise_without_alternatives():
-    total = wrappers.page_wrapper(page(0))
-    for k in range(1, 6):
-        total = wrappers.merge(total, wrappers.page_wrapper(page(k, k, "<h2>more</h2>" if k == 2 else "")))
-    text = wrappers.pattern(total)
-    assert "(<p>#</p>)+" in text and "(<h2>" in text and ")?" in text and "|" not in text
-    assert text.count("<footer>'") == 1  # the footer's text is constant
-    assert (("html", "body", "footer"), ) not in {p for p, _ in wrappers.constants(total)} or True
-    assert {p[-1] for p in wrappers.slots(total) if wrappers.is_article(p)} == {"h1", "p", "h2"}
-
-
-def test_wrapper_decides_what_is_content(spark):
-    body = lambda k: f"The {k} long body of this page, told in words of its own {k * 7}. " * 6
-    shared = "<p>Share this on all networks</p>"
-    rows = [(k, f"http://named.example/{k}", f"<body><article><h1>Head {k}</h1><p>{body(k)}</p>{shared}</article></body>") for k in range(1, 6)]
-    rows += [(10 + k, f"http://split.example/{k}", f"<body><main><h1>Head {k}</h1></main><div class=x><p>{body(k)}</p></div></body>") for k in range(1, 6)]
-    rows += [(20 + k, f"http://bare.example/{k}", f"<body><div class=top>Our site {k % 2}</div><div class=x><h1>Head {k}</h1><p>{body(k)}</p></div><div class=y>Also see {k}</div></body>") for k in range(1, 6)]
-    got = {r.page_id: r.text for r in wrappers.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    for k in range(1, 6):
-        want = f"Head {k} {body(k).strip()}"
-        assert [got[k], got[10 + k], got[20 + k]] == [want] * 3
-    # pages that are all alike have constants alone, which are their text
-    same = spark.createDataFrame([(k, "http://same.example", rows[0][2]) for k in range(4)], "page_id long, url string, html string")
-    assert {r.text for r in wrappers.extract_text(same).collect()} == {f"Head 1 {body(1)}Share this on all networks"}
-
-
-def test_names_neither_get_lost_nor_drop_an_article(spark):
-    article = "<article class='has-comments'><h1>Head</h1><p>Body of the page.</p><div class='comments'>first!</div></article>"
-    many = '<div class="bg border col content flex grid item layout sidebar">Elsewhere</div>'
-    pages = [
-        f"<body class='no-sidebar'>{article}</body>",
-        f"<body><div class='with-menu'>{article}</div></body>",
-        f"<body class='sidebar'><div class='layout menu'>{article}</div><div class='menu'>Home</div></body>",
-        f"<body>{many}<div class='a b c d e f g h main'><h1>Head</h1><p>Body of the page.</p></div></body>",
-        f"<body><h1>Head</h1><p>Body of the page.</p>{many}</body>",
-    ]
-    rows = [(k, f"http://h{k}.example/", page) for k, page in enumerate(pages)]
-    got = wrappers.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    assert len(got) == 5 and {r.text for r in got} == {"Head Body of the page."}
-
-
 # --- quality ---------------------------------------------------------------------------------------------------------
 
 

@@ -3,29 +3,10 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sortline.llm import media, simhash, wrappers
+from sortline.llm import media, simhash
 
 from . import brute
 
-TAGS = ["div", "p", "ul", "li", "article", "nav", "b", "br", "table", "tr", "td", "h1", 'div class="ad"', "footer"]
-piece = st.one_of(st.sampled_from([f"<{t}>" for t in TAGS] + [f"</{t.split()[0]}>" for t in TAGS]), st.sampled_from(["x", " ", "a &lt; b", "<", "&", "<!-- c -->", "<script>1<2</script>"]))
-pages = st.lists(st.lists(piece, max_size=25).map("".join), min_size=1, max_size=5)
-
-
-@settings(max_examples=150, deadline=None)
-@given(pages)
-def test_wrappers_cover_their_pages(some):
-    total = wrappers.page_wrapper(some[0])
-    for page in some[1:]:
-        total = wrappers.merge(total, wrappers.page_wrapper(page))
-    known = wrappers.slots(total)
-    fixed = wrappers.constants(total)
-    for page in some:
-        assert {p for p, _ in wrappers.blocks(page)} <= known
-        text = wrappers.extract(page, {p for p in known if wrappers.is_article(p)}, fixed)
-        assert text == " ".join(text.split())
-
-
 @settings(max_examples=100, deadline=None)
 @given(st.text(max_size=3000))
 def test_audio_is_lossless(text):
