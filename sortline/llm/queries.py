@@ -174,17 +174,29 @@ FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
 """,
     "op9_perspective_rotation": r"""
 WITH said AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') || '<|end|>' || chr(10) AS rest,
-         coalesce(CAST(floor(turn / 512) AS BIGINT), -1) AS part FROM conversations),
-speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM said WHERE role <> 'system'),
+  SELECT conv_id, turn, coalesce(CAST(floor(turn / 512) AS BIGINT), -1) AS part, coalesce(role, 'unknown') AS role, coalesce(text, '') AS said FROM conversations),
+pieces AS (
+  SELECT conv_id, part, turn, before // 512 AS first, CASE WHEN n > 2048 THEN CAST(ceil(n / 512) AS BIGINT) ELSE 1 END AS pieces
+  FROM (
+    SELECT *, sum(n) OVER (PARTITION BY conv_id, part) AS every, CAST(sum(n) OVER (PARTITION BY conv_id, part ORDER BY turn NULLS FIRST ROWS UNBOUNDED PRECEDING) AS BIGINT) - n AS before
+    FROM (SELECT conv_id, part, turn, count(*) AS n FROM said GROUP BY ALL)) WHERE every > 2048),
+lots AS (
+  SELECT *, least(512, n - lot * 512) AS times FROM (SELECT *, unnest(range(0, (n - 1) // 512 + 1)) AS lot FROM (SELECT conv_id, part, turn, role, said, count(*) AS n FROM said GROUP BY ALL))),
+placed AS (
+  SELECT l.*, coalesce(first + CAST('0x' || substr(md5(role || '|' || said || '|' || lot), 1, 8) AS BIGINT) % pieces, 0) AS piece
+  FROM lots l LEFT JOIN pieces p ON l.conv_id IS NOT DISTINCT FROM p.conv_id AND l.part = p.part AND l.turn IS NOT DISTINCT FROM p.turn),
+shown AS (
+  SELECT *, '<|' || name || '|>' AS narrated, '<|user name=' || name || '|>' AS named, regexp_replace(said, '<(\\*)\|', '<\\\1|', 'g') || '<|end|>' || chr(10) AS rest
+  FROM (SELECT *, regexp_replace(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g'), '\|(\\*)>', '|\\\1>', 'g') AS name, unnest(range(0, times)) AS copy FROM placed)),
+speakers AS (SELECT DISTINCT conv_id, part, piece, role AS speaker FROM placed WHERE role <> 'system'),
 seen AS (
-  SELECT s.*, speaker, CASE WHEN role = speaker THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>' ELSE '<|user name=' || role || '|>' END AS head
-  FROM said s JOIN speakers p ON s.conv_id IS NOT DISTINCT FROM p.conv_id)
-SELECT conv_id, speaker, part, count(*) AS n_turns,
-       string_agg(head || rest, '' ORDER BY turn, role, rest) AS text,
-       string_agg(length(head) || ':0,' || length(rest) || CASE WHEN role = speaker THEN ':1' ELSE ':0' END, ',' ORDER BY turn, role, rest) AS mask,
+  SELECT s.*, speaker, CASE WHEN role = speaker THEN '<|assistant|>' WHEN role = 'system' THEN narrated ELSE named END AS head
+  FROM shown s JOIN speakers p ON s.conv_id IS NOT DISTINCT FROM p.conv_id AND s.part = p.part AND s.piece = p.piece)
+SELECT conv_id, speaker, part, piece, count(*) AS n_turns,
+       string_agg(head || rest, '' ORDER BY turn NULLS FIRST, role, said) AS text,
+       string_agg(length(head) || ':0,' || length(rest) || CASE WHEN role = speaker THEN ':1' ELSE ':0' END, ',' ORDER BY turn NULLS FIRST, role, said) AS mask,
        CAST(sum(CASE WHEN role = speaker THEN length(rest) ELSE 0 END) AS BIGINT) AS n_trained
-FROM seen GROUP BY conv_id, speaker, part
+FROM seen GROUP BY conv_id, speaker, part, piece
 """,
     "op10_warc_fixity": r"""
 WITH made AS (
