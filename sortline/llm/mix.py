@@ -1,8 +1,9 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Every source offers its documents as one stream in shuffled order, repeated as often as its target asks. A copy of a
-document ends at virtual finish time (words its source has offered up to its end) / (target of the source). Copies of
-all sources, range-sorted by that time, interleave the sources in proportion to their targets; the mix is cut at the budget.
+Every source offers its documents as one stream in shuffled order, whole and again until it is past its target. A document's virtual finish time is
+(words its source has offered up to its end) / (target of the source). The documents of all sources are sorted by that time, which interleaves the sources in proportion to
+their targets, and the mix is the first words of that order, up to the budget. A document that its source is in the midst of when the targets are met, at virtual time 1, is
+offered in packets, each with its own finish time; so the cut meets all sources at near the same time, however long their documents are.
 
 No step holds a source together: running sums are taken inside slices of the shuffled order (a hash prefix), and
 slice totals are added up apart. The global order is dealt by equal ranges of virtual time, which hold near equal words.
@@ -12,12 +13,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import count_words, materialize
 
 WEIGHTS = (5, 2, 1)
+#: Packets that a document is offered in if the targets are met in its midst: a source is that part of one document from its target at most.
+PACKETS = 256
 #: Rows that one slice of a source or of virtual time holds about.
 SLICE_ROWS = 20_000
 
@@ -56,11 +59,11 @@ def mix(
     source_col: str = "source",
 ) -> DataFrame:
     """For every row: doc_id, text_key (xxhash64 of the text), source, size, source_size, target, taken, and parts, a list of
-    (words, at) for each copy that the mix takes: its words and its place in the mix, counted in words. All but the last copy
-    that a source offers are whole, and so taken <= most * size. The budget is all words unless another is given.
+    (at, words) for each copy that the mix takes: its place in the mix, counted in words, and how many words of it there are, which is all but for the last
+    copies of a source. taken <= most * size. The budget is all words unless another is given; the mix has as many, or all that `most` copies of all documents have.
 
     Null and blank texts have size 0 and are taken 0 times. A null source is a source of its own. Repeated rows are
-    separate documents with equal rank; null ids too. No rows give no rows. Other columns are ignored.
+    separate documents with equal rank. Null ids are shuffled by their text. No rows give no rows. Other columns are ignored.
     """
     rows = materialize(
         docs.select(
@@ -68,8 +71,8 @@ def mix(
             F.xxhash64(text_col).alias("text_key"),
             F.col(source_col).cast("string").alias("source"),
             count_words(F.col(text_col)).alias("size"),
-            F.md5(F.concat_ws("#", F.col(id_col).cast("string"), F.lit(str(seed)))).alias("turn"),
-        ),
+            F.md5(F.concat_ws("#", F.coalesce(F.col(id_col).cast("string"), F.md5(F.col(text_col).cast("string"))), F.lit(str(seed)))).alias("turn"),
+        ).withColumn("turn", F.when(F.col("size") > 0, F.col("turn")).otherwise(F.md5(F.monotonically_increasing_id().cast("string")))),  # without words no turn matters
         "sizes",
     )
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
@@ -88,26 +91,40 @@ def mix(
         .join(sliced.join(targets, "stream"), ["stream", "slice"])
         .withColumn("start", F.col("before") + F.col("inside"))
     )
-    ends = [F.col("start") + k * F.col("source_size") for k in range(most)]
-    words = [F.least("size", F.greatest(F.lit(0), F.floor("target") - e)).cast("long") for e in ends]
-    copies = F.filter(F.array(*(F.struct(w.alias("words"), F.try_divide((e + w).cast("double"), F.col("target")).alias("finish")) for w, e in zip(words, ends))), lambda c: c.words > 0)
+    copies = F.flatten(F.array(*(_offers(k, F.col("start") + k * F.col("source_size")) for k in range(most))))
     key = ["stream", "slice", "nth", "doc_id", "text_key", "source", "size", "source_size", "target"]
-    copies = offered.select(*key, F.explode_outer(copies).alias("copy")).select(*key, "copy.words", "copy.finish")
+    copies = offered.select(*key, F.explode_outer(copies).alias("copy")).select(*key, "copy.k", "copy.words", "copy.upto", "copy.finish")
     placed = _range_sort(materialize(copies, "copies"), max(256, math.ceil(n / SLICE_ROWS)))
-    kept = F.greatest(F.lit(0), F.least("words", F.lit(budget) - F.col("at")))
-    parts = F.array_sort(F.collect_list(F.when(kept > 0, F.struct(F.col("at"), kept.cast("long").alias("words")))))
+    kept = F.greatest(F.lit(0), F.least("words", F.lit(budget) - F.col("at"))).cast("long")
+    packets = F.collect_list(F.when(kept > 0, F.struct("k", "at", kept.alias("words"))))
+    of = lambda k: F.filter("packets", lambda x: x.k == k)
+    words = lambda k: F.aggregate(of(k), F.lit(0).cast("long"), lambda n, x: n + x.words)
+    parts = F.filter(F.array(*(F.struct(F.array_min(F.transform(of(k), lambda x: x["at"])).alias("at"), words(k).alias("words")) for k in range(most))), lambda x: x.words > 0)
     return (
         placed.groupBy(*key)
-        .agg(F.coalesce(F.sum(kept), F.lit(0)).cast("long").alias("taken"), parts.alias("parts"))
-        .drop("stream", "slice", "nth")
+        .agg(F.coalesce(F.sum(kept), F.lit(0)).cast("long").alias("taken"), packets.alias("packets"))
+        .withColumn("parts", parts)
+        .drop("stream", "slice", "nth", "packets")
     )
 
 
+def _offers(k: int, start: Column) -> Column:
+    """What a source offers of a document's copy k, which begins at `start` in its stream: nothing if its target is met by then, the whole copy if it isn't before its end,
+    else packets."""
+    size, target = F.col("size"), F.col("target")
+    entry = lambda words, upto: F.struct(F.lit(k).alias("k"), words.cast("long").alias("words"), upto.cast("long").alias("upto"), F.try_divide(upto.cast("double"), target).alias("finish"))
+    n = F.least(size, F.lit(PACKETS))
+    cut = lambda i: F.floor(size * i / n)
+    packets = F.transform(F.sequence(F.lit(0), n - 1), lambda i: entry(cut(i + 1) - cut(i), start + cut(i + 1)))
+    none = F.array().cast("array<struct<k:int,words:bigint,upto:bigint,finish:double>>")
+    return F.when((size == 0) | (start >= target), none).when(start + size <= target, F.array(entry(size, start + size))).otherwise(packets)
+
+
 def _range_sort(copies: DataFrame, ranges: int) -> DataFrame:
-    """copies with at: the words before each in the order of finish. Rows without words have none."""
+    """copies with at: the words before each in the order of finish. Rows without words have none. The last range has what finishes late: packets of one document of each source."""
     copies = copies.withColumn("range", F.when(F.col("words").isNull(), -1 - F.col("nth") % ranges).otherwise(F.least(F.floor(F.col("finish") * ranges), F.lit(ranges))).cast("long"))
     sums = copies.filter("range >= 0").groupBy("range").agg(F.sum("words").alias("all"))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("range", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("before"))
-    order = Window.partitionBy("range").orderBy("finish", "stream", "slice", "nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy("range").orderBy("finish", "stream", "slice", "nth", "upto").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return copies.withColumn("upto", F.sum("words").over(order)).join(sums, "range", "left").withColumn("at", F.col("before") + F.col("upto") - F.col("words"))

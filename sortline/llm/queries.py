@@ -32,8 +32,9 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents mixed to weights 5, 2, 1 with at most three copies of each."""
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """All documents mixed to weights 5, 2, 1 with at most three copies of each: words taken, where the first of them stands in the mix, and of how many copies they are."""
+    mixed = mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.array_min("parts.at").alias("first_at"), F.size("parts").cast("long").alias("copies"))
 
 
 def op3_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +113,8 @@ def _kind_sql(rank: int, pattern: str, group: int, least: int) -> str:
 SQL = {
     "op2_mixing": r"""
 WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(doc_id || '#42') AS turn FROM documents),
+  SELECT row_number() OVER () AS row, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    md5(concat_ws('#', coalesce(CAST(doc_id AS VARCHAR), md5(text)), '42')) AS turn FROM documents),
 weighed AS (
   SELECT source, z, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w
   FROM (SELECT source, CAST(sum(size) AS BIGINT) AS z FROM sized GROUP BY source)),
@@ -124,11 +126,21 @@ targets AS (
   SELECT source, z, CASE WHEN z = 0 OR level IS NULL OR ratio < level THEN CAST(3 * z AS DOUBLE) ELSE w * level END AS target
   FROM (SELECT *, (SELECT max(own) FROM levels WHERE ratio >= own) AS level FROM levels)),
 streams AS (
-  SELECT doc_id, size, z, target, CAST(sum(size) OVER (PARTITION BY s.source ORDER BY turn, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS start
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, CAST(size AS BIGINT) AS size, z AS source_size, target,
-  CAST(greatest(0, least(size, floor(target) - start)) + greatest(0, least(size, floor(target) - start - z)) + greatest(0, least(size, floor(target) - start - 2 * z)) AS BIGINT) AS taken
-FROM streams
+  SELECT row, doc_id, turn, coalesce('=' || s.source, '') AS stream, size, z, target,
+    CAST(sum(size) OVER (PARTITION BY s.source ORDER BY turn, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS first
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+copies AS (
+  SELECT *, first + k * z AS start FROM (SELECT *, unnest([0, 1, 2]) AS k FROM streams) WHERE size > 0 AND first + k * z < target),
+packets AS (
+  SELECT *, unnest(range(0, CASE WHEN start + size <= target THEN 1 ELSE least(size, 256) END)) AS i, CASE WHEN start + size <= target THEN 1 ELSE least(size, 256) END AS n FROM copies),
+queue AS (SELECT *, size * (i + 1) // n - size * i // n AS words, start + size * (i + 1) // n AS upto FROM packets),
+placed AS (
+  SELECT *, CAST(sum(words) OVER (ORDER BY CAST(upto AS DOUBLE) / target, stream, turn, doc_id, size, upto ROWS UNBOUNDED PRECEDING) AS BIGINT) - words AS place FROM queue),
+mixed AS (
+  SELECT row, sum(kept) AS taken, min(place) AS first_at, count(DISTINCT k) AS copies
+  FROM (SELECT *, least(words, (SELECT sum(z) FROM weighed) - place) AS kept FROM placed) WHERE kept > 0 GROUP BY row)
+SELECT doc_id, CAST(size AS BIGINT) AS size, z AS source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, first_at, coalesce(copies, 0) AS copies
+FROM streams LEFT JOIN mixed USING (row)
 """,
     "op5_secret_scan": f"""
 WITH docs AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
