@@ -64,7 +64,7 @@ def test_simhash_against_brute_force(spark, real):
     rows = [(i, t, s) for i, t, s in real] + [(1000 + k, t + f" tail{k}", s) for k, (_, t, s) in enumerate(real[:20])]
     fps = {i: brute.fingerprint(t) for i, t, _ in rows}
     want = brute.components(fps)
-    for longest in (64, 1):  # 1: all links through the linear way
+    for longest in (32, 1):  # 1: all links through the linear way
         got = {r.doc_id: r for r in simhash.near_duplicates(docs(spark, rows), longest=longest).collect()}
         assert {i: r.fingerprint for i, r in got.items()} == {i: f"{f:016x}" for i, f in fps.items()}
         assert {i: r.component_id for i, r in got.items()} == want
@@ -86,8 +86,9 @@ def test_simhash_long_texts_in_chunks(monkeypatch):
     assert simhash._fingerprint(b" a ", 3) == brute.fingerprint("a") and simhash._fingerprint(b"a b", 3) == brute.fingerprint("a b")
 
 
-@pytest.mark.parametrize("longest", [64, 2])
-def test_links_make_all_components(spark, longest):
+@pytest.mark.parametrize("distance", [0, 1, 2])
+@pytest.mark.parametrize("longest", [32, 2])
+def test_links_make_all_components(spark, longest, distance):
     import random
 
     rnd = random.Random(5)
@@ -99,18 +100,46 @@ def test_links_make_all_components(spark, longest):
             for _ in range(rnd.randrange(5)):
                 f ^= 1 << rnd.randrange(0, 64, 7)
             fps.add(f)
+    for _ in range(40):  # pairs of their own, at 0 to 4 bits
+        f = rnd.getrandbits(64)
+        fps |= {f, f ^ sum(1 << k for k in rnd.sample(range(64), rnd.randrange(5)))}
     fps |= {0, (1 << 64) - 1, 1 << 63, base[0] ^ 0b111}
     signed = {f: f - (1 << 64) if f >> 63 else f for f in fps}
     nodes = spark.createDataFrame([(x,) for x in signed.values()], "fp long")
     got = defaultdict(set)
-    for r in simhash.components(nodes, simhash.links(nodes, 2, longest)).collect():
+    for r in simhash.components(nodes, simhash.links(nodes, distance, longest)).collect():
         got[r.root].add(r.fp)
     want = defaultdict(set)
-    for i, c in brute.components({signed[f]: f for f in fps}).items():
+    for i, c in brute.components({signed[f]: f for f in fps}, distance).items():
         want[c].add(i)
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_the_tally_is_the_bytes_shared():
+    from itertools import combinations
+
+    assert len(simhash.GROUPS) == 14
+    for n, matches in ((8, 14), (7, 7), (6, 3), (5, 1)):
+        for shared in combinations(range(8), n):
+            assert sum(set(g) <= set(shared) for g in simhash.GROUPS) == matches
+    assert all(sum(set(g) <= set(shared) for g in simhash.GROUPS) <= 1 for shared in combinations(range(8), 4))
+    with pytest.raises(ValueError):
+        simhash.links(None, 3)
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    n, made = 10_000, []
+    run = simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df, name: made.append(name) or run(df, name))
+    nodes = spark.range(n).select(F.col("id").alias("fp"))
+    rising = nodes.filter(f"fp < {n - 1}").select(F.col("fp").alias("a"), (F.col("fp") + 1).alias("b"))
+    assert {r.root for r in simhash.components(nodes, rising).select("root").distinct().collect()} == {0}
+    assert len(made) <= 20
+    mixed = rising.select((F.col("a") * 7919 % n).alias("a"), (F.col("b") * 7919 % n).alias("b"))  # the chain with its nodes named in another order
+    assert {r.root for r in simhash.components(nodes, mixed).select("root").distinct().collect()} == {0}
+    assert len(made) <= 60
+
+
 def water_fill(sizes, weights=(5, 2, 1), most=3, total=None):
     total = sum(sizes.values()) if total is None else total
     names = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
