@@ -279,11 +279,41 @@ def test_shards_are_minimax(spark, real, monkeypatch):
     assert max(size.values()) == brute.minimax(order(real), 8)
     rows = real + [(9000 + k, real[0][1], "c") for k in range(3)]
     monkeypatch.setattr(m, "CELL_ROWS", 7)
-    monkeypatch.setattr(m, "TRIED", 3)
+    monkeypatch.setattr(m, "CELLS", 3)
+    monkeypatch.setattr(m, "OPENED", 2)
     size = shard_laws(rows, shard(docs(spark, rows)).collect())
     assert max(size.values()) == brute.minimax(order(rows), 8)
 
 
+def test_capacity_by_few_cells_is_that_of_all_groups(spark, monkeypatch):
+    import random
+
+    import sortline.llm.shards as m
+
+    rnd = random.Random(11)
+    for cells, shards in ((2, 3), (5, 8), (64, 8), (1000, 5)):
+        monkeypatch.setattr(m, "CELLS", cells)
+        sizes = [rnd.randrange(1, 50) * (40 if rnd.random() < 0.05 else 1) for _ in range(400)]
+        upto = [sum(sizes[: k + 1]) for k in range(len(sizes))]
+        sums = spark.createDataFrame([(u,) for u in upto], "upto long").cache()
+        ends = m.Ends(sums, upto[-1])
+        want = brute.minimax(sizes, shards)
+        assert m.capacity_of(ends, shards, max(sizes)) == want
+        cuts = m.cuts_of(ends, shards, max(sizes))
+        assert set(cuts) <= set(upto) and len(cuts) == shards and max(b - a for a, b in zip([0, *cuts], cuts)) <= want
+
+
+def test_shards_are_contiguous(spark, real):
+    import hashlib
+
+    rows = real + [(9000 + k, "hot copy " * 2000, "c") for k in range(40)]
+    got = {r.doc_id: r.shard for r in shard(docs(spark, rows)).collect()}
+    of = {hashlib.sha256(t.encode()).hexdigest(): got[i] for i, t, _ in rows}
+    hot = hashlib.sha256(rows[-1][1].encode()).hexdigest()
+    order = [of[k] for k in (hot, *sorted(set(of) - {hot}))]
+    assert order == sorted(order) and set(order) == set(range(8))
+
+
 def test_a_group_above_its_share_has_its_own_shard(spark, real):
     rows = real + [(9000 + k, "hot copy " * 2000, "c") for k in range(40)]
     size = shard_laws(rows, shard(docs(spark, rows)).collect())
