@@ -1,8 +1,9 @@
 """Quality classifier by co-training.
 
-Two logistic classifiers see separate views of a document: its text (words, letters, repetition) and its page metadata
-(language, source, length, line layout). Over some rounds each labels those of all unlabelled rows that it is sure of, for the other to
-learn from; rows stay in Spark, and a step of the fit reads their sums. Their outputs, calibrated on held-out labelled rows, are combined, and all documents are scored.
+Two logistic classifiers see separate views of a document: its text (words, letters, punctuation, lines, repetition), and its page metadata, which are the other columns
+(language, source, length as stated). Over some rounds each labels those of all unlabelled rows that it is sure of, for the other to
+learn from; rows stay in Spark, and a step of the fit reads their sums. Their outputs, calibrated on held-out labelled rows, are combined, all documents are scored, and the
+threshold comes from labelled rows that neither fit nor calibration has seen.
 """
 
 from __future__ import annotations
@@ -27,11 +28,12 @@ ROUNDS = 3
 SURE = 0.95
 NEWTON_STEPS = 20
 MOST_STEP = 1.0
+#: Parts of the labelled rows: three fit, one calibrates, one sets the threshold.
+FIT, CALIBRATE, JUDGE = 0, 1, 2
+PARTS = (FIT, FIT, FIT, CALIBRATE, JUDGE)
 #: What a share of good rows rejected costs, in shares of bad rows kept.
 GOOD_COST = 10
-LEAST_THRESHOLD = 1e-6
-#: The threshold is never above this: rejected documents must look clearly bad.
-MOST_THRESHOLD = 0.1
+LEAST_THRESHOLD, MOST_THRESHOLD = 1e-6, 0.5
 
 #: Places that a hash gives an id, of which a share is read: many, so that a share of any table can be told.
 SPOTS = 1 << 50
@@ -55,6 +57,10 @@ def text_view(text: str) -> list[float]:
     caps = sum(map(str.isupper, words)) / n
     bare = sum(map(str.isalpha, words)) / n
     odd = sum(not w[-1].isalnum() and w[-1] not in ".,;:!?\"')" for w in words) / n
+    lines = [x for x in LINE.split(text) if x.strip()]
+    n_lines = max(1, len(lines))
+    lengths = [len(x) for x in lines] or [0]
+    sentences = text.count(". ") + text.count(".\n") + text.count("! ") + text.count("? ") + 1
     return [
         np.log1p(len(words)),
         len(seen) / n ** 0.85,
@@ -75,39 +81,31 @@ def text_view(text: str) -> list[float]:
         point / size,
         min(40, sum(map(len, words)) / n),
         counts[33] / size,
+        np.log1p(n_lines),
+        np.log1p(max(lengths)),
+        np.log1p(sum(lengths) / n_lines),
+        sum(x.rstrip().endswith((".", "!", "?")) for x in lines) / n_lines,
+        len(set(lines)) / n_lines,
+        np.log1p(size / sentences),
+        np.sqrt(counts[124] / size),
+        counts[32] / size,
     ]
 
 
-def meta_view(text: str, lang: str | None, source: str | None, n_chars: float) -> list[float]:
-    lines = [x for x in LINE.split(text) if x.strip()]
-    n = max(1, len(lines))
-    lengths = [len(x) for x in lines] or [0]
-    stops = sum(x.rstrip().endswith((".", "!", "?")) for x in lines) / n
+def meta_view(lang: str | None, source: str | None, n_chars: float) -> list[float]:
+    """Nothing of this is read from the text."""
     out = [0.0] * (LANGS + SOURCES)
     if lang:
         out[zlib.crc32(lang.encode()) % LANGS] = 1.0
     if source:
         out[LANGS + zlib.crc32(source.encode()) % SOURCES] = 1.0
-    chars = max(1, len(text))
-    sentences = text.count(". ") + text.count(".\n") + text.count("! ") + text.count("? ") + 1
-    return out + [
-        np.log1p(n_chars if n_chars == n_chars else 0),
-        np.log1p(n),
-        np.log1p(max(lengths)),
-        np.log1p(sum(lengths) / n),
-        stops,
-        len(set(lines)) / n,
-        sentences / n,
-        np.log1p(chars / sentences),
-        np.sqrt(text.count("|") / chars),
-        np.sqrt(text.count("!") / chars),
-        text.count(" ") / chars,
-    ]
+    length = np.log1p(max(0.0, n_chars)) if n_chars == n_chars else 0.0
+    return [*out, length, length * length, float(n_chars != n_chars)]
 
 
 def views(text, lang, source, n_chars) -> tuple[np.ndarray, np.ndarray]:
-    rows = [(t if isinstance(t, str) else "", lg, s, c) for t, lg, s, c in zip(text, lang, source, n_chars)]
-    return np.array([text_view(r[0]) for r in rows], float), np.array([meta_view(*r) for r in rows], float)
+    texts = np.array([text_view(t if isinstance(t, str) else "") for t in text], float)
+    return texts, np.array([meta_view(*row) for row in zip(lang, source, n_chars)], float)
 
 
 @dataclass
@@ -147,16 +145,15 @@ class CoTrained:
         a, b = views(text, lang, source, n_chars)
         if not len(a):
             return pd.DataFrame({"p_text": [], "p_meta": [], "score": [], "accepted": np.zeros(0, bool)})
-        score, p_text = self.both.sure(np.column_stack([self.text.logit(a), self.meta.logit(b)])), self.text.sure(a)
-        # metadata alone reject nothing: they say little of a short text
-        return pd.DataFrame({"p_text": p_text, "p_meta": self.meta.sure(b), "score": score, "accepted": (score >= self.threshold) | (p_text >= 0.5)})
+        score = self.both.sure(np.column_stack([self.text.logit(a), self.meta.logit(b)]))
+        return pd.DataFrame({"p_text": self.text.sure(a), "p_meta": self.meta.sure(b), "score": score, "accepted": score >= self.threshold})
 
 
 class Rows:
-    """Rows to fit on: views x and m, label (1, 0, or -1 for unlabelled) and whether a row is held out to calibrate. `total` sums a function of batches over all of them."""
+    """Rows to fit on: views x and m, label (1, 0, or -1 for unlabelled) and the part of a labelled row. `total` sums a function of batches over all of them."""
 
-    def __init__(self, x: np.ndarray, m: np.ndarray, label: np.ndarray, held: np.ndarray):
-        self.batch = x, m, label, held
+    def __init__(self, x: np.ndarray, m: np.ndarray, label: np.ndarray, part: np.ndarray):
+        self.batch = x, m, label, part
         self.widths = [x.shape[1], m.shape[1]]
 
     def total(self, f) -> np.ndarray:
@@ -164,11 +161,11 @@ class Rows:
 
 
 class SparkRows(Rows):
-    """Rows of a DataFrame with x, m, label and held. Every task gives one row of sums."""
+    """Rows of a DataFrame with x, m, label and part. Every task gives one row of sums."""
 
     def __init__(self, df: DataFrame):
         self.df = df
-        self.widths = [len(text_view("")), len(meta_view("", None, None, 0.0))]
+        self.widths = [len(text_view("")), len(meta_view(None, None, 0.0))]
 
     def total(self, f) -> np.ndarray:
         def run(batches):
@@ -181,12 +178,12 @@ class SparkRows(Rows):
                 yield pa.RecordBatch.from_arrays([pa.array([out.tolist()], pa.list_(pa.float64()))], names=["sums"])
 
         got = [np.array(r[0], float) for r in self.df.mapInArrow(run, "sums array<double>").collect()]
-        return sum(got[1:], got[0]) if got else f(*(np.zeros((0, w)) for w in self.widths), np.zeros(0), np.zeros(0, bool))
+        return sum(got[1:], got[0]) if got else f(*(np.zeros((0, w)) for w in self.widths), np.zeros(0), np.zeros(0))
 
 
 def _arrays(batch) -> tuple:
     x, m = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1) for c in ("x", "m"))
-    return x, m, batch.column("label").to_numpy(zero_copy_only=False), batch.column("held").to_numpy(zero_copy_only=False)
+    return x, m, batch.column("label").to_numpy(zero_copy_only=False), batch.column("part").to_numpy(zero_copy_only=False)
 
 
 def _standard(rows: Rows, views_of, widths: list[int]) -> list[Logistic]:
@@ -239,15 +236,15 @@ def _given(views_: tuple, past: list, k: int) -> np.ndarray:
 def co_train_rows(rows: Rows, rounds: int = ROUNDS) -> CoTrained:
     """Fit on labelled and unlabelled rows. In each round every unlabelled row is scored by both views, and those that one is sure of teach the other;
     together they weigh no more than the labelled rows of their class."""
-    n = rows.total(lambda x, m, label, held: np.array([((label == c) & (held == h)).sum() for h in (0, 1) for c in (0, 1)], float))
-    fitted, prior = n[:2], float((n[1] + n[3]) / n.sum()) if n.sum() else 1.0
-    if min(fitted) < 5 or min(n[2:]) < 2:
+    n = rows.total(lambda x, m, label, part: np.array([((label == c) & (part == h)).sum() for h in (FIT, CALIBRATE, JUDGE) for c in (0, 1)], float)).reshape(3, 2)
+    fitted, prior = n[FIT], float(n[:, 1].sum() / n.sum()) if n.sum() else 1.0
+    if min(fitted) < 5 or n[CALIBRATE:].min() < 2:
         return CoTrained(None, None, None, 0.0, prior)
-    models = _standard(rows, lambda x, m, label, held: [(z, np.where(held & (label >= 0), 0.0, 1.0)) for z in (x, m)], rows.widths)
+    models = _standard(rows, lambda x, m, label, part: [(z, np.where((part != FIT) & (label >= 0), 0.0, 1.0)) for z in (x, m)], rows.widths)
     past, told = [], np.zeros((2, 2))
     for nth in range(rounds + 1):
         if nth:
-            counts = lambda x, m, label, held, past=tuple(past): np.array([((label < 0) & (_given((x, m), past, k) == c)).sum() for k in (0, 1) for c in (0, 1)], float)
+            counts = lambda x, m, label, part, past=tuple(past): np.array([((label < 0) & (_given((x, m), past, k) == c)).sum() for k in (0, 1) for c in (0, 1)], float)
             told = rows.total(counts).reshape(2, 2)
             if not told.any():
                 break
@@ -256,10 +253,10 @@ def co_train_rows(rows: Rows, rounds: int = ROUNDS) -> CoTrained:
         whole = fitted + share * told
         by_class = 0.5 * whole.sum(1, keepdims=True) / whole
 
-        def cases(x, m, label, held, past=tuple(past), share=share, by_class=by_class):
+        def cases(x, m, label, part, past=tuple(past), share=share, by_class=by_class):
             out = []
             for k, z in enumerate((x, m)):
-                given = np.where(label < 0, _given((x, m), past, k), np.where(held, -1, label)).astype(int)
+                given = np.where(label < 0, _given((x, m), past, k), np.where(part == FIT, label, -1)).astype(int)
                 weight = by_class[k][given] * np.where(label < 0, share[k][given], 1.0)
                 out.append((z, given.astype(float), np.where(given >= 0, weight, 0.0)))
             return out
@@ -268,29 +265,31 @@ def co_train_rows(rows: Rows, rounds: int = ROUNDS) -> CoTrained:
         past.append(tuple(models))
     text, meta = models
     both_of = lambda x, m: np.column_stack([text.logit(x), meta.logit(m)])
-    kept = lambda label, held: (held & (label >= 0)).astype(float)
-    start = _standard(rows, lambda x, m, label, held: [(both_of(x, m), kept(label, held))], [2])
-    classes = 0.5 * n[2:].sum() / n[2:]
-    calibrating = lambda x, m, label, held: [(both_of(x, m), label.astype(float), kept(label, held) * classes[np.maximum(label, 0).astype(int)])]
+    kept = lambda label, part: ((part == CALIBRATE) & (label >= 0)).astype(float)
+    start = _standard(rows, lambda x, m, label, part: [(both_of(x, m), kept(label, part))], [2])
+    classes = 0.5 * n[CALIBRATE].sum() / n[CALIBRATE]
+    calibrating = lambda x, m, label, part: [(both_of(x, m), label.astype(float), kept(label, part) * classes[np.maximum(label, 0).astype(int)])]
     (both,) = _newton(rows, start, calibrating, 0.1)
-    # shares of held-out bad rows kept and of good ones rejected at each threshold: a few good rows that look bad cannot pull it down to junk
-    spots = np.geomspace(LEAST_THRESHOLD, MOST_THRESHOLD, 61)
+    # shares of judged bad rows kept and of good ones rejected at each threshold: a few good rows that look bad cannot pull it down to junk
+    spots = np.r_[np.geomspace(LEAST_THRESHOLD, 0.05, 50), np.linspace(0.06, MOST_THRESHOLD, 45)]
 
-    def errors(x, m, label, held):
+    def errors(x, m, label, part):
         score = both.sure(both_of(x, m))
-        good, bad = np.sort(score[held & (label == 1)]), np.sort(score[held & (label == 0)])
+        good, bad = np.sort(score[(part == JUDGE) & (label == 1)]), np.sort(score[(part == JUDGE) & (label == 0)])
         return np.r_[np.searchsorted(good, spots), len(bad) - np.searchsorted(bad, spots)].astype(float)
 
     rejected, kept_bad = rows.total(errors).reshape(2, -1)
-    threshold = float(spots[np.argmin(GOOD_COST * rejected / n[3] + kept_bad / n[2])])
+    cost = GOOD_COST * rejected / n[JUDGE][1] + kept_bad / n[JUDGE][0]
+    best = np.flatnonzero(cost == cost.min())
+    threshold = float(spots[best[len(best) // 2]])  # of equal costs the middle one
     return CoTrained(text, meta, both, threshold, prior, int(told.sum()))
 
 
 def co_train(xs: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS) -> CoTrained:
-    """Fit on labelled rows (views xs, labels y) and unlabelled rows that are at hand. Each fourth labelled row is held out to calibrate."""
+    """Fit on labelled rows (views xs, labels y) and unlabelled rows that are at hand. Two in five labelled rows are held out, see PARTS."""
     x, m = (np.concatenate([a, b]) if len(b) else a for a, b in zip(xs, pool))
-    held = np.r_[np.arange(len(y)) % 4 == 3, np.zeros(len(pool[0]), bool)]
-    return co_train_rows(Rows(x, m, np.r_[y, np.full(len(pool[0]), -1)], held), rounds)
+    part = np.array(PARTS)[np.arange(len(x)) % len(PARTS)]
+    return co_train_rows(Rows(x, m, np.r_[y, np.full(len(pool[0]), -1)], part), rounds)
 
 
 def fit(
@@ -310,27 +309,27 @@ def fit(
     marks = marks.filter(spot < int(min(1, max_labelled / max(1, marks.count())) * SPOTS))
     read = docs.select(F.col(id_col).alias("of"), *(F.col(c) for c in ("text", "lang", "source", "n_chars")))
     both = read.join(F.broadcast(marks), F.col("of") == F.col("label_of"), "left")  # max_labelled bounds the side that is broadcast
-    held = F.coalesce(F.pmod(F.xxhash64("of", F.lit("held")), F.lit(4)) == 3, F.lit(False))
-    rows = materialize(_features(both.withColumn("held", held).withColumn("label", F.coalesce("label", F.lit(-1)))), "features")
+    part = F.element_at(F.array(*map(F.lit, PARTS)), (F.pmod(F.xxhash64("of", F.lit("part")), F.lit(len(PARTS))) + 1).cast("int"))
+    rows = materialize(_features(both.withColumn("part", part).withColumn("label", F.coalesce("label", F.lit(-1)))), "features")
     model = co_train_rows(SparkRows(rows), rounds)
     discard(rows)
     return model
 
 
 def _features(df: DataFrame) -> DataFrame:
-    """label, held and the two views, made where the texts are."""
+    """label, part and the two views, made where the texts are."""
 
     def run(batches):
         for pdf in batches:
             a, b = views(pdf["text"], pdf["lang"], pdf["source"], pdf["n_chars"].astype(float))
-            yield pd.DataFrame({"label": pdf["label"], "held": pdf["held"], "x": list(a), "m": list(b)})
+            yield pd.DataFrame({"label": pdf["label"], "part": pdf["part"], "x": list(a), "m": list(b)})
 
-    return df.select("label", "held", "text", "lang", "source", "n_chars").mapInPandas(run, "label int, held boolean, x array<float>, m array<float>")
+    return df.select("label", "part", "text", "lang", "source", "n_chars").mapInPandas(run, "label int, part int, x array<float>, m array<float>")
 
 
 def score(docs: DataFrame, model: CoTrained, column: str = "quality_score") -> DataFrame:
     """docs with a struct `column`: p_text, p_meta, score (of being good) and accepted, for every row. Rejected are
-    documents with a score below the threshold that the text view finds bad too. Null texts count as empty, null metadata as unknown."""
+    documents with a score below the threshold. Null texts count as empty, null metadata as unknown."""
 
     @F.pandas_udf("p_text double, p_meta double, score double, accepted boolean")
     def predict(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
