@@ -15,8 +15,10 @@ from .common import lower_ascii, materialize
 
 #: What parts words; a word is any run of other characters.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Windows up to this many (each holds `window` words) are broadcast; more are joined by shuffle.
-BROADCAST_WINDOWS = 200_000
+#: Windows of this many bytes in all (words, item ids and what rows take) are broadcast; more are joined by shuffle.
+BROADCAST_BYTES = 64 << 20
+#: Slices that the places of a word are dealt into there, so that a frequent one's are in no task alone.
+SLICES = 16
 
 
 def words_of(c):
@@ -24,10 +26,10 @@ def words_of(c):
 
 
 def item_windows(items: DataFrame, window: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Distinct windows: w_id, w_words, w_len, w_items (ids of the items that hold it)."""
+    """Distinct windows: w_id, w_words, w_len, w_items (ids of the items that hold it, as strings; a null id is "")."""
     n = F.size("ws")
     spread = (
-        items.select(F.col(id_col).alias("item"), words_of(F.col(text_col)).alias("ws"))
+        items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), words_of(F.col(text_col)).alias("ws"))
         .filter(n > 0)
         .select("item", "ws", F.explode(F.sequence(F.lit(1), F.greatest(n - window + 1, F.lit(1)))).alias("at"))
         .select("item", F.slice("ws", F.col("at"), F.lit(window)).alias("w_words"))
@@ -67,19 +69,20 @@ def decontaminate(
     text_col: str = "text",
     item_id_col: str = "item_id",
     item_text_col: str = "text",
-    broadcast_windows: int = BROADCAST_WINDOWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """One row for each distinct (id, text): doc_id, n_words, n_hit, items (sorted as strings), spans (word ranges, end
+    """For every row: doc_id, n_words, n_hit, items (ids sorted as strings), spans (word ranges, end
     exclusive), contaminated (n_hit > 0 and least_share * n_hit >= n_words), text_key (xxhash64 of the text).
 
-    Null and wordless texts have no words and no hits; null or wordless items have no windows. Repeated rows give one
-    row; an id that comes with two texts gives two. Other columns of either table are ignored, whatever their names.
+    Null and wordless texts have no words and no hits; null or wordless items have no windows. Items without an id count as one with the id "". Repeated rows give
+    a row each. Other columns of either table are ignored, whatever their names.
     """
     docs = docs.select(
-        F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), words_of(F.col(text_col)).alias("words")
+        F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.coalesce(words_of(F.col(text_col)), F.array().cast("array<string>")).alias("words")
     )
     windows = materialize(item_windows(items, window, item_id_col, item_text_col), "windows")
-    small = windows.count() <= broadcast_windows
+    entry = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x) + 16)
+    small = windows.agg(F.coalesce(F.sum(entry(F.col("w_words")) + entry(F.col("w_items")) + 128), F.lit(0))).first()[0] <= broadcast_bytes
     prefix = materialize(rarest_token(docs, windows, small), "prefix")
     join = _broadcast_hits if small else _shuffled_hits
     start = F.col("start")
@@ -92,27 +95,27 @@ def decontaminate(
         ),
         lambda a: a.n,
     ).cast("long")
-    items_of = F.array_sort(F.transform(F.array_distinct(F.flatten(F.collect_set("w_items"))), lambda x: x.cast("string")))
+    items_of = F.array_sort(F.array_distinct(F.flatten(F.collect_set("w_items"))))
     return (
         join(docs, prefix)
         .groupBy("doc_id", "text_key")
-        .agg(F.max("n_words").cast("long").alias("n_words"), spans.alias("spans"), items_of.alias("items"))
+        .agg(F.max("n_words").cast("long").alias("n_words"), spans.alias("spans"), items_of.alias("items"), F.count_if("is_row").cast("int").alias("rows"))
+        .withColumn("row", F.explode(F.array_repeat(F.lit(0), F.col("rows"))))
+        .drop("rows", "row")
         .withColumn("n_hit", covered)
         .withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * least_share >= F.col("n_words")))
     )
 
 
-def _n(words) -> F.Column:
-    return F.coalesce(F.size(words), F.lit(0))
-
-
 def _broadcast_hits(docs: DataFrame, prefix: DataFrame) -> DataFrame:
-    """A row for each verified window of a document, and for each document's first word so that all documents stay.
+    """A row for each verified window of a document, and one, with is_row, for each row of docs.
 
-    One pass over the texts; words stay in their row, and the join makes rows only where a window is verified.
+    One pass over the texts; words stay in their row, and the join makes rows only where a window is verified. The first of the places that are
+    spread is that of no word, which no window has.
     """
-    spread = docs.select("doc_id", "text_key", "words", F.posexplode_outer("words").alias("pos", "word"))
-    start = F.col("pos") - F.col("w_at")
+    places = F.posexplode_outer(F.concat(F.array(F.lit("")), F.col("words"))).alias("pos", "word")  # posexplode() would split each text anew for its filters
+    spread = docs.select("doc_id", "text_key", "words", places)
+    start = F.col("pos") - 1 - F.col("w_at")
     held = (
         (F.col("word") == F.col("w_token"))
         & (start >= 0)
@@ -122,24 +125,26 @@ def _broadcast_hits(docs: DataFrame, prefix: DataFrame) -> DataFrame:
     hit = F.col("w_id").isNotNull()
     return (
         spread.join(F.broadcast(prefix), held, "left")
-        .filter(hit | F.col("pos").isNull() | (F.col("pos") == 0))
+        .filter(hit | (F.col("pos") == 0))
         .select(
             "doc_id",
             "text_key",
-            _n("words").alias("n_words"),
+            F.size("words").alias("n_words"),
             F.when(hit, start).alias("start"),
             F.when(hit, start + F.col("w_len")).alias("end"),
             "w_items",
+            (F.col("pos") == 0).alias("is_row"),
         )
     )
 
 
 def _shuffled_hits(docs: DataFrame, prefix: DataFrame) -> DataFrame:
-    """The same rows for windows too many to broadcast: tokens are joined without the words, which are read again to verify."""
+    """The same rows for windows too many to broadcast: tokens are joined without the words, which are read again to verify. Places are dealt into slices, each with all windows."""
     start = F.col("pos") - F.col("w_at")
     spread = docs.select("doc_id", "text_key", F.size("words").alias("n"), F.posexplode("words").alias("pos", "word"))
+    dealt = prefix.select("w_token", "w_at", "w_len", "w_id", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("slice"))
     candidates = (
-        spread.join(prefix.select("w_token", "w_at", "w_len", "w_id"), F.col("word") == F.col("w_token"))
+        spread.join(dealt, (F.col("word") == F.col("w_token")) & (F.pmod(F.xxhash64("text_key", "pos"), F.lit(SLICES)) == F.col("slice")))
         .filter((start >= 0) & (start + F.col("w_len") <= F.col("n")))
         .select(F.col("doc_id").alias("c_id"), F.col("text_key").alias("c_key"), start.alias("start"), "w_id")
         .distinct()
@@ -148,10 +153,10 @@ def _shuffled_hits(docs: DataFrame, prefix: DataFrame) -> DataFrame:
         candidates.join(prefix.select("w_id", "w_words", "w_len", "w_items"), "w_id")
         .join(docs.dropDuplicates(["doc_id", "text_key"]), F.col("c_id").eqNullSafe(F.col("doc_id")) & (F.col("c_key") == F.col("text_key")))
         .filter(F.slice("words", F.col("start") + 1, F.col("w_len")) == F.col("w_words"))
-        .select("doc_id", "text_key", _n("words").alias("n_words"), "start", (F.col("start") + F.col("w_len")).alias("end"), "w_items")
+        .select("doc_id", "text_key", F.size("words").alias("n_words"), "start", (F.col("start") + F.col("w_len")).alias("end"), "w_items", F.lit(False).alias("is_row"))
     )
     kinds = {f.name: f.dataType for f in hits.schema}
     rest = docs.select(
-        "doc_id", "text_key", _n("words").alias("n_words"), *(F.lit(None).cast(kinds[c]).alias(c) for c in ("start", "end", "w_items"))
+        "doc_id", "text_key", F.size("words").alias("n_words"), *(F.lit(None).cast(kinds[c]).alias(c) for c in ("start", "end", "w_items")), F.lit(True).alias("is_row")
     )
     return hits.unionByName(rest)

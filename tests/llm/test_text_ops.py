@@ -38,18 +38,22 @@ def real(spark, sf):
     return [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source").collect()]
 
 
-def test_decontamination_against_brute_force(spark):
-    items = [(1, " ".join(f"w{k}" for k in range(20))), (2, "One, two three!"), (10, "w3 w4 w5 " * 6), (11, None), (12, "..."), (4, "one two THREE")]
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_decontamination_against_brute_force(spark, ansi):
+    items = [(1, " ".join(f"w{k}" for k in range(20))), (2, "One, two three!"), (10, "w3 w4 w5 " * 6), (11, None), (12, "..."), (4, "one two THREE"), (None, " ".join(f"n{k}" for k in range(13)))]
     rows = ODD + [(20, " ".join(f"W{k}" for k in range(25)), "c"), (21, "a " * 500 + "one two three", "c"), (22, "w3 w4 w5 " * 9, "c"), (23, "one one two three three", "c")]
+    rows += [(24, " ".join(f"n{k}" for k in range(14)), "c"), (25, " ".join(f"n{k}" for k in range(14)), "c")]
     bench = spark.createDataFrame([(i, t, "q") for i, t in items], "item_id long, text string, words string")
-    for broadcast in (1000, 0):
-        got = {(r.doc_id, r.text_key): r for r in decontaminate(docs(spark, rows), bench, broadcast_windows=broadcast).collect()}
-        assert len(got) == len({(i, t) for i, t, _ in rows})
-        by_id = defaultdict(list)
-        for (i, _), r in got.items():
-            by_id[i].append((r.n_words, r.n_hit, r["items"], r.contaminated))
-        for i, t, _ in rows:
-            assert brute.contamination(t, items) in by_id[i], (broadcast, i)
+    items = [("" if i is None else i, t) for i, t in items]
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        for broadcast in (1 << 20, 0):
+            got = decontaminate(docs(spark, rows), bench, broadcast_bytes=broadcast).collect()
+            shown = lambda i, n_words, n_hit, found, bad: (i is None, i or 0, n_words, n_hit, tuple(found), bad)
+            ours = sorted(shown(r.doc_id, r.n_words, r.n_hit, r["items"], r.contaminated) for r in got)
+            assert ours == sorted(shown(i, *brute.contamination(t, items)) for i, t, _ in rows), broadcast
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", "true")
 
 
 def test_decontamination_of_nothing(spark):
