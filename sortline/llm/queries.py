@@ -11,7 +11,7 @@ from .decontaminate import decontaminate
 from .media import digests
 from .mix import mix
 from .quality import fit, score
-from .secrets import KINDS, PLACEHOLDER, scan_secrets
+from .secrets import EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES, KINDS, PLACEHOLDER, scan_secrets
 from .shards import shard
 from .simhash import near_duplicates
 from .warc import audit, damage, record_hashes, to_records
@@ -145,9 +145,11 @@ FROM streams LEFT JOIN mixed USING (row)
     "op5_secret_scan": f"""
 WITH docs AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
 found AS ({" UNION ALL ".join(_kind_sql(k, p, g, n) for k, (_, p, g, n) in enumerate(KINDS))}),
-owned AS (SELECT v, count(DISTINCT coalesce('=' || source, '')) AS owners FROM found GROUP BY v),
+owned AS (
+  SELECT v, count(DISTINCT owner) AS owners, count(*) AS repositories
+  FROM (SELECT v, t, min(coalesce('=' || d.source, '')) AS owner FROM found JOIN docs d USING (doc_id) GROUP BY v, t) GROUP BY v),
 judged AS (
-  SELECT f.*, ['{"', '".join(k for k, *_ in KINDS)}'][rank + 1] AS kind, CASE WHEN owners >= 2 THEN 'example' WHEN length(v) >= 12 AND len(list_distinct(string_split(v, ''))) >= 8
+  SELECT f.*, ['{"', '".join(k for k, *_ in KINDS)}'][rank + 1] AS kind, CASE WHEN owners >= {EXAMPLE_OWNERS} OR repositories >= {EXAMPLE_REPOSITORIES} THEN 'example' WHEN length(v) >= 12 AND len(list_distinct(string_split(v, ''))) >= 8
     AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND NOT regexp_matches(v, '{PLACEHOLDER}') THEN 'live' ELSE 'weak' END AS verdict
   FROM found f JOIN owned USING (v)),
 spans AS (

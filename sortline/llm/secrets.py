@@ -1,8 +1,8 @@
 """Secret scan with corpus-wide ownership frequency.
 
-Candidate values are counted over the whole corpus by distinct repositories (documents) and owners (sources). A value
-that many owners hold is a widely copied example; one that a single owner holds and that looks random is a live-looking
-credential of that owner.
+Candidate values are counted over the whole corpus by distinct repositories (texts, so that copies of a document are one) and owners (sources; a text that several have
+is that of the first of them). A value in many repositories or of many owners is a widely copied example; one in few, of a single owner, that looks random
+is a live-looking credential of that owner.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ KINDS = (
 )
 #: Kind of the spans that this method adds: values judged live-looking.
 LIVE = "live"
+#: Owners, and repositories, from which on a value is an example.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 2, 10
 PLACEHOLDER = r"(?i)example|sample|dummy|placeholder|changeme|your[_-]|xxx|000000|123456|abcdef"
 
 
@@ -73,16 +75,24 @@ def scan_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def ownership(spans: DataFrame) -> DataFrame:
     """value_key with owners and repositories that hold it. A null owner is an owner of its own.
 
-    Counted in three steps that each combine before the shuffle, so a value copied everywhere stands in no task alone.
+    Counted in steps that each combine before the shuffle, so a value copied everywhere stands in no task alone.
     """
-    held = spans.filter(F.col("kind").isNotNull()).select("value_key", "owner", "doc_id", "text_key").distinct()
-    by_owner = held.groupBy("value_key", "owner").agg(F.count("*").alias("repositories"))
+    owner = F.coalesce(F.concat(F.lit("="), "owner"), F.lit(""))
+    texts = spans.filter(F.col("kind").isNotNull()).groupBy("value_key", "text_key").agg(F.min(owner).alias("owner"))
+    by_owner = texts.groupBy("value_key", "owner").agg(F.count("*").alias("repositories"))
     return by_owner.groupBy("value_key").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", example_owners: int = 2) -> DataFrame:
+def scan_secrets(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    owner_col: str = "source",
+    example_owners: int = EXAMPLE_OWNERS,
+    example_repositories: int = EXAMPLE_REPOSITORIES,
+) -> DataFrame:
     """For each distinct (id, text, owner): doc_id, text_key, owner and secrets, a list of (start, rank, end, kind, value_key, owners, repositories,
-    verdict) in order of start. verdict: example (`example_owners` owners or more hold the value), live (one owner, and
+    verdict) in order of start. verdict: example (`example_owners` owners or `example_repositories` repositories or more hold the value), live (else, if
     it looks random) or weak. Live values get a further entry of kind live, which spans the value alone.
 
     Null texts count as empty and have no secrets. Null ids and owners are values like others. Repeated rows give one row.
@@ -90,7 +100,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spans = materialize(scan_spans(docs, id_col, text_col, owner_col), "spans")
     counts = materialize(ownership(spans), "owners")
     some = spans.filter(F.col("kind").isNotNull()).join(counts, "value_key")
-    verdict = F.when(F.col("owners") >= example_owners, "example").when(F.col("random"), LIVE).otherwise("weak")
+    verdict = F.when((F.col("owners") >= example_owners) | (F.col("repositories") >= example_repositories), "example").when(F.col("random"), LIVE).otherwise("weak")
     entry = lambda start, rank, kind: F.struct(start.alias("start"), rank.alias("rank"), F.col("end"), kind.alias("kind"), "value_key", "owners", "repositories", F.col("verdict"))
     base = entry(F.col("start"), F.col("rank"), F.col("kind"))
     added = F.when(F.col("verdict") == LIVE, F.array(base, entry(F.col("value_start"), F.lit(len(KINDS)), F.lit(LIVE)))).otherwise(F.array(base))

@@ -354,13 +354,22 @@ def test_secrets_against_brute_force(spark, real):
     assert by_id[3].secrets and len(by_id[7].secrets) >= 3000
 
 
-def test_owners_part_examples_from_live_values(spark):
+def test_owners_and_repositories_part_examples_from_live_values(spark):
     got = {r.doc_id: {s.kind: s.verdict for s in r.secrets} for r in scan_secrets(docs(spark, SECRETS)).collect()}
-    assert got[0]["assign"] in ("example", "weak") and got[1]["assign"] == "example"
-    assert got[None] == {"assign": "weak"} or "live" in got[None]
-    assert "live" in got[7]
+    assert got[1]["assign"] == "example"  # the value of document 0 too, by another owner
+    assert got[None] == {"assign": "live", "live": "live"}
     assert got[4] == {} and got[5] == {}
     assert scan_secrets(docs(spark, [])).count() == 0
+    live = "secret=q8Vt3Nz7Lp0Xw2Rk"
+    rows = [(k, f"note {k} {live}", "one") for k in range(9)]
+    rows += [(100 + k, "token=m4Jd9Qs6Hb1Yc5Tf", s) for k, s in enumerate(["one", "two", None, "two"])]  # one text, copied by others
+    rows += [(200 + k, f"key {k} token=w7Ge2Xn5Ka8Uv3Zp", "one") for k in range(10)]
+    rows += [(300, f"a token=r5Bf8Mk1Ld6Wj9Ec", "one"), (301, f"b token=r5Bf8Mk1Ld6Wj9Ec", "two")]
+    found = {r.doc_id: r.secrets for r in scan_secrets(docs(spark, rows)).collect() if r.secrets}
+    assert {s.verdict for k in range(9) for s in found[k]} == {"live"}
+    assert {s.verdict for k in range(100, 104) for s in found[k]} == {"live"}
+    assert {s.verdict for k in range(200, 210) for s in found[k]} == {"example"}
+    assert {(s.verdict, s.owners, s.repositories) for s in found[300]} == {("example", 2, 2)}
 
 
 def test_queries_give_their_columns(spark, sf):
