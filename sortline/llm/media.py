@@ -112,9 +112,9 @@ def _synchsafe(b: bytes) -> int:
 
 
 def _tags(data: bytes) -> tuple[dict[str, str], int]:
-    if data[:3] != b"ID3" or len(data) < 10:
+    end, at, tags = 10 + _synchsafe(data[6:10]), 10, {}
+    if data[:3] != b"ID3" or end > len(data):
         return {}, 0
-    end, at, tags = min(len(data), 10 + _synchsafe(data[6:10])), 10, {}
     while at + 10 <= end and data[at : at + 4].isalnum():
         size = _synchsafe(data[at + 4 : at + 8]) if data[3] > 3 else int.from_bytes(data[at + 4 : at + 8])
         body = data[at + 10 : min(end, at + 10 + size)]
@@ -126,7 +126,6 @@ def _tags(data: bytes) -> tuple[dict[str, str], int]:
 
 def _vbr(frame: bytes, h: Header) -> dict[str, int]:
     """A Xing, Info or VBRI table of frames, bytes and seek points."""
-    at = 4 + h.side
     for at in (4 + h.side, h.data_at):
         if frame[at : at + 4] in (b"Xing", b"Info"):
             flags, at, out = int.from_bytes(frame[at + 4 : at + 8]), at + 8, {}
@@ -197,6 +196,13 @@ MEDIA = (
 )
 
 
+def _stored(text: str | None) -> tuple[bytes, bytes, Audio]:
+    """A text's bytes, its stream, and what is read from that."""
+    data = (text or "").encode()
+    media = write(pad(data))
+    return data, media, read(media)
+
+
 def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
     """Every row's text (UTF-8, null as empty, padded with blanks to a positive multiple of 192) stored as MPEG audio and read back.
 
@@ -210,10 +216,7 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):  # a row a batch: texts can be very long
-                text = b.column(1)[k].as_py()
-                data = (text or "").encode()
-                media = write(pad(data))
-                a = read(media)
+                data, media, a = _stored(b.column(1)[k].as_py())
                 row = (len(data), media, a.data, len(a.offsets), a.seconds.numerator, a.seconds.denominator, a.offsets, a.checked, a.bad, a.skipped, a.vbr.get("frames"), a.vbr.get("bytes"), a.tags.get("TIT2"))
                 types = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.int64()] * 5, pa.string())
                 names = [c.split()[0] for c in schema.split(", ")]
@@ -233,9 +236,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for b in batches:
             rows = []
             for t in b.column(1):
-                data = (t.as_py() or "").encode()
-                media = write(pad(data))
-                a = read(media)
+                data, media, a = _stored(t.as_py())
                 seek = hashlib.sha256(struct.pack(f">{len(a.offsets)}q", *a.offsets)).hexdigest()[:16]
                 feature = f"frames={len(a.offsets)};seconds={a.seconds.numerator}/{a.seconds.denominator};crc={a.checked - a.bad}/{a.checked};skipped={a.skipped};table={a.vbr.get('frames')},{a.vbr.get('bytes')};first={a.offsets[0]};last={a.offsets[-1]};seek={seek}"
                 rows.append((len(data), len(a.data), hashlib.sha256(a.data).hexdigest(), zlib.crc32(a.data[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature))

@@ -214,7 +214,7 @@ FROM seen GROUP BY conv_id, speaker, part, piece
 """,
     "op10_warc_fixity": r"""
 WITH made AS (
-  SELECT page_id, CAST(143 + strlen(CAST(page_id AS VARCHAR)) + strlen(coalesce(url, '')) + strlen(CAST(strlen(coalesce(html, '')) AS VARCHAR)) + strlen(coalesce(html, '')) AS BIGINT) AS length
+  SELECT page_id, CAST(178 + strlen(CAST(page_id AS VARCHAR)) + strlen(coalesce(url, '')) + strlen(CAST(strlen(coalesce(html, '')) AS VARCHAR)) + strlen(coalesce(html, '')) AS BIGINT) AS length
   FROM pages WHERE page_id % 50 = 0)
 SELECT page_id, CASE WHEN page_id % 200 = 0 THEN 'missing' ELSE 'changed' END AS fault, length,
        CASE WHEN page_id % 200 = 0 THEN NULL ELSE length END AS other_length

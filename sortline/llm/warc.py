@@ -16,16 +16,18 @@ from .common import materialize
 RANGE = 1 << 14
 FANOUT = 16
 ARCHIVES = 64
+NO_DATE = "1970-01-01T00:00:00Z"
 
 
-def record(url: Column, body: Column, name: Column) -> Column:
-    """A WARC/1.1 response record as bytes."""
+def record(url: Column, body: Column, name: Column, date: str = NO_DATE) -> Column:
+    """A WARC/1.1 resource record as bytes. Line ends in the url are percent-encoded, as they would end its header."""
     body = F.encode(F.coalesce(body, F.lit("")), "UTF-8")
+    line = lambda c: F.replace(F.replace(c, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     head = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:"),
-        name,
-        F.lit(">\r\nWARC-Target-URI: "),
-        F.coalesce(url, F.lit("")),
+        line(name),
+        F.lit(f">\r\nWARC-Date: {date}\r\nWARC-Target-URI: "),
+        line(F.coalesce(url, F.lit(""))),
         F.lit("\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
         F.octet_length(body).cast("string"),
         F.lit("\r\n\r\n"),
@@ -33,21 +35,41 @@ def record(url: Column, body: Column, name: Column) -> Column:
     return F.concat(F.encode(head, "UTF-8"), body, F.encode(F.lit("\r\n\r\n"), "UTF-8"))
 
 
-def to_records(pages: DataFrame, archives: int = ARCHIVES, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
+def to_records(pages: DataFrame, archives: int = ARCHIVES, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", date: str = NO_DATE) -> DataFrame:
     """Pages as WARC records: archive, offset, length, page_id, record. Archives are dealt by hash, so no host or other hot key fills one;
-    `archives` should grow with the pages. Records stand in the order of page_id (then of their hash) without gaps.
+    `archives` should grow with the pages. Records stand in the order of page_id (then of their hash) without gaps. Records are named by page_id and a number that tells
+    repeated rows apart. Pages without a time of their own get `date`.
 
     Null urls and bodies are empty fields; a null id is written as "null". Repeated rows are separate records.
     """
-    made = pages.select(
-        F.col(id_col).alias("page_id"),
-        record(F.col(url_col), F.col(body_col), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).alias("record"),
-    ).withColumn("archive", F.pmod(F.xxhash64("page_id", "record"), F.lit(archives)).cast("int"))
-    order = Window.partitionBy("archive").orderBy("page_id", F.sha2("record", 256))
-    length = F.octet_length("record").cast("long")
-    return made.withColumn("length", length).withColumn(
-        "offset", F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).select("archive", "offset", "length", "page_id", "record")
+    read = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(body_col).cast("string").alias("body"))
+    read = read.withColumn("key", F.sha2(F.to_json(F.struct("url", "body")), 256)).withColumn("archive", F.pmod(F.xxhash64("page_id", "key"), F.lit(archives)).cast("int"))
+    copy = F.row_number().over(Window.partitionBy("archive", "page_id", "key").orderBy("key")) - 1
+    order = Window.partitionBy("archive").orderBy("page_id", "key", "copy")
+    name = F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), "copy")
+    made = read.withColumn("copy", copy).withColumn("record", record(F.col("url"), F.col("body"), name, date)).withColumn("length", F.octet_length("record").cast("long"))
+    upto = F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return made.withColumn("offset", upto).select("archive", "offset", "length", "page_id", "record")
+
+
+def read_records(records: DataFrame) -> DataFrame:
+    """What the bytes of records say: archive, offset, record_id, date, url, body (bytes), and is_whole: the version line is there, and the stated length of the body is
+    that of the bytes between header and end. Other columns are ignored; a null record isn't whole."""
+    text = F.decode("record", "UTF-8")
+    head = F.substring_index(text, "\r\n\r\n", 1)
+    value = lambda name: F.regexp_extract(head, rf"\r\n{name}: ([^\r\n]*)", 1)
+    stated = F.coalesce(F.nullif(F.regexp_extract(head, r"\r\nContent-Length: (\d{1,18})", 1), F.lit("")).cast("long"), F.lit(-1))
+    begin = F.octet_length(F.encode(head, "UTF-8")) + 4
+    whole = head.startswith("WARC/1.1\r\n") & (stated >= 0) & (begin + stated + 4 == F.octet_length("record"))
+    return records.select(
+        "archive",
+        "offset",
+        F.regexp_extract(value("WARC-Record-ID"), "^<(.*)>$", 1).alias("record_id"),
+        value("WARC-Date").alias("date"),
+        value("WARC-Target-URI").alias("url"),
+        F.when(whole, F.substr("record", (begin + 1).cast("int"), stated.cast("int"))).alias("body"),
+        F.coalesce(whole, F.lit(False)).alias("is_whole"),
+    )
 
 
 def record_hashes(records: DataFrame) -> DataFrame:

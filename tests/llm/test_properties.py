@@ -1,6 +1,6 @@
 """Laws of the Spark-free helpers on generated input."""
 
-from hypothesis import given, settings
+from hypothesis import assume, given, settings
 from hypothesis import strategies as st
 
 from sortline.llm import media, simhash
@@ -19,6 +19,7 @@ def test_audio_is_lossless(text):
 @given(st.binary(max_size=600), st.binary(max_size=60))
 def test_audio_reader_takes_any_bytes(junk, more):
     media.read(junk)
+    assume(not junk.startswith(b"ID3"))  # a tag may span what follows
     payload = media.pad(more)
     got = media.read(junk.replace(b"\xff", b"\xfe") + media.write(payload)[len(b"ID3") :])
     assert got.data.endswith(payload)
