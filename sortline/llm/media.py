@@ -112,9 +112,9 @@ def _synchsafe(b: bytes) -> int:
 
 
 def _tags(data: bytes) -> tuple[dict[str, str], int]:
-    end, at, tags = 10 + _synchsafe(data[6:10]), 10, {}
-    if data[:3] != b"ID3" or end > len(data):
+    if data[:3] != b"ID3" or len(data) < 10 or (end := 10 + _synchsafe(data[6:10])) > len(data):
         return {}, 0
+    at, tags = 10, {}
     while at + 10 <= end and data[at : at + 4].isalnum():
         size = _synchsafe(data[at + 4 : at + 8]) if data[3] > 3 else int.from_bytes(data[at + 4 : at + 8])
         body = data[at + 10 : min(end, at + 10 + size)]
