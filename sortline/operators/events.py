@@ -23,9 +23,9 @@ def parse_scans(scans: DataFrame) -> DataFrame:
 
 
 def match_scans(scans: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Parsed scans with the id and status of the newest task of their barcode, whatever its status; nulls where there is none."""
+    """Parsed scans with the id, month and status of the newest task of their barcode, whatever its status; nulls where there is none. Ids repeat over months, so both name a task."""
     newest = newest_by(tasks.select(C.key_text(C.blank_to_null("barcode")).alias("code"), "id", "status", "task_code", "created_time", "shard_month"), "code")
-    found = newest.select("code", F.col("id").alias("task_id"), F.col("status").alias("task_status"), F.col("task_code").alias("matched_code"))
+    found = newest.select("code", F.col("id").alias("task_id"), F.col("shard_month").alias("task_month"), F.col("status").alias("task_status"), F.col("task_code").alias("matched_code"))
     return parse_scans(scans).join(found, "code", "left")
 
 
@@ -52,8 +52,8 @@ def apply_scans(tasks: DataFrame, scans: DataFrame, now) -> DataFrame:
     order = F.struct("scan_time", "event_id")
     brought = [c for c in MEASURES if c in scans.columns and c in tasks.columns]
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(f"s_{c}")
-    folded = matched.groupBy("task_id").agg(F.count("*").cast("int").alias("scans"), F.max("scan_time").alias("s_scan_time"), last("chute"), last("device_code"), F.max_by("code", order).alias("s_code"), *map(last, brought))
-    rows = tasks.join(folded, tasks["id"] == folded["task_id"], "left")
+    folded = matched.groupBy("task_id", "task_month").agg(F.count("*").cast("int").alias("scans"), F.max("scan_time").alias("s_scan_time"), last("chute"), last("device_code"), F.max_by("code", order).alias("s_code"), *map(last, brought))
+    rows = tasks.join(folded, (tasks["id"] == folded["task_id"]) & (tasks["shard_month"] == folded["task_month"]), "left")
     hit = F.col("scans").isNotNull()
     ok, again = hit & can_scan(F.col("status")), hit & (F.col("status") == V.DROPPED)
     blank = C.blank_to_null("barcode").isNull()
@@ -158,20 +158,20 @@ def apply_drops(tasks: DataFrame, drops: DataFrame, now) -> Drops:
 
     Of a task's drops in one batch those up to its first failure count, by drop_time and event_id: a failure makes an exception, after which none is allowed."""
     judged = judge_drops(drops, tasks)
-    order = Window.partitionBy("t.id").orderBy("drop_time", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("t.id", "t.shard_month").orderBy("drop_time", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     valid = judged.filter(F.col("reason").isNull())
     failed_before = F.coalesce(F.max(~F.col("is_success")).over(order), F.lit(False))
     valid = valid.withColumn("reason", F.when(failed_before, V.DROP_STATUS))
     every = valid.unionByName(judged.filter(F.col("reason").isNotNull()))
     good = valid.filter(F.col("reason").isNull())
     when = F.struct("drop_time", "event_id")
-    folded = good.groupBy(F.col("t.id").alias("drop_of")).agg(
+    folded = good.groupBy(F.col("t.id").alias("drop_of"), F.col("t.shard_month").alias("drop_month")).agg(
         F.min("is_success").alias("all_fine"),
         F.max_by("chute", F.when(F.col("is_success"), when)).alias("d_chute"),
         F.max(F.when(F.col("is_success"), F.col("drop_time"))).alias("d_time"),
         F.max_by("failure_reason", F.when(~F.col("is_success"), when)).alias("d_reason"),
     )
-    rows = tasks.join(folded, tasks["id"] == folded["drop_of"], "left")
+    rows = tasks.join(folded, (tasks["id"] == folded["drop_of"]) & (tasks["shard_month"] == folded["drop_month"]), "left")
     hit, fine, any_fine = F.col("drop_of").isNotNull(), F.col("all_fine"), F.col("d_chute").isNotNull()
     actual = F.coalesce("d_chute", "actual_chute_code")
     new = {

@@ -45,10 +45,9 @@ def newest_by_key(spark, d):
     return S.newest_by(X.tasks(spark, d), "source_table_code", "business_key").select("source_table_code", "business_key", "id")
 
 
-@query("SELECT id % 1000 AS id, task_code FROM tasks QUALIFY row_number() OVER (PARTITION BY id % 1000 ORDER BY shard_month DESC, created_time DESC, task_code DESC) = 1")
+@query("SELECT id, task_code FROM tasks QUALIFY row_number() OVER (PARTITION BY id ORDER BY shard_month DESC) = 1")
 def ids_of_newest_month(spark, d):
-    rows = X.tasks(spark, d).select((F.col("id") % 1000).alias("id"), "shard_month", F.struct("created_time", "task_code").alias("created_time"), "task_code")
-    return S.by_newest_month(rows).select("id", "task_code")
+    return S.by_newest_month(X.tasks(spark, d)).select("id", "task_code")
 
 
 @query("SELECT id, business_key FROM tasks WHERE business_key IN (SELECT l_orderkey || '-' || l_linenumber FROM lineitem WHERE l_partkey % 97 = 0)")
@@ -83,7 +82,7 @@ def exception_page(spark, d):
     return S.task_items(S.page(S.find_tasks(X.tasks(spark, d), S.TaskFilter(START, END, only_exceptions=True)), 1, 50))
 
 
-@query(f"SELECT i.* FROM items i JOIN tasks t USING (id) WHERE {RECIRCULATED} ORDER BY i.created_time DESC, id DESC LIMIT 50", (X.TASKS, ITEMS))
+@query(f"SELECT i.* FROM items i JOIN tasks t USING (task_code) WHERE {RECIRCULATED} ORDER BY i.created_time DESC, i.id DESC LIMIT 50", (X.TASKS, ITEMS))
 def recirculated_page(spark, d):
     return S.task_items(S.page(S.find_tasks(X.tasks(spark, d), S.TaskFilter(START, END, only_recirculated=True)), 1, 50))
 
@@ -118,10 +117,11 @@ def scan_page(spark, d):
     return S.page(S.find_scans(X.scan_logs(spark, d), SCAN_START, SCAN_END), 2, 40, time="scan_time")
 
 
-BOXES = f"""boxes AS (SELECT s.id, s.barcode AS box_id, t.task_code, t.wave_code, t.order_id, t.store_id, t.store_name, t.product_code, t.pick_location, s.device_code AS scanner, s.scan_time,
+BOXES = f"""newest AS (SELECT * FROM tasks QUALIFY row_number() OVER (PARTITION BY id ORDER BY shard_month DESC) = 1),
+boxes AS (SELECT s.id, s.barcode AS box_id, t.task_code, t.wave_code, t.order_id, t.store_id, t.store_name, t.product_code, t.pick_location, s.device_code AS scanner, s.scan_time,
   CASE WHEN t.id IS NOT NULL THEN {CHUTE} END AS chute,
   CASE WHEN NOT s.is_matched THEN '未匹配' WHEN t.id IS NULL THEN '已匹配' WHEN {EXCEPTIONAL} THEN '异常待处理' WHEN is_recirculated OR {RECIRCULATED} THEN '回流复扫' ELSE '已扫描' END AS box_status,
-  s.is_matched, s.failure_reason FROM scan_logs s LEFT JOIN tasks t ON s.business_task_id = t.id)"""
+  s.is_matched, s.failure_reason FROM scan_logs s LEFT JOIN newest t ON s.business_task_id = t.id)"""
 
 
 @query("SELECT * FROM boxes", (X.TASKS, X.SCAN_LOGS, BOXES))

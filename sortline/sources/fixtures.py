@@ -13,8 +13,14 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def order_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: orders_used, how many orders the events are about. It grows with the orders, and an order has several events."""
+    return load(spark, sf_dir, "orders").agg(F.greatest(F.lit(1), F.floor(F.count("*") / 10)).alias("orders_used"))
+
+
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One task for each order line: of rows with one key the latest shipped counts."""
+    """One task for each order line: of rows with one key the latest shipped counts. Ids are unique in a month only: two neighbouring orders share theirs where one is of
+    an even month and the other of an odd one."""
     lines = load(spark, sf_dir, "lineitem")
     lines = C.first_of(lines, ["l_orderkey", "l_linenumber"], F.desc("l_shipdate"), F.desc("l_partkey"), F.desc("l_suppkey"))
     rows = lines.join(load(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
@@ -29,7 +35,7 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         rows.withColumns({"source_type": source, "status": status, "created_time": created})
         .select(
-            (F.col("l_orderkey") * 10 + nr).alias("id"),
+            (F.shiftright("l_orderkey", 1) * 20 + (F.col("l_orderkey") + F.month("o_orderdate")) % 2 * 10 + nr).cast("long").alias("id"),
             code.alias("task_code"),
             F.lit("LINES").alias("source_table_code"),
             code.alias("business_key"),
@@ -99,10 +105,10 @@ def scan_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scan_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scans of tasks by barcode, some unreadable; a task may be scanned several times."""
-    e = load(spark, sf_dir, "events").filter("event_type in ('click', 'view')")
-    codes = tasks(spark, sf_dir).select("id", "barcode")
-    e = e.withColumn("of", F.col("event_id") % 1500 * 10 + 1 + F.col("event_id") % 3)
-    return e.join(codes, F.col("of") == codes["id"], "left").select(
+    e = load(spark, sf_dir, "events").filter("event_type in ('click', 'view')").crossJoin(order_keys(spark, sf_dir))  # one row
+    codes = tasks(spark, sf_dir).select("task_code", "barcode")
+    e = e.withColumn("of", F.concat_ws("-", F.col("event_id") % F.col("orders_used"), 1 + F.col("event_id") % 3))
+    return e.join(codes, F.col("of") == codes["task_code"], "left").select(
         "event_id",
         F.when(F.col("event_id") % 23 == 0, "??").otherwise(F.coalesce("barcode", F.lit("02"))).alias("barcode"),
         F.col("ts").alias("scan_time"),
@@ -112,12 +118,12 @@ def scan_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = load(spark, sf_dir, "events").filter("event_type = 'purchase'")
+    e = load(spark, sf_dir, "events").filter("event_type = 'purchase'").crossJoin(order_keys(spark, sf_dir))  # one row
     nr = F.col("event_id")
     whole = F.floor(F.col("value")).cast("long")
     return e.select(
         "event_id",
-        F.when(nr % 9 > 0, F.concat_ws("-", nr % 1500, 1 + nr % 3)).alias("task_code"),
+        F.when(nr % 9 > 0, F.concat_ws("-", nr % F.col("orders_used"), 1 + nr % 3)).alias("task_code"),
         F.lit(None).cast("string").alias("barcode"),
         F.when(nr % 13 > 0, (whole % 12).cast("string")).alias("actual_chute_code"),
         (whole % 10 >= 1).alias("is_success"),
@@ -163,7 +169,7 @@ made AS (
     o_orderdate + to_seconds(l_linenumber * 60 + l_partkey % 60) AS created_time
   FROM lines JOIN orders ON l_orderkey = o_orderkey),
 tasks0 AS (
-  SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey || '-' || l_linenumber AS task_code, 'LINES' AS source_table_code,
+  SELECT l_orderkey // 2 * 20 + (l_orderkey + month(o_orderdate)) % 2 * 10 + l_linenumber AS id, l_orderkey || '-' || l_linenumber AS task_code, 'LINES' AS source_table_code,
     l_orderkey || '-' || l_linenumber AS business_key, source_type, created_time,
     CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN (CASE WHEN l_linenumber = 7 THEN 'w' ELSE 'W' END) || (o_custkey % 40) END AS wave_code,
     CASE WHEN l_quantity >= 10 THEN 'R' || (l_suppkey % 3) END AS wave_remark,
@@ -199,18 +205,21 @@ scan_logs AS (
     'D' || (user_id % 20) AS device_code, event_type <> 'error' AS is_matched, CASE WHEN event_type = 'error' THEN 'no task' END AS failure_reason, ts AS scan_time
   FROM events)"""
 
+ORDER_KEYS = """
+order_keys AS (SELECT greatest(1, count(*) // 10) AS orders_used FROM orders)"""
+
 SCAN_EVENTS = """
 scan_events AS (
   SELECT event_id, CASE WHEN event_id % 23 = 0 THEN '??' ELSE coalesce(barcode, '02') END AS barcode, ts AS scan_time, 'D' || (user_id % 20) AS device_code,
     CAST(value AS DECIMAL(18,3)) AS weight_gram
-  FROM (SELECT * FROM events WHERE event_type IN ('click', 'view')) e LEFT JOIN (SELECT id, barcode FROM tasks) t ON t.id = event_id % 1500 * 10 + 1 + event_id % 3)"""
+  FROM (SELECT * FROM events, order_keys WHERE event_type IN ('click', 'view')) e LEFT JOIN (SELECT task_code, barcode FROM tasks) t ON t.task_code = (event_id % orders_used) || '-' || (1 + event_id % 3))"""
 
 DROP_EVENTS = """
 drop_events AS (
-  SELECT event_id, CASE WHEN event_id % 9 > 0 THEN (event_id % 1500) || '-' || (1 + event_id % 3) END AS task_code, CAST(NULL AS VARCHAR) AS barcode,
+  SELECT event_id, CASE WHEN event_id % 9 > 0 THEN (event_id % orders_used) || '-' || (1 + event_id % 3) END AS task_code, CAST(NULL AS VARCHAR) AS barcode,
     CASE WHEN event_id % 13 > 0 THEN CAST(CAST(floor(value) AS BIGINT) % 12 AS VARCHAR) END AS actual_chute_code,
     CAST(floor(value) AS BIGINT) % 10 >= 1 AS is_success, CASE WHEN CAST(floor(value) AS BIGINT) % 10 < 1 THEN 'jam' END AS failure_reason, ts AS drop_time
-  FROM events WHERE event_type = 'purchase')"""
+  FROM events, order_keys WHERE event_type = 'purchase')"""
 
 SYNC_BATCHES = """
 sync_batches AS (
