@@ -45,8 +45,10 @@ def alphanumeric_key(c: Name) -> Column:
 
 
 def has_zone(c: Name) -> Column:
-    """Whether a time text ends with Z or an offset."""
-    return _c(c).rlike(r"(?i)(Z|[+-]\d{2}:?\d{2})\s*$")
+    """Whether a text is a time with a zone or offset: one that can be read, and that can't take another zone."""
+    text = F.upper(F.trim(_c(c)))
+    read = lambda x: x.try_cast("timestamp").isNotNull()
+    return read(text) & ~read(F.concat(text, F.lit("Z"))) & ~read(F.concat(text, F.lit(" 00:00:00Z")))
 
 
 def clean_text(c: Name, length: int) -> Column:

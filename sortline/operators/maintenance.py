@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import fixed as V
-from ..sources.tables import LEGACY
+from ..sources.sinks import ROUTES, feedback_write_back
+from ..sources.tables import LEGACY, read_months
 
 #: A claim older than this may be claimed again.
 STALE = timedelta(minutes=10)
@@ -54,20 +56,50 @@ def mark_claimed(tasks: DataFrame, claimed: DataFrame, now) -> DataFrame:
     return _mark(tasks, claimed, {"feedback_status": F.lit(V.PROCESSING), "updated_time": C.ntz(now)})
 
 
-def finish_feedback(tasks: DataFrame, claimed: DataFrame, written: int, now) -> DataFrame:
-    """Claimed tasks are completed if as many rows were written, else all failed."""
-    done = written == claimed.count()
+def finish_feedback(tasks: DataFrame, claimed: DataFrame, written: int | None, now) -> DataFrame:
+    """Claimed tasks are completed if as many rows were written, else all failed; None stands for a write that failed."""
+    done = written is not None and written == claimed.count()
     new = {"feedback_status": F.lit(V.COMPLETED if done else V.FAILED), "updated_time": C.ntz(now)}
     if done:
         new |= {"is_feedback_reported": F.lit(True), "feedback_time": C.ntz(now)}
     return _mark(tasks, claimed, {c: v for c, v in new.items() if c in tasks.columns})
 
 
+@dataclass(frozen=True)
+class Feedback:
+    """tasks after the run and one row of result: claimed, written, succeeded, failed, skipped, failure."""
+
+    tasks: DataFrame
+    result: DataFrame
+
+
+def report_feedback(tasks: DataFrame, write: Callable[[DataFrame], int], now, n: int = 100, status: int = V.PENDING, task_code: str | None = None) -> Feedback:
+    """Claim, write back, finish. status: pending for the run of a day, failed for a retry; task_code: of one task alone, which is skipped if it isn't due. write() gets
+    the rows for the targets and gives how many were written. A write that fails, or that writes another number, makes all claimed tasks failed. The claim is of n rows at most
+    and taken once, so that what is written is what is finished."""
+    found = claim_feedback(tasks, status, n, now) if task_code is None else claim_by_code(tasks, task_code.strip(), status, now)
+    spark, keys = tasks.sparkSession, ["id", "shard_month"]
+    taken = spark.createDataFrame(found.select(*keys).collect(), found.select(*keys).schema)
+    count = taken.count()
+    skipped = int(task_code is not None and not count)
+    written, failure = 0, None
+    if count:
+        rows = mark_claimed(tasks, taken, now).join(F.broadcast(taken), keys, "left_semi")
+        try:
+            written = write(feedback_write_back(rows, ROUTES, {"chute": "actual_chute_code", "at": "scanned_at"}))
+            failure = None if written == count else f"{written} rows written, {count} claimed"
+        except Exception as e:
+            written, failure = None, f"write-back failed: {type(e).__name__}"
+    after = finish_feedback(tasks, taken, written, now) if count else tasks
+    row = (count, written or 0, 0 if failure else count, count if failure else 0, skipped, failure)
+    return Feedback(after, spark.createDataFrame([row], "claimed long, written long, succeeded long, failed long, skipped long, failure string"))
+
+
 def _mark(tasks: DataFrame, some: DataFrame, new: dict) -> DataFrame:
-    """tasks with new values where the id is in `some`, which a claim keeps small."""
-    ids = some.select(F.col("id").alias("marked")).distinct()
-    rows = tasks.join(ids, tasks["id"] == F.col("marked"), "left")
-    return rows.withColumns({c: F.when(F.col("marked").isNotNull(), v).otherwise(F.col(c)) for c, v in new.items()}).drop("marked")
+    """tasks with new values where id and month are in `some`, which a claim keeps small. Ids repeat over months."""
+    ids = some.select(F.col("id").alias("marked"), F.col("shard_month").alias("marked_month")).distinct()
+    rows = tasks.join(ids, (tasks["id"] == F.col("marked")) & (tasks["shard_month"] == F.col("marked_month")), "left")
+    return rows.withColumns({c: F.when(F.col("marked").isNotNull(), v).otherwise(F.col(c)) for c, v in new.items()}).drop("marked", "marked_month")
 
 
 def expired_months(tasks: DataFrame, now, keep_months: int) -> DataFrame:
@@ -76,25 +108,77 @@ def expired_months(tasks: DataFrame, now, keep_months: int) -> DataFrame:
     return tasks.filter((F.col("shard_month") != LEGACY) & (F.col("shard_month") < first)).groupBy("shard_month").agg(F.count("*").cast("long").alias("rows"))
 
 
+@dataclass(frozen=True)
+class Target:
+    """A table under retention."""
+
+    code: str
+    table: str
+    keep_months: int = 3
+    mode: str = "DropShards"
+    time: str = "created_time"
+    dry_run: bool = False
+    allowed: bool = True
+
+
 @dataclass(frozen=True)
 class Retention:
     dropped: list[str]
+    months: DataFrame
     audit: DataFrame
 
 
-def drop_months(spark: SparkSession, path: str, now, keep_months: int, dry_run: bool = False, allowed: bool = True) -> Retention:
-    """Drop the directories of expired months of a table. A dry run, or where dropping isn't allowed, only counts. The audit has a row for each month."""
-    from ..sources.tables import read_months
+AUDIT = (
+    "id string, batch_id string, target_code string, logical_table string, retention_mode string, time_column string, keep_months int, is_dry_run boolean, allow_delete boolean, threshold_time timestamp_ntz, "
+    "execution_stage string, scanned_count long, candidate_count long, deleted_count long, message string, instance_id string, started_time timestamp_ntz, completed_time timestamp_ntz"
+)
+
+
+def retention_audit(tasks: DataFrame, target: Target, batch_id: str, now, instance: str = "", completed=None, error: str | None = None) -> DataFrame:
+    """The audit row of a run over a table by month: months scanned, months that expired, and how many of them were dropped (none in a dry run, where dropping isn't
+    allowed, or if it failed). Months without rows aren't there to be counted."""
+    first = C.month_key(C.retention_threshold(C.ntz(now), target.keep_months))
+    months = tasks.select("shard_month").distinct().agg(F.count("*").cast("long").alias("scanned"), F.count_if((F.col("shard_month") != LEGACY) & (F.col("shard_month") < first)).cast("long").alias("expired"))
+    drops = target.allowed and not target.dry_run and error is None
+    said = "failed" if error is not None else "dry run" if target.dry_run else "dropped" if target.allowed else "not allowed"
+    none = F.lit(0).cast("long")
+    return months.select(
+        F.concat_ws(":", F.lit(batch_id), F.lit(target.code)).alias("id"),
+        F.lit(batch_id).alias("batch_id"),
+        F.lit(target.code).alias("target_code"),
+        F.lit(target.table).alias("logical_table"),
+        F.lit(target.mode).alias("retention_mode"),
+        F.lit(target.time).alias("time_column"),
+        F.lit(target.keep_months).alias("keep_months"),
+        F.lit(target.dry_run).alias("is_dry_run"),
+        F.lit(target.allowed).alias("allow_delete"),
+        C.retention_threshold(C.ntz(now), target.keep_months).cast("timestamp_ntz").alias("threshold_time"),
+        F.lit("Completed" if error is None else "Failed").alias("execution_stage"),
+        (F.col("scanned") if error is None else none).alias("scanned_count"),
+        (F.col("expired") if error is None else none).alias("candidate_count"),
+        (F.col("expired") if drops else none).alias("deleted_count"),
+        (F.concat(F.lit(f"{said}: "), "expired", F.lit(" months")) if error is None else C.clean_text(F.lit(error), 512)).alias("message"),
+        F.lit(instance).alias("instance_id"),
+        C.ntz(now).alias("started_time"),
+        C.ntz(now if completed is None else completed).alias("completed_time"),
+    )
+
 
-    found = expired_months(read_months(spark, path), now, keep_months).collect()  # a row for each month of the table
-    outcome = "dry run" if dry_run else "dropped" if allowed else "not allowed"
+def drop_months(spark: SparkSession, path: str, now, keep_months: int, dry_run: bool = False, allowed: bool = True, batch_id: str = "", target: Target | None = None) -> Retention:
+    """Drop the directories of expired months of a table. A dry run, or where dropping isn't allowed, only counts. months has a row for each expired month, audit one for the run."""
+    target = target or Target(path, path, keep_months, dry_run=dry_run, allowed=allowed)
+    table = read_months(spark, path)
+    found = expired_months(table, now, target.keep_months).collect()  # a row for each month of the table
+    audit = retention_audit(table, target, batch_id, now).collect()
+    outcome = "dry run" if target.dry_run else "dropped" if target.allowed else "not allowed"
     rows = [(r["shard_month"], r["rows"], outcome) for r in found]
     if outcome == "dropped":
         root = spark._jvm.org.apache.hadoop.fs.Path(path)
         fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
         for month, _, _ in rows:
             fs.delete(spark._jvm.org.apache.hadoop.fs.Path(root, f"shard_month={month}"), True)
-    return Retention([m for m, _, _ in rows if outcome == "dropped"], spark.createDataFrame(rows, "shard_month string, rows long, outcome string"))
+    months = spark.createDataFrame(rows, "shard_month string, rows long, outcome string")
+    return Retention([m for m, _, _ in rows if outcome == "dropped"], months, spark.createDataFrame(audit, AUDIT))
 
 
 def delete_before(df: DataFrame, time: str, threshold) -> DataFrame:

@@ -90,6 +90,14 @@ def upsert(tasks: DataFrame, incoming: DataFrame) -> DataFrame:
     return out.withColumns({c: e for c, e in derived.items() if c in tasks.columns})
 
 
+def upsert_months(tasks: DataFrame, incoming: DataFrame) -> tuple[list[str], DataFrame]:
+    """(months, their tasks after a projection, as upsert() gives them), to be written in place of those months. Tasks stay in their month; new ones go to that of their creation."""
+    keys = ["source_table_code", "business_key"]
+    held = tasks.select(*keys, "shard_month").join(incoming.select(*keys).distinct(), keys, "left_semi").select("shard_month")
+    months = sorted(r[0] for r in held.unionByName(incoming.select(C.month_key("created_time").alias("shard_month"))).distinct().collect())  # a table has few
+    return months, upsert(tasks.filter(F.col("shard_month").isin(months)), incoming)
+
+
 def upsert_counts(upserted: DataFrame) -> DataFrame:
     """Inserts and updates apart, and their sum."""
     inserted, updated = (F.count_if(F.col("change") == x).cast("long") for x in "IU")

@@ -93,6 +93,21 @@ def merge_table(target: DataFrame, rows: DataFrame, key: str = "business_key") -
     return old.join(new, "k", "full").select(F.coalesce("new", "old").alias("r")).select("r.*")
 
 
+def touched_months(target: DataFrame, rows: DataFrame, key: str = "business_key") -> list[str]:
+    """Months that a merge of rows (with the shard_month that each goes to) changes: those that hold rows of their keys now, found by keys alone, and those they go to.
+    A table has few months."""
+    keys = rows.select(C.key_text(key).alias("k")).distinct()
+    held = target.select(C.key_text(key).alias("k"), "shard_month").join(keys, "k", "left_semi").select("shard_month")
+    return sorted(r[0] for r in held.unionByName(rows.select("shard_month")).distinct().collect())
+
+
+def merge_months(target: DataFrame, rows: DataFrame, key: str = "business_key") -> tuple[list[str], DataFrame]:
+    """(months, their rows after the merge), to be written in place of those months; all other months stay as they are and aren't read but for keys. A row whose
+    month changed leaves the old one, as both are among the months."""
+    months = touched_months(target, rows, key)
+    return months, merge_table(target.filter(F.col("shard_month").isin(months)), rows, key)
+
+
 def delete_keys(target: DataFrame, keys: DataFrame, key: str = "business_key") -> DataFrame:
     gone = keys.select(C.key_text(key).alias("gone")).distinct()
     return target.join(gone, C.key_text(target[key]) == F.col("gone"), "left_anti")

@@ -36,24 +36,24 @@ def feedback_claimed(spark, d):
     return M.claim_feedback(X.tasks(spark, d), V.PENDING, 200, "1998-01-01 12:00:00").select("id", "created_time")
 
 
-@query("SELECT id, CASE WHEN id IN (SELECT id FROM claimed) THEN 4 ELSE feedback_status END AS feedback_status FROM tasks", (X.TASKS, CLAIMED))
+@query("SELECT id, shard_month, CASE WHEN (id, shard_month) IN (SELECT (id, shard_month) FROM claimed) THEN 4 ELSE feedback_status END AS feedback_status FROM tasks", (X.TASKS, CLAIMED))
 def feedback_processing(spark, d):
     rows = X.tasks(spark, d)
-    return M.mark_claimed(rows, M.claim_feedback(rows, V.PENDING, 200, "1998-01-01 12:00:00"), "1998-01-01 12:00:00").select("id", "feedback_status")
+    return M.mark_claimed(rows, M.claim_feedback(rows, V.PENDING, 200, "1998-01-01 12:00:00"), "1998-01-01 12:00:00").select("id", "shard_month", "feedback_status")
 
 
-@query("SELECT id, CASE WHEN id IN (SELECT id FROM claimed) THEN 2 ELSE feedback_status END AS feedback_status FROM tasks", (X.TASKS, CLAIMED))
+@query("SELECT id, shard_month, CASE WHEN (id, shard_month) IN (SELECT (id, shard_month) FROM claimed) THEN 2 ELSE feedback_status END AS feedback_status FROM tasks", (X.TASKS, CLAIMED))
 def feedback_finished(spark, d):
     rows = X.tasks(spark, d)
     claimed = M.claim_feedback(rows, V.PENDING, 200, "1998-01-01 12:00:00")
-    return M.finish_feedback(rows, claimed, claimed.count(), "1998-01-01 12:00:00").select("id", "feedback_status")
+    return M.finish_feedback(rows, claimed, claimed.count(), "1998-01-01 12:00:00").select("id", "shard_month", "feedback_status")
 
 
-@query("SELECT id, CASE WHEN id IN (SELECT id FROM claimed) THEN 3 ELSE feedback_status END AS feedback_status FROM tasks", (X.TASKS, CLAIMED))
+@query("SELECT id, shard_month, CASE WHEN (id, shard_month) IN (SELECT (id, shard_month) FROM claimed) THEN 3 ELSE feedback_status END AS feedback_status FROM tasks", (X.TASKS, CLAIMED))
 def feedback_short_write(spark, d):
     rows = X.tasks(spark, d)
     claimed = M.claim_feedback(rows, V.PENDING, 200, "1998-01-01 12:00:00")
-    return M.finish_feedback(rows, claimed, claimed.count() - 1, "1998-01-01 12:00:00").select("id", "feedback_status")
+    return M.finish_feedback(rows, claimed, claimed.count() - 1, "1998-01-01 12:00:00").select("id", "shard_month", "feedback_status")
 
 
 @query("SELECT shard_month, count(*) AS rows FROM tasks WHERE shard_month < '199708' GROUP BY 1")
@@ -70,3 +70,42 @@ def rows_kept(spark, d):
 def business_keys(spark, d):
     e = X.load(spark, d, "events").withColumn("none", F.lit(None).cast("string"))
     return e.select("event_id", C.business_key(("ts", "timestamp_ntz"), ("event_type", "string"), ("none", "string")).alias("business_key"))
+
+
+@query("SELECT id, shard_month, CASE WHEN (id, shard_month) IN (SELECT (id, shard_month) FROM claimed) THEN 2 ELSE feedback_status END AS feedback_status FROM tasks", (X.TASKS, CLAIMED))
+def feedback_reported(spark, d):
+    """The whole run: claim, write back, finish."""
+    return M.report_feedback(X.tasks(spark, d), lambda rows: rows.count(), "1998-01-01 12:00:00", 200).tasks.select("id", "shard_month", "feedback_status")
+
+
+FAILED = CLAIMED.replace("feedback_status = 1", "feedback_status = 3")
+
+
+@query("SELECT count(*) AS claimed, count(*) - 1 AS written, 0 AS succeeded, count(*) AS failed, 0 AS skipped, (count(*) - 1) || ' rows written, ' || count(*) || ' claimed' AS failure FROM claimed", (X.TASKS, FAILED))
+def feedback_retry_result(spark, d):
+    """A retry of failed tasks whose target takes a row less."""
+    return M.report_feedback(X.tasks(spark, d), lambda rows: rows.count() - 1, "1998-01-01 12:00:00", 200, V.FAILED).result
+
+
+@query(
+    """SELECT 'run-1:tasks' AS id, 'run-1' AS batch_id, 'tasks' AS target_code, 'business_tasks' AS logical_table, 'DropShards' AS retention_mode, 'created_time' AS time_column, 6 AS keep_months, false AS is_dry_run, true AS allow_delete,
+  TIMESTAMP '1997-08-01' AS threshold_time, 'Completed' AS execution_stage, count(DISTINCT shard_month) AS scanned_count, count(DISTINCT shard_month) FILTER (shard_month < '199708') AS candidate_count,
+  count(DISTINCT shard_month) FILTER (shard_month < '199708') AS deleted_count, 'dropped: ' || count(DISTINCT shard_month) FILTER (shard_month < '199708') || ' months' AS message, 'here' AS instance_id,
+  TIMESTAMP '1998-01-15' AS started_time, TIMESTAMP '1998-01-15 00:00:09' AS completed_time FROM tasks"""
+)
+def retention_audit(spark, d):
+    target = M.Target("tasks", "business_tasks", 6)
+    return M.retention_audit(X.tasks(spark, d), target, "run-1", "1998-01-15 00:00:00", "here", "1998-01-15 00:00:09")
+
+
+@query(
+    """SELECT task_code, CASE WHEN l < 5 THEN make_date(CAST(shard_month[1:4] AS BIGINT), CAST(shard_month[5:6] AS BIGINT), 1) END AS month, order_id AS first_part, split_part(task_code, '-', 2) AS second_part, l % 2 = 0 AS has_zone, left('a' || order_id || 'b', 4) AS cleaned
+FROM (SELECT *, CAST(split_part(task_code, '-', 2) AS INTEGER) AS l FROM tasks)"""
+)
+def text_functions(spark, d):
+    t = X.tasks(spark, d).withColumn("l", F.split("task_code", "-")[1].cast("int"))
+    name = F.when(F.col("l") < 5, F.concat(F.lit("business_tasks_"), "shard_month")).otherwise(F.concat(F.lit("business_tasks_13"), "l"))
+    first, second = C.split_key(F.translate("task_code", "-", "|"), 2)
+    at = F.concat(F.date_format("created_time", "yyyy-MM-dd HH:mm:ss"), F.when(F.col("l") % 4 == 0, "Z").when(F.col("l") % 2 == 0, "+08:00").otherwise(""))
+    text = F.concat(F.lit("a\n"), "order_id", F.lit("\tb"))
+    return t.select("task_code", C.month_of_name(name).alias("month"), first.alias("first_part"), second.alias("second_part"), C.has_zone(at).alias("has_zone"), C.clean_text(text, 4).alias("cleaned"))

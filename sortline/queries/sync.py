@@ -144,6 +144,36 @@ def last_of_batch(spark, d):
     return P.last_of_batch(X.incoming(spark, d), ("business_key",), "seq").select("business_key", "cursor", "l_partkey", "l_suppkey", "seq.turn")
 
 
+BATCH = """batch AS (SELECT business_key, cursor, quantity, CASE WHEN l_partkey % 3 = 0 THEN strftime(cursor + INTERVAL 1 MONTH, '%Y%m') ELSE strftime(cursor, '%Y%m') END AS shard_month
+  FROM incoming WHERE cursor >= TIMESTAMP '1997-12-20' AND cursor < TIMESTAMP '1998-01-10' AND turn = 0 QUALIFY row_number() OVER (PARTITION BY business_key ORDER BY cursor DESC, l_partkey DESC, l_suppkey DESC) = 1),
+kept AS (SELECT business_key, cursor, quantity, strftime(cursor, '%Y%m') AS shard_month FROM (SELECT *, (cursor, l_partkey, l_suppkey) AS o FROM incoming WHERE cursor < TIMESTAMP '1998-01-01' AND turn = 0) QUALIFY row_number() OVER (PARTITION BY business_key ORDER BY o DESC) = 1),
+touched AS (SELECT shard_month FROM batch UNION SELECT shard_month FROM kept WHERE business_key IN (SELECT business_key FROM batch))"""
+
+
+@query(
+    "SELECT * FROM batch UNION ALL SELECT * FROM kept WHERE shard_month IN (SELECT shard_month FROM touched) AND business_key NOT IN (SELECT business_key FROM batch)",
+    (X.INCOMING, BATCH),
+)
+def months_merged(spark, d):
+    """What a batch of three weeks, a third of it moved to the next month, makes of the months that it touches."""
+    rows = X.incoming(spark, d).filter("seq.turn = 0")
+    last = lambda df: df.groupBy("business_key").agg(F.max_by(F.struct("cursor", "quantity", "l_partkey"), "seq").alias("r")).select("business_key", "r.*")
+    target = last(rows.filter("cursor < '1998-01-01'")).withColumn("shard_month", C.month_key("cursor")).drop("l_partkey")
+    batch = last(rows.filter("cursor >= '1997-12-20' AND cursor < '1998-01-10'"))
+    month = F.when(F.col("l_partkey") % 3 == 0, C.month_key(F.col("cursor") + F.expr("INTERVAL 1 MONTH"))).otherwise(C.month_key("cursor"))
+    return S.merge_months(target, batch.withColumn("shard_month", month).drop("l_partkey"))[1]
+
+
+STATES = "states AS (SELECT business_key, strftime(cursor, '%Y%m') AS shard_month, cursor + to_days(CAST(l_partkey % 40 AS INTEGER)) AS updated_time FROM incoming WHERE turn = 0)"
+
+
+@query("SELECT business_key, max(shard_month) AS shard_month, max(updated_time) AS updated_time FROM (SELECT * FROM states QUALIFY rank() OVER (PARTITION BY business_key ORDER BY updated_time DESC, shard_month DESC) = 1) GROUP BY 1", (X.INCOMING, STATES))
+def latest_state(spark, d):
+    rows = X.incoming(spark, d).filter("seq.turn = 0")
+    states = rows.select("business_key", C.month_key("cursor").alias("shard_month"), (F.col("cursor") + F.make_dt_interval(days=(F.col("l_partkey") % 40).cast("int"))).alias("updated_time"))
+    return S.latest_state(states)
+
+
 GONE = f"gone AS (SELECT business_key, cursor FROM state WHERE {WINDOWED} AND business_key NOT IN (SELECT business_key FROM source_keys))"
 DELETED = (X.INCOMING, X.SOURCE_KEYS, STATE, GONE)
 
@@ -247,6 +277,21 @@ def projection_upsert(spark, d):
     return P.upsert(X.tasks(spark, d), good).select("business_key", "wave_code", "status", "barcode", "created_time", "change")
 
 
+FEW = """few AS (SELECT * FROM given WHERE t >= TIMESTAMP '1997-06-01' AND t < TIMESTAMP '1997-06-08'),
+touched AS (SELECT shard_month FROM tasks JOIN few ON business_key = k UNION SELECT strftime(t, '%Y%m') FROM few),
+updated AS (SELECT coalesce(o.business_key, g.k) AS business_key, CASE WHEN g.k IS NOT NULL THEN trim(g.wave) ELSE o.wave_code END AS wave_code, coalesce(o.shard_month, strftime(g.t, '%Y%m')) AS shard_month,
+  CASE WHEN o.business_key IS NULL THEN 'I' WHEN g.k IS NOT NULL THEN 'U' END AS change
+  FROM (SELECT * FROM tasks WHERE shard_month IN (SELECT shard_month FROM touched)) o FULL JOIN few g ON o.business_key = g.k)"""
+
+
+@query("SELECT * FROM updated", (X.TASKS, SOURCE, FEW))
+def months_upserted(spark, d):
+    """What the source rows of a week make of the months that they touch."""
+    good, _ = P.project(P.last_of_batch(source(spark, d).filter("k IS NOT NULL"), ("k",), "seq"), LINES, NOW)
+    week = good.filter("created_time >= '1997-06-01' AND created_time < '1997-06-08'")
+    return P.upsert_months(X.tasks(spark, d), week)[1].select("business_key", "wave_code", "shard_month", "change")
+
+
 @query("SELECT count(*) FILTER (change = 'I') AS inserted, count(*) FILTER (change = 'U') AS updated, count(change) AS affected FROM upserted", (X.TASKS, SOURCE, UPSERTED))
 def projection_counts(spark, d):
     good, _ = P.project(P.last_of_batch(source(spark, d).filter("k IS NOT NULL"), ("k",), "seq"), LINES, NOW)

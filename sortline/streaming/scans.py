@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators.events import apply_scans, match_scans, scan_log_rows
-from ..plans.snapshots import Snapshot, refresh
+from ..plans.snapshots import Snapshots, refresh_all
+from ..sources.versions import Files, MonthTable
 
 
 def minute_counts(scans: DataFrame, late: str = "10 minutes") -> DataFrame:
@@ -19,55 +21,68 @@ def minute_counts(scans: DataFrame, late: str = "10 minutes") -> DataFrame:
     return out.select(F.col("w.start").alias("bucket"), "total", "matched")
 
 
-class TaskTable:
-    """A table of tasks kept as versions: each is written whole to a path of its own, so what is read is never overwritten, and a failed write leaves the last
-    version as it was. Versions carry the number of the micro-batch that made them, which makes a batch that comes again do nothing."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        path = spark._jvm.org.apache.hadoop.fs.Path
-        self._path = path
-        self._fs = path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def versions(self) -> list[int]:
-        if not self._fs.exists(self._path(self.root)):
-            return []
-        found = [s.getPath() for s in self._fs.listStatus(self._path(self.root))]
-        return sorted(int(p.getName()[1:]) for p in found if self._fs.exists(self._path(p, "_SUCCESS")))
-
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/v{self.versions()[-1]}")
-
-    def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/v{version}")
-
-    def prune(self, keep: int = 2) -> None:
-        for v in self.versions()[:-keep]:
-            self._fs.delete(self._path(f"{self.root}/v{v}"), True)
-
-
-def apply_scan_stream(scans: DataFrame, tasks: TaskTable, log_path: str, checkpoint: str, now: Callable[[], object], keep: int = 2) -> StreamingQuery:
-    """Apply a stream of scans to a task table and write the scan log. Delivery is at least once; both writes are by batch number, so their effect is once."""
+def apply_scan_stream(scans: DataFrame, tasks: MonthTable, log_path: str, checkpoint: str, now: Callable[[], object], keep: int = 2) -> StreamingQuery:
+    """Apply a stream of scans to a task table and write the scan log. A micro-batch looks its barcodes up in all months and rewrites those of the tasks that it finds.
+    Delivery is at least once; both writes are by batch number, so their effect is once."""
 
     def batch(df: DataFrame, number: int) -> None:
         version = number + 1  # version 0 is the table at the start
         if version in tasks.versions():
             return
-        current = tasks.read()
-        scan_log_rows(match_scans(df, current)).write.mode("overwrite").parquet(f"{log_path}/batch={number}")
-        tasks.write(apply_scans(current, df, now()), version)
+        df = df.persist()
+        matched = match_scans(df, tasks.read()).persist()
+        scan_log_rows(matched).write.mode("overwrite").parquet(f"{log_path}/batch={number}")
+        months = [r[0] for r in matched.filter(F.col("task_month").isNotNull()).select("task_month").distinct().collect()]  # a table has few
+        # the newest task of a barcode is in one of these months, so it is the newest among them too
+        tasks.write(apply_scans(tasks.read(months), df, now()), version, months)
         tasks.prune(keep)
+        matched.unpersist()
+        df.unpersist()
 
     return scans.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def refresh_stream(changes: DataFrame, read_tasks: Callable[[], DataFrame], start: Snapshot | None, write: Callable[[Snapshot], Snapshot], checkpoint: str, now: Callable[[], object]) -> StreamingQuery:
-    """Refresh a snapshot at every micro-batch of task changes. write() stores a snapshot and gives it as read from there."""
-    held = {"snapshot": start, "last": None}
+class SnapshotStore:
+    """Snapshots as they were stored last, with what they cover, so that a restart goes on from there. A version is there once its state is."""
+
+    PARTS = ("tasks", "waves", "scans")
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.files = spark, Files(spark, root)
+
+    def versions(self) -> list[int]:
+        return sorted(int(n) for n in self.files.names("state") if n.isdigit())
+
+    def state(self) -> dict | None:
+        known = self.versions()
+        return self.files.read(f"state/{known[-1]}") if known else None
+
+    def read(self) -> Snapshots | None:
+        state = self.state()
+        if state is None:
+            return None
+        time = datetime.fromisoformat
+        parts = (self.spark.read.parquet(f"{self.files.root}/data/{self.versions()[-1]}/{p}") for p in self.PARTS)
+        return Snapshots(*parts, (time(state["start"]), time(state["end"])), time(state["last_refresh"]))
+
+    def write(self, s: Snapshots, batch: str = "", keep: int = 2) -> None:
+        version = (self.versions() or [0])[-1] + 1
+        self.files.delete(f"data/{version}")
+        for p in self.PARTS:
+            getattr(s, p).write.parquet(f"{self.files.root}/data/{version}/{p}")
+        self.files.write(f"state/{version}", {"start": str(s.coverage[0]), "end": str(s.coverage[1]), "last_refresh": str(s.last_refresh), "batch": batch})
+        for v in self.versions()[:-keep]:
+            self.files.delete(f"state/{v}")
+            self.files.delete(f"data/{v}")
+
+
+def refresh_stream(changes: DataFrame, read_tasks: Callable[[], DataFrame], read_logs: Callable[[], DataFrame], store: SnapshotStore, checkpoint: str, now: Callable[[], object]) -> StreamingQuery:
+    """Refresh the snapshots at every micro-batch of task changes (created_time), whose minutes are made anew with those that tasks and scans say have changed. A batch that
+    comes again does nothing."""
 
     def batch(df: DataFrame, number: int) -> None:
-        at = now()
-        held["snapshot"] = write(refresh(read_tasks(), held["snapshot"], at, held["last"]))
-        held["last"] = at
+        name, state = f"{checkpoint}#{number}", store.state()
+        if state is None or state["batch"] != name:
+            store.write(refresh_all(read_tasks(), read_logs(), store.read(), now(), df), name)
 
     return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

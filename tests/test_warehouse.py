@@ -19,6 +19,7 @@ from sortline.operators import views as W
 from sortline.plans import snapshots as SN
 from sortline.sources import fixtures as X
 from sortline.sources import scans, sinks, tables
+from sortline.sources.versions import MonthTable
 from sortline.streaming import scans as stream
 
 T0 = datetime(2026, 7, 6, 8, 0)
@@ -332,8 +333,8 @@ def test_months_are_written_read_and_dropped(spark, tmp_path):
     assert june.count() == 1 and "shard_month" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
     assert tables.months_between("2026-06-01", "2026-07-01") == ("202606", "202606")
     kept = M.drop_months(spark, path, "2026-07-15 00:00:00", 3, dry_run=True)
-    assert kept.dropped == [] and kept.audit.count() == 4
-    assert M.drop_months(spark, path, "2026-07-15 00:00:00", 3, allowed=False).audit.first().outcome == "not allowed"
+    assert kept.dropped == [] and kept.months.count() == 4
+    assert M.drop_months(spark, path, "2026-07-15 00:00:00", 3, allowed=False).months.first().outcome == "not allowed"
     assert sorted(M.drop_months(spark, path, "2026-07-15 00:00:00", 3).dropped) == ["202601", "202602", "202603", "202604"]
     assert tables.read_months(spark, path).count() == 3
 
@@ -415,9 +416,19 @@ def test_hybrid_is_base_for_any_range(spark, sf):
     for _ in range(3):
         a = datetime(1995, 6, 1) + timedelta(seconds=rnd.randrange(10**8))
         b = a + timedelta(seconds=rnd.randrange(10**8))
-        for hybrid, base in ((SN.hybrid_wave_dashboard, A.wave_dashboard), (SN.hybrid_recirculation, A.recirculation_summary), (SN.hybrid_feedback, A.feedback_totals)):
+        for hybrid, base in (
+            (SN.hybrid_wave_dashboard, A.wave_dashboard),
+            (SN.hybrid_dock_dashboard, A.dock_dashboard),
+            (SN.hybrid_recirculation, A.recirculation_summary),
+            (SN.hybrid_feedback, A.feedback_totals),
+            (SN.hybrid_wave_codes, A.wave_codes),
+            (SN.hybrid_wave_options, A.wave_options),
+        ):
             want = base(rows, a, b)
             assert sorted(map(repr, hybrid(rows, snap, a, b).select(*want.columns).collect())) == sorted(map(repr, want.collect()))
+        want = W.current_wave(rows, a, b)
+        waves = SN.Snapshot(SN.current_wave_snapshot(tables.in_months(rows, *cover)), cover)
+        assert SN.hybrid_current_wave(rows, waves, a, b).select(*want.columns).collect() == want.collect()
 
 
 def test_incremental_refresh_is_full_rebuild(spark):
@@ -449,19 +460,86 @@ def test_scan_stream_is_the_batch(spark, sf, tmp_path):
     src = str(tmp_path / "in")
     for k in range(3):
         events.filter(F.col("event_id") % 3 == k).coalesce(1).write.mode("append").parquet(src)
-    table = stream.TaskTable(spark, f"file://{tmp_path}/tasks")
+    table = MonthTable(spark, f"file://{tmp_path}/tasks")
     table.write(rows, 0)
     source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(src)
     run = lambda: stream.apply_scan_stream(source, table, str(tmp_path / "log"), str(tmp_path / "checkpoint"), lambda: T0)
     run().awaitTermination()
     run().awaitTermination()  # nothing new: nothing happens
     assert table.versions()[-1] == 3
-    columns = ["id", "status", "actual_chute_code", "resolved_dock_code", "scan_retry_count"]
+    columns = ["id", "shard_month", "status", "actual_chute_code", "resolved_dock_code", "scan_retry_count"]
     want = E.apply_scans(rows, events, T0).select(*columns)
-    assert sorted(map(tuple, table.read().select(*columns).collect())) == sorted(map(tuple, want.collect()))
+    assert sorted(map(repr, table.read().select(*columns).collect())) == sorted(map(repr, want.collect()))
     assert spark.read.parquet(str(tmp_path / "log")).count() == events.count()
 
 
+def test_only_touched_months_are_rewritten(spark, tmp_path):
+    day = lambda m: datetime(2026, m, 5, 8)
+    rows = tasks(spark, *(dict(created_time=day(m), barcode=f"021{m}", task_code=f"T{m}") for m in (1, 2, 3, 4)))
+    table = MonthTable(spark, f"file://{tmp_path}/tasks")
+    table.write(rows, 0)
+    first = table.months()
+    src = str(tmp_path / "in")
+    scan(spark, ("0212", 5, None), ("0214", 6, None), ("0219", 7, None)).coalesce(1).write.parquet(src)
+    source = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
+    stream.apply_scan_stream(source, table, str(tmp_path / "log"), str(tmp_path / "c"), lambda: T0, keep=1).awaitTermination()
+    after = table.months()
+    assert {m for m in first if first[m] != after[m]} == {"202602", "202604"} and set(first) == set(after)
+    assert {r.task_code: r.status for r in table.read().collect()} == {"T1": V.CREATED, "T2": V.SCANNED, "T3": V.CREATED, "T4": V.SCANNED}
+    assert sorted(p.name for p in tmp_path.glob("tasks/data/0/of_month=*")) == ["of_month=202601", "of_month=202603"]  # what no version names is gone
+    assert all("of_month=202603" in f for f in table.read(["202603"]).inputFiles()) and table.read(["209901"]).count() == 0
+    # a failed write changes nothing
+    with pytest.raises(Exception):
+        table.write(table.read().withColumn("status", F.raise_error(F.lit("broken")).cast("int")), 2)
+    assert table.versions() == [1] and table.read().count() == 4
+
+
+def test_keyed_merge_of_touched_months(spark, tmp_path):
+    kinds = "business_key string, v string, shard_month string"
+    target = spark.createDataFrame([("a", "1", "202601"), ("b", "1", "202602"), ("c", "1", "202603"), ("d", "1", "202604")], kinds)
+    rows = spark.createDataFrame([("B", "2", "202602"), ("c", "2", "202605"), ("e", "2", "202605")], kinds)
+    months, merged = sync.merge_months(target, rows)
+    assert months == ["202602", "202603", "202605"]
+    assert sorted(map(tuple, merged.collect())) == [("B", "2", "202602"), ("c", "2", "202605"), ("e", "2", "202605")]
+    table = MonthTable(spark, f"file://{tmp_path}/t")
+    table.write(target, 0)
+    months, merged = sync.merge_months(table.read(), rows)
+    table.write(merged, 1, months)
+    whole = sync.merge_table(target, rows)
+    assert sorted(map(tuple, table.read().select("business_key", "v", "shard_month").collect())) == sorted(map(tuple, whole.collect()))
+    assert {m: p.split("/")[1] for m, p in table.months().items()} == {"202601": "0", "202602": "1", "202604": "0", "202605": "1"}
+
+
+def test_upsert_of_touched_months(spark):
+    old = tasks(spark, *(dict(created_time=datetime(2026, m, 5), wave_code="old") for m in (1, 2, 3)))
+    new = spark.createDataFrame([("T", "K2", datetime(2026, 6, 1), "new"), ("T", "K9", datetime(2026, 4, 1), "new")], "source_table_code string, business_key string, created_time timestamp_ntz, wave_code string")
+    months, rows = P.upsert_months(old, new)
+    assert months == ["202602", "202604", "202606"]
+    whole = P.upsert(old, new).filter(F.col("shard_month").isin(months))
+    assert sorted(map(repr, rows.collect())) == sorted(map(repr, whole.collect())) and rows.count() == 2
+
+
+def test_late_scans_of_closed_minutes_are_dropped(spark, tmp_path):
+    at = lambda m, s=0: datetime(2026, 7, 6, 8, m, s)
+    src, kinds = str(tmp_path / "in"), "scan_time timestamp_ntz, is_matched boolean"
+    q = lambda: (
+        stream.minute_counts(spark.readStream.schema(kinds).parquet(src), "2 minutes")
+        .writeStream.format("parquet")
+        .option("path", str(tmp_path / "out"))
+        .option("checkpointLocation", str(tmp_path / "c"))
+        .outputMode("append")
+        .trigger(availableNow=True)
+        .start()
+        .awaitTermination()
+    )
+    for rows in ([(at(0, 5), True), (at(1), False)], [(at(9), True)], [(at(0, 50), True), (at(8), True)], [(at(30), True)]):
+        spark.createDataFrame(rows, kinds).coalesce(1).write.mode("append").parquet(src)
+        q()
+    got = {r.bucket.strftime("%H:%M"): (r.total, r.matched) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    # 08:00 was final when its second scan came; 08:08 was still open
+    assert got == {"08:00": (1, 1), "08:01": (1, 0), "08:08": (1, 1), "08:09": (1, 1)}
+
+
 def test_minute_stream(spark, sf, tmp_path):
     seen = X.scan_logs(spark, sf)
     src = str(tmp_path / "in")
@@ -472,13 +550,71 @@ def test_minute_stream(spark, sf, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, SN.scan_snapshot(seen).collect()))
 
 
-def test_refresh_stream(spark, sf, tmp_path):
-    rows = tasks(spark, *(dict(created_time=T0 - timedelta(minutes=k)) for k in range(5)))
-    src = str(tmp_path / "in")
-    rows.select("id").coalesce(1).write.parquet(src)
-    kept = []
-    stream.refresh_stream(spark.readStream.schema("id long").parquet(src), lambda: rows, None, lambda s: kept.append(s) or s, str(tmp_path / "c"), lambda: T0 + timedelta(hours=1)).awaitTermination()
-    assert kept and kept[-1].rows.count() == 5
+def test_refresh_stream_goes_on_after_a_restart(spark, tmp_path):
+    src, made = str(tmp_path / "in"), []
+    store = lambda: stream.SnapshotStore(spark, f"file://{tmp_path}/store")
+    rows = tasks(spark, *(dict(created_time=T0 - timedelta(minutes=k), scanned_at=T0) for k in range(5)))
+    seen = logs(spark, *((None, "b", "d", True, None, T0 - timedelta(minutes=k)) for k in range(3)))
+
+    def run(now, some, table, scans):
+        some.select("created_time").coalesce(1).write.mode("append").parquet(src)
+        stream.refresh_stream(spark.readStream.schema("created_time timestamp_ntz").parquet(src), lambda: made.append(1) or table, lambda: scans, store(), str(tmp_path / "c"), lambda: now).awaitTermination()
+
+    first = T0 + timedelta(hours=1)
+    run(first, rows, rows, seen)
+    assert [store().read().tasks.count(), store().read().waves.count(), store().read().scans.count()] == [5, 5, 3] and store().read().coverage[1] == first
+    # a new process: the coverage is read back, and what has changed, even without a sign of it, is made anew
+    moved = rows.withColumn("status", F.when(F.col("id") == 2, V.DROPPED).otherwise(F.col("status")))
+    later = first + timedelta(minutes=10)
+    more = seen.unionByName(logs(spark, (None, "b", "d", False, None, first + timedelta(minutes=2))))
+    run(later, rows.filter("id = 2"), moved, more)
+    got, want = store().read(), SN.refresh_all(moved, more, None, later)
+    for part in ("tasks", "waves", "scans"):
+        assert sorted(map(repr, getattr(got, part).select(*getattr(want, part).columns).collect())) == sorted(map(repr, getattr(want, part).collect()))
+    assert got.coverage == want.coverage and got.last_refresh == later and len(store().versions()) == 2 and len(made) == 2
+    stale = SN.needs_full_refresh
+    assert not stale(later, got.coverage) and stale(later + timedelta(days=8), got.coverage)
+
+
+def test_ids_repeat_over_months(spark):
+    """The same id in two months: only the task that is meant changes."""
+    two = lambda **r: tasks(spark, dict(id=5, created_time=datetime(2026, 1, 5), task_code="A", barcode="021a", **r), dict(id=5, created_time=datetime(2026, 2, 5), task_code="B", barcode="021b", **r))
+    shown = lambda df, c: {r.task_code: r[c] for r in df.collect()}
+    rows = two()
+    assert shown(E.apply_scans(rows, scan(spark, ("021a", 5, None)), T0), "status") == {"A": V.SCANNED, "B": V.CREATED}
+    drops = spark.createDataFrame([(1, "B", None, "7", True, None, T0)], "event_id long, task_code string, barcode string, actual_chute_code string, is_success boolean, failure_reason string, drop_time timestamp_ntz")
+    assert shown(E.apply_drops(two(status=V.SCANNED), drops, T0).tasks, "status") == {"A": V.SCANNED, "B": V.DROPPED}
+    due = two(feedback_status=V.PENDING)
+    claimed = M.claim_feedback(due, V.PENDING, 1, T0)
+    assert shown(M.mark_claimed(due, claimed, T0), "feedback_status") == {"A": V.PROCESSING, "B": V.PENDING}
+    assert shown(M.finish_feedback(due, claimed, 1, T0), "feedback_status") == {"A": V.COMPLETED, "B": V.PENDING}
+
+
+def test_feedback_runs(spark):
+    rows = tasks(spark, dict(feedback_status=V.PENDING), dict(feedback_status=V.FAILED), dict(feedback_status=V.PENDING, source_type=V.FULL_CASE), dict(feedback_status=V.PENDING, created_time=T0 + timedelta(hours=1)))
+    sent = []
+
+    def write(df):
+        sent[:] = sorted((r.target, r.business_key) for r in df.collect())
+        return len(sent)
+
+    states = lambda f: {r.id: r.feedback_status for r in f.tasks.collect()}
+    run = M.report_feedback(rows, write, T0, 2)
+    assert sent == [("full_case_feedback", "K3"), ("split_feedback", "K1")]
+    assert states(run) == {1: V.COMPLETED, 2: V.FAILED, 3: V.COMPLETED, 4: V.PENDING}
+    assert tuple(run.result.first()) == (2, 2, 2, 0, 0, None)
+    assert {r.id for r in run.tasks.filter("is_feedback_reported").collect()} == {1, 3}
+    short = M.report_feedback(rows, lambda df: df.count() - 1, T0, 2)
+    assert states(short) == {1: V.FAILED, 2: V.FAILED, 3: V.FAILED, 4: V.PENDING} and tuple(short.result.first()) == (2, 1, 0, 2, 0, "1 rows written, 2 claimed")
+    retry = M.report_feedback(rows, write, T0, status=V.FAILED)
+    assert states(retry)[2] == V.COMPLETED and sent == [("split_feedback", "K2")]
+
+    def broken(df):
+        raise OSError("no target")
+
+    assert states(M.report_feedback(rows, broken, T0, task_code=" T2 ", status=V.FAILED))[2] == V.FAILED
+    none = M.report_feedback(rows, write, T0, task_code="T1", status=V.FAILED)
+    assert tuple(none.result.first()) == (0, 0, 0, 0, 1, None) and states(none) == {r.id: r.feedback_status for r in rows.collect()}
 
 
 def test_source_page_sorts_only_the_page_in_one_task(spark):
