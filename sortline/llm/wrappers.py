@@ -54,7 +54,7 @@ SCOPES = frozenset("ul ol dl table body article main section div select".split()
 NOT_TEXT = frozenset("head title nav footer aside form button select option dialog menu object canvas audio video fieldset".split())
 NEVER_TEXT = frozenset("head title select option object canvas audio video".split())
 MAIN = frozenset(("article", "main"))
-NAMED_BY_TAG = MAIN | frozenset("html body h1 h2 h3 h4 h5 h6 p".split())
+NAMED_BY_TAG = MAIN | frozenset("html body h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("html body div section main article center form table tbody tr td span aside header footer nav".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Names (a whole class, id or role) of what isn't article text.
@@ -65,6 +65,12 @@ NOT_TEXT_NAMES = frozenset(
     "recommended newsletter subscribe signup login popup modal overlay widget toolbar pagination pager skip-link copyright complementary contentinfo search".split()
 )
 
+#: Names that count as ids too; others, as "search" or "related", are anchors of what an article's parts are about.
+ID_NAMES = frozenset(
+    "ad ads ad-box ad-banner cookie-banner cookie-notice sidebar menu navbar nav breadcrumb breadcrumbs header footer site-footer site-header masthead comments comment-list comment-section comments-section "
+    "comments-area reader-comments disqus respond newsletter main".split()
+)
+
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW.replace(' ', '|')})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z][^>]*+(?:>|\Z)|(?P<text>[^<]++|<)",
@@ -83,14 +89,14 @@ def label_of(tag: str, attrs: str) -> str:
     names = set()
     for m in ATTR.finditer(attrs):
         words = DIGITS.sub("", (m[2] or m[3] or m[4] or "").lower()).split()
-        names.update(w for w in words if m[1].lower() != "id" or w in NOT_TEXT_NAMES or w in ("main", "header"))
+        names.update(w for w in words if m[1].lower() != "id" or w in ID_NAMES)
     if HIDDEN.search(attrs):
         names.add("!hidden")
     return " ".join([tag, *sorted(names)])
 
 
 def is_boiler(label: str, inside: bool) -> bool:
-    """Menus, adverts, forms and the like, by tag or whole name. Headings, paragraphs and main parts are not told by name; a header is one outside of a main part."""
+    """Menus, adverts, forms and the like, by tag or whole name. Headings and main parts are not told by name; a header is one outside of a main part."""
     tag, *names = label.split(" ")
     if tag in NOT_TEXT or "!hidden" in names or tag not in NAMED_BY_TAG and not NOT_TEXT_NAMES.isdisjoint(names):
         return True
@@ -420,7 +426,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     Null and empty pages give an empty text, null urls the host "". Cut-off tags and references are read as far as they go, and elements may nest to any depth. Repeated
     rows give a row each; other columns are ignored.
     """
-    found = materialize(contents(infer_wrappers(pages, url_col, html_col)), "contents")
+    found = materialize(contents(materialize(infer_wrappers(pages, url_col, html_col), "wrappers")), "contents")
     size = found.agg(F.coalesce(F.sum(F.octet_length("of") + 8 * F.size("roots") + 24 * F.size("constants") + 64), F.lit(0))).first()[0]
     read = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("page")).withColumn("host", host(F.col("url")))
     if size <= BROADCAST_BYTES:

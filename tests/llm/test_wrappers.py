@@ -139,7 +139,7 @@ def test_names_neither_get_lost_nor_drop_an_article(spark):
 def test_parts_of_names_drop_nothing(spark):
     page = (
         '<article><h2 id="related-work">Related work</h2><p>x</p><div class="side-by-side">y</div><p class="search-term">z</p><section id="comments-on-method">w</section>'
-        '<h3 id="search">Search</h3><p class="notice">v</p></article>'
+        '<h3 id="search">Search</h3><section id="related">v</section><p class="notice">Closed on Monday</p><div id="comments">first!</div></article>'
     )
     rows = [(0, "http://one.example/", page), *((k, "http://two.example/", page.replace("x", f"x{k}")) for k in (1, 2, 3, 4))]
     got = texts_of(spark, rows)
