@@ -110,7 +110,51 @@ def _kind_sql(rank: int, pattern: str, group: int, least: int) -> str:
       SELECT doc_id, source, regexp_split_to_array(t, '{p}') AS gaps, regexp_extract_all(t, '{p}', 0) AS hits FROM docs WHERE regexp_matches(t, '{p}')))) WHERE length(v) >= {least}"""
 
 
+#: Least capacities for 2 to 8 shards by dynamic programming over all groups: best of the first j groups in k shards.
+CAPACITIES = "".join(
+    f""",
+d{k} AS (SELECT b.j, min(greatest(a.best, b.p - a.p)) AS best, any_value(b.p) AS p FROM d{k - 1} a JOIN ends b ON a.j < b.j GROUP BY b.j UNION ALL SELECT 0, 0, 0)"""
+    for k in range(2, 9)
+)
+
 SQL = {
+    "op4_sharding": f"""
+WITH RECURSIVE tab AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+docs AS (
+  SELECT row_number() OVER () AS row, doc_id, CAST(coalesce(strlen(text), 0) + 1 AS BIGINT) AS size, coalesce(sha256(text), repeat('0', 64)) AS key,
+    CASE WHEN coalesce(text, '') = '' THEN 0 ELSE xor(4294967295, list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST('0x' || h AS BIGINT))),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) END AS text_crc32
+  FROM documents, tab),
+groups AS (SELECT key, CAST(sum(size) AS BIGINT) AS bytes FROM docs GROUP BY key),
+ranked AS (SELECT *, row_number() OVER w - 1 AS r, coalesce(sum(bytes) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above, sum(bytes) OVER () AS total FROM groups WINDOW w AS (ORDER BY bytes DESC, key)),
+judged AS (SELECT *, r < 7 AND coalesce(bool_and(bytes * (8 - r) > total - above) OVER (ORDER BY r), false) AS own FROM ranked),
+sums AS (SELECT key, CAST(sum(bytes) OVER (ORDER BY key) AS BIGINT) AS p, row_number() OVER (ORDER BY key) AS j FROM judged WHERE NOT own),
+ends AS (SELECT j, p FROM sums UNION ALL SELECT 0, 0),
+d1 AS (SELECT j, p AS best, p FROM ends){CAPACITIES},
+found AS ({" UNION ALL ".join(f"SELECT {k} AS m, best, p FROM d{k}" for k in range(1, 9))}),
+cap AS (SELECT 8 - (SELECT count(*) FROM judged WHERE own) AS m, coalesce(max(p), 0) AS t FROM ends),
+best AS (SELECT cap.m, cap.t, min(best) AS c FROM cap JOIN found f ON f.m <= cap.m AND f.p = cap.t GROUP BY 1, 2),
+early AS (
+  SELECT m AS k, t AS e FROM best
+  UNION ALL SELECT k - 1, CASE WHEN e > c THEN (SELECT min(p) FROM ends WHERE p >= e - c) ELSE 0 END FROM early, best WHERE k > 1),
+cuts AS (
+  SELECT 0 AS k, CAST(0 AS BIGINT) AS c0
+  UNION ALL
+  SELECT k, cut FROM (
+    SELECT s.k, x.cut, row_number() OVER (ORDER BY abs(x.cut - s.share), x.cut) AS nth
+    FROM (SELECT cuts.k + 1 AS k, c0, c, e, c0 + (t - c0) // (m - cuts.k) AS share FROM cuts, best JOIN early ON early.k = cuts.k + 1 WHERE cuts.k + 1 < m) s,
+      LATERAL (SELECT unnest([(SELECT max(p) FROM ends WHERE p <= s.share), (SELECT min(p) FROM ends WHERE p >= s.share), s.e]) AS cut) x
+    WHERE x.cut BETWEEN greatest(s.e, s.c0) AND s.c0 + s.c) WHERE nth = 1),
+places AS (
+  SELECT key, r AS shard FROM judged WHERE own
+  UNION ALL SELECT key, 8 - m + (SELECT count(DISTINCT c0) FROM cuts WHERE c0 > 0 AND c0 < p) FROM sums, best),
+dealt AS (
+  SELECT d.*, CAST(shard AS INTEGER) AS shard, CAST('0x' || substr(md5(concat_ws('#', CAST(doc_id AS VARCHAR), key)), 1, 8) AS BIGINT) % greatest(1, (SELECT count(*) FROM docs) // 20000) AS cell
+  FROM docs d JOIN places USING (key))
+SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY cell, doc_id NULLS FIRST, key, row) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM dealt
+""",
     "op2_mixing": r"""
 WITH sized AS (
   SELECT row_number() OVER () AS row, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,

@@ -177,7 +177,8 @@ def _slots(placed: DataFrame, rows: int) -> DataFrame:
     """placed with slot. Rows are numbered in cells of their shard, dealt by hash, and cells are counted apart, so
     neither a shard nor a group of equal texts stands in one task."""
     cells = max(1, rows // CELL_ROWS)
-    placed = placed.withColumn("cell", F.pmod(F.xxhash64("doc_id", "key"), F.lit(cells)))
+    spot = F.conv(F.substring(F.md5(F.concat_ws("#", F.col("doc_id").cast("string"), "key")), 1, 8), 16, 10).cast("long")
+    placed = placed.withColumn("cell", spot % cells)
     counts = placed.groupBy("shard", "cell").count()
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("shard", "cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
