@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage, and their SQL where SQL can say it."""
+"""The registered queries of this subpackage. Their SQL is in sql.py."""
 
 from __future__ import annotations
 
@@ -11,9 +11,10 @@ from .decontaminate import decontaminate
 from .media import digests
 from .mix import mix
 from .quality import fit, score
-from .secrets import EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES, KINDS, PLACEHOLDER, scan_secrets
+from .secrets import KINDS, scan_secrets
 from .shards import shard
 from .simhash import near_duplicates
+from .sql import SQL
 from .warc import audit, damage, record_hashes, to_records
 from .wrappers import extract_text
 
@@ -97,171 +98,6 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return faults.join(where, ["archive", "offset"]).select("page_id", "fault", "length", "other_length")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_mixing, op3_simhash_neardup, op4_sharding, op5_secret_scan, op6_html_wrappers, op7_quality, op8_mpeg_audio, op9_perspective_rotation, op10_warc_fixity)}
-
-
-def _kind_sql(rank: int, pattern: str, group: int, least: int) -> str:
-    p = pattern.replace("'", "''")
-    return f"""
-  SELECT doc_id, source, {rank} AS rank, start, start + length(hit) AS stop, start + length(hit) - length(v) AS v_start, v FROM (
-    SELECT doc_id, source, hits[i] AS hit, regexp_extract(hits[i], '{p}', {group}) AS v,
-      list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS start
-    FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (
-      SELECT doc_id, source, regexp_split_to_array(t, '{p}') AS gaps, regexp_extract_all(t, '{p}', 0) AS hits FROM docs WHERE regexp_matches(t, '{p}')))) WHERE length(v) >= {least}"""
+__all__ = ["QUERIES", "SQL"]
 
-
-#: Least capacities for 2 to 8 shards by dynamic programming over all groups: best of the first j groups in k shards.
-CAPACITIES = "".join(
-    f""",
-d{k} AS (SELECT b.j, min(greatest(a.best, b.p - a.p)) AS best, any_value(b.p) AS p FROM d{k - 1} a JOIN ends b ON a.j < b.j GROUP BY b.j UNION ALL SELECT 0, 0, 0)"""
-    for k in range(2, 9)
-)
-
-SQL = {
-    "op4_sharding": f"""
-WITH RECURSIVE tab AS (
-  SELECT list(c ORDER BY i) AS t FROM (
-    SELECT i, list_reduce([CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
-docs AS (
-  SELECT row_number() OVER () AS row, doc_id, CAST(coalesce(strlen(text), 0) + 1 AS BIGINT) AS size, coalesce(sha256(text), repeat('0', 64)) AS key,
-    CASE WHEN coalesce(text, '') = '' THEN 0 ELSE xor(4294967295, list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST('0x' || h AS BIGINT))),
-      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) END AS text_crc32
-  FROM documents, tab),
-groups AS (SELECT key, CAST(sum(size) AS BIGINT) AS bytes FROM docs GROUP BY key),
-ranked AS (SELECT *, row_number() OVER w - 1 AS r, coalesce(sum(bytes) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above, sum(bytes) OVER () AS total FROM groups WINDOW w AS (ORDER BY bytes DESC, key)),
-judged AS (SELECT *, r < 7 AND coalesce(bool_and(bytes * (8 - r) > total - above) OVER (ORDER BY r), false) AS own FROM ranked),
-sums AS (SELECT key, CAST(sum(bytes) OVER (ORDER BY key) AS BIGINT) AS p, row_number() OVER (ORDER BY key) AS j FROM judged WHERE NOT own),
-ends AS (SELECT j, p FROM sums UNION ALL SELECT 0, 0),
-d1 AS (SELECT j, p AS best, p FROM ends){CAPACITIES},
-found AS ({" UNION ALL ".join(f"SELECT {k} AS m, best, p FROM d{k}" for k in range(1, 9))}),
-cap AS (SELECT 8 - (SELECT count(*) FROM judged WHERE own) AS m, coalesce(max(p), 0) AS t FROM ends),
-best AS (SELECT cap.m, cap.t, min(best) AS c FROM cap JOIN found f ON f.m <= cap.m AND f.p = cap.t GROUP BY 1, 2),
-early AS (
-  SELECT m AS k, t AS e FROM best
-  UNION ALL SELECT k - 1, CASE WHEN e > c THEN (SELECT min(p) FROM ends WHERE p >= e - c) ELSE 0 END FROM early, best WHERE k > 1),
-cuts AS (
-  SELECT 0 AS k, CAST(0 AS BIGINT) AS c0
-  UNION ALL
-  SELECT k, cut FROM (
-    SELECT s.k, x.cut, row_number() OVER (ORDER BY abs(x.cut - s.share), x.cut) AS nth
-    FROM (SELECT cuts.k + 1 AS k, c0, c, e, c0 + (t - c0) // (m - cuts.k) AS share FROM cuts, best JOIN early ON early.k = cuts.k + 1 WHERE cuts.k + 1 < m) s,
-      LATERAL (SELECT unnest([(SELECT max(p) FROM ends WHERE p <= s.share), (SELECT min(p) FROM ends WHERE p >= s.share), s.e]) AS cut) x
-    WHERE x.cut BETWEEN greatest(s.e, s.c0) AND s.c0 + s.c) WHERE nth = 1),
-places AS (
-  SELECT key, r AS shard FROM judged WHERE own
-  UNION ALL SELECT key, 8 - m + (SELECT count(DISTINCT c0) FROM cuts WHERE c0 > 0 AND c0 < p) FROM sums, best),
-dealt AS (
-  SELECT d.*, CAST(shard AS INTEGER) AS shard, CAST('0x' || substr(md5(concat_ws('#', CAST(doc_id AS VARCHAR), key)), 1, 8) AS BIGINT) % greatest(1, (SELECT count(*) FROM docs) // 20000) AS cell
-  FROM docs d JOIN places USING (key))
-SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY cell, doc_id NULLS FIRST, key, row) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM dealt
-""",
-    "op2_mixing": r"""
-WITH sized AS (
-  SELECT row_number() OVER () AS row, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-    md5(concat_ws('#', coalesce(CAST(doc_id AS VARCHAR), md5(text)), '42')) AS turn FROM documents),
-weighed AS (
-  SELECT source, z, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w
-  FROM (SELECT source, CAST(sum(size) AS BIGINT) AS z FROM sized GROUP BY source)),
-ratios AS (SELECT *, CAST(3 * z AS DOUBLE) / w AS ratio FROM weighed),
-levels AS (
-  SELECT *, CAST((SELECT sum(z) FROM weighed) - (sum(3 * z) OVER o - 3 * z) AS DOUBLE) / CAST(sum(w) OVER () - (sum(w) OVER o - w) AS DOUBLE) AS own
-  FROM ratios WINDOW o AS (ORDER BY ratio, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
-targets AS (
-  SELECT source, z, CASE WHEN z = 0 OR level IS NULL OR ratio < level THEN CAST(3 * z AS DOUBLE) ELSE w * level END AS target
-  FROM (SELECT *, (SELECT max(own) FROM levels WHERE ratio >= own) AS level FROM levels)),
-streams AS (
-  SELECT row, doc_id, turn, coalesce('=' || s.source, '') AS stream, size, z, target,
-    CAST(sum(size) OVER (PARTITION BY s.source ORDER BY turn, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS first
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
-copies AS (
-  SELECT *, first + k * z AS start FROM (SELECT *, unnest([0, 1, 2]) AS k FROM streams) WHERE size > 0 AND first + k * z < target),
-packets AS (
-  SELECT *, unnest(range(0, CASE WHEN start + size <= target THEN 1 ELSE least(size, 256) END)) AS i, CASE WHEN start + size <= target THEN 1 ELSE least(size, 256) END AS n FROM copies),
-queue AS (SELECT *, size * (i + 1) // n - size * i // n AS words, start + size * (i + 1) // n AS upto FROM packets),
-placed AS (
-  SELECT *, CAST(sum(words) OVER (ORDER BY CAST(upto AS DOUBLE) / target, stream, turn, doc_id, size, upto ROWS UNBOUNDED PRECEDING) AS BIGINT) - words AS place FROM queue),
-mixed AS (
-  SELECT row, sum(kept) AS taken, min(place) AS first_at, count(DISTINCT k) AS copies
-  FROM (SELECT *, least(words, (SELECT sum(z) FROM weighed) - place) AS kept FROM placed) WHERE kept > 0 GROUP BY row)
-SELECT doc_id, CAST(size AS BIGINT) AS size, z AS source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, first_at, coalesce(copies, 0) AS copies
-FROM streams LEFT JOIN mixed USING (row)
-""",
-    "op5_secret_scan": f"""
-WITH docs AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
-found AS ({" UNION ALL ".join(_kind_sql(k, p, g, n) for k, (_, p, g, n) in enumerate(KINDS))}),
-owned AS (
-  SELECT v, count(DISTINCT owner) AS owners, count(*) AS repositories
-  FROM (SELECT v, t, min(coalesce('=' || d.source, '')) AS owner FROM found JOIN docs d USING (doc_id) GROUP BY v, t) GROUP BY v),
-judged AS (
-  SELECT f.*, ['{"', '".join(k for k, *_ in KINDS)}'][rank + 1] AS kind, CASE WHEN owners >= {EXAMPLE_OWNERS} OR repositories >= {EXAMPLE_REPOSITORIES} THEN 'example' WHEN length(v) >= 12 AND len(list_distinct(string_split(v, ''))) >= 8
-    AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND NOT regexp_matches(v, '{PLACEHOLDER}') THEN 'live' ELSE 'weak' END AS verdict
-  FROM found f JOIN owned USING (v)),
-spans AS (
-  SELECT doc_id, start, rank, stop, kind || ':' || start || ':' || stop AS span FROM judged
-  UNION ALL SELECT doc_id, v_start, 3, stop, 'live:' || v_start || ':' || stop FROM judged WHERE verdict = 'live'),
-listed AS (
-  SELECT doc_id, string_agg(span, ',' ORDER BY start, rank, stop) AS spans, string_agg(span, ',' ORDER BY start, rank, stop) FILTER (rank < 3) AS base FROM spans GROUP BY doc_id),
-counts AS (
-  SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k, *_ in KINDS)}, {", ".join(f"count(*) FILTER (verdict = '{v}') AS n_judged_{v}" for v in ("example", "live", "weak"))}
-  FROM judged GROUP BY doc_id)
-SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k, *_ in KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
-  {", ".join(f"coalesce(n_judged_{v}, 0) AS n_judged_{v}" for v in ("example", "live", "weak"))}
-FROM docs LEFT JOIN listed USING (doc_id) LEFT JOIN counts USING (doc_id)
-""",
-    "op1_decontamination": r"""
-WITH docs AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-items AS (
-  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
-windows AS (
-  SELECT DISTINCT item_id, array_to_string(w[i:i + 12], ' ') AS t, len(w[i:i + 12]) AS n
-  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
-lengths AS (SELECT DISTINCT n FROM windows),
-spots AS (
-  SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS t
-  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, lengths WHERE len(w) >= n)),
-hits AS (SELECT doc_id, i, s.n, item_id FROM spots s JOIN windows USING (t)),
-words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
-found AS (
-  SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids
-  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hits) GROUP BY doc_id)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
-       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
-""",
-    "op9_perspective_rotation": r"""
-WITH said AS (
-  SELECT conv_id, turn, coalesce(CAST(floor(turn / 512) AS BIGINT), -1) AS part, coalesce(role, 'unknown') AS role, coalesce(text, '') AS said FROM conversations),
-pieces AS (
-  SELECT conv_id, part, turn, before // 512 AS first, CASE WHEN n > 2048 THEN CAST(ceil(n / 512) AS BIGINT) ELSE 1 END AS pieces
-  FROM (
-    SELECT *, sum(n) OVER (PARTITION BY conv_id, part) AS every, CAST(sum(n) OVER (PARTITION BY conv_id, part ORDER BY turn NULLS FIRST ROWS UNBOUNDED PRECEDING) AS BIGINT) - n AS before
-    FROM (SELECT conv_id, part, turn, count(*) AS n FROM said GROUP BY ALL)) WHERE every > 2048),
-lots AS (
-  SELECT *, least(512, n - lot * 512) AS times FROM (SELECT *, unnest(range(0, (n - 1) // 512 + 1)) AS lot FROM (SELECT conv_id, part, turn, role, said, count(*) AS n FROM said GROUP BY ALL))),
-placed AS (
-  SELECT l.*, coalesce(first + CAST('0x' || substr(md5(role || '|' || said || '|' || lot), 1, 8) AS BIGINT) % pieces, 0) AS piece
-  FROM lots l LEFT JOIN pieces p ON l.conv_id IS NOT DISTINCT FROM p.conv_id AND l.part = p.part AND l.turn IS NOT DISTINCT FROM p.turn),
-shown AS (
-  SELECT *, '<|' || name || '|>' AS narrated, '<|user name=' || name || '|>' AS named, regexp_replace(said, '<(\\*)\|', '<\\\1|', 'g') || '<|end|>' || chr(10) AS rest
-  FROM (SELECT *, regexp_replace(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g'), '\|(\\*)>', '|\\\1>', 'g') AS name, unnest(range(0, times)) AS copy FROM placed)),
-speakers AS (SELECT DISTINCT conv_id, part, piece, role AS speaker FROM placed WHERE role <> 'system'),
-seen AS (
-  SELECT s.*, speaker, CASE WHEN role = speaker THEN '<|assistant|>' WHEN role = 'system' THEN narrated ELSE named END AS head
-  FROM shown s JOIN speakers p ON s.conv_id IS NOT DISTINCT FROM p.conv_id AND s.part = p.part AND s.piece = p.piece)
-SELECT conv_id, speaker, part, piece, count(*) AS n_turns,
-       string_agg(head || rest, '' ORDER BY turn NULLS FIRST, role, said) AS text,
-       string_agg(length(head) || ':0,' || length(rest) || CASE WHEN role = speaker THEN ':1' ELSE ':0' END, ',' ORDER BY turn NULLS FIRST, role, said) AS mask,
-       CAST(sum(CASE WHEN role = speaker THEN length(rest) ELSE 0 END) AS BIGINT) AS n_trained
-FROM seen GROUP BY conv_id, speaker, part, piece
-""",
-    "op10_warc_fixity": r"""
-WITH made AS (
-  SELECT page_id, CAST(178 + strlen(CAST(page_id AS VARCHAR)) + strlen(coalesce(url, '')) + strlen(CAST(strlen(coalesce(html, '')) AS VARCHAR)) + strlen(coalesce(html, '')) AS BIGINT) AS length
-  FROM pages WHERE page_id % 50 = 0)
-SELECT page_id, CASE WHEN page_id % 200 = 0 THEN 'missing' ELSE 'changed' END AS fault, length,
-       CASE WHEN page_id % 200 = 0 THEN NULL ELSE length END AS other_length
-FROM made
-""",
-}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_mixing, op3_simhash_neardup, op4_sharding, op5_secret_scan, op6_html_wrappers, op7_quality, op8_mpeg_audio, op9_perspective_rotation, op10_warc_fixity)}
