@@ -28,17 +28,22 @@ def with_digest(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.withColumn("digest", C.row_digest(*columns))
 
 
+def _key(df: DataFrame) -> Column:
+    """What keys are compared by. classify() leaves it in its rows, which are dealt by it, so that what follows needn't deal them anew."""
+    return F.col("match_key") if "match_key" in df.columns else C.key_text("business_key")
+
+
 def classify(incoming: DataFrame, state: DataFrame) -> DataFrame:
-    """incoming (business_key, digest, seq, ...) with op and is_last. The first row of a key is held against the state, each later one against the row before it:
+    """incoming (business_key, digest, seq, ...) with match_key, op and is_last. The first row of a key is held against the state, each later one against the row before it:
     insert if there is none, skip if digests agree, else update. Rows with a blank key are dropped. Keys are compared ignoring case."""
-    keyed = incoming.filter(C.blank_to_null("business_key").isNotNull()).withColumn("key", C.key_text("business_key"))
-    old = state.select(C.key_text("business_key").alias("key"), F.col("digest").alias("old_digest"))
-    order = Window.partitionBy("key").orderBy("seq")
+    keyed = incoming.filter(C.blank_to_null("business_key").isNotNull()).withColumn("match_key", C.key_text("business_key"))
+    old = state.select(C.key_text("business_key").alias("match_key"), F.col("digest").alias("old_digest"))
+    order = Window.partitionBy("match_key").orderBy("seq")
     before = F.coalesce(F.lag("digest").over(order), F.col("old_digest"))
     last = F.lead(F.lit(1)).over(order).isNull()
-    joined = keyed.join(old, "key", "left")
+    joined = keyed.join(old, "match_key", "left")
     op = F.when(F.col("before").isNull(), INSERT).when(F.col("before") == F.col("digest"), SKIP).otherwise(UPDATE)
-    return joined.withColumns({"before": before, "is_last": last}).withColumn("op", op).drop("before", "old_digest", "key")
+    return joined.withColumns({"before": before, "is_last": last}).withColumn("op", op).drop("before", "old_digest")
 
 
 def merge_counts(classified: DataFrame) -> DataFrame:
@@ -50,7 +55,7 @@ def merge_counts(classified: DataFrame) -> DataFrame:
 
 def last_rows(classified: DataFrame) -> DataFrame:
     """The row of each key that stays, if it changed anything."""
-    changed = F.max(F.col("op") != SKIP).over(Window.partitionBy(C.key_text("business_key")))
+    changed = F.max(F.col("op") != SKIP).over(Window.partitionBy(_key(classified)))
     return classified.withColumn("changed", changed).filter("is_last AND changed").drop("changed", "op", "is_last")
 
 
@@ -64,7 +69,7 @@ def month_for_cursor(cursor: Column, now, months_ahead: int) -> Column:
 def merge_state(state: DataFrame, rows: DataFrame, now, months_ahead: int = 1) -> DataFrame:
     """The state after a batch: business_key, digest, cursor, shard_month, is_soft_deleted, updated_time. A row that comes again isn't deleted any more."""
     new = rows.select(
-        C.key_text("business_key").alias("key"),
+        _key(rows).alias("key"),
         F.struct(
             "business_key", "digest", "cursor", month_for_cursor(F.col("cursor"), now, months_ahead).alias("shard_month"), F.lit(False).alias("is_soft_deleted"), C.ntz(now).alias("updated_time")
         ).alias("new"),
@@ -146,7 +151,7 @@ def apply_deletions(state: DataFrame, target: DataFrame, keys: DataFrame, mode:
 
 def change_log(classified: DataFrame, columns: list[str], now) -> DataFrame:
     """A row for every incoming row whose key changed in the batch, skipped ones too, all with the key's last operation that isn't a skip."""
-    by_key = Window.partitionBy(C.key_text("business_key"))
+    by_key = Window.partitionBy(_key(classified))
     final = F.max_by("op", F.when(F.col("op") != SKIP, F.col("seq"))).over(by_key)
     rows = classified.withColumn("final_op", final).filter(F.col("final_op").isNotNull())
     return rows.select("business_key", F.col("final_op").alias("op"), "seq", F.to_json(F.struct(*columns)).alias("after"), C.ntz(now).alias("changed_time"))
