@@ -44,10 +44,10 @@ def to_records(pages: DataFrame, archives: int = ARCHIVES, id_col: str = "page_i
     """
     read = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(body_col).cast("string").alias("body"))
     read = read.withColumn("key", F.sha2(F.to_json(F.struct("url", "body")), 256)).withColumn("archive", F.pmod(F.xxhash64("page_id", "key"), F.lit(archives)).cast("int"))
-    copy = F.row_number().over(Window.partitionBy("archive", "page_id", "key").orderBy("key")) - 1
-    order = Window.partitionBy("archive").orderBy("page_id", "key", "copy")
+    order = Window.partitionBy("archive").orderBy("page_id", "key")  # one order for both steps, so that pages are dealt and sorted once
     name = F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), "copy")
-    made = read.withColumn("copy", copy).withColumn("record", record(F.col("url"), F.col("body"), name, date)).withColumn("length", F.octet_length("record").cast("long"))
+    made = read.withColumn("copy", F.row_number().over(order) - F.rank().over(order)).withColumn("record", record(F.col("url"), F.col("body"), name, date))
+    made = made.withColumn("length", F.octet_length("record").cast("long")).select("archive", "length", "page_id", "key", "record")
     upto = F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return made.withColumn("offset", upto).select("archive", "offset", "length", "page_id", "record")
 
