@@ -33,9 +33,13 @@ def _found(text: Column, pattern: str) -> Column:
 
 
 def looks_random(value: Column) -> Column:
-    """Twelve characters or more, of eight or more kinds, with letters and digits, and no placeholder words or sequences."""
-    kinds = F.size(F.array_distinct(F.split(value, "")))
-    return (F.length(value) >= 12) & (kinds >= 8) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~value.rlike(PLACEHOLDER)
+    """Twelve characters or more, with letters and digits, of at least three bits of collision entropy (two characters picked at random are the same one time in
+    eight at most), and no placeholder words or sequences."""
+    chars = F.split(value, "")
+    times = lambda c: F.size(F.filter(chars, lambda x: x == c)).cast("long")
+    same = F.aggregate(F.array_distinct(chars), F.lit(0).cast("long"), lambda n, c: n + times(c) * times(c))
+    n = F.length(value).cast("long")
+    return (n >= 12) & (same * 8 <= n * n) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~value.rlike(PLACEHOLDER)
 
 
 def scan_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:

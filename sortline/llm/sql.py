@@ -215,7 +215,7 @@ owned AS (
   SELECT v, count(DISTINCT owner) AS owners, count(*) AS repositories
   FROM (SELECT v, t, min(coalesce('=' || d.source, '')) AS owner FROM found JOIN docs d USING (doc_id) GROUP BY v, t) GROUP BY v),
 judged AS (
-  SELECT f.*, ['{"', '".join(k for k, *_ in KINDS)}'][rank + 1] AS kind, CASE WHEN owners >= {EXAMPLE_OWNERS} OR repositories >= {EXAMPLE_REPOSITORIES} THEN 'example' WHEN length(v) >= 12 AND len(list_distinct(string_split(v, ''))) >= 8
+  SELECT f.*, ['{"', '".join(k for k, *_ in KINDS)}'][rank + 1] AS kind, CASE WHEN owners >= {EXAMPLE_OWNERS} OR repositories >= {EXAMPLE_REPOSITORIES} THEN 'example' WHEN length(v) >= 12 AND 8 * list_sum(list_transform(list_distinct(string_split(v, '')), lambda c: len(list_filter(string_split(v, ''), lambda x: x = c)) ** 2)) <= length(v) ** 2
     AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND NOT regexp_matches(v, '{PLACEHOLDER}') THEN 'live' ELSE 'weak' END AS verdict
   FROM found f JOIN owned USING (v)),
 spans AS (
