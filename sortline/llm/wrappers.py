@@ -59,16 +59,19 @@ CONTAINERS = frozenset("html body div section main article center form table tbo
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Names (a whole class, id or role) of what isn't article text.
 NOT_TEXT_NAMES = frozenset(
-    "ad ads ad-box ad-banner advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies cookie-banner cookie-notice consent gdpr "
-    "notice alert sidebar side menu navbar nav navigation breadcrumb breadcrumbs footer site-footer site-header masthead comment comments comment-list comment-section "
-    "comments-section comments-area reader-comments disqus reply replies respond share sharing share-buttons social social-share related related-posts related-articles "
+    "ad ads ad-box ad-banner ad-container ad-slot advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner "
+    "cookie cookies cookie-banner cookie-bar cookie-consent cookie-notice consent gdpr notice notices alert announcement "
+    "sidebar side left-sidebar right-sidebar sidebar-left sidebar-right menu main-menu nav-menu navbar nav main-nav site-nav navigation breadcrumb breadcrumbs "
+    "footer page-footer site-footer site-header masthead comment comments comment-form comment-list comment-section comments-area comments-section post-comments reader-comments "
+    "user-comments disqus disqus_thread reply replies respond share sharing share-buttons social social-links social-share related related-posts related-articles "
     "recommended newsletter subscribe signup login popup modal overlay widget toolbar pagination pager skip-link copyright complementary contentinfo search".split()
 )
 
 #: Names that count as ids too; others, as "search" or "related", are anchors of what an article's parts are about.
 ID_NAMES = frozenset(
-    "ad ads ad-box ad-banner cookie-banner cookie-notice sidebar menu navbar nav breadcrumb breadcrumbs header footer site-footer site-header masthead comments comment-list comment-section comments-section "
-    "comments-area reader-comments disqus respond newsletter main".split()
+    "ad ads ad-box ad-banner ad-container cookie-banner cookie-bar cookie-consent cookie-notice sidebar left-sidebar right-sidebar menu main-menu navbar nav main-nav breadcrumb breadcrumbs header "
+    "footer page-footer site-footer site-header masthead comments comment-form comment-list comment-section comments-area comments-section post-comments reader-comments disqus disqus_thread respond "
+    "newsletter main".split()
 )
 
 TOKEN = re.compile(
