@@ -12,6 +12,7 @@ import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from operator import eq, itemgetter
 
 import numpy as np
 import pandas as pd
@@ -39,7 +40,8 @@ LEAST_THRESHOLD, MOST_THRESHOLD = 1e-6, 0.5
 SPOTS = 1 << 50
 
 LANGS, SOURCES = 8, 16
-LINE = re.compile(r"\n+")
+#: A last character that ends no word or clause.
+ODD = re.compile(r"[^\w.,;:!?\"')]|_")
 
 
 def text_view(text: str) -> list[float]:
@@ -53,11 +55,11 @@ def text_view(text: str) -> list[float]:
     size = max(1, len(raw))
     seen = Counter(words)
     share = np.fromiter(seen.values(), float, len(seen)) / n
-    again = sum(map(str.__eq__, words, words[1:])) / n
+    again = sum(map(eq, words, words[1:])) / n
     caps = sum(map(str.isupper, words)) / n
     bare = sum(map(str.isalpha, words)) / n
-    odd = sum(not w[-1].isalnum() and w[-1] not in ".,;:!?\"')" for w in words) / n
-    lines = [x for x in LINE.split(text) if x.strip()]
+    odd = len(ODD.findall("".join(map(itemgetter(-1), words)))) / n
+    lines = [x for x in text.split("\n") if x.strip()]
     n_lines = max(1, len(lines))
     lengths = [len(x) for x in lines] or [0]
     sentences = text.count(". ") + text.count(".\n") + text.count("! ") + text.count("? ") + 1
@@ -159,6 +161,11 @@ class Rows:
     def total(self, f) -> np.ndarray:
         return f(*self.batch)
 
+    def labelled(self) -> Rows:
+        """Those with a label: steps that need no others read no others."""
+        some = self.batch[2] >= 0
+        return Rows(*(a[some] for a in self.batch))
+
 
 class SparkRows(Rows):
     """Rows of a DataFrame with x, m, label and part. Every task gives one row of sums."""
@@ -180,6 +187,9 @@ class SparkRows(Rows):
         got = [np.array(r[0], float) for r in self.df.mapInArrow(run, "sums array<double>").collect()]
         return sum(got[1:], got[0]) if got else f(*(np.zeros((0, w)) for w in self.widths), np.zeros(0), np.zeros(0))
 
+    def labelled(self) -> Rows:
+        return SparkRows(self.df.filter("label >= 0"))
+
 
 def _arrays(batch) -> tuple:
     x, m = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1) for c in ("x", "m"))
@@ -236,7 +246,8 @@ def _given(views_: tuple, past: list, k: int) -> np.ndarray:
 def co_train_rows(rows: Rows, rounds: int = ROUNDS) -> CoTrained:
     """Fit on labelled and unlabelled rows. In each round every unlabelled row is scored by both views, and those that one is sure of teach the other;
     together they weigh no more than the labelled rows of their class."""
-    n = rows.total(lambda x, m, label, part: np.array([((label == c) & (part == h)).sum() for h in (FIT, CALIBRATE, JUDGE) for c in (0, 1)], float)).reshape(3, 2)
+    known = rows.labelled()
+    n = known.total(lambda x, m, label, part: np.array([((label == c) & (part == h)).sum() for h in (FIT, CALIBRATE, JUDGE) for c in (0, 1)], float)).reshape(3, 2)
     fitted, prior = n[FIT], float(n[:, 1].sum() / n.sum()) if n.sum() else 1.0
     if min(fitted) < 5 or n[CALIBRATE:].min() < 2:
         return CoTrained(None, None, None, 0.0, prior)
@@ -261,15 +272,15 @@ def co_train_rows(rows: Rows, rounds: int = ROUNDS) -> CoTrained:
                 out.append((z, given.astype(float), np.where(given >= 0, weight, 0.0)))
             return out
 
-        models = _newton(rows, models, cases, 1.0)
+        models = _newton(rows if nth else known, models, cases, 1.0)
         past.append(tuple(models))
     text, meta = models
     both_of = lambda x, m: np.column_stack([text.logit(x), meta.logit(m)])
     kept = lambda label, part: ((part == CALIBRATE) & (label >= 0)).astype(float)
-    start = _standard(rows, lambda x, m, label, part: [(both_of(x, m), kept(label, part))], [2])
+    start = _standard(known, lambda x, m, label, part: [(both_of(x, m), kept(label, part))], [2])
     classes = 0.5 * n[CALIBRATE].sum() / n[CALIBRATE]
     calibrating = lambda x, m, label, part: [(both_of(x, m), label.astype(float), kept(label, part) * classes[np.maximum(label, 0).astype(int)])]
-    (both,) = _newton(rows, start, calibrating, 0.1)
+    (both,) = _newton(known, start, calibrating, 0.1)
     # shares of judged bad rows kept and of good ones rejected at each threshold: a few good rows that look bad cannot pull it down to junk
     spots = np.r_[np.geomspace(LEAST_THRESHOLD, 0.05, 50), np.linspace(0.06, MOST_THRESHOLD, 45)]
 
@@ -278,10 +289,10 @@ def co_train_rows(rows: Rows, rounds: int = ROUNDS) -> CoTrained:
         good, bad = np.sort(score[(part == JUDGE) & (label == 1)]), np.sort(score[(part == JUDGE) & (label == 0)])
         return np.r_[np.searchsorted(good, spots), len(bad) - np.searchsorted(bad, spots)].astype(float)
 
-    rejected, kept_bad = rows.total(errors).reshape(2, -1)
+    rejected, kept_bad = known.total(errors).reshape(2, -1)
     cost = GOOD_COST * rejected / n[JUDGE][1] + kept_bad / n[JUDGE][0]
     best = np.flatnonzero(cost == cost.min())
-    threshold = float(spots[best[len(best) // 2]])  # of equal costs the middle one
+    threshold = float(np.sqrt(spots[best[0]] * spots[best[-1]]))  # between those of equal costs, nearer to the lower ones: what is doubtful stays
     return CoTrained(text, meta, both, threshold, prior, int(told.sum()))
 
 
