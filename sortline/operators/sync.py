@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..sources.scans import incremental
+from ..sources.versions import MonthTable
 
 INSERT, UPDATE, SKIP, DELETE = "I", "U", "S", "D"
 DISABLED, SOFT, HARD = "disabled", "soft", "hard"
@@ -176,8 +178,6 @@ class Batch:
 
 def run_batch(source: DataFrame, state: DataFrame, target: DataFrame, keys: DataFrame, columns: list[str], start, end, now, deletion: str = SOFT, table_code: str = "T") -> Batch:
     """One sync of (start, end]: read, classify, merge, delete, log, checkpoint. source: business_key, cursor, seq and `columns`."""
-    from ..sources.scans import incremental
-
     rows = classify(with_digest(incremental(source, "cursor", start, end), columns), state)
     new = last_rows(rows)
     merged = merge_state(state, new, now)
@@ -191,6 +191,30 @@ def run_batch(source: DataFrame, state: DataFrame, target: DataFrame, keys: Data
     return Batch(done.state, done.target, change_log(rows, columns, now), done.log, result, checkpoint)
 
 
+def sync_months(
+    source: DataFrame, state: MonthTable, target: MonthTable, keys: DataFrame, columns: list[str], start, end, now, version: int, deletion: str = SOFT, table_code: str = "T", months_ahead: int = 1
+) -> Batch:
+    """run_batch() on tables by month, which it writes: only months that hold a changed or deleted key, before or after, are read whole and rewritten; of the others the state's
+    keys, digests and cursors are read. Target rows are in the month of their state row. A version that is there already is not written again."""
+    known = state.read()
+    rows = classify(with_digest(incremental(source, "cursor", start, end), columns), known).persist()
+    new = last_rows(rows).withColumn("shard_month", month_for_cursor(F.col("cursor"), now, months_ahead)).persist()
+    slim = ("business_key", "digest", "cursor", "shard_month")
+    after = delete_keys(known.select(*slim), new).unionByName(new.select(*slim))
+    gone = deleted_keys(after, keys, start, end).persist()
+    touched = touched_months(known, new.select(*slim).unionByName(gone.select(*slim)))
+    part, held = state.read(touched), target.read(touched)
+    done = apply_deletions(merge_state(part, new, now, months_ahead), merge_table(held, new.select(*held.columns)), gone, deletion, now)
+    if version not in state.versions():
+        target.write(done.target, version, touched)
+        state.write(done.state, version, touched)  # last: a run that failed between comes again as a whole
+    result = merge_counts(rows).crossJoin(gone.agg(F.count("*").cast("long").alias("deleted")))  # one row each
+    checkpoint = result.select(
+        F.lit(table_code).alias("table_code"), F.coalesce("max_cursor", C.ntz(start)).alias("last_cursor"), C.ntz(now).alias("last_success"), F.lit(None).cast("string").alias("last_error")
+    )
+    return Batch(state.read(), target.read(), change_log(rows, columns, now), done.log, result, checkpoint)
+
+
 def failed_checkpoint(checkpoint: DataFrame, error: str) -> DataFrame:
     """A failed run keeps the cursor and records why."""
     return checkpoint.withColumn("last_error", F.lit(error))

@@ -510,6 +510,30 @@ def test_keyed_merge_of_touched_months(spark, tmp_path):
     assert {m: p.split("/")[1] for m, p in table.months().items()} == {"202601": "0", "202602": "1", "202604": "0", "202605": "1"}
 
 
+def test_sync_of_touched_months_is_that_of_whole_tables(spark, tmp_path):
+    day = lambda m, d=3: datetime(2026, m, d)
+    old = incoming(spark, *((k, "1", day(m)) for k, m in (("a", 5), ("b", 6), ("c", 7), ("d", 7), ("e", 8))))
+    empty = spark.createDataFrame([], STATE)
+    known = sync.merge_state(empty, sync.last_rows(sync.classify(old, empty)), day(5), 3)
+    held = known.select("business_key", "shard_month").withColumn("v", F.lit("1"))
+    state, target = MonthTable(spark, f"file://{tmp_path}/state"), MonthTable(spark, f"file://{tmp_path}/target")
+    state.write(known, 0)
+    target.write(held, 0)
+    source = incoming(spark, ("A", "2", day(7, 10)), ("c", "1", day(7, 11)), ("n", "9", day(8, 1)), ("x", "7", day(9, 30)))
+    keys = spark.createDataFrame([("a",), ("b",), ("c",), ("e",), ("n",)], "business_key string")
+    args = (["v"], day(6, 30), day(9, 1), day(7, 20))
+    for mode in (sync.HARD, sync.SOFT):
+        version = state.versions()[-1] + 1
+        parts = {"state": ["business_key", "cursor", "shard_month", "is_soft_deleted"], "target": ["business_key", "v"], "changes": ["business_key", "op"], "deletions": ["business_key", "mode"]}
+        shown = lambda b: {p: sorted(map(repr, getattr(b, p).select(*columns).collect())) for p, columns in parts.items()}
+        want = sync.run_batch(source, state.read(), target.read().drop("shard_month"), keys, *args, deletion=mode)
+        expected = shown(want)
+        got = sync.sync_months(source, state, target, keys, *args, version, deletion=mode)
+        assert shown(got) == expected
+        assert tuple(got.result.first()) == tuple(want.result.first()) and tuple(got.checkpoint.first()) == tuple(want.checkpoint.first())
+    assert state.months()["202606"] == "data/0/of_month=202606" and target.months()["202606"] == "data/0/of_month=202606"  # never touched
+
+
 def test_upsert_of_touched_months(spark):
     old = tasks(spark, *(dict(created_time=datetime(2026, m, 5), wave_code="old") for m in (1, 2, 3)))
     new = spark.createDataFrame([("T", "K2", datetime(2026, 6, 1), "new"), ("T", "K9", datetime(2026, 4, 1), "new")], "source_table_code string, business_key string, created_time timestamp_ntz, wave_code string")
