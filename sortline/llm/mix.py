@@ -21,6 +21,7 @@ from .common import count_words, materialize
 WEIGHTS = (5, 2, 1)
 #: Packets that a document is offered in if the targets are met in its midst: a source is that part of one document from its target at most.
 PACKETS = 256
+FINER = 64
 #: Rows that one slice of a source or of virtual time holds about.
 SLICE_ROWS = 20_000
 
@@ -121,8 +122,11 @@ def _offers(k: int, start: Column) -> Column:
 
 
 def _range_sort(copies: DataFrame, ranges: int) -> DataFrame:
-    """copies with at: the words before each in the order of finish. Rows without words have none. The last range has what finishes late: packets of one document of each source."""
-    copies = copies.withColumn("range", F.when(F.col("words").isNull(), -1 - F.col("nth") % ranges).otherwise(F.least(F.floor(F.col("finish") * ranges), F.lit(ranges))).cast("long"))
+    """copies with at: the words before each in the order of finish. Rows without words have none. Packets, of one document of each source, are many around time 1: there
+    the ranges are `FINER` times as fine."""
+    spot = F.col("finish") * ranges
+    range_ = F.when(spot < ranges - 1, F.floor(spot) * FINER).otherwise(F.floor(F.least(spot, F.lit(4.0 * ranges)) * FINER))
+    copies = copies.withColumn("range", F.when(F.col("words").isNull(), -1 - F.col("nth") % ranges).otherwise(range_).cast("long"))
     sums = copies.filter("range >= 0").groupBy("range").agg(F.sum("words").alias("all"))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("range", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("before"))
