@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import rotate
+from .collocations import collocations
 from .common import materialize, table
 from .decontaminate import decontaminate
 from .media import digests
@@ -98,6 +99,11 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return faults.join(where, ["archive", "offset"]).select("page_id", "fault", "length", "other_length")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 phrases of each language by the score of their worst cut."""
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 __all__ = ["QUERIES", "SQL"]
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_mixing, op3_simhash_neardup, op4_sharding, op5_secret_scan, op6_html_wrappers, op7_quality, op8_mpeg_audio, op9_perspective_rotation, op10_warc_fixity)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_mixing, op3_simhash_neardup, op4_sharding, op5_secret_scan, op6_html_wrappers, op7_quality, op8_mpeg_audio, op9_perspective_rotation, op10_warc_fixity, op11_collocations)}

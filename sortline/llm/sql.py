@@ -1,4 +1,4 @@
-"""SQL of the registered queries, for DuckDB. op7 and the pipeline have none: a fitted classifier isn't SQL."""
+"""SQL of the registered queries, for DuckDB. op7, op12 and the pipeline have none: a fitted model isn't SQL."""
 
 from __future__ import annotations
 
@@ -285,5 +285,27 @@ WITH made AS (
 SELECT page_id, CASE WHEN page_id % 200 = 0 THEN 'missing' ELSE 'changed' END AS fault, length,
        CASE WHEN page_id % 200 = 0 THEN NULL ELSE length END AS other_length
 FROM made
+""",
+    "op11_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+runs AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM worded, range(1, 5) r(k)),
+counts AS (SELECT lang, w[i:i + k - 1] AS w, k, count(*) AS f FROM runs GROUP BY ALL HAVING count(*) >= 30),
+sizes AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM worded GROUP BY lang),
+cuts AS (SELECT *, unnest(range(1, k)) AS cut FROM counts WHERE k > 1),
+scored AS (
+  SELECT c.lang, c.w, c.k, c.f AS a, cut, x.f AS l, y.f AS r, CAST(2000000 * CAST(c.f AS HUGEINT) // (x.f + y.f) AS BIGINT) AS score
+  FROM cuts c JOIN counts x ON c.lang = x.lang AND c.w[1:cut] = x.w JOIN counts y ON c.lang = y.lang AND c.w[cut + 1:] = y.w),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, cut) = 1),
+inner_runs AS (SELECT lang, w, a, k, j, unnest(range(1, k - j + 2)) AS i FROM worst, range(2, 4) r(j) WHERE j < k),
+around AS (SELECT lang, w[i:i + j - 1] AS w, max(a) AS around FROM inner_runs GROUP BY ALL),
+kept AS (
+  SELECT s.lang, array_to_string(s.w, ' ') AS phrase, a, l, r, score FROM worst s LEFT JOIN around o ON s.lang = o.lang AND s.w = o.w
+  WHERE around IS NULL OR 100 * CAST(around AS HUGEINT) < 80 * CAST(a AS HUGEINT))
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN sizes ON kept.lang = sizes.lang
+QUALIFY rank <= 2000
 """,
 }
