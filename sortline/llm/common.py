@@ -28,11 +28,12 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_dir(spark)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: lineage is cut, lost executors cost no recomputation. The files go when the application ends."""
+def materialize(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write df as Parquet in the shared folder, in folders by the columns `by`, and read it again: lineage is cut, lost executors cost no recomputation. The files go when the
+    application ends."""
     spark = df.sparkSession
     out_path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(out_path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(out_path)
     path, fs = _file(spark, out_path)
     fs.deleteOnExit(path)
     out = spark.read.schema(df.schema).parquet(out_path)

@@ -9,6 +9,7 @@ from .chat import rotate
 from .collocations import collocations
 from .common import materialize, table
 from .decontaminate import decontaminate
+from .maxent import score_texts
 from .media import digests
 from .mix import mix
 from .quality import fit, score
@@ -104,6 +105,11 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probabilities of all documents by counts, and by a hashed maximum-entropy model."""
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 __all__ = ["QUERIES", "SQL"]
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_mixing, op3_simhash_neardup, op4_sharding, op5_secret_scan, op6_html_wrappers, op7_quality, op8_mpeg_audio, op9_perspective_rotation, op10_warc_fixity, op11_collocations)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_mixing, op3_simhash_neardup, op4_sharding, op5_secret_scan, op6_html_wrappers, op7_quality, op8_mpeg_audio, op9_perspective_rotation, op10_warc_fixity, op11_collocations, op12_maxent)}
