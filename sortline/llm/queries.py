@@ -13,6 +13,7 @@ from .maxent import score_texts
 from .media import digests
 from .mix import mix
 from .quality import fit, score
+from .repair import repair
 from .secrets import KINDS, scan_secrets
 from .shards import shard
 from .simhash import near_duplicates
@@ -110,6 +111,11 @@ def op12_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))
 
 
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of all conversations after damage, and their cheapest repair."""
+    return repair(table(spark, sf_dir, "conversations"))
+
+
 __all__ = ["QUERIES", "SQL"]
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_mixing, op3_simhash_neardup, op4_sharding, op5_secret_scan, op6_html_wrappers, op7_quality, op8_mpeg_audio, op9_perspective_rotation, op10_warc_fixity, op11_collocations, op12_maxent)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_mixing, op3_simhash_neardup, op4_sharding, op5_secret_scan, op6_html_wrappers, op7_quality, op8_mpeg_audio, op9_perspective_rotation, op10_warc_fixity, op11_collocations, op12_maxent, op13_structure_repair)}

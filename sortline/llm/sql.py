@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 
 from . import media
+from .repair import ROW_CELLS
 from .secrets import EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES, KINDS, PLACEHOLDER
 
 #: CRC-32 of a list of bytes; it needs the table `crc_table`.
@@ -307,5 +308,51 @@ kept AS (
 SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
 FROM kept JOIN sizes ON kept.lang = sizes.lang
 QUALIFY rank <= 2000
+""",
+    "op13_structure_repair": rf"""
+WITH RECURSIVE {CRC_TABLE},
+kinds AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("hex(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS kind
+  FROM conversations, crc_table),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(0, CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM kinds WHERE kind <> 0),
+rows_ AS (SELECT *, row_number() OVER () AS id FROM damaged),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, id) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, id) AS again,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, id) AS before,
+         right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last
+  FROM rows_),
+faulty AS (
+  SELECT *, CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE '' END AS initial,
+         CASE WHEN last = '' THEN 'blank' WHEN again > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+  FROM numbered),
+edits(initial, fault, p, q, cost, audit) AS (VALUES {", ".join(f"('{i}', '{f or ''}', {p}, {q}, {cost}, '{audit}')" for (i, f), cell in ROW_CELLS.items() for (p, q), (cost, audit) in cell.items())}),
+walk AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, 0 AS q, {{'cost': CAST(0 AS BIGINT), 'audit': ''}} AS best FROM faulty
+  UNION ALL
+  SELECT w.conv_id, w.i + 1, e.q, min({{'cost': w.best.cost + e.cost, 'audit': w.best.audit || e.audit}})
+  FROM walk w JOIN faulty f ON w.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = w.i + 1 JOIN edits e ON f.initial = e.initial AND f.fault = e.fault AND w.q = e.p
+  GROUP BY ALL),
+totals AS (
+  SELECT conv_id, count(*) AS n, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (before IS NOT NULL AND before || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faulty GROUP BY conv_id),
+chosen AS (SELECT t.conv_id, min(best) AS best FROM totals t JOIN walk w ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND w.i = n WHERE q IN (0, 3) GROUP BY t.conv_id),
+steps AS (SELECT conv_id, unnest(string_split(best.audit, '')) AS edit, unnest(range(1, length(best.audit) + 1)) AS k FROM chosen WHERE best.audit <> ''),
+placed AS (SELECT *, count(*) FILTER (edit <> 'I') OVER (PARTITION BY conv_id ORDER BY k) AS i FROM steps),
+kept AS (
+  SELECT s.conv_id, edit, k, CASE WHEN edit <> 'I' THEN f.role END AS role, CASE WHEN edit <> 'I' THEN f.text ELSE '' END AS text,
+         row_number() OVER (PARTITION BY s.conv_id ORDER BY k) AS j, first_value(edit = 'K' AND initial = 's') OVER (PARTITION BY s.conv_id ORDER BY k) AS led
+  FROM placed s LEFT JOIN faulty f ON s.conv_id IS NOT DISTINCT FROM f.conv_id AND s.i = f.i WHERE edit <> 'D'),
+said AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (j - CASE WHEN led THEN 1 ELSE 0 END) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY k)) AS hash
+  FROM kept GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit, coalesce(hash, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN totals t ON o.conv_id IS NOT DISTINCT FROM t.conv_id LEFT JOIN chosen c ON o.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN said s ON o.conv_id IS NOT DISTINCT FROM s.conv_id
 """,
 }
