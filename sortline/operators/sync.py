@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import fixed as V
 from ..sources.scans import incremental
-from ..sources.versions import MonthTable
+from ..sources.versions import Commit, Store, retried
 
 INSERT, UPDATE, SKIP, DELETE = "I", "U", "S", "D"
 DISABLED, SOFT, HARD = "disabled", "soft", "hard"
@@ -191,31 +193,130 @@ def run_batch(source: DataFrame, state: DataFrame, target: DataFrame, keys: Data
     return Batch(done.state, done.target, change_log(rows, columns, now), done.log, result, checkpoint)
 
 
+#: Tables of a sync store. The logs are by the month of their time.
+STATE, TARGET, CHANGES, DELETIONS, BATCHES = "state", "target", "changes", "deletions", "batches"
+KEY = "key"
+LEDGER = "batch_id string, table_code string, status int, at timestamp_ntz, window_start timestamp_ntz, window_end timestamp_ntz, read long, inserted long, updated long, skipped long, deleted long, error string"
+
+
+def open_sync(store: Store, state: DataFrame, target: DataFrame) -> Commit:
+    """The first commit of a store for sync runs: a state and a target by month, and no logs yet."""
+    attempt = store.attempt()
+    attempt.replace(STATE, state, keys=_state_keys())
+    attempt.replace(TARGET, target)
+    return attempt.commit({"runs": {}})
+
+
+def _state_keys() -> dict[str, Column]:
+    return {KEY: C.key_text("business_key")}
+
+
+def checkpoints(store: Store) -> DataFrame:
+    """table_code, last_cursor, last_success and last_error of the runs so far, as sync_window() reads them."""
+    runs = store.last().info.get("runs", {})
+    time = lambda t: t and datetime.fromisoformat(t)
+    rows = [(code, time(r["last_cursor"]), time(r["last_success"]), r["last_error"]) for code, r in sorted(runs.items())]
+    return store.spark.createDataFrame(rows, "table_code string, last_cursor timestamp_ntz, last_success timestamp_ntz, last_error string")
+
+
 def sync_months(
-    source: DataFrame, state: MonthTable, target: MonthTable, keys: DataFrame, columns: list[str], start, end, now, version: int, deletion: str = SOFT, table_code: str = "T", months_ahead: int = 1
+    source: DataFrame, store: Store, keys: DataFrame, columns: list[str], start, end, now, batch_id: str, deletion: str = SOFT, table_code: str = "T", months_ahead: int = 1
 ) -> Batch:
-    """run_batch() on tables by month, which it writes: only months that hold a changed or deleted key, before or after, are read whole and rewritten; of the others the state's
-    keys, digests and cursors are read. Target rows are in the month of their state row. A version that is there already is not written again."""
-    known = state.read()
-    rows = classify(with_digest(incremental(source, "cursor", start, end), columns), known).persist()
-    new = last_rows(rows).withColumn("shard_month", month_for_cursor(F.col("cursor"), now, months_ahead)).persist()
+    """run_batch() on the tables by month of a store. State, target, logs and cursor change in one commit, so a run that dies at any step has changed nothing, and comes again as a whole;
+    a batch that was committed last of its table does nothing. If another run was committed meanwhile it raises Conflict, and the batch has to be run again.
+
+    Only months that hold a changed or deleted key, before or after, are rewritten. Filters tell which months may hold keys of the batch, so the others' keys aren't read, but for those
+    whose cursors are in the window, where deletions are looked for. The batch is classified once: its rows are staged, and the counts come with that write.
+    """
+    base = store.last()
+    run = base.info.get("runs", {}).get(table_code)
+    if run and run["batch_id"] == batch_id and run["last_error"] is None:
+        return _batch_of(store, base, table_code, batch_id)
+    attempt, spark = store.attempt(base), store.spark
+    fresh = with_digest(incremental(source, "cursor", start, end), columns)
+    batch_keys = fresh.select(C.key_text("business_key").alias(KEY)).distinct()
+    near = store.months_that_may_hold(STATE, KEY, batch_keys, base)
+    seen = Observation()
+    of = lambda op: F.count_if(F.col("op") == op).alias(op)
+    classified = classify(fresh, store.read(STATE, near, base)).observe(seen, F.count(F.lit(1)).alias("read"), *map(of, (INSERT, UPDATE, SKIP)), F.max("cursor").alias("max_cursor"))
+    rows = attempt.stage(classified, "rows")
+    counts = seen.get
+    new = attempt.stage(last_rows(rows).withColumn("shard_month", month_for_cursor(F.col("cursor"), now, months_ahead)), "new")
     slim = ("business_key", "digest", "cursor", "shard_month")
-    after = delete_keys(known.select(*slim), new).unionByName(new.select(*slim))
-    gone = deleted_keys(after, keys, start, end).persist()
-    touched = touched_months(known, new.select(*slim).unionByName(gone.select(*slim)))
-    part, held = state.read(touched), target.read(touched)
+    # rows of keys that come anew have their new cursor; of the others those of the window are looked up in the source
+    known = store.read(STATE, at=base).filter((F.col("cursor") > C.ntz(start)) & (F.col("cursor") <= C.ntz(end)))
+    gone = attempt.stage(deleted_keys(delete_keys(known.select(*slim), new).unionByName(new.select(*slim)), keys, start, end), "gone")
+    touched = touched_months(store.read(STATE, near, base), new.select(*slim)) if near else sorted(r[0] for r in new.select("shard_month").distinct().collect())
+    touched = sorted({*touched, *(r[0] for r in gone.select("shard_month").distinct().collect())})  # a table has few months
+    part, held = store.read(STATE, touched, base), store.read(TARGET, touched, base)
     done = apply_deletions(merge_state(part, new, now, months_ahead), merge_table(held, new.select(*held.columns)), gone, deletion, now)
-    if version not in state.versions():
-        target.write(done.target, version, touched)
-        state.write(done.state, version, touched)  # last: a run that failed between comes again as a whole
-    result = merge_counts(rows).crossJoin(gone.agg(F.count("*").cast("long").alias("deleted")))  # one row each
-    checkpoint = result.select(
-        F.lit(table_code).alias("table_code"), F.coalesce("max_cursor", C.ntz(start)).alias("last_cursor"), C.ntz(now).alias("last_success"), F.lit(None).cast("string").alias("last_error")
-    )
-    return Batch(state.read(), target.read(), change_log(rows, columns, now), done.log, result, checkpoint)
+    attempt.replace(TARGET, done.target, touched)
+    attempt.replace(STATE, done.state, touched, _state_keys())
+    attempt.append(CHANGES, change_log(rows, columns, now).withColumn("batch_id", F.lit(batch_id)).drop("seq"), C.month_key("changed_time"))
+    deleted = Observation()
+    log = done.log.withColumn("batch_id", F.lit(batch_id)).observe(deleted, F.count(F.lit(1)).alias("deleted"))
+    attempt.append(DELETIONS, log, C.month_key("deleted_time"))
+    figures = {"read": counts["read"], "inserted": counts[INSERT], "updated": counts[UPDATE], "skipped": counts[SKIP], "deleted": deleted.get["deleted"]}
+    cursor = counts["max_cursor"]
+    ledger = [(V.BATCH_PENDING, {}, None), (V.BATCH_RUNNING, {}, None), (V.BATCH_COMPLETED, figures, None)]
+    attempt.append(BATCHES, _ledger(spark, ledger, batch_id, table_code, start, end, now), C.month_key("at"))
+    run = {"batch_id": batch_id, "last_cursor": str(cursor or start), "last_success": str(now), "last_error": None, "max_cursor": cursor and str(cursor), "months": touched, **figures}
+    made = attempt.commit({"runs": base.info.get("runs", {}) | {table_code: run}})
+    return _batch_of(store, made, table_code, batch_id)
+
+
+def _batch_of(store: Store, commit: Commit, table_code: str, batch_id: str) -> Batch:
+    """What a committed run gave."""
+    run, spark = commit.info["runs"][table_code], store.spark
+    time = lambda t: t and datetime.fromisoformat(t)
+    result = spark.createDataFrame([(*(run[k] for k in FIGURES[:4]), time(run["max_cursor"]), run["deleted"])], "read long, inserted long, updated long, skipped long, max_cursor timestamp_ntz, deleted long")
+    checkpoint = spark.createDataFrame([(table_code, time(run["last_cursor"]), time(run["last_success"]), run["last_error"])], CHECKPOINT)
+    of_batch = lambda t: store.read(t, at=commit).filter(F.col("batch_id") == batch_id).drop("batch_id")
+    return Batch(store.read(STATE, at=commit), store.read(TARGET, at=commit), of_batch(CHANGES), of_batch(DELETIONS), result, checkpoint)
+
+
+FIGURES = ("read", "inserted", "updated", "skipped", "deleted")
+CHECKPOINT = "table_code string, last_cursor timestamp_ntz, last_success timestamp_ntz, last_error string"
+
+
+def _ledger(spark, steps: list[tuple[int, dict, str | None]], batch_id: str, table_code: str, start, end, now) -> DataFrame:
+    time = lambda t: datetime.fromisoformat(str(t))
+    rows = [(batch_id, table_code, status, time(now), time(start), time(end), *(figures.get(k) for k in FIGURES), error) for status, figures, error in steps]
+    return spark.createDataFrame(rows, LEDGER)
+
+
+def sync_job(source: DataFrame, store: Store, keys: DataFrame, columns: list[str], definition: DataFrame, now, batch_id: str, deletion: str = SOFT, months_ahead: int = 1) -> Batch | None:
+    """The run of a table by its definition (one row: table_code, priority, lag_minutes, start_time): its window begins at the stored cursor. A run that fails keeps cursor and tables, and is
+    recorded with its error; the next one reads the same window. An empty window is no run. A batch that was committed gives what it gave."""
+    code = definition.first()["table_code"]
+    run = store.last().info.get("runs", {}).get(code)
+    if run and run["batch_id"] == batch_id and run["last_error"] is None:
+        return _batch_of(store, store.last(), code, batch_id)
+    window = sync_window(definition, checkpoints(store), now).first()
+    start, end = window["window_start"], window["window_end"]
+    if not start < end:
+        return None
+    try:
+        return sync_months(source, store, keys, columns, start, end, now, batch_id, deletion, code, months_ahead)
+    except Exception as e:
+        record_failure(store, code, batch_id, start, end, now, f"{type(e).__name__}: {e}")
+        raise
+
+
+def record_failure(store: Store, table_code: str, batch_id: str, start, end, now, error: str) -> Commit:
+    """A batch that failed, in the ledger and beside the cursor, which stays."""
+    said = "".join(c for c in error if c.isprintable())[:512]
+
+    def change(attempt):
+        runs = attempt.base.info.get("runs", {})
+        old = runs.get(table_code) or {"last_cursor": str(start), "last_success": None, "max_cursor": None, **dict.fromkeys(FIGURES, 0)}
+        steps = [(V.BATCH_PENDING, {}, None), (V.BATCH_RUNNING, {}, None), (V.BATCH_FAILED, {}, said)]
+        attempt.append(BATCHES, _ledger(store.spark, steps, batch_id, table_code, start, end, now), C.month_key("at"))
+        return {"runs": runs | {table_code: old | {"batch_id": batch_id, "last_error": said}}}
+
+    return retried(store, change)
 
 
 def failed_checkpoint(checkpoint: DataFrame, error: str) -> DataFrame:
     """A failed run keeps the cursor and records why."""
     return checkpoint.withColumn("last_error", F.lit(error))
-

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..operators.events import apply_scans, match_scans, scan_log_rows
+from ..functions import columns as C
+from ..operators.events import apply_scans, match_scans, parse_scans, scan_log_rows
 from ..plans.snapshots import Snapshots, refresh_all
-from ..sources.versions import Files, MonthTable
+from ..sources.versions import Files, MonthTable, retried
 
 
 def minute_counts(scans: DataFrame, late: str = "10 minutes") -> DataFrame:
@@ -21,23 +22,41 @@ def minute_counts(scans: DataFrame, late: str = "10 minutes") -> DataFrame:
     return out.select(F.col("w.start").alias("bucket"), "total", "matched")
 
 
+BARCODE = "barcode"
+
+
+def scanned_tasks(spark: SparkSession, root: str) -> MonthTable:
+    """A task table whose months have a filter of their barcodes, as scans look for them."""
+    return MonthTable(spark, root, {BARCODE: C.key_text(C.blank_to_null("barcode"))})
+
+
 def apply_scan_stream(scans: DataFrame, tasks: MonthTable, log_path: str, checkpoint: str, now: Callable[[], object], keep: int = 2) -> StreamingQuery:
-    """Apply a stream of scans to a task table and write the scan log. A micro-batch looks its barcodes up in all months and rewrites those of the tasks that it finds.
-    Delivery is at least once; both writes are by batch number, so their effect is once."""
+    """Apply a stream of scans to a task table and write the scan log. A micro-batch looks its barcodes up in the months whose filter may hold one of them (in all months of a table
+    without filters), and rewrites those of the tasks that it finds. The newest task of a barcode is in one of these months. Delivery is at least once; the commit names the last batch of
+    this stream, and the log's folder its batch, so the effect of each is once. The commit lists the months opened and rewritten. Where other jobs commit meanwhile, the batch is made anew."""
+    table = MonthTable.ROWS
 
     def batch(df: DataFrame, number: int) -> None:
-        version = number + 1  # version 0 is the table at the start
-        if version in tasks.versions():
-            return
         df = df.persist()
-        matched = match_scans(df, tasks.read()).persist()
-        scan_log_rows(matched).write.mode("overwrite").parquet(f"{log_path}/batch={number}")
-        months = [r[0] for r in matched.filter(F.col("task_month").isNotNull()).select("task_month").distinct().collect()]  # a table has few
-        # the newest task of a barcode is in one of these months, so it is the newest among them too
-        tasks.write(apply_scans(tasks.read(months), df, now()), version, months)
+        held = []
+
+        def change(attempt):
+            base = attempt.base
+            streams = base.info.get("streams", {})
+            if streams.get(checkpoint, {}).get("batch", -1) >= number:
+                return None
+            opened = tasks.store.months_that_may_hold(table, BARCODE, parse_scans(df).select("code"), base)
+            matched = match_scans(df, tasks.store.read(table, opened, base)).persist()
+            held.append(matched)
+            scan_log_rows(matched).write.mode("overwrite").parquet(f"{log_path}/batch={number}")
+            months = sorted(r[0] for r in matched.filter(F.col("task_month").isNotNull()).select("task_month").distinct().collect())  # a table has few
+            attempt.replace(table, apply_scans(tasks.store.read(table, months, base), df, now()), months, tasks.keys)
+            return {"streams": streams | {checkpoint: {"batch": number, "opened": opened, "rewritten": months}}}
+
+        retried(tasks.store, change)
         tasks.prune(keep)
-        matched.unpersist()
-        df.unpersist()
+        for d in [df, *held]:
+            d.unpersist()
 
     return scans.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

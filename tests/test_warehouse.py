@@ -19,7 +19,7 @@ from sortline.operators import views as W
 from sortline.plans import snapshots as SN
 from sortline.sources import fixtures as X
 from sortline.sources import scans, sinks, tables
-from sortline.sources.versions import MonthTable
+from sortline.sources.versions import MonthTable, Store
 from sortline.streaming import scans as stream
 
 T0 = datetime(2026, 7, 6, 8, 0)
@@ -486,7 +486,7 @@ def test_only_touched_months_are_rewritten(spark, tmp_path):
     after = table.months()
     assert {m for m in first if first[m] != after[m]} == {"202602", "202604"} and set(first) == set(after)
     assert {r.task_code: r.status for r in table.read().collect()} == {"T1": V.CREATED, "T2": V.SCANNED, "T3": V.CREATED, "T4": V.SCANNED}
-    assert sorted(p.name for p in tmp_path.glob("tasks/data/0/of_month=*")) == ["of_month=202601", "of_month=202603"]  # what no version names is gone
+    assert sorted(p.name for p in tmp_path.glob("tasks/data/0-*/rows/of_month=*")) == ["of_month=202601", "of_month=202603"]  # what no version names is gone
     assert all("of_month=202603" in f for f in table.read(["202603"]).inputFiles()) and table.read(["209901"]).count() == 0
     # a failed write changes nothing
     with pytest.raises(Exception):
@@ -507,7 +507,7 @@ def test_keyed_merge_of_touched_months(spark, tmp_path):
     table.write(merged, 1, months)
     whole = sync.merge_table(target, rows)
     assert sorted(map(tuple, table.read().select("business_key", "v", "shard_month").collect())) == sorted(map(tuple, whole.collect()))
-    assert {m: p.split("/")[1] for m, p in table.months().items()} == {"202601": "0", "202602": "1", "202604": "0", "202605": "1"}
+    assert {m: p.split("/")[1].split("-")[0] for m, p in table.months().items()} == {"202601": "0", "202602": "1", "202604": "0", "202605": "1"}
 
 
 def test_sync_of_touched_months_is_that_of_whole_tables(spark, tmp_path):
@@ -516,22 +516,22 @@ def test_sync_of_touched_months_is_that_of_whole_tables(spark, tmp_path):
     empty = spark.createDataFrame([], STATE)
     known = sync.merge_state(empty, sync.last_rows(sync.classify(old, empty)), day(5), 3)
     held = known.select("business_key", "shard_month").withColumn("v", F.lit("1"))
-    state, target = MonthTable(spark, f"file://{tmp_path}/state"), MonthTable(spark, f"file://{tmp_path}/target")
-    state.write(known, 0)
-    target.write(held, 0)
+    store = Store(spark, f"file://{tmp_path}/store")
+    sync.open_sync(store, known, held)
+    first = store.last()
     source = incoming(spark, ("A", "2", day(7, 10)), ("c", "1", day(7, 11)), ("n", "9", day(8, 1)), ("x", "7", day(9, 30)))
     keys = spark.createDataFrame([("a",), ("b",), ("c",), ("e",), ("n",)], "business_key string")
     args = (["v"], day(6, 30), day(9, 1), day(7, 20))
-    for mode in (sync.HARD, sync.SOFT):
-        version = state.versions()[-1] + 1
+    for batch, mode in enumerate((sync.HARD, sync.SOFT, sync.DISABLED)):
         parts = {"state": ["business_key", "cursor", "shard_month", "is_soft_deleted"], "target": ["business_key", "v"], "changes": ["business_key", "op"], "deletions": ["business_key", "mode"]}
         shown = lambda b: {p: sorted(map(repr, getattr(b, p).select(*columns).collect())) for p, columns in parts.items()}
-        want = sync.run_batch(source, state.read(), target.read().drop("shard_month"), keys, *args, deletion=mode)
+        want = sync.run_batch(source, store.read("state"), store.read("target").drop("shard_month"), keys, *args, deletion=mode)
         expected = shown(want)
-        got = sync.sync_months(source, state, target, keys, *args, version, deletion=mode)
+        got = sync.sync_months(source, store, keys, *args, f"b{batch}", deletion=mode)
         assert shown(got) == expected
         assert tuple(got.result.first()) == tuple(want.result.first()) and tuple(got.checkpoint.first()) == tuple(want.checkpoint.first())
-    assert state.months()["202606"] == "data/0/of_month=202606" and target.months()["202606"] == "data/0/of_month=202606"  # never touched
+    for table in ("state", "target"):
+        assert store.last().months(table)["202606"] == first.months(table)["202606"]  # never touched
 
 
 def test_upsert_of_touched_months(spark):
