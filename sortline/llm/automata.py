@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 
 
 @dataclass
@@ -28,23 +29,31 @@ class Depth:
 
 
 def _empty() -> Depth:
-    return Depth(*(np.zeros(0, np.int64) for _ in range(3)))
+    return Depth(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64))
 
 
-def _summed(key: np.ndarray, weight: np.ndarray, size: int, most: bool = False) -> tuple[Depth, np.ndarray]:
-    """The depth with a state for every distinct key (parent * size + word), and where each key went. Weights of equal keys add up, or the most of them counts."""
+def _keys(d: Depth, size: int) -> np.ndarray:
+    return d.parent.astype(np.int64) * size + d.word
+
+
+def _summed(key: np.ndarray, weight: np.ndarray | None, size: int, most: bool = False) -> tuple[Depth, np.ndarray]:
+    """The depth with a state for every distinct key (parent * size + word), and where each key went. Weights of equal keys add up, or the most of them counts; without weights
+    each key weighs 1."""
     order = np.argsort(key, kind="stable")
     ordered = key[order]
     first = np.ones(len(key), bool)
     first[1:] = ordered[1:] != ordered[:-1]
     starts = np.flatnonzero(first)
-    where = np.empty(len(key), np.int64)
-    where[order] = np.cumsum(first) - 1
+    where = np.empty(len(key), np.int32)
+    where[order] = np.cumsum(first, dtype=np.int32) - 1
     if not len(starts):
         return _empty(), where
-    reduce = np.maximum.reduceat if most else np.add.reduceat
-    one = ordered[starts]
-    return Depth(one // size, one % size, reduce(weight[order], starts)), where
+    if weight is None:
+        sums = np.diff(starts, append=len(key))
+    else:
+        sums = (np.maximum.reduceat if most else np.add.reduceat)(weight[order], starts)
+    parent, word = np.divmod(ordered[starts], size)
+    return Depth(parent.astype(np.int32), word.astype(np.int32), sums), where
 
 
 @dataclass
@@ -62,7 +71,7 @@ class Automaton:
         """Counts of all runs of 1 to most_words symbols below their head (such as a language), of those alone that begin in the first `starts` places if it is given.
         heads: the head of each place; symbols: -1 parts runs. words: sorted."""
         size, at = len(words), np.flatnonzero(symbols[:starts] >= 0)
-        depth, node = _summed(heads[at].astype(np.int64), np.ones(len(at), np.int64), size)
+        depth, node = _summed(heads[at].astype(np.int64), None, size)
         depths = [depth]
         for k in range(most_words):
             # `at` holds the starts of runs of k words; those stay that the next symbol lengthens
@@ -71,7 +80,7 @@ class Automaton:
             at, node, ends = at[inside], node[inside], ends[inside]
             longer = symbols[ends] >= 0
             at, node = at[longer], node[longer]
-            depth, node = _summed(node * size + symbols[at + k], np.ones(len(at), np.int64), size)
+            depth, node = _summed(node.astype(np.int64) * size + symbols[at + k], None, size)
             depths.append(depth)
         return Automaton(words, depths)
 
@@ -84,7 +93,7 @@ class Automaton:
             if not on:
                 out.append(_empty())
                 continue
-            key = np.concatenate([nodes[i] * size + paths[i][:, k] for i in on])
+            key = np.concatenate([nodes[i].astype(np.int64) * size + paths[i][:, k] for i in on])
             depth, where = _summed(key, np.zeros(len(key), np.int64), size)
             out.append(depth)
             for i, part in zip(on, np.split(where, np.cumsum([len(paths[i]) for i in on])[:-1])):
@@ -103,7 +112,7 @@ class Automaton:
         size, out, nodes = max(1, len(words)), [], [np.zeros(1, np.int64) for _ in parts]
         for k in range(max(len(p.depths) for p in parts)):
             on = [(i, p.depths[k]) for i, p in enumerate(parts) if k < len(p.depths)]
-            key = np.concatenate([nodes[i][d.parent] * size + of[i][d.word] for i, d in on])
+            key = np.concatenate([nodes[i][d.parent].astype(np.int64) * size + of[i][d.word] for i, d in on])
             depth, where = _summed(key, np.concatenate([d.weight for _, d in on]), size, most)
             out.append(depth)
             for (i, _), part in zip(on, np.split(where, np.cumsum([len(d) for _, d in on])[:-1])):
@@ -114,16 +123,20 @@ class Automaton:
 
     def keep(self, kept: Sequence[np.ndarray]) -> Automaton:
         """The states for which `kept` (a mask for each depth) holds; a kept state's parent must be kept."""
-        out, moved = [], np.zeros(1, np.int64)
+        out, moved = [], np.zeros(1, np.int32)
         for d, some in zip(self.depths, kept):
             out.append(Depth(moved[d.parent[some]], d.word[some], d.weight[some]))
-            moved = np.cumsum(some) - 1
+            moved = np.cumsum(some, dtype=np.int32) - 1
         return Automaton(self.words, out).trimmed()
 
     def trimmed(self) -> Automaton:
         """Without words that no state uses."""
-        used = np.unique(np.concatenate([d.word for d in self.depths]))
-        return Automaton(self.words.take(pa.array(used)), [Depth(d.parent, np.searchsorted(used, d.word), d.weight) for d in self.depths])
+        marks = np.zeros(len(self.words), bool)
+        for d in self.depths:
+            marks[d.word] = True
+        used = np.flatnonzero(marks)
+        place = np.cumsum(marks, dtype=np.int32) - 1
+        return Automaton(self.words.take(pa.array(used)), [Depth(d.parent, place[d.word], d.weight) for d in self.depths])
 
     def cuts(self, bound: Sequence[str]) -> tuple[list[int], list[int]]:
         """For each depth: the first state whose phrase isn't below `bound`, and the first that a part from `bound` on has to hold: a beginning of `bound` itself comes first there."""
@@ -197,7 +210,7 @@ class Automaton:
             there = counts.depths[k] if k < len(counts.depths) else _empty()
             parent, word = node[d.parent], own[d.word]
             key = np.where((parent >= 0) & (word >= 0), parent * size + word, -1)
-            keys = there.parent * size + there.word
+            keys = _keys(there, size)
             at = np.searchsorted(keys, key)
             found = np.zeros(len(d), bool)
             some = at < len(keys)
@@ -213,37 +226,41 @@ class Automaton:
         asked = Automaton.of_paths(words, [paths], paths.shape[1]).compose(self)
         node = np.zeros(len(paths), np.int64)
         for k, d in enumerate(asked.depths):
-            node = np.searchsorted(d.parent * len(words) + d.word, node * len(words) + paths[:, k])
+            node = np.searchsorted(_keys(d, len(words)), node * len(words) + paths[:, k])
         return asked.depths[-1].weight[node]
 
     # rows
 
     def pack(self) -> bytes:
-        """The arrays of all depths, each in the least width that holds it."""
-        out = []
+        """Words and the arrays of all depths, each in the least width that holds it, compressed. Words have no line feed."""
+        words = "\n".join(self.words.to_pylist()).encode()
+        out = [len(self.words).to_bytes(8, "little"), len(words).to_bytes(8, "little"), words]
         for d in self.depths:
             steps = np.diff(d.parent, prepend=0)
             for a in (steps, d.word, d.weight):
-                width = next(w for w in (1, 2, 4, 8) if int(a.max(initial=0)) < 1 << (8 * w - 1))
-                out += [bytes([width]), len(a).to_bytes(8, "little"), a.astype(f"<i{width}").tobytes()]
-        return b"".join(out)
+                width = next(w for w in (1, 2, 4, 8) if int(a.max(initial=0)) < 1 << (8 * w))
+                out += [bytes([width]), len(a).to_bytes(8, "little"), a.astype(f"<u{width}").tobytes()]
+        return zstandard.compress(b"".join(out), 3)
 
     @staticmethod
-    def unpack(words: pa.Array, packed: bytes) -> Automaton:
-        depths, at = [], 0
-        while at < len(packed):
+    def unpack(packed: bytes) -> Automaton:
+        raw = zstandard.decompress(packed)
+        n, size = (int.from_bytes(raw[i : i + 8], "little") for i in (0, 8))
+        words, at = pa.array(raw[16 : 16 + size].decode().split("\n") if n else [], pa.string()), 16 + size
+        depths = []
+        while at < len(raw):
             got = []
-            for _ in range(3):
-                width, n = packed[at], int.from_bytes(packed[at + 1 : at + 9], "little")
-                got.append(np.frombuffer(packed, f"<i{width}", n, at + 9).astype(np.int64))
+            for kind in (np.int32, np.int32, np.int64):
+                width, n = raw[at], int.from_bytes(raw[at + 1 : at + 9], "little")
+                got.append(np.frombuffer(raw, f"<u{width}", n, at + 9).astype(kind))
                 at += 9 + width * n
-            depths.append(Depth(np.cumsum(got[0]), got[1], got[2]))
+            depths.append(Depth(np.cumsum(got[0], dtype=np.int32), got[1], got[2]))
         return Automaton(words, depths)
 
 
 def in_order(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Words sorted by their bytes, and the new place of each."""
     order = pc.sort_indices(words).to_numpy()
-    place = np.empty(len(words), np.int64)
-    place[order] = np.arange(len(words))
+    place = np.empty(len(words), np.int32)
+    place[order] = np.arange(len(words), dtype=np.int32)
     return words.take(pa.array(order)), place

@@ -35,21 +35,21 @@ UNKNOWN = "und"
 COVERED = 80
 
 #: Words of a shard; a task holds the counts of one.
-SHARD_WORDS = 3_000_000
+SHARD_WORDS = 1_500_000
 #: Bytes of text for each range of phrases, and of the sample that shows where the ranges begin. The sample decides how even the ranges are, and nothing of the result.
-RANGE_BYTES = 8 << 20
+RANGE_BYTES = 16 << 20
 SAMPLE_BYTES = 16 << 20
 #: Of the sample's phrases, one in so many is looked at.
 SAMPLE_STEP = 32
 #: Bytes of text that are cut to words at once.
 SLICE_BYTES = 4 << 20
 #: States that are united at once.
-UNITE = 3_000_000
+UNITE = 2_000_000
 
 ENDS = r"[.,;:!?\n\x0b\x0c\r]+"
 OWN = -1
 
-PARTS = "to int, asks int, words array<string>, packed binary"
+PARTS = "to int, asks int, packed binary"
 SCORED = "lang string, words int, phrase string, a long, l long, r long, n long, score long"
 
 
@@ -110,26 +110,14 @@ def _counted(held: list[tuple[pa.Array, np.ndarray, np.ndarray]]) -> Automaton:
     return Automaton.of_tokens(words, np.concatenate(heads), np.concatenate(symbols), MOST_WORDS).trimmed()
 
 
-def _batch(rows: list[tuple[int, int, Automaton]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([to for to, _, _ in rows], pa.int32()),
-            pa.array([asks for _, asks, _ in rows], pa.int32()),
-            pa.array([a.words.to_pylist() for _, _, a in rows], pa.list_(pa.string())),
-            pa.array([a.pack() for _, _, a in rows], pa.binary()),
-        ],
-        names=["to", "asks", "words", "packed"],
-    )
+def _batch(to: int, asks: int, a: Automaton) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([to], pa.int32()), pa.array([asks], pa.int32()), pa.array([a.pack()], pa.binary())], names=["to", "asks", "packed"])
 
 
 def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, int, Automaton]]:
     for batch in batches:
         for i in range(batch.num_rows):
-            yield batch["to"][i].as_py(), batch["asks"][i].as_py(), Automaton.unpack(_strings(batch["words"][i].values), batch["packed"][i].as_py())
-
-
-def _strings(values: pa.Array | None) -> pa.Array:
-    return pa.array([], pa.string()) if values is None else values
+            yield batch["to"][i].as_py(), batch["asks"][i].as_py(), Automaton.unpack(batch["packed"][i].as_py())
 
 
 def _grouped(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple[int, Automaton]]]]:
@@ -182,12 +170,12 @@ def _frequent(docs: DataFrame, bounds: list[tuple[str, ...]]) -> DataFrame:
     def count(batches):
         for shard in _shards(batches):
             for to, part in shard.parts(bounds):
-                yield _batch([(to, OWN, part)])
+                yield _batch(to, OWN, part)
 
     def unite(batches):
         for to, rows in _grouped(batches):
             whole = _united(a for _, a in rows)
-            yield _batch([(to, OWN, whole.keep([d.weight >= LEAST for d in whole.depths]))])
+            yield _batch(to, OWN, whole.keep([d.weight >= LEAST for d in whole.depths]))
 
     return _to_ranges(docs.mapInArrow(count, PARTS), len(bounds) + 1).mapInArrow(unite, PARTS)
 
@@ -236,7 +224,7 @@ def candidates(docs: DataFrame) -> DataFrame:
             asked = [p for k, paths, _ in _candidates(counts, lower(own)) for p in _ends(k, paths) if len(p)]
             if asked:
                 for to, part in Automaton.of_paths(counts.words, asked, MOST_WORDS).trimmed().parts(bounds):
-                    yield _batch([(to, own, part)])
+                    yield _batch(to, own, part)
 
     def answer(batches: Iterable[pa.RecordBatch]):
         for _, rows in _grouped(batches):
@@ -245,7 +233,7 @@ def candidates(docs: DataFrame) -> DataFrame:
                 if asks == OWN:
                     counts = part
                 else:
-                    yield _batch([(asks, asks, part.compose(counts) if counts else part)])
+                    yield _batch(asks, asks, part.compose(counts) if counts else part)
 
     def judge(batches: Iterable[pa.RecordBatch]):
         for to, rows in _grouped(batches):
