@@ -43,3 +43,10 @@ ZONE_HEADERS = ("区域名称", "总数", "待分拣数", "进度百分比", "
 SORTING_HEADERS = ("码头号", "拆零总数", "整件总数", "拆零分拣数", "整件分拣数", "回流数", "异常数")
 RECIRCULATION_HEADERS = ("格口", "波次号", "回流数")
 DETAIL_HEADERS = ("任务编码", "波次号", "波次备注", "来源类型", "作业区域", "条码", "订单号", "门店号", "门店名称", "商品编码", "拣货位", "格口", "状态", "是否回流", "是否异常", "扫描时间", "创建时间", "更新时间")
+DOCK_HEADERS = ("码头号", "拆零待分拣数", "整件待分拣数", "回流数", "异常数", "已分拣数", "分拣进度百分比")
+BOX_HEADERS = ("订单号", "箱号", "门店号", "门店名称", "商品编码", "拣货位", "扫描设备", "扫描时间", "格口", "状态")
+PAIR_HEADERS = ("指标", "值")
+GLOBAL_LABELS = (
+    "总件数", "待分拣数", "总分拣进度百分比", "整件总数", "整件待分拣数", "整件分拣进度百分比", "拆零总数", "拆零待分拣数", "拆零分拣进度百分比",
+    "读码率百分比", "回流数", "异常数", "总体积(mm3)", "总重量(g)", "最新同步时间", "数据下载进度百分比", "数据回写进度百分比",
+)

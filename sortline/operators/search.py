@@ -87,14 +87,15 @@ def task_items(tasks: DataFrame) -> DataFrame:
     )
 
 
-def _newest_first(time: str) -> list[Column]:
+def newest_first(time: str) -> list[Column]:
+    """The order of pages; legacy rows come last."""
     legacy = [F.expr(f"shard_month = '{LEGACY}'")]
     return [*legacy, F.desc(time), F.desc("id")] if time == "created_time" else [F.desc(time), F.desc("id")]
 
 
 def page(rows: DataFrame, number: int, size: int, time: str = "created_time") -> DataFrame:
     """Page `number` (from 1), newest first; legacy rows come last."""
-    return rows.orderBy(*_newest_first(time)).offset((number - 1) * size).limit(size)
+    return rows.orderBy(*newest_first(time)).offset((number - 1) * size).limit(size)
 
 
 def has_more(total: int, number: int, size: int) -> bool:

@@ -200,6 +200,21 @@ RECIRCULATION_COLUMNS = ("chute_code", "wave_code", "recirculated")
 DETAIL_COLUMNS = ("task_code", "wave_code", "wave_remark", "source_text", "working_area", "barcode", "order_id", "store_id", "store_name", "product_code", "pick_location", "chute_code", "status_text", "is_recirculated", "is_exception", "scanned_at", "created_time", "updated_time")
 
 
+DOCK_COLUMNS = ("dock_code", "split_unsorted", "full_case_unsorted", "recirculated", "exceptions", "sorted", "progress_percent")
+BOX_COLUMNS = ("order_id", "box_id", "store_id", "store_name", "product_code", "pick_location", "scanner", "scan_time", "chute", "box_status")
+GLOBAL_COLUMNS = (
+    "total", "unsorted", "progress_percent", "full_case_total", "full_case_unsorted", "full_case_progress_percent", "split_total", "split_unsorted", "split_progress_percent",
+    "recognition_percent", "recirculated", "exceptions", "volume_mm3", "weight_gram", "latest_sync", "download_percent", "writeback_percent",
+)
+
+
+def vertical_report(df: DataFrame, columns: tuple[str, ...], labels: tuple[str, ...], headers: tuple[str, ...]) -> DataFrame:
+    """A table of one row as a report with a row for each of its columns, in order: label and value."""
+    one = report(df, columns, labels)
+    pairs = F.array(*(F.struct(F.lit(label).alias(headers[0]), F.col(f"`{label}`").alias(headers[1])) for label in labels))
+    return one.select(F.posexplode(pairs).alias("nth", "pair")).orderBy("nth").select("pair.*")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """RFC 4180 files with a header; the first header starts with a byte order mark, by which spreadsheets know UTF-8."""
     first = df.columns[0]

@@ -34,14 +34,14 @@ FOLDED = """folded AS (SELECT task_id, task_month, count(*) AS scans, max(scan_t
 applied AS (SELECT t.*, f.scans, f.scan_time, f.chute, f.weight, f.scans IS NOT NULL AS hit, f.scans IS NOT NULL AND status IN (1, 2, 3) AS ok FROM tasks t LEFT JOIN folded f ON t.id = f.task_id AND t.shard_month = f.task_month)"""
 
 
-@query(
-    """SELECT id, shard_month, CASE WHEN ok THEN 2 ELSE status END AS status, CASE WHEN ok THEN scan_time ELSE scanned_at END AS scanned_at, CASE WHEN ok THEN chute ELSE target_chute_code END AS target_chute_code,
+APPLIED = """SELECT id, shard_month, CASE WHEN ok THEN 2 ELSE status END AS status, CASE WHEN ok THEN scan_time ELSE scanned_at END AS scanned_at, CASE WHEN ok THEN chute ELSE target_chute_code END AS target_chute_code,
   CASE WHEN ok AND status = 3 THEN NULL ELSE actual_chute_code END AS actual_chute_code, CASE WHEN ok AND status = 3 THEN NULL ELSE dropped_at END AS dropped_at,
   CASE WHEN ok AND status = 3 THEN 0 ELSE feedback_status END AS feedback_status, CASE WHEN ok THEN coalesce(weight, weight_gram) ELSE weight_gram END AS weight_gram,
   CASE WHEN ok THEN coalesce(CASE WHEN status <> 3 OR scans = 1 THEN actual_chute_code END, chute) ELSE resolved_dock_code END AS resolved_dock_code, CASE WHEN hit AND NOT ok THEN CAST(scan_retry_count + scans AS INTEGER) ELSE scan_retry_count END AS scan_retry_count,
-  CASE WHEN hit THEN TIMESTAMP '2024-02-01' ELSE updated_time END AS updated_time FROM applied""",
-    (*SCANS, FOLDED),
-)
+  CASE WHEN hit THEN TIMESTAMP '2024-02-01' ELSE updated_time END AS updated_time FROM applied"""
+
+
+@query(APPLIED, (*SCANS, FOLDED))
 def scans_applied(spark, d):
     out = E.apply_scans(X.tasks(spark, d), X.scan_events(spark, d), NOW)
     return out.select("id", "shard_month", "status", "scanned_at", "target_chute_code", "actual_chute_code", "dropped_at", "feedback_status", "weight_gram", "resolved_dock_code", "scan_retry_count", "updated_time")

@@ -72,7 +72,10 @@ def business_keys(spark, d):
     return e.select("event_id", C.business_key(("ts", "timestamp_ntz"), ("event_type", "string"), ("none", "string")).alias("business_key"))
 
 
-@query("SELECT id, shard_month, CASE WHEN (id, shard_month) IN (SELECT (id, shard_month) FROM claimed) THEN 2 ELSE feedback_status END AS feedback_status FROM tasks", (X.TASKS, CLAIMED))
+REPORTED = "SELECT id, shard_month, CASE WHEN (id, shard_month) IN (SELECT (id, shard_month) FROM claimed) THEN 2 ELSE feedback_status END AS feedback_status FROM tasks"
+
+
+@query(REPORTED, (X.TASKS, CLAIMED))
 def feedback_reported(spark, d):
     """The whole run: claim, write back, finish."""
     return M.report_feedback(X.tasks(spark, d), lambda rows: rows.count(), "1998-01-01 12:00:00", 200).tasks.select("id", "shard_month", "feedback_status")

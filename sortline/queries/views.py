@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from ..functions import fixed as V
+from ..operators import search as S
 from ..operators import views as W
 from ..sources import fixtures as X
 from .aggregates import DOCKS, MEASURES, REMARK
-from .registry import CHUTE, END, EXCEPTIONAL, IN_RANGE, RECIRCULATED, SORTED, START, WAVE, percent, query
+from . import search  # noqa: F401  box tracking is told by its SQL
+from .registry import CHUTE, END, EXCEPTIONAL, IN_RANGE, RECIRCULATED, SORTED, SQL, START, WAVE, percent, query
 
 ALL = (X.TASKS, X.SCAN_LOGS, X.SYNC_BATCHES, X.SYNC_DEFINITIONS)
 OF_WAVE = f"{IN_RANGE} AND upper({WAVE}) = 'W7'"
@@ -154,3 +156,38 @@ def csv_wave_details(spark, d):
 @query(f"SELECT {_csv(W.RECIRCULATION_COLUMNS, V.RECIRCULATION_HEADERS)} FROM (SELECT min({CHUTE}) AS chute_code, min({WAVE}) AS wave_code, count(*) AS recirculated FROM tasks WHERE {IN_RANGE} AND {RECIRCULATED} GROUP BY upper({CHUTE}), upper({WAVE}))")
 def csv_recirculation(spark, d):
     return W.report(W.recirculation_view(X.tasks(spark, d), START, END), W.RECIRCULATION_COLUMNS, V.RECIRCULATION_HEADERS)
+
+
+def _number(c: str) -> str:
+    return f"regexp_replace(CAST(CAST(round({c}, 2) AS DECIMAL(28,2)) AS VARCHAR), '\\.?0+$', '')"
+
+
+NUMBERS = ("progress_percent", "full_case_progress_percent", "split_progress_percent", "recognition_percent", "download_percent", "writeback_percent", "volume_mm3", "weight_gram")
+
+
+def _shown(c: str) -> str:
+    return f"coalesce({_number(c)}, '')" if c in NUMBERS else _time(c) if c in ("latest_sync", "scan_time") else _text(c)
+
+
+def _of(name: str, columns, headers) -> str:
+    return f"SELECT {', '.join(f'{_shown(c)} AS {chr(34)}{h}{chr(34)}' for c, h in zip(columns, headers))} FROM ({SQL[name]})"
+
+
+@query(_of("dock_view_of_current_wave", W.DOCK_COLUMNS, V.DOCK_HEADERS), ())
+def csv_dock_dashboard(spark, d):
+    return W.report(W.dock_view(X.tasks(spark, d), START, END), W.DOCK_COLUMNS, V.DOCK_HEADERS)
+
+
+@query(_of("wave_zones", W.ZONE_COLUMNS, V.ZONE_HEADERS), ())
+def csv_wave_zones(spark, d):
+    return W.report(W.wave_zones(X.tasks(spark, d), START, END, "w7"), W.ZONE_COLUMNS, V.ZONE_HEADERS)
+
+
+@query(_of("box_tracking", W.BOX_COLUMNS, V.BOX_HEADERS), ())
+def csv_box_tracking(spark, d):
+    return W.report(S.box_tracking(X.scan_logs(spark, d), X.tasks(spark, d)), W.BOX_COLUMNS, V.BOX_HEADERS)
+
+
+@query(" UNION ALL ".join(f"SELECT '{label}' AS \"指标\", {_shown(c)} AS \"值\" FROM ({SQL['global_dashboard']})" for c, label in zip(W.GLOBAL_COLUMNS, V.GLOBAL_LABELS)), ())
+def csv_global_dashboard(spark, d):
+    return W.vertical_report(global_dashboard(spark, d), W.GLOBAL_COLUMNS, V.GLOBAL_LABELS, V.PAIR_HEADERS)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from dataclasses import dataclass
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +46,46 @@ def write_rows(df: DataFrame, write_batch, batch_rows: int = 500) -> None:
     df.foreachPartition(run)
 
 
+@dataclass(frozen=True)
+class Updated:
+    requested: int
+    affected: int
+
+
+IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_$#]*(\.[A-Za-z_][A-Za-z0-9_$#]*)?")
+
+
+def update_by_row_id(
+    updates: DataFrame, connect: Callable[[], object], table: str, row_id: str, status: str, done_at: str | None = None, batch_id: str | None = None, batch_rows: int = 500, mark: str = "?"
+) -> Updated:
+    """Mark rows of a remote table by row id with what status_write_back() gives, and tell how many were there to be marked. connect() gives a connection of Python's database interface
+    where the rows are; names are those of the remote columns, `mark` its sign for a value. Each task commits for itself, in batches; a task that runs again marks the same rows."""
+    given = {status: "new_status"} | ({done_at: "done_at"} if done_at else {}) | ({batch_id: "batch_id"} if batch_id else {})
+    for name in (table, row_id, *given):
+        if not IDENTIFIER.fullmatch(name):
+            raise ValueError(f"not a safe identifier: {name}")
+    statement = f"UPDATE {table} SET {', '.join(f'{c} = {mark}' for c in given)} WHERE {row_id} = {mark}"
+    wanted = updates.select(*(F.col(c).cast("string") for c in given.values()), F.col("row_id").cast("string"))
+
+    def run(batches):
+        requested = affected = 0
+        connection = None
+        for batch in batches:
+            rows = list(zip(*(c.to_pylist() for c in batch.columns)))
+            for at in range(0, len(rows), batch_rows):
+                connection = connection or connect()
+                cursor = connection.cursor()
+                cursor.executemany(statement, rows[at : at + batch_rows])
+                connection.commit()
+                requested, affected = requested + len(rows[at : at + batch_rows]), affected + max(0, cursor.rowcount)
+        if connection:
+            connection.close()
+        yield pa.RecordBatch.from_arrays([pa.array([requested]), pa.array([affected])], names=["requested", "affected"])
+
+    done = wanted.mapInArrow(run, "requested long, affected long").agg(F.coalesce(F.sum("requested"), F.lit(0)), F.coalesce(F.sum("affected"), F.lit(0))).first()
+    return Updated(*done)
+
+
 def write_jdbc(df: DataFrame, url: str, table: str, properties: dict[str, str]) -> None:
     df.write.jdbc(url, table, mode="append", properties=properties | {"batchsize": "500"})
 
