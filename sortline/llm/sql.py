@@ -6,7 +6,7 @@ import struct
 
 from . import media
 from .repair import ROW_CELLS
-from .secrets import EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES, KINDS, PLACEHOLDER
+from .secrets import EXAMPLE_OWNERS, EXAMPLE_PART, EXAMPLE_REPOSITORIES, KINDS
 
 #: CRC-32 of a list of bytes; it needs the table `crc_table`.
 CRC_TABLE = """crc_table AS (
@@ -212,12 +212,15 @@ FROM streams LEFT JOIN mixed USING (row)
     "op5_secret_scan": f"""
 WITH docs AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
 found AS ({" UNION ALL ".join(_kind_sql(k, p, g, n) for k, (_, p, g, n) in enumerate(KINDS))}),
+every AS (SELECT owner, count(*) AS of_owner FROM (SELECT t, min(coalesce('=' || source, '')) AS owner FROM docs GROUP BY t) GROUP BY owner),
 owned AS (
-  SELECT v, count(DISTINCT owner) AS owners, count(*) AS repositories
-  FROM (SELECT v, t, min(coalesce('=' || d.source, '')) AS owner FROM found JOIN docs d USING (doc_id) GROUP BY v, t) GROUP BY v),
+  SELECT v, owners, repositories, owners >= {EXAMPLE_OWNERS} OR repositories >= {EXAMPLE_REPOSITORIES} AND repositories * {EXAMPLE_PART} >= of_owner AS example
+  FROM (SELECT v, count(DISTINCT owner) AS owners, count(*) AS repositories, min(owner) AS owner
+    FROM (SELECT v, t, min(coalesce('=' || d.source, '')) AS owner FROM found JOIN docs d USING (doc_id) GROUP BY v, t) GROUP BY v) JOIN every USING (owner)),
 judged AS (
-  SELECT f.*, ['{"', '".join(k for k, *_ in KINDS)}'][rank + 1] AS kind, CASE WHEN owners >= {EXAMPLE_OWNERS} OR repositories >= {EXAMPLE_REPOSITORIES} THEN 'example' WHEN length(v) >= 12 AND 8 * list_sum(list_transform(list_distinct(string_split(v, '')), lambda c: len(list_filter(string_split(v, ''), lambda x: x = c)) ** 2)) <= length(v) ** 2
-    AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND NOT regexp_matches(v, '{PLACEHOLDER}') THEN 'live' ELSE 'weak' END AS verdict
+  SELECT f.*, ['{"', '".join(k for k, *_ in KINDS)}'][rank + 1] AS kind, CASE WHEN example THEN 'example' WHEN length(v) >= 12 AND 8 * list_sum(list_transform(list_distinct(string_split(v, '')), lambda c: len(list_filter(string_split(v, ''), lambda x: x = c)) ** 2)) <= length(v) ** 2
+    AND length(regexp_replace(regexp_replace(regexp_replace(v, '[^0-9A-Za-z]', '', 'g'), '[0-9]+', '0', 'g'), '[A-Za-z]+', 'a', 'g')) >= 4
+    AND 2 * len(list_filter(range(1, length(v)), lambda i: abs(ascii(v[i + 1]) - ascii(v[i])) <= 1)) < length(v) THEN 'live' ELSE 'weak' END AS verdict
   FROM found f JOIN owned USING (v)),
 spans AS (
   SELECT doc_id, start, rank, stop, kind || ':' || start || ':' || stop AS span FROM judged
