@@ -16,6 +16,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -30,7 +31,8 @@ BROADCAST_BYTES = 8 << 20
 #: Places and texts that a task counts, and hosts whose contents it knows, at once.
 HELD = 200_000
 HELD_HOSTS = 2_000
-#: A wrapper lists the places that one in so many of its host's pages has. That bounds it by the size of a page; texts below other places are content if what is above them is.
+#: The content's roots are chosen on the wrapper's places that one in so many of its host's pages has, which bounds them by the size of a page: a root has two thirds of the varying text of its parent,
+#: so it is on many. All places stay in the wrapper, and texts below the others are content if what is above them is.
 SUPPORT = 1_000
 
 #: A text is a constant if this share of the pages that have its place, and this many of them at least, have it there.
@@ -46,7 +48,8 @@ BOILER_PAGES, BOILER_CHARS = 3, 200
 
 # Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script style noscript template svg iframe textarea"
+RAW = "script style noscript template svg math iframe textarea"
+FOREIGN = "svg math"
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr label".split())
 ENDS_P = frozenset("address article aside blockquote center div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -57,53 +60,72 @@ MAIN = frozenset(("article", "main"))
 NAMED_BY_TAG = MAIN | frozenset("html body h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("html body div section main article center form table tbody tr td span aside header footer nav".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
-#: Names (a whole class, id or role) of what isn't article text.
-NOT_TEXT_NAMES = frozenset(
-    "ad ads ad-box ad-banner ad-container ad-slot advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner "
-    "cookie cookies cookie-banner cookie-bar cookie-consent cookie-notice consent gdpr notice notices alert announcement "
-    "sidebar side left-sidebar right-sidebar sidebar-left sidebar-right menu main-menu nav-menu navbar nav main-nav site-nav navigation breadcrumb breadcrumbs "
-    "footer page-footer site-footer site-header masthead comment comments comment-form comment-list comment-section comments-area comments-section post-comments reader-comments "
-    "user-comments disqus disqus_thread reply replies respond share sharing share-buttons social social-links social-share related related-posts related-articles "
-    "recommended newsletter subscribe signup login popup modal overlay widget toolbar pagination pager skip-link copyright complementary contentinfo search".split()
+#: Words that names (a class, id or role) of what isn't article text are made of: such a name has one of KIND_WORDS, and else PLACE_WORDS alone. In main parts words of LOOSE_WORDS count beside
+#: others only, as alone they may name what the article is about.
+KIND_WORDS = frozenset(
+    "ad ads adsense advert adverts advertisement advertising sponsor sponsored promo promotion promoted cookie cookies consent gdpr notice notices announcement sidebar menu navbar nav navigation "
+    "breadcrumb breadcrumbs comment comments disqus share sharing social newsletter subscribe signup login popup modal pagination pager copyright contentinfo complementary toolbar masthead footer".split()
 )
+LOOSE_WORDS = frozenset("side search reply replies respond related recommended alert banner overlay widget skip".split())
+PLACE_WORDS = frozenset(
+    "box bar container slot wrapper wrap area section list item items body form link links button buttons block unit panel inner outer main site page post posts reader user users left right top bottom "
+    "fb google facebook twitter all new thread count title header row group module region zone articles content text banner".split()
+)
+
+SITE_HEADERS = frozenset(("header", "site-header"))
 
 #: Names that count as ids too; others, as "search" or "related", are anchors of what an article's parts are about.
 ID_NAMES = frozenset(
-    "ad ads ad-box ad-banner ad-container cookie-banner cookie-bar cookie-consent cookie-notice sidebar left-sidebar right-sidebar menu main-menu navbar nav main-nav breadcrumb breadcrumbs header "
-    "footer page-footer site-footer site-header masthead comments comment-form comment-list comment-section comments-area comments-section post-comments reader-comments disqus disqus_thread respond "
-    "newsletter main".split()
+    "ad ads ad-box ad-banner ad-container ad-wrapper google-ads cookie-banner cookie-bar cookie-consent cookie-notice site-notice sidebar left-sidebar right-sidebar menu main-menu navbar nav main-nav "
+    "breadcrumb breadcrumbs header footer page-footer site-footer site-header masthead comments comment-form comment-list comment-section comments-area comments-section post-comments reader-comments "
+    "fb-comments disqus disqus_thread respond newsletter main".split()
 )
 
+# A tag's attributes: quoted values hold any character.
+REST_OF_TAG = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW.replace(' ', '|')})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z][^>]*+(?:>|\Z)|(?P<text>[^<]++|<)",
+    rf"<!--.*?(?:-->|\Z)|<(?:{FOREIGN.replace(' ', '|')})(?=[\s/])(?:[^>\"'/]++|/(?!>)|\"[^\"]*+\"|'[^']*+')*+/>"
+    rf"|<(?P<raw>{RAW.replace(' ', '|')})(?=[\s/>]){REST_OF_TAG}>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>{REST_OF_TAG})>|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z][^>]*+(?:>|\Z)|(?P<text>[^<]++|<)",
     re.S | re.I,
 )
-ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+UNSEEN = re.compile(r"display\s*:\s*none", re.I)
+WORD_ENDS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
 DIGITS = re.compile(r"\d+")
 TEXT = "#"
 
 
 def label_of(tag: str, attrs: str) -> str:
-    """tag and its classes and role, all of them, without numbers. Ids tell pages apart more than kinds, so only those that name a known part count."""
-    if not attrs or "=" not in attrs and "hidden" not in attrs:
+    """tag and its classes and role, all of them, without numbers. Ids tell pages apart more than kinds, so only those that name a known part count. An element is hidden by its own
+    attributes hidden, style and aria-hidden alone, whatever others say."""
+    if not attrs or "=" not in attrs and "hidden" not in attrs.lower():
         return tag
     names = set()
     for m in ATTR.finditer(attrs):
-        words = DIGITS.sub("", (m[2] or m[3] or m[4] or "").lower()).split()
-        names.update(w for w in words if m[1].lower() != "id" or w in ID_NAMES)
-    if HIDDEN.search(attrs):
-        names.add("!hidden")
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name in ("class", "role", "id"):
+            words = DIGITS.sub("", WORD_ENDS.sub("-", value).lower() if name != "id" else value.lower()).split()
+            names.update(w for w in words if name != "id" or w in ID_NAMES)
+        elif name == "hidden" or name == "style" and UNSEEN.search(value) or name == "aria-hidden" and value.strip().lower() == "true":
+            names.add("!hidden")
     return " ".join([tag, *sorted(names)])
 
 
+@lru_cache(1 << 16)
+def names_boiler(name: str, inside: bool) -> bool:
+    """Whether a name is that of what isn't article text, by the words that it is made of."""
+    words = [w for w in re.split("[-_]", name) if w]
+    kinds = KIND_WORDS if inside and len(words) < 2 else KIND_WORDS | LOOSE_WORDS
+    return any(w in kinds for w in words) and all(w in kinds or w in PLACE_WORDS for w in words)
+
+
 def is_boiler(label: str, inside: bool) -> bool:
-    """Menus, adverts, forms and the like, by tag or whole name. Headings and main parts are not told by name; a header is one outside of a main part."""
+    """Menus, adverts, forms and the like, by tag or name. Headings and main parts are not told by name; a header is one outside of a main part."""
     tag, *names = label.split(" ")
-    if tag in NOT_TEXT or "!hidden" in names or tag not in NAMED_BY_TAG and not NOT_TEXT_NAMES.isdisjoint(names):
+    if tag in NOT_TEXT or "!hidden" in names or tag not in NAMED_BY_TAG and any(names_boiler(n, inside) for n in names):
         return True
-    return not inside and (tag == "header" or tag not in NAMED_BY_TAG and "header" in names)
+    return not inside and (tag == "header" or tag not in NAMED_BY_TAG and not SITE_HEADERS.isdisjoint(names))
 
 
 def is_main(label: str) -> bool:
@@ -311,21 +333,24 @@ def choose(nodes: dict[int, Node]) -> list[int]:
     return [*roots, at]
 
 
-def content(page: Page, roots: set[int]) -> list[tuple[int, str]]:
-    """Blocks of a page below the roots, but for menus, adverts and the like inside of them."""
-    within, inside = {}, {}
+def content(page: Page, roots: set[int]) -> list[tuple[int, str, bool]]:
+    """Blocks of a page below the roots, but for menus, adverts and the like inside of them: key, text, and whether the text is of the article whatever other pages have (in a main part, or a
+    heading)."""
+    within, inside, headed = {}, {}, {}
     for key, node in page.nodes.items():
         up = node.parent
         inside[key] = key != ROOT and (inside[up] or is_main(page.nodes[up].label))
+        headed[key] = key != ROOT and (headed[up] or node.label.split(" ")[0] in HEADINGS)
         within[key] = key in roots or key != ROOT and within[up] and not is_boiler(node.label, inside[key])
-    return [(key, text) for key, text in page.blocks if within[key]]
+    return [(key, text, inside[key] or headed[key]) for key, text in page.blocks if within[key]]
 
 
 def extract(page: Page, roots: set[int], fixed: set[tuple[int, int]]) -> str:
-    """The article of a page. roots: those of the wrapper of its host, fixed: its constants (key, hash of the text), which only a page of nothing else gives. A page
-    without text below the roots is chosen from by its own places."""
+    """The article of a page. roots: those of the wrapper of its host, fixed: its constants (key, hash of the text). They are left out where the content is told by what varies; in a main
+    part, and in headings, nothing is, and neither on a page of nothing else. A page without text below the roots is chosen from by its own places."""
     found = content(page, roots) or content(page, set(choose(page.nodes)))
-    return " ".join([t for k, t in found if (k, text_hash(t)) not in fixed] or [t for _, t in found])
+    own = [(k, text_hash(t)) not in fixed for k, t, _ in found]
+    return " ".join(t for (_, t, sure), varies in zip(found, own) if sure or varies or not any(own))
 
 
 def text_hash(text: str) -> int:

@@ -106,7 +106,7 @@ def test_wrappers_generalise_without_alternatives():
 def test_wrapper_decides_what_is_content(spark, monkeypatch):
     body = lambda k: f"The {k} long body of this page, told in words of its own {k * 7}. " * 6
     shared = "<p>Share this on all networks</p>"
-    rows = [(k, f"http://named.example/{k}", f"<body><article><h1>Head {k}</h1><p>{body(k)}</p>{shared}</article></body>") for k in range(1, 6)]
+    rows = [(k, f"http://named.example/{k}", f"<body><div class=post><h1>Head {k}</h1><p>{body(k)}</p>{shared}</div></body>") for k in range(1, 6)]
     rows += [(10 + k, f"http://split.example/{k}", f"<body><main><h1>Head {k}</h1></main><div class=x><p>{body(k)}</p></div></body>") for k in range(1, 6)]
     rows += [(20 + k, f"http://bare.example/{k}", f"<body><div class=top>Our site {k % 2}</div><div class=x><h1>Head {k}</h1><p>{body(k)}</p></div><div class=y>Also see {k}</div></body>") for k in range(1, 6)]
     # a long text that all pages repeat stands beside short ones of their own
@@ -116,7 +116,7 @@ def test_wrapper_decides_what_is_content(spark, monkeypatch):
         want = f"Head {k} {body(k).strip()}"
         assert [got[k], got[10 + k], got[20 + k], got[30 + k]] == [want] * 4
     alone = {k: wrappers.extract((p := wrappers.parse(h)), set(wrappers.choose(p.nodes)), set()) for k, _, h in rows}  # each page without its host
-    assert all(alone[k] != got[k] for k in (1, 31))
+    assert all(alone[k] != got[k] for k in (1, 31))  # by the wrapper alone
     # pages that are all alike have constants alone, which are their text
     same = [(k, "http://same.example", rows[0][2]) for k in range(4)]
     assert set(texts_of(spark, same).values()) == {f"Head 1 {body(1)}Share this on all networks"}
@@ -144,11 +144,96 @@ def test_parts_of_names_drop_nothing(spark):
     rows = [(0, "http://one.example/", page), *((k, "http://two.example/", page.replace("x", f"x{k}")) for k in (1, 2, 3, 4))]
     got = texts_of(spark, rows)
     assert got[0] == "Related work x y z w Search v"
-    assert got[1] == "x1"  # the rest is the same on all pages of the host
+    assert got[1] == "Related work x1 y z w Search v"  # though the rest is the same on all pages of the host
     rest = [(0, "http://one.example/", "<article><p>a</p><div class='odd'>b</div></article>"), *((k, "http://one.example/", f"<article><p>a{k}</p></article>") for k in range(1, 2_500))]
     assert texts_of(spark, rest)[0] == "a b"  # a place that hardly a page has, below the content
 
 
+@pytest.mark.parametrize(
+    "inner, want",
+    [
+        ('<p title="the hidden treasure">a</p>b', "a b"),
+        ("<a title='a hidden path' href=x>a</a> b", "a b"),
+        ('<div data-id="comments">a</div><div data-role="menu">b</div><p data-class="ad">c</p>', "a b c"),
+        ('<svg-icon name="x"></svg-icon><template-card>a</template-card>b', "a b"),
+        ('<svg class="i"/>a<math/>b<svg viewBox="0 0 1 1"><path d="M0/>1"/><text>no</text></svg>c', "abc"),
+        ('<iframe src="x"></iframe>a<script src=y></script>b<style>p{}</style>c', "abc"),
+        ("<h2>Summary</h2><p>a</p><h2>References</h2>", "Summary a References"),
+        ('<p class="side">a</p><p class="search">b</p><p class="reply">c</p><div class="side-by-side">d</div>', "a b c d"),
+        ('<div class="comment-body">no</div><div class="fb-comments">no</div><p class="site-notice">no</p><div class="adWrapper">no</div><div class=google-ads>no</div><div id=disqus_thread>no</div>a', "a"),
+        ('<p hidden>no</p><p style="color:red; display : none">no</p><p aria-hidden="true">no</p><p aria-hidden="false" style="display:block">a</p>', "a"),
+        ("<p title='a > b' hidden=\"\">no</p>a", "a"),
+    ],
+)
+def test_nothing_of_an_article_gets_lost(spark, inner, want):
+    """On a page of its own, and on four pages of a host that all have it."""
+    page = lambda k: f"<html><body><div class=menu>Home</div><article><h1>Head {k}</h1>{inner}<p>Body {k}</p></article><footer>f</footer></body></html>"
+    rows = [(0, "http://alone.example/", page(0)), *((k, "http://many.example/", page(k)) for k in (1, 2, 3, 4))]
+    assert texts_of(spark, rows) == {k: f"Head {k} {want} Body {k}" for k in range(5)}
+
+
+def chosen(nodes):
+    """choose() told anew: paths from the root, weights summed over all places below each."""
+    below = lambda k: [j for j in nodes if j != wrappers.ROOT and nodes[j].parent == k]
+
+    def inside(k):
+        while k != wrappers.ROOT:
+            k = nodes[k].parent
+            if wrappers.is_main(nodes[k].label):
+                return True
+        return False
+
+    def chars(k):
+        return nodes[k].chars + sum(map(chars, below(k)))
+
+    def has_main(k):
+        return any(has_main(j) or wrappers.is_main(nodes[j].label) for j in below(k))
+
+    def among(k):
+        tag = nodes[k].label.split(" ")[0]
+        if tag in wrappers.NEVER_TEXT or "!hidden" in nodes[k].label:
+            return 0.0
+        if wrappers.is_boiler(nodes[k].label, inside(k)):
+            seen = nodes[k].pages >= wrappers.BOILER_PAGES and chars(k) >= wrappers.BOILER_CHARS * nodes[k].pages
+            return (wrappers.BOILER_WEIGHT if seen or not inside(k) and tag not in wrappers.NOT_TEXT and has_main(k) else 0.0) * weight(k)
+        return (wrappers.MAIN_WEIGHT if wrappers.is_main(nodes[k].label) and not inside(k) else 1.0) * weight(k)
+
+    def weight(k):
+        return nodes[k].chars + sum(map(among, below(k)))
+
+    at, roots = wrappers.ROOT, set()
+    if not weight(at):
+        return roots
+    while not (inside(at) or wrappers.is_main(nodes[at].label)):
+        ways = sorted((k for k in below(at) if nodes[k].label != wrappers.TEXT), key=lambda k: (among(k), nodes[k].label))
+        if not ways or among(ways[-1]) <= 0 or among(ways[-1]) * 3 < 2 * weight(at) * (1 - 1e-12):
+            break
+        best = ways[-1]
+        if nodes[best].label.split(" ")[0] not in wrappers.CONTAINERS or nodes[best].most > 1 and not wrappers.is_main(nodes[best].label):
+            break
+        beside = [k for k in below(at) if k != best and (nodes[k].label.split(" ")[0] in wrappers.HEADINGS or wrappers.is_main(nodes[k].label))]
+        roots |= {k for k in beside if not wrappers.is_boiler(nodes[k].label, inside(k))}
+        at = best
+    return roots | {at}
+
+
+KINDS = ["div", "div class=x", "div class=menu", "p", "article", "nav", "h1", "section", "main", "div class=ads", "span", "form"]
+branch = st.recursive(st.sampled_from(["one", "two words", "a longer text of seven words here"]), lambda inner: st.tuples(st.sampled_from(KINDS), st.lists(inner, max_size=4)), max_leaves=14)
+
+
+def written(node):
+    return node if isinstance(node, str) else f"<{node[0]}>" + " ".join(map(written, node[1])) + f"</{node[0].split()[0]}>"
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(branch, min_size=1, max_size=3))
+def test_choice_against_brute_force(some):
+    nodes = {}
+    for page in map(written, some):
+        wrappers.align(nodes, wrappers.parse(f"<body>{page}</body>").nodes)
+    assert set(wrappers.choose(nodes)) == chosen(nodes)
+
+
 class Plain(HTMLParser):
     """Element paths of the texts of well-formed pages, by another reader."""
 
