@@ -31,11 +31,15 @@ FOLDS, HELD_OUT = 7, 2
 #: The end of a document as a word; no word has white space.
 END = "\n"
 UNKNOWN = "und"
+#: Languages are told apart by a hash; those that share one share classes.
+LANG_CODES = 1 << 20
 
 #: Ways at a node. The last class is that of all other words.
 WAYS = 32
 REST = WAYS - 1
 WORDS = REST * WAYS * WAYS
+#: Most frequent words whose counts all tasks have at hand, tree or not. Those of the others come by a join.
+KNOWN_WORDS = 1 << 18
 #: Symbols: words of the tree, then hashes of others, then what stands before a document.
 SYMBOLS = 1 << 16
 BEFORE = SYMBOLS - 1
@@ -47,10 +51,13 @@ SLICES = 4
 RATE = 0.6
 PRIOR = 4.0
 LEAST_STEP, MOST_STEP = -0.8, 20.0
+#: Logits are kept where their exponentials are finite.
+MOST_LOGIT = np.float32(80)
+ONES = np.ones(WAYS, np.float32)
 #: Rows of the table that travel together.
 BLOCK_ROWS = 1 << 10
 #: Tokens at a time in the sums; documents are cut to slices of about so many bytes of text, or tokens.
-BLOCK, SLICE_BYTES, SLICE_TOKENS = 1 << 14, 4 << 20, 1 << 20
+BLOCK, SLICE_BYTES, SLICE_TOKENS = 1 << 14, 8 << 20, 1 << 20
 
 
 def _fold() -> Column:
@@ -89,23 +96,24 @@ def _texts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """Tokens of the training documents: word, c, and the language that most of it are in (the first by name of equals)."""
+    """Tokens of the training documents: word, c, and a code of the language that most of it are in (the greatest code of equals)."""
 
     def run(batches: Iterable[pa.RecordBatch]):
         for batch in batches:
             for part in _texts(batch):
                 words, codes, sizes = tokens(part.column("text"))
                 langs = part.column("lang").fill_null(UNKNOWN).dictionary_encode()
-                key = codes.astype(np.int64) * len(langs.dictionary) + np.repeat(langs.indices.to_numpy(), sizes)
+                coded = np.array([zlib.crc32(x.encode()) % LANG_CODES for x in langs.dictionary.to_pylist()], np.int32)
+                key = codes.astype(np.int64) * len(coded) + np.repeat(langs.indices.to_numpy(), sizes)
                 seen, c = np.unique(key, return_counts=True)
-                word, lang = (a.take(pa.array(i)) for a, i in zip((words, langs.dictionary), np.divmod(seen, len(langs.dictionary))))
-                yield pa.RecordBatch.from_arrays([word, lang, pa.array(c)], names=["word", "lang", "c"])
+                word, lang = np.divmod(seen, len(coded))
+                yield pa.RecordBatch.from_arrays([words.take(pa.array(word)), pa.array(coded[lang]), pa.array(c)], names=["word", "lang", "c"])
 
     learnt = docs.filter(~held_out()).select("text", "lang")
-    by_lang = learnt.mapInArrow(run, "word string, lang string, c long").groupBy("word", "lang").agg(F.sum("c").alias("c"))
-    # of a word's languages the one with most tokens: the least of (-c, lang)
-    most = F.min(F.struct((-F.col("c")).alias("less"), "lang")).lang
-    return by_lang.groupBy("word").agg(F.sum("c").alias("c"), most.alias("lang"))
+    by_lang = learnt.mapInArrow(run, "word string, lang int, c long").groupBy("word", "lang").agg(F.sum("c").alias("c"))
+    # count and code in one number, which sums up by hash
+    most = F.max(F.col("c") * LANG_CODES + F.col("lang")) % LANG_CODES
+    return by_lang.groupBy("word").agg(F.sum("c").alias("c"), most.cast("int").alias("lang"))
 
 
 @dataclass
@@ -133,10 +141,10 @@ class Tree:
         return out
 
     @staticmethod
-    def of(ranked: list[tuple[str, int, str]], total: int, distinct: int) -> Tree:
+    def of(ranked: list[tuple[str, int, int]], total: int, distinct: int) -> Tree:
         """ranked: word, count and language, by descending count. A language has classes by its share of these tokens, one at least; their sizes double from 32 to 1,024 words,
         so frequent words are in small classes. Of many languages the first 31 have classes."""
-        by_lang: dict[str, list[tuple[str, int]]] = {}
+        by_lang: dict[int, list[tuple[str, int]]] = {}
         for word, c, lang in ranked:
             by_lang.setdefault(lang, []).append((word, c))
         mass = sorted(((sum(c for _, c in own), lang) for lang, own in by_lang.items()), key=lambda x: (-x[0], x[1]))[:REST]
@@ -157,29 +165,42 @@ class Tree:
         return Tree(symbols, counts, total, distinct)
 
 
-def grow_tree(counts: DataFrame) -> Tree:
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    ranked = counts.orderBy(F.desc("c"), "word").limit(WORDS).collect()  # at most 31,744 words
-    return Tree.of([(r["word"], r["c"], r["lang"]) for r in ranked], total, distinct)
+def frequent_words(counts: DataFrame, most: int = KNOWN_WORDS) -> list[tuple[str, int, int]]:
+    """(word, c, lang) by descending count: all words from some count on, as low as their number allows, which is at most `most`."""
+    step = F.floor(F.log2("c") * 16)
+    left, least = most, None
+    for row in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("c").alias("c")).orderBy(F.desc("step")).collect():  # some hundreds of steps
+        if row["n"] > left:
+            break
+        left, least = left - row["n"], row["c"]
+    rows = [] if least is None else counts.filter(F.col("c") >= least).select("word", "c", "lang").collect()
+    return sorted(map(tuple, rows), key=lambda r: (-r[1], r[0]))
 
 
-def encode(docs: DataFrame, tree: Tree) -> DataFrame:
-    """A row for each document: key (its own), doc_id, slice (-1: held out), n_tokens, symbols (two bytes each), log_counts (sum of log10(c + 1) of words of the tree), other words and how
-    often each comes."""
-    shared = docs.sparkSession.sparkContext.broadcast((tree.symbols, np.log10(tree.counts + 1.0)))
+def encode(docs: DataFrame, tree: Tree, known: list[tuple[str, int, int]]) -> DataFrame:
+    """A row for each document: key (its own), doc_id, slice (-1: held out), n_tokens, symbols (two bytes each), n_known and log_tree and log_rest (sums of log10(c + 1) of known words in
+    the tree and outside of it), other words and how often each comes."""
+    places = {word: i for i, (word, *_) in enumerate(known)}
+    symbols_of = np.array([tree.symbols.get(word, -1) for word, *_ in known] + [-1], np.int64)
+    logs_of = np.log10(np.array([c for _, c, _ in known] + [0], float) + 1)
+    shared = docs.sparkSession.sparkContext.broadcast((places, symbols_of, logs_of))
 
     def run(batches: Iterable[pa.RecordBatch]):
-        places, logs = shared.value
+        places, symbols_of, logs_of = shared.value
         key = TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in _texts(batch):
                 words, codes, sizes = tokens(part.column("text"))
-                symbol_of = np.fromiter((s if (s := places.get(w)) is not None else WORDS + zlib.crc32(w.encode()) % (BEFORE - WORDS) for w in words.to_pylist()), np.int64, len(words))
-                symbols = symbol_of[codes].astype(np.uint16)
-                log = np.where(symbols < WORDS, np.append(logs, np.zeros(SYMBOLS - WORDS))[symbols], 0.0)
+                spelled = words.to_pylist()
+                place = np.fromiter((places.get(w, -1) for w in spelled), np.int64, len(spelled))
+                symbol = symbols_of[place]
+                hashed = np.flatnonzero(symbol < 0)
+                symbol[hashed] = [WORDS + zlib.crc32(spelled[i].encode()) % (BEFORE - WORDS) for i in hashed.tolist()]
+                symbols, at_hand, log = symbol[codes].astype(np.uint16), (place >= 0)[codes], logs_of[place][codes]
                 ends = np.cumsum(sizes)
-                other, times = [], []
-                outside = np.flatnonzero(symbols >= WORDS)
+                inside = symbols < WORDS
+                sums = [np.add.reduceat(x, ends - sizes) for x in (at_hand.astype(np.int64), np.where(inside, log, 0.0), np.where(inside, 0.0, log))]
+                outside = np.flatnonzero(~at_hand)
                 doc = np.searchsorted(ends, outside, side="right")
                 seen, n = np.unique(doc * len(words) + codes[outside], return_counts=True)
                 of_doc, word = np.divmod(seen, max(1, len(words)))
@@ -194,16 +215,16 @@ def encode(docs: DataFrame, tree: Tree) -> DataFrame:
                     part.column("slice"),
                     pa.array(sizes.astype(np.int64)),
                     pa.Array.from_buffers(pa.binary(), len(sizes), [None, offsets, raw]),
-                    pa.array(np.add.reduceat(log, ends - sizes)),
+                    *map(pa.array, sums),
                     other,
                     times,
                 ]
                 key += len(sizes)
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "slice", "n_tokens", "symbols", "log_counts", "other", "times"])
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "slice", "n_tokens", "symbols", "n_known", "log_tree", "log_rest", "other", "times"])
 
     slice_ = F.when(held_out(), -1).otherwise(F.floor(_fold() / FOLDS) % SLICES).cast("int").alias("slice")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shape = f"key long, doc_id {kind}, slice int, n_tokens long, symbols binary, log_counts double, other array<string>, times array<long>"
+    shape = f"key long, doc_id {kind}, slice int, n_tokens long, symbols binary, n_known long, log_tree double, log_rest double, other array<string>, times array<long>"
     return docs.select("doc_id", "text", slice_).mapInArrow(run, shape)
 
 
@@ -272,41 +293,48 @@ class Model:
 
     def shares(self, step: int, node: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
         """Probabilities of the ways at each token's node."""
-        z = self.biases[step][node]
-        for r in rows:
-            z += self.weights[r]
-        z -= z.max(1, keepdims=True)
+        z = self.logits(step, node, rows)
         np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
+        z /= (z @ ONES)[:, None]
         return z
 
+    def logits(self, step: int, node: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+        z = self.weights.take(rows[0], axis=0)
+        for r in rows[1:]:
+            z += self.weights.take(r, axis=0)
+        z += self.biases[step].take(node, axis=0) if step else self.biases[0]
+        return np.minimum(z, MOST_LOGIT, out=z)
+
     def log_share(self, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """log10 probability of every token, of other words that of their class."""
         out = np.zeros(len(symbols))
         for at, block in blocks(symbols, sizes):
             for step, some, node, way, rows in block.steps():
-                p = self.shares(step, node, rows)[np.arange(len(way)), way]
-                out[at + some] += np.log10(np.maximum(p, 1e-37))
-        return out
-
-    def gradient(self, symbols: np.ndarray, sizes: np.ndarray, out: np.ndarray, seen: np.ndarray) -> None:
-        """Add observed less expected ways of the rows of the table to `out`, and to `seen` how many tokens they would be shared by, by the counts at the node."""
+                z = self.logits(step, node, rows)
+                own = z[np.arange(len(way)), way]
+                np.exp(z, out=z)
+                out[at + some] += own - np.log(z @ ONES)
+        return out / np.log(10)
+
+    def sums(self, symbols: np.ndarray, sizes: np.ndarray, seen: np.ndarray, expected: np.ndarray) -> None:
+        """Add to `seen` how often each way is taken where a row of the table is used, and to `expected` how often by the model."""
         for _, block in blocks(symbols, sizes):
+            taken = []
             for step, _, node, way, rows in block.steps():
-                prior = np.exp(self.biases[step])[node]
-                off = -self.shares(step, node, rows)
-                off[np.arange(len(way)), way] += 1
+                shares = self.shares(step, node, rows)
                 for r in rows:
+                    taken.append(r * WAYS + way)
                     order = np.argsort(r.astype(np.uint16), kind="stable")
                     ordered = r[order]
                     starts = np.flatnonzero(np.diff(ordered, prepend=-1))
                     if len(starts):
-                        out[ordered[starts]] += np.add.reduceat(off[order], starts, axis=0)
-                        seen[ordered[starts]] += np.add.reduceat(prior[order], starts, axis=0) if step else np.diff(starts, append=len(order))[:, None] * prior[:1]
+                        expected[ordered[starts]] += np.add.reduceat(shares.take(order, axis=0), starts, axis=0)
+            seen += np.bincount(np.concatenate(taken), minlength=seen.size).reshape(seen.shape)
 
-    def moved(self, gradient: np.ndarray, seen: np.ndarray, rate: float) -> Model:
-        """After a step along the gradient, scaled by what is seen: a way that comes k times as often as expected moves by the logarithm of k, weighed down where little is seen."""
-        ratio = np.clip(gradient / (seen + PRIOR), LEAST_STEP, MOST_STEP)
+    def moved(self, seen: np.ndarray, expected: np.ndarray, rate: float) -> Model:
+        """After a step along the gradient, seen less expected, scaled by what is expected: a way that is k times as frequent as expected moves by the logarithm of k, less
+        where little is known."""
+        ratio = np.clip((seen - expected) / (expected + PRIOR), LEAST_STEP, MOST_STEP)
         return Model(self.biases, (self.weights + rate * np.log1p(ratio)).astype(np.float32))
 
 
@@ -325,45 +353,46 @@ def fit(encoded: DataFrame, tree: Tree, slices: int = SLICES, rate: float = RATE
         shared = context.broadcast(model)
 
         def sums(batches, shared=shared):
-            out, seen, some = (np.zeros((TABLE_ROWS, WAYS), np.float32) for _ in range(2)), None, False
-            out, seen = out
+            seen, expected = (np.zeros((TABLE_ROWS, WAYS), np.float32) for _ in range(2))
+            some = False
             for batch in batches:
                 for _, _, symbols, sizes in _symbols(batch):
-                    shared.value.gradient(symbols, sizes, out, seen)
+                    shared.value.sums(symbols, sizes, seen, expected)
                     some = True
             if some:
                 for at in range(0, TABLE_ROWS, BLOCK_ROWS):
-                    yield _block(at, out[at : at + BLOCK_ROWS], seen[at : at + BLOCK_ROWS])
+                    yield _block(at, seen[at : at + BLOCK_ROWS], expected[at : at + BLOCK_ROWS])
 
         def total(batches):
             held = {}
             for batch in batches:
                 for i in range(batch.num_rows):
                     at = batch["at"][i].as_py()
-                    got = np.stack([np.frombuffer(batch[c][i].as_py(), "<f4").astype(float) for c in ("gradient", "seen")])
+                    got = np.stack([np.frombuffer(batch[c][i].as_py(), "<f4").astype(float) for c in ("seen", "expected")])
                     held[at] = held[at] + got if at in held else got
             for at, got in held.items():
                 yield _block(at, *got)
 
-        shape = "at int, gradient binary, seen binary"
+        shape = "at int, seen binary, expected binary"
         read = encoded.filter(F.col("slice") == nth).select("symbols", "n_tokens")
         rows = read.mapInArrow(sums, shape).repartition("at").mapInArrow(total, shape).collect()
-        gradient, seen = (np.zeros((TABLE_ROWS, WAYS)) for _ in range(2))
+        seen, expected = (np.zeros((TABLE_ROWS, WAYS)) for _ in range(2))
         for at, *got in rows:
-            for to, raw in zip((gradient, seen), got):
+            for to, raw in zip((seen, expected), got):
                 to[at : at + BLOCK_ROWS] = np.frombuffer(raw, "<f4").reshape(-1, WAYS)
-        model = model.moved(gradient, seen, rate)
+        model = model.moved(seen, expected, rate)
         shared.destroy()
     return model
 
 
-def _block(at: int, gradient: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), *(pa.array([a.astype("<f4").tobytes()], pa.binary()) for a in (gradient, seen))], names=["at", "gradient", "seen"])
+def _block(at: int, seen: np.ndarray, expected: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), *(pa.array([a.astype("<f4").tobytes()], pa.binary()) for a in (seen, expected))], names=["at", "seen", "expected"])
 
 
 def score(encoded: DataFrame, counts: DataFrame, tree: Tree, model: Model) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document. Counts of words outside of the tree come by a join, as those grow with the corpus."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document. Counts of words that aren't at hand come by a join, as those grow with the corpus."""
     shared = encoded.sparkSession.sparkContext.broadcast(model)
+    kept = ("key", "doc_id", "slice", "n_tokens", "n_known", "log_tree", "log_rest")
 
     def run(batches: Iterable[pa.RecordBatch]):
         for batch in batches:
@@ -372,32 +401,35 @@ def score(encoded: DataFrame, counts: DataFrame, tree: Tree, model: Model) -> Da
                 starts = np.cumsum(sizes) - sizes
                 sums = [pa.array(np.add.reduceat(x, starts, dtype=kind)) for x, kind in ((logs, float), (inside, np.int64))]
                 own = batch.slice(at, end - at)
-                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("key", "doc_id", "slice", "n_tokens", "log_counts")), *sums], names=["key", "doc_id", "slice", "n_tokens", "log_counts", "log_share", "inside"])
+                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in kept), *sums], names=[*kept, "log_share", "inside"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    told = encoded.select("key", "doc_id", "slice", "n_tokens", "log_counts", "symbols").mapInArrow(run, f"key long, doc_id {kind}, slice int, n_tokens long, log_counts double, log_share double, inside long")
+    shape = f"key long, doc_id {kind}, slice int, n_tokens long, n_known long, log_tree double, log_rest double, log_share double, inside long"
+    told = encoded.select(*kept, "symbols").mapInArrow(run, shape)
     others = encoded.select("key", F.explode(F.arrays_zip("other", "times")).alias("o")).select("key", F.col("o.other").alias("word"), F.col("o.times").alias("times"))
     c = F.coalesce("c", F.lit(0))
     sums = others.join(counts.select("word", "c"), "word", "left").groupBy("key").agg(F.sum(F.col("times") * F.log10(c + 1)).alias("log_others"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("known_others"))
     rest, kinds = tree.rest
     whole, share = (F.log10(F.lit(float(n))) for n in (tree.total + tree.distinct + 1, rest + kinds + 1))
-    log_others = F.coalesce("log_others", F.lit(0.0))
+    outside = F.col("log_rest") + F.coalesce("log_others", F.lit(0.0))
     return told.join(sums, "key", "left").select(
         "doc_id",
         (F.col("slice") < 0).alias("held_out"),
         "n_tokens",
-        (F.col("inside") + F.coalesce("known_others", F.lit(0))).alias("n_known"),
+        (F.col("n_known") + F.coalesce("known_others", F.lit(0))).alias("n_known"),
         F.lit(tree.total).cast("long").alias("train_tokens"),
-        (F.col("log_counts") + log_others - F.col("n_tokens") * whole).alias("base_score"),
-        (F.col("log_share") + log_others - (F.col("n_tokens") - F.col("inside")) * share).alias("score"),
+        (F.col("log_tree") + outside - F.col("n_tokens") * whole).alias("base_score"),
+        (F.col("log_share") + outside - (F.col("n_tokens") - F.col("inside")) * share).alias("score"),
     )
 
 
 def score_texts(docs: DataFrame, slices: int = SLICES, rate: float = RATE) -> DataFrame:
     """Fit on the training documents among docs (doc_id, text, lang) and score all of them."""
     counts = materialize(count_words(docs.select("doc_id", "text", "lang")), "words")
-    tree = grow_tree(counts)
-    encoded = materialize(encode(docs.select("doc_id", "text"), tree), "symbols", "slice")
+    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    known = frequent_words(counts)
+    tree = Tree.of(known[:WORDS], total, distinct)
+    encoded = materialize(encode(docs.select("doc_id", "text"), tree, known), "symbols", "slice")
     model = fit(encoded, tree, slices, rate)
     scored = materialize(score(encoded, counts, tree, model), "scores")
     discard(counts)

@@ -50,6 +50,8 @@ def test_words_outside_of_the_tree(spark, monkeypatch):
     monkeypatch.setattr(M.Tree, "of", staticmethod(lambda ranked, total, distinct, of=M.Tree.of: of(ranked[:20], total, distinct)))
     rows = [(i, " ".join(f"w{(i * k) % 91}" for k in range(i % 40)), "en") for i in range(200)]
     assert_base(spark, rows)
+    monkeypatch.setattr(M.frequent_words, "__defaults__", (40,))  # and than tasks have counts of
+    assert_base(spark, rows)
 
 
 def test_empty_and_nothing_to_learn_from(spark):
@@ -84,6 +86,13 @@ def random_model(t):
     return M.Model(t.biases(), rng.normal(0, 0.5, (M.TABLE_ROWS, M.WAYS)).astype(np.float32))
 
 
+def test_frequent_words_are_all_from_a_count_on(spark):
+    counts = spark.createDataFrame([(f"w{c}-{i}", c, 0) for c in (1, 2, 3, 9, 500) for i in range(c % 7 + 1)], "word string, c long, lang int")
+    for most, want in ((100, [500] * 4 + [9] * 3 + [3] * 4 + [2] * 3 + [1] * 2), (8, [500] * 4 + [9] * 3), (3, [])):
+        got = M.frequent_words(counts, most)
+        assert [c for _, c, _ in got] == want and got == sorted(got, key=lambda r: (-r[1], r[0]))
+
+
 def test_shares_sum_to_one():
     """Over all words of the tree, and the class of the others, after any words."""
     t = tree()
