@@ -257,26 +257,33 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
 """,
     "op9_perspective_rotation": r"""
-WITH said AS (
-  SELECT conv_id, turn, coalesce(CAST(floor(turn / 512) AS BIGINT), -1) AS part, coalesce(role, 'unknown') AS role, coalesce(text, '') AS said FROM conversations),
+WITH said0 AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS said FROM conversations),
+long AS (SELECT conv_id FROM said0 GROUP BY conv_id HAVING count(*) > 65536 OR sum(strlen(role) + strlen(said) + 64) > 16777216),
+said AS (
+  SELECT s.*, l.conv_id IS NOT NULL OR s.conv_id IS NULL AND (SELECT count(*) FROM long WHERE conv_id IS NULL) > 0 AS is_long,
+    CASE WHEN l.conv_id IS NOT NULL OR s.conv_id IS NULL AND (SELECT count(*) FROM long WHERE conv_id IS NULL) > 0 THEN coalesce(CAST(floor(turn / 512) AS BIGINT), -1) ELSE 0 END AS part
+  FROM said0 s LEFT JOIN long l ON s.conv_id = l.conv_id),
 pieces AS (
-  SELECT conv_id, part, turn, before // 512 AS first, CASE WHEN n > 2048 THEN CAST(ceil(n / 512) AS BIGINT) ELSE 1 END AS pieces
+  SELECT conv_id, part, turn, before // 512 + before_bytes // 16777216 AS first, CAST(greatest(CASE WHEN n > 65536 THEN ceil(n / 512) ELSE 1 END, ceil(bytes / 16777216)) AS BIGINT) AS pieces
   FROM (
-    SELECT *, sum(n) OVER (PARTITION BY conv_id, part) AS every, CAST(sum(n) OVER (PARTITION BY conv_id, part ORDER BY turn NULLS FIRST ROWS UNBOUNDED PRECEDING) AS BIGINT) - n AS before
-    FROM (SELECT conv_id, part, turn, count(*) AS n FROM said GROUP BY ALL)) WHERE every > 2048),
+    SELECT *, sum(n) OVER (PARTITION BY conv_id, part) AS every, sum(bytes) OVER (PARTITION BY conv_id, part) AS every_bytes,
+      CAST(sum(n) OVER (PARTITION BY conv_id, part ORDER BY turn NULLS FIRST ROWS UNBOUNDED PRECEDING) AS BIGINT) - n AS before,
+      CAST(sum(bytes) OVER (PARTITION BY conv_id, part ORDER BY turn NULLS FIRST ROWS UNBOUNDED PRECEDING) AS BIGINT) - bytes AS before_bytes
+    FROM (SELECT conv_id, part, turn, count(*) AS n, CAST(sum(strlen(role) + strlen(said) + 64) AS BIGINT) AS bytes FROM said WHERE is_long GROUP BY ALL)) WHERE every > 65536 OR every_bytes > 16777216),
 lots AS (
-  SELECT *, least(512, n - lot * 512) AS times FROM (SELECT *, unnest(range(0, (n - 1) // 512 + 1)) AS lot FROM (SELECT conv_id, part, turn, role, said, count(*) AS n FROM said GROUP BY ALL))),
+  SELECT *, CASE WHEN is_long THEN least(512, n - lot * 512) ELSE n END AS times
+  FROM (SELECT *, unnest(range(0, CASE WHEN is_long THEN (n - 1) // 512 + 1 ELSE 1 END)) AS lot FROM (SELECT conv_id, is_long, part, turn, role, said, count(*) AS n FROM said GROUP BY ALL))),
 placed AS (
   SELECT l.*, coalesce(first + CAST('0x' || substr(md5(role || '|' || said || '|' || lot), 1, 8) AS BIGINT) % pieces, 0) AS piece
   FROM lots l LEFT JOIN pieces p ON l.conv_id IS NOT DISTINCT FROM p.conv_id AND l.part = p.part AND l.turn IS NOT DISTINCT FROM p.turn),
 shown AS (
   SELECT *, '<|' || name || '|>' AS narrated, '<|user name=' || name || '|>' AS named, regexp_replace(said, '<(\\*)\|', '<\\\1|', 'g') || '<|end|>' || chr(10) AS rest
   FROM (SELECT *, regexp_replace(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g'), '\|(\\*)>', '|\\\1>', 'g') AS name, unnest(range(0, times)) AS copy FROM placed)),
-speakers AS (SELECT DISTINCT conv_id, part, piece, role AS speaker FROM placed WHERE role <> 'system'),
+speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM placed WHERE role <> 'system'),
 seen AS (
   SELECT s.*, speaker, CASE WHEN role = speaker THEN '<|assistant|>' WHEN role = 'system' THEN narrated ELSE named END AS head
-  FROM shown s JOIN speakers p ON s.conv_id IS NOT DISTINCT FROM p.conv_id AND s.part = p.part AND s.piece = p.piece)
-SELECT conv_id, speaker, part, piece, count(*) AS n_turns,
+  FROM shown s JOIN speakers p ON s.conv_id IS NOT DISTINCT FROM p.conv_id)
+SELECT conv_id, speaker, part, piece, CAST(sum(sum(length(head || rest))) OVER (PARTITION BY conv_id, speaker ORDER BY part, piece) - sum(length(head || rest)) AS BIGINT) AS before, count(*) AS n_turns,
        string_agg(head || rest, '' ORDER BY turn NULLS FIRST, role, said) AS text,
        string_agg(length(head) || ':0,' || length(rest) || CASE WHEN role = speaker THEN ':1' ELSE ':0' END, ',' ORDER BY turn NULLS FIRST, role, said) AS mask,
        CAST(sum(CASE WHEN role = speaker THEN length(rest) ELSE 0 END) AS BIGINT) AS n_trained

@@ -151,10 +151,10 @@ def test_rotation(spark):
     rows = [(1, 0, "system", "Be kind."), (1, 1, "ann", "Hi"), (1, 2, "bob", None), (1, 600, "ann", "late"), (2, None, None, "?"), (3, 0, "system", "alone"), (None, 1, "x", "n"), (4, 1, "ann", "a"), (4, 1, "ann", "a")]
     df = turns_of(spark, rows)
     got = {(r.conv_id, r.speaker, r.part): r for r in rotate(df).collect()}
-    assert set(got) == {(1, "ann", 0), (1, "ann", 1), (1, "bob", 0), (2, "unknown", -1), (None, "x", 0), (4, "ann", 0)}
+    assert set(got) == {(1, "ann", 0), (1, "bob", 0), (2, "unknown", 0), (None, "x", 0), (4, "ann", 0)}
     ann, bob = got[1, "ann", 0], got[1, "bob", 0]
-    assert ann.text == "<|system|>Be kind.<|end|>\n<|assistant|>Hi<|end|>\n<|user name=bob|><|end|>\n"
-    assert bob.text == "<|system|>Be kind.<|end|>\n<|user name=ann|>Hi<|end|>\n<|assistant|><|end|>\n"
+    assert ann.text == "<|system|>Be kind.<|end|>\n<|assistant|>Hi<|end|>\n<|user name=bob|><|end|>\n<|assistant|>late<|end|>\n"
+    assert bob.text == "<|system|>Be kind.<|end|>\n<|user name=ann|>Hi<|end|>\n<|assistant|><|end|>\n<|user name=ann|>late<|end|>\n"
     for r in got.values():
         assert "<|" not in unmasked(r).replace("<|end|>", "") and r["piece"] == 0
     assert got[4, "ann", 0].n_turns == 2 and rotate(df.limit(0)).count() == 0
@@ -190,6 +190,21 @@ def test_no_part_of_a_hot_dialogue_is_long(spark, monkeypatch, broadcast):
     assert all(max(place[k]) <= min(place[k + 1]) for k in range(4))  # pieces stand in the order of turn numbers
 
 
+def test_dialogues_are_whole(spark):
+    """1,200 turns are one row for each speaker; with a small bound they are parts, of which every speaker has all, and which make up the whole again."""
+    rows = [(1, k, "ann" if k < 900 else "bob", f"turn {k} é") for k in range(1_200)] + [(2, 0, "eve", "hi"), (2, 1, "ann", "ho")]
+    whole = {(r.conv_id, r.speaker): r for r in rotate(turns_of(spark, rows)).collect()}
+    assert set(whole) == {(1, "ann"), (1, "bob"), (2, "eve"), (2, "ann")} and whole[1, "bob"].n_turns == 1_200
+    for how in (dict(most_turns=1_000, part_turns=100), dict(most_bytes=20_000)):
+        parts = sorted(rotate(turns_of(spark, rows), **how).collect(), key=lambda r: (r.conv_id, r.speaker, r.part, r["piece"]))
+        for key, r in whole.items():
+            own = [p for p in parts if (p.conv_id, p.speaker) == key]
+            assert (len(own) > 1) == (key[0] == 1)
+            assert "".join(p.text for p in own) == r.text and sum(p.n_trained for p in own) == r.n_trained and sum(p.n_turns for p in own) == r.n_turns
+            assert [p.before for p in own] == [sum(len(q.text) for q in own[:k]) for k in range(len(own))]
+            assert "".join(map(unmasked, own)) == unmasked(r)
+
+
 # --- WARC ------------------------------------------------------------------------------------------------------------
 
 
