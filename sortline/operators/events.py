@@ -44,35 +44,65 @@ def scan_log_rows(matched: DataFrame) -> DataFrame:
     return matched.select("event_id", known.alias("business_task_id"), "barcode", "device_code", known.isNotNull().alias("is_matched"), reason.alias("failure_reason"), "scan_time")
 
 
+def fold_scans(matched: DataFrame, brought: list[str]) -> DataFrame:
+    """A row for each task that known scans found: task_id, task_month, allowed, scans (how many), and of the scans in the order of scan_time, then event_id: the last time and code, the last
+    chute, device and measure that isn't null, and where each stands (o_last, o_chute, o_device_code, ...)."""
+    order = F.struct("scan_time", "event_id")
+    known = matched.filter((F.col("kind") > 0) & F.col("task_id").isNotNull())
+    given = lambda c: F.when(F.col(c).isNotNull(), order)
+    parts = ("chute", "device_code", *brought)
+    return known.groupBy("task_id", "task_month").agg(
+        F.max(can_scan(F.col("task_status"))).alias("allowed"),
+        F.count("*").cast("int").alias("scans"),
+        F.max("scan_time").alias("s_scan_time"),
+        F.max_by("code", order).alias("s_code"),
+        F.max(order).alias("o_last"),
+        *(F.max_by(c, given(c)).alias(f"s_{c}") for c in parts),
+        *(F.max(given(c)).alias(f"o_{c}") for c in parts),
+    )
+
+
 def apply_scans(tasks: DataFrame, scans: DataFrame, now) -> DataFrame:
     """Tasks after a batch of scans. Scans of one task are folded in the order of scan_time, then event_id: since a scan leaves a task scanned, all of a batch are
     allowed or none. Allowed: the last scan sets status, time and device, the last value of each measure and chute counts, and each adds to scan_count; a dropped task
     loses drop time, actual chute and feedback, while the first scan still makes its dock of the chutes before. Not allowed: each scan adds a retry."""
-    matched = match_scans(scans, tasks).filter((F.col("kind") > 0) & F.col("task_id").isNotNull())
-    order = F.struct("scan_time", "event_id")
-    brought = [c for c in MEASURES if c in scans.columns and c in tasks.columns]
-    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(f"s_{c}")
-    folded = matched.groupBy("task_id", "task_month").agg(F.count("*").cast("int").alias("scans"), F.max("scan_time").alias("s_scan_time"), last("chute"), last("device_code"), F.max_by("code", order).alias("s_code"), *map(last, brought))
+    return apply_folded(tasks, fold_scans(match_scans(scans, tasks), brought_by(scans, tasks)), now)
+
+
+def brought_by(scans: DataFrame, tasks: DataFrame) -> list[str]:
+    return [c for c in MEASURES if c in scans.columns and c in tasks.columns]
+
+
+def apply_folded(tasks: DataFrame, folded: DataFrame, now, state: DataFrame | None = None) -> DataFrame:
+    """apply_scans() of folded scans. state (see scan_state()): where the scans stand that were applied before; a value of an older scan doesn't take the place of a newer one's, while each scan
+    counts. So scans give the same tasks however they are dealt into batches."""
+    brought = [c for c in MEASURES if f"s_{c}" in folded.columns]
     rows = tasks.join(folded, (tasks["id"] == folded["task_id"]) & (tasks["shard_month"] == folded["task_month"]), "left")
+    if state is None:
+        newer = lambda c: F.lit(True)
+    else:
+        rows = rows.join(state.drop("shard_month", "at"), (rows["task_id"] == state["state_id"]) & (rows["task_month"] == state["state_month"]), "left").drop("state_id", "state_month")
+        newer = lambda c: F.col(f"l_{c}").isNull() | (F.col(f"o_{c}") > F.col(f"l_{c}"))
     hit = F.col("scans").isNotNull()
     ok, again = hit & can_scan(F.col("status")), hit & (F.col("status") == V.DROPPED)
     blank = C.blank_to_null("barcode").isNull()
     before = F.when(~again | (F.col("scans") == 1), C.blank_to_null("actual_chute_code"))  # the second scan of a dropped task finds no actual chute
-    dock = F.coalesce(before, C.blank_to_null("s_chute"), C.blank_to_null("target_chute_code"), F.lit(V.NO_DOCK))
+    chute = F.when(newer("chute"), C.blank_to_null("s_chute"))
+    dock = F.coalesce(before, chute, C.blank_to_null("target_chute_code"), F.lit(V.NO_DOCK))
     new = {
         "status": F.when(ok, V.SCANNED),
-        "scanned_at": F.when(ok, F.col("s_scan_time")),
-        "device_code": F.when(ok, F.col("s_device_code")),
+        "scanned_at": F.when(ok & newer("last"), F.col("s_scan_time")),
+        "device_code": F.when(ok & newer("device_code"), F.col("s_device_code")),
         "barcode": F.when(ok & blank, F.col("s_code")),
         "normalized_barcode": F.when(ok & blank, F.col("s_code")),
-        "target_chute_code": F.when(ok, F.col("s_chute")),
+        "target_chute_code": F.when(ok & newer("chute"), F.col("s_chute")),
         "resolved_dock_code": F.when(ok, dock),
         "feedback_status": F.when(again, V.NOT_REQUIRED),
         "updated_time": F.when(hit, C.ntz(now)),
         "scan_retry_count": F.when(hit & ~ok, F.col("scan_retry_count") + F.col("scans")),
         "scan_count": F.when(ok, F.coalesce("scan_count", F.lit(0)) + F.col("scans")) if "scan_count" in tasks.columns else None,
         "is_feedback_reported": F.when(again, False) if "is_feedback_reported" in tasks.columns else None,
-        **{c: F.when(ok, F.col(f"s_{c}")) for c in brought},
+        **{c: F.when(ok & newer(c), F.col(f"s_{c}")) for c in brought},
     }
     emptied = {c: F.when(again, None).otherwise(F.col(c)) for c in ("dropped_at", "actual_chute_code", "feedback_time")}
 
@@ -84,6 +114,17 @@ def apply_scans(tasks: DataFrame, scans: DataFrame, now) -> DataFrame:
     return rows.select(*map(value, tasks.columns))
 
 
+def scan_state(folded: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """Where the scans stand that tasks have their values of, with those of `folded` that are allowed: state_id, state_month, shard_month, l_last, l_chute, ... and at, the time of the
+    latest. A row for each task that was scanned."""
+    parts = [c.removeprefix("o_") for c in folded.columns if c.startswith("o_")]
+    new = folded.filter("allowed").select(F.col("task_id").alias("state_id"), F.col("task_month").alias("state_month"), *(F.col(f"o_{c}").alias(f"l_{c}") for c in parts))
+    if state is not None:
+        new = new.unionByName(state.select(*new.columns))
+    last = new.groupBy("state_id", "state_month").agg(*(F.max(f"l_{c}").alias(f"l_{c}") for c in parts))
+    return last.withColumns({"shard_month": F.col("state_month"), "at": F.col("l_last.scan_time")})
+
+
 def scan_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(scans, rejects) of requests (request_id, barcodes, scan_time, measures). All barcodes of a request must parse to one chute; at most 100 of 128 characters. Measures
     go to the first barcode, zeros to the others."""

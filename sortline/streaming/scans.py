@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions import columns as C
-from ..operators.events import apply_scans, match_scans, parse_scans, scan_log_rows
+from ..operators.events import apply_folded, brought_by, fold_scans, match_scans, parse_scans, scan_log_rows, scan_state
 from ..plans.snapshots import Snapshots, refresh_all
 from ..sources.versions import Files, MonthTable, retried
 
@@ -30,28 +30,50 @@ def scanned_tasks(spark: SparkSession, root: str) -> MonthTable:
     return MonthTable(spark, root, {BARCODE: C.key_text(C.blank_to_null("barcode"))})
 
 
-def apply_scan_stream(scans: DataFrame, tasks: MonthTable, log_path: str, checkpoint: str, now: Callable[[], object], keep: int = 2) -> StreamingQuery:
+SCAN_STATE = "scan_state"
+
+
+def apply_scan_stream(scans: DataFrame, tasks: MonthTable, log_path: str, checkpoint: str, now: Callable[[], object], keep: int = 2, late: str | None = None) -> StreamingQuery:
     """Apply a stream of scans to a task table and write the scan log. A micro-batch looks its barcodes up in the months whose filter may hold one of them (in all months of a table
     without filters), and rewrites those of the tasks that it finds. The newest task of a barcode is in one of these months. Delivery is at least once; the commit names the last batch of
-    this stream, and the log's folder its batch, so the effect of each is once. The commit lists the months opened and rewritten. Where other jobs commit meanwhile, the batch is made anew."""
+    this stream, and the log's folder its batch, so the effect of each is once. The commit lists the months opened and rewritten. Where other jobs commit meanwhile, the batch is made anew.
+
+    late: how far a scan may be behind the newest, such as "10 minutes". Then a scan that is delivered again (by event_id) within that time counts once, scans behind it are dropped, and an older
+    scan doesn't overwrite a newer one of an earlier batch: the store keeps where each task's scans stand, until they are further behind than that. Without it each batch is taken as newer
+    than those before."""
     table = MonthTable.ROWS
+    if late is not None:
+        scans = scans.withColumn("__at", F.col("scan_time").cast("timestamp")).withWatermark("__at", late).dropDuplicatesWithinWatermark(["event_id"]).drop("__at")
 
     def batch(df: DataFrame, number: int) -> None:
         df = df.persist()
         held = []
 
         def change(attempt):
-            base = attempt.base
+            base, store = attempt.base, tasks.store
             streams = base.info.get("streams", {})
-            if streams.get(checkpoint, {}).get("batch", -1) >= number:
+            told = streams.get(checkpoint, {})
+            if told.get("batch", -1) >= number:
                 return None
-            opened = tasks.store.months_that_may_hold(table, BARCODE, parse_scans(df).select("code"), base)
-            matched = match_scans(df, tasks.store.read(table, opened, base)).persist()
+            opened = store.months_that_may_hold(table, BARCODE, parse_scans(df).select("code"), base)
+            matched = match_scans(df, store.read(table, opened, base)).persist()
             held.append(matched)
             scan_log_rows(matched).write.mode("overwrite").parquet(f"{log_path}/batch={number}")
             months = sorted(r[0] for r in matched.filter(F.col("task_month").isNotNull()).select("task_month").distinct().collect())  # a table has few
-            attempt.replace(table, apply_scans(tasks.store.read(table, months, base), df, now()), months, tasks.keys)
-            return {"streams": streams | {checkpoint: {"batch": number, "opened": opened, "rewritten": months}}}
+            rows = store.read(table, months, base)
+            folded = fold_scans(matched, brought_by(df, rows))
+            newest = told.get("newest")
+            if late is None:
+                attempt.replace(table, apply_folded(rows, folded, now()), months, tasks.keys)
+            else:
+                state = store.read(SCAN_STATE, months, base) if SCAN_STATE in base.tables else None
+                attempt.replace(table, apply_folded(rows, folded, now(), state), months, tasks.keys)
+                attempt.replace(SCAN_STATE, scan_state(folded, state), months, time="at")
+                newest = max(filter(None, (newest, _text(df.agg(F.max("scan_time")).first()[0]))), default=None)
+                if newest:
+                    behind = df.sparkSession.sql(f"SELECT CAST('{newest}' AS TIMESTAMP_NTZ) - INTERVAL {late}").first()[0]
+                    attempt.delete_before(SCAN_STATE, "at", behind)
+            return {"streams": streams | {checkpoint: {"batch": number, "opened": opened, "rewritten": months, "newest": newest}}}
 
         retried(tasks.store, change)
         tasks.prune(keep)
@@ -61,6 +83,10 @@ def apply_scan_stream(scans: DataFrame, tasks: MonthTable, log_path: str, checkp
     return scans.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _text(time) -> str | None:
+    return None if time is None else time.isoformat(" ", "microseconds")
+
+
 class SnapshotStore:
     """Snapshots as they were stored last, with what they cover, so that a restart goes on from there. A version is there once its state is."""
 

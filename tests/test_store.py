@@ -267,7 +267,7 @@ def test_scan_stream_opens_months_by_their_barcodes(spark, tmp_path):
     run = lambda: stream.apply_scan_stream(source, table, str(tmp_path / "log"), str(tmp_path / "c"), lambda: T0).awaitTermination()
     run()
     told = table.store.last().info["streams"][str(tmp_path / "c")]
-    assert told == {"batch": 0, "opened": ["202602", "202607"], "rewritten": ["202602", "202607"]}
+    assert told == {"batch": 0, "opened": ["202602", "202607"], "rewritten": ["202602", "202607"], "newest": None}
     want = E.apply_scans(rows, spark.read.parquet(src), T0)
     assert shown(table.read(), "id", "status", "scan_count") == shown(want, "id", "status", "scan_count")
     # rewritten months have filters again
@@ -295,6 +295,49 @@ def test_a_scan_batch_that_dies_comes_again_once(spark, tmp_path, monkeypatch):
     assert {r.task_code: r.scan_count for r in table.read().collect()} == {"T1": 0, "T2": 1} and spark.read.parquet(str(tmp_path / "log")).count() == 1
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_any_split_of_scans_into_batches_gives_the_same_tasks(spark, tmp_path, seed):
+    """Batches in any order of time, with scans delivered again, against all scans at once."""
+    rng = random.Random(seed)
+    status = [V.CREATED, V.SCANNED, V.DROPPED, V.FEEDBACK_PENDING, V.EXCEPTION]
+    rows = tasks(spark, *(dict(created_time=datetime(2026, 1 + i % 3, 5), barcode=f"02{i % 10}b{i}", status=status[i % 5], actual_chute_code=rng.choice([None, "8"]), weight_gram=1) for i in range(20)))
+    events = [
+        (n, rng.choice([f"02{i % 10}b{i}", f"02{i % 10}B{i}"]), T0 + timedelta(minutes=rng.randrange(40)), rng.choice([None, f"D{n}"]), rng.choice([None, n]))
+        for n, i in enumerate(rng.choices(range(22), k=60))
+    ]
+    kinds = "event_id long, barcode string, scan_time timestamp_ntz, device_code string, weight_gram int"
+    made = lambda some: spark.createDataFrame(some, kinds).withColumn("weight_gram", F.col("weight_gram").cast("decimal(18,3)"))
+    table = stream.scanned_tasks(spark, f"file://{tmp_path}/tasks")
+    table.write(rows, 0)
+    shuffled = events[:]
+    rng.shuffle(shuffled)
+    src = str(tmp_path / "in")
+    schema = made(events[:1]).schema
+    for k in range(3):
+        part = shuffled[k::3] + rng.sample(shuffled, 8)  # some come again, also in other batches
+        made(part).coalesce(1).write.mode("append").parquet(src)
+        source = spark.readStream.schema(schema).parquet(src)
+        stream.apply_scan_stream(source, table, str(tmp_path / "log"), str(tmp_path / "c"), lambda: T0, late="2 hours").awaitTermination()
+    columns = ["id", "shard_month", "status", "scanned_at", "device_code", "target_chute_code", "actual_chute_code", "resolved_dock_code", "weight_gram", "scan_count", "scan_retry_count", "feedback_status"]
+    assert shown(table.read(), *columns) == shown(E.apply_scans(rows, made(events), T0), *columns)
+    assert spark.read.parquet(str(tmp_path / "log")).count() == len(events)
+
+
+def test_scan_state_is_bounded_by_the_watermark(spark, tmp_path):
+    rows = tasks(spark, *(dict(created_time=datetime(2026, m, 5), barcode=f"021{m}") for m in (1, 2, 3)))
+    table = stream.scanned_tasks(spark, f"file://{tmp_path}/tasks")
+    table.write(rows, 0)
+    src = str(tmp_path / "in")
+    held = []
+    for minute, code in ((0, "0211"), (5, "0212"), (30, "0213"), (100, "0213")):
+        spark.createDataFrame([(minute, code, T0 + timedelta(minutes=minute), "D")], "event_id long, barcode string, scan_time timestamp_ntz, device_code string").coalesce(1).write.mode("append").parquet(src)
+        source = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
+        stream.apply_scan_stream(source, table, str(tmp_path / "log"), str(tmp_path / "c"), lambda: T0, late="10 minutes").awaitTermination()
+        held.append(shown(table.store.read(stream.SCAN_STATE), "state_id"))
+    assert held == [[(1,)], [(1,), (2,)], [(3,)], [(3,)]]
+    assert {r.id: r.scan_count for r in table.read().collect()} == {1: 1, 2: 1, 3: 2}
+
+
 # --- claims ----------------------------------------------------------------------------------------------------------
 
 
