@@ -39,7 +39,7 @@ WAYS = 32
 REST = WAYS - 1
 WORDS = REST * WAYS * WAYS
 #: Most frequent words whose counts all tasks have at hand, tree or not. Those of the others come by a join.
-KNOWN_WORDS = 1 << 18
+KNOWN_WORDS = 1 << 17
 #: Symbols: words of the tree, then hashes of others, then what stands before a document.
 SYMBOLS = 1 << 16
 BEFORE = SYMBOLS - 1
@@ -173,8 +173,10 @@ def frequent_words(counts: DataFrame, most: int = KNOWN_WORDS) -> list[tuple[str
         if row["n"] > left:
             break
         left, least = left - row["n"], row["c"]
-    rows = [] if least is None else counts.filter(F.col("c") >= least).select("word", "c", "lang").collect()
-    return sorted(map(tuple, rows), key=lambda r: (-r[1], r[0]))
+    if least is None:
+        return []
+    found = counts.filter(F.col("c") >= least).select("word", "c", "lang").toArrow()
+    return sorted(zip(*(c.to_pylist() for c in found.columns)), key=lambda r: (-r[1], r[0]))
 
 
 def encode(docs: DataFrame, tree: Tree, known: list[tuple[str, int, int]]) -> DataFrame:
