@@ -256,8 +256,8 @@ def co_train_rows(rows: Rows, rounds: int = ROUNDS) -> CoTrained:
     for nth in range(rounds + 1):
         if nth:
             counts = lambda x, m, label, part, past=tuple(past): np.array([((label < 0) & (_given((x, m), past, k) == c)).sum() for k in (0, 1) for c in (0, 1)], float)
-            told = rows.total(counts).reshape(2, 2)
-            if not told.any():
+            before, told = told, rows.total(counts).reshape(2, 2)
+            if not told.any() or nth > 1 and np.array_equal(told, before):  # nothing new is told: another fit would add nothing
                 break
         share = np.minimum(1, fitted / np.maximum(1, told))
         # both classes weigh alike, whatever their shares
