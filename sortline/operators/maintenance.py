@@ -229,7 +229,7 @@ def retention_audit(tasks: DataFrame, target: Target, batch_id: str, now, instan
 
 
 def drop_months(spark: SparkSession, path: str, now, keep_months: int, dry_run: bool = False, allowed: bool = True, batch_id: str = "", target: Target | None = None) -> Retention:
-    """Drop the directories of expired months of a table. A dry run, or where dropping isn't allowed, only counts. months has a row for each expired month, audit one for the run."""
+    """Drop the directories of expired months of a table that is plain directories; retention_run() is for stores, and commits its audit first. A dry run, or where dropping isn't allowed, only counts. months has a row for each expired month, audit one for the run."""
     target = target or Target(path, path, keep_months, dry_run=dry_run, allowed=allowed)
     table = read_months(spark, path)
     found = expired_months(table, now, target.keep_months).collect()  # a row for each month of the table
