@@ -57,7 +57,7 @@ ONES = np.ones(WAYS, np.float32)
 #: Rows of the table that travel together.
 BLOCK_ROWS = 1 << 10
 #: Tokens at a time in the sums; documents are cut to slices of about so many bytes of text, or tokens.
-BLOCK, SLICE_BYTES, SLICE_TOKENS = 1 << 14, 8 << 20, 1 << 20
+BLOCK, SLICE_BYTES, SLICE_TOKENS = 1 << 14, 4 << 20, 1 << 19
 
 
 def _fold() -> Column:
