@@ -20,7 +20,8 @@ RANGE_ROWS = 100_000
 
 
 def write_ranked(attempt: Attempt, table: str, rows: DataFrame, months: list[str] | None = None, time: str = "created_time", range_rows: int = RANGE_ROWS) -> None:
-    """Replace the months of a ranked table, of rows with `time` and id. Months follow each other as their times do."""
+    """Replace the months of a ranked table, of rows with `time` and id. Months follow each other as their times do. Ranges have `range_rows` rows, and more in a table whose
+    months would have more than 16 of fewer than 100,000 rows: else their number would grow with the table."""
     attempt.replace(table, rows, months, time=time, rows_per_file=range_rows)
 
 
