@@ -66,25 +66,27 @@ def upsert(tasks: DataFrame, incoming: DataFrame) -> DataFrame:
     """Tasks after a projection, each with change (I, U or null). Tasks that are there get the mutable columns alone, and the barcode only while they are created,
     unscanned and without one. New ones start as created."""
     keys = ["source_table_code", "business_key"]
-    old = tasks.select(*keys, F.struct(*(c for c in tasks.columns if c not in keys)).alias("old"))
-    new = incoming.select(*keys, F.struct(*(c for c in incoming.columns if c not in keys)).alias("new"))
+    # flat columns and a mark for each side, not structs: of a struct whose presence is asked all columns would be moved
+    old = tasks.select(*keys, F.lit(True).alias("is_old"), *(F.col(c).alias(f"old_{c}") for c in tasks.columns if c not in keys))
+    new = incoming.select(*keys, F.lit(True).alias("is_new"), *(F.col(c).alias(f"new_{c}") for c in incoming.columns if c not in keys))
+    was, comes = F.col("is_old").isNotNull(), F.col("is_new").isNotNull()
     fields = [c for c in tasks.columns if c not in keys]
     kinds = {f.name: f.dataType for f in tasks.schema}
-    take_barcode = (F.col("old.status") == V.CREATED) & F.col("old.scanned_at").isNull() & C.blank_to_null("old.barcode").isNull()
+    take_barcode = (F.col("old_status") == V.CREATED) & F.col("old_scanned_at").isNull() & C.blank_to_null("old_barcode").isNull()
     given = set(incoming.columns)
     start = {"status": F.lit(V.CREATED), "feedback_status": F.lit(V.NOT_REQUIRED), "is_exception": F.lit(False), "is_recirculated": F.lit(False), "scan_retry_count": F.lit(0), "resolved_dock_code": F.lit(V.NO_DOCK)}
 
     def value(c: str) -> Column:
-        fresh = F.col(f"new.{c}") if c in given else start.get(c, F.lit(None))
+        fresh = F.col(f"new_{c}") if c in given else start.get(c, F.lit(None))
         if c in MUTABLE and c in given:
-            kept = F.when(F.col("new").isNotNull(), F.col(f"new.{c}")).otherwise(F.col(f"old.{c}"))
+            kept = F.when(comes, F.col(f"new_{c}")).otherwise(F.col(f"old_{c}"))
         elif c == "barcode" and c in given:
-            kept = F.when(take_barcode & F.col("new").isNotNull(), F.col("new.barcode")).otherwise(F.col("old.barcode"))
+            kept = F.when(take_barcode & comes, F.col("new_barcode")).otherwise(F.col("old_barcode"))
         else:
-            kept = F.col(f"old.{c}")
-        return F.when(F.col("old").isNull(), fresh).otherwise(kept).cast(kinds[c]).alias(c)
+            kept = F.col(f"old_{c}")
+        return F.when(was, kept).otherwise(fresh).cast(kinds[c]).alias(c)
 
-    change = F.when(F.col("old").isNull(), "I").when(F.col("new").isNotNull(), "U")
+    change = F.when(~was, "I").when(comes, "U")
     out = old.join(new, keys, "full").select(*keys, *map(value, fields), change.alias("change"))
     derived = {"normalized_wave_code": C.normalized_wave(), "normalized_barcode": C.blank_to_null("barcode"), "shard_month": F.coalesce("shard_month", C.month_key("created_time"))}
     return out.withColumns({c: e for c, e in derived.items() if c in tasks.columns})

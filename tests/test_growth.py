@@ -4,6 +4,7 @@ from datetime import timedelta
 
 from sortline.operators import search as S
 from sortline.plans import rank_index as K
+from sortline.queries import QUERIES
 from sortline.sources.versions import Store, retried
 
 from .test_warehouse import T0, tasks
@@ -22,3 +23,8 @@ def test_small_ranges_of_a_large_month_make_few_files(spark, tmp_path):
     for number in (1, 17, 40):
         got = K.page_at(store, "rows", number, 10)
         assert [r.id for r in got.rows.collect()] == whole[(number - 1) * 10 : number * 10] and got.total == 400 and len(got.opened) <= 2
+
+
+def test_upserts_move_only_columns_that_are_wanted(spark, sf):
+    text = plan(QUERIES["projection_counts"](spark, sf))
+    assert not any(c in text for c in ("l_extendedprice", "l_quantity", "o_totalprice", "o_custkey"))
