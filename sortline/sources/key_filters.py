@@ -1,55 +1,81 @@
 """Filters of keys: which months may hold a key, told without reading their rows.
 
-A month has a Bloom filter of the texts in a column, in blocks of 32,768 bits. A key has one block and a few bits in it, so looking it up in a month reads one block. Blocks are made by bitmap
-aggregates and looked into by column functions; nothing leaves Spark but the months that are hit.
+A month has a Bloom filter of the texts in a column, in blocks of 32,768 bits. A key has one block and a few bits in it, so looking it up in a month reads one block. Blocks are made by
+aggregates of words and looked into by column functions; nothing leaves Spark but the months that are hit.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bits of a block, which is what a bitmap aggregate holds.
-BLOCK_BITS = 32_768
+#: Bits of a block, and of the words that it is kept as.
+BLOCK_BITS, WORD_BITS = 32_768, 64
+WORDS = BLOCK_BITS // WORD_BITS
 #: Bits for each key, and how many of them it sets: about one in 10,000 keys that a month lacks is found in it.
 KEY_BITS, HASHES = 24, 12
+#: Bits of a place in a block, and how many places one hash gives.
+PLACE_BITS, PLACES = 15, 4
+#: A hash share of one in so many keys is looked up in all months, the others only in those that it doesn't hit.
+SHARES = 256
+
 
+def _hash(key: Column) -> Column:
+    return F.xxhash64(key)
 
-def _block(key: Column, blocks: Column) -> Column:
-    return F.pmod(F.xxhash64(key), blocks)
 
+def _block(hashed: Column, blocks: Column) -> Column:
+    return F.pmod(hashed, blocks)
 
-def _bits(key: Column) -> Column:
+
+def _bits(hashed: Column) -> list[Column]:
     """Places of a key's bits in its block."""
-    return F.array(*(F.pmod(F.xxhash64(key, F.lit(k)), F.lit(BLOCK_BITS)) for k in range(HASHES)))
+    return [F.shiftrightunsigned(F.xxhash64(hashed, F.lit(k // PLACES)), k % PLACES * PLACE_BITS).bitwiseAND(F.lit(BLOCK_BITS - 1)).cast("int") for k in range(HASHES)]
 
 
 def build(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Blocks of the filters of each month and column: shard_month, of_column, blocks (how many there are), block, bits. Null keys aren't held. rows has shard_month."""
+    """Blocks of the filters of each month and column: shard_month, of_column, blocks (how many there are), block, bits (its words). Null keys aren't held. rows has shard_month.
+
+    Hashes of keys are dealt by block, some 1,300 in each, before they become bits, so no bits are moved or sorted."""
     out = None
     for name, key in columns.items():
         keyed = rows.select(F.coalesce("shard_month", F.lit("")).alias("shard_month"), key.cast("string").alias("key"))
         sizes = keyed.groupBy("shard_month").agg(F.ceil(F.count("key") * KEY_BITS / BLOCK_BITS).alias("wanted"))  # one row for each month
         sized = keyed.filter("key IS NOT NULL").join(F.broadcast(sizes.withColumn("blocks", F.greatest("wanted", F.lit(1))).drop("wanted")), "shard_month")
-        placed = sized.select("shard_month", "blocks", _block(F.col("key"), F.col("blocks")).alias("block"), F.explode(_bits(F.col("key"))).alias("bit"))
-        part = placed.groupBy("shard_month", "blocks", "block").agg(F.bitmap_construct_agg("bit").alias("bits")).withColumn("of_column", F.lit(name))
+        hashed = sized.select("shard_month", "blocks", _hash(F.col("key")).alias("hash")).withColumn("block", _block(F.col("hash"), F.col("blocks")))
+        dealt = hashed.repartition("shard_month", "blocks", "block")
+        placed = dealt.select("shard_month", "blocks", "block", F.explode(F.array(*_bits(F.col("hash")))).alias("bit"))
+        of_word = placed.groupBy("shard_month", "blocks", "block", F.floor(F.col("bit") / WORD_BITS).cast("int").alias("word"))
+        words = of_word.agg(F.bit_or(F.expr(f"shiftleft(1L, bit % {WORD_BITS})")).alias("bits"))
+        part = words.groupBy("shard_month", "blocks", "block").agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("set"))
+        filled = F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda w: F.coalesce(F.try_element_at(F.map_from_entries("set"), w), F.lit(0).cast("long")))
+        bits = F.when(F.size("set") == WORDS, F.col("set.bits")).otherwise(filled)  # full but in small months
+        part = part.select("shard_month", "blocks", "block", bits.alias("bits"), F.lit(name).alias("of_column"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def _is_set(bits: Column, bit: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(bits, F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.getbit(byte, (bit % 8).cast("int")) == 1
+    return F.getbit(F.get(bits, F.floor(bit / WORD_BITS).cast("int")), bit % WORD_BITS) == 1
 
 
 def hits(filters: DataFrame, keys: DataFrame) -> DataFrame:
     """shard_month and key of the keys (one column) that a month's filter holds."""
     sizes = filters.select("shard_month", "blocks").distinct()  # one row for each month
-    asked = keys.select(F.col(keys.columns[0]).cast("string").alias("key")).filter("key IS NOT NULL").distinct()
-    placed = asked.join(F.broadcast(sizes)).withColumn("block", _block(F.col("key"), F.col("blocks")))
+    asked = keys.select(F.col(keys.columns[0]).cast("string").alias("key")).filter("key IS NOT NULL").distinct().withColumn("hash", _hash(F.col("key")))
+    placed = asked.join(F.broadcast(sizes)).withColumn("block", _block(F.col("hash"), F.col("blocks")))
     found = placed.join(filters.select("shard_month", "block", "bits"), ["shard_month", "block"])
-    return found.filter(F.forall(_bits(F.col("key")), lambda bit: _is_set(F.col("bits"), bit))).select("shard_month", "key")
+    return found.filter(reduce(and_, (_is_set(F.col("bits"), bit) for bit in _bits(F.col("hash"))))).select("shard_month", "key")
 
 
 def months_hit(filters: DataFrame, keys: DataFrame) -> list[str]:
-    return [r[0] for r in hits(filters, keys).select("shard_month").distinct().collect()]  # a table has few months
+    """Months whose filter holds one of the keys. A month that a share of the keys hits is told by these, so that keys of a large batch aren't looked up in every month; in the months that it
+    doesn't hit all others are."""
+    first = F.pmod(F.xxhash64(F.col(keys.columns[0]).cast("string"), F.lit("share")), F.lit(SHARES)) == 0
+    found = lambda rows, some: [r[0] for r in hits(rows, some).select("shard_month").distinct().collect()]  # noqa: E731  a table has few months
+    told = found(filters, keys.filter(first))
+    left = filters.filter(~F.col("shard_month").isin(told)) if told else filters
+    return told if left.isEmpty() else told + found(left, keys.filter(~first))

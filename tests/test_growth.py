@@ -2,9 +2,12 @@
 
 from datetime import timedelta
 
+from pyspark.sql import functions as F
+
 from sortline.operators import search as S
 from sortline.plans import rank_index as K
 from sortline.queries import QUERIES
+from sortline.sources import key_filters
 from sortline.sources.versions import Store, retried
 
 from .test_warehouse import T0, tasks
@@ -25,6 +28,21 @@ def test_small_ranges_of_a_large_month_make_few_files(spark, tmp_path):
         assert [r.id for r in got.rows.collect()] == whole[(number - 1) * 10 : number * 10] and got.total == 400 and len(got.opened) <= 2
 
 
+def test_keys_are_looked_up_only_in_months_that_others_leave_open(spark, monkeypatch):
+    rows = spark.range(4000).select(F.concat(F.lit("k"), "id").alias("k"), F.when(F.col("id") == 7, "202602").otherwise("202601").alias("shard_month"))
+    filters = key_filters.build(rows, {"k": F.col("k")})
+    assert "SortAggregate" not in plan(filters)
+    asked, hits = [], key_filters.hits
+
+    def counted(months, keys):
+        asked.append((sorted(r[0] for r in months.select("shard_month").distinct().collect()), keys.count()))
+        return hits(months, keys)
+
+    monkeypatch.setattr(key_filters, "hits", counted)
+    assert sorted(key_filters.months_hit(filters, rows.select("k"))) == ["202601", "202602"]
+    assert asked[0][1] < 100 and asked[1][0] == ["202602"] and asked[0][1] + asked[1][1] == 4000
+
+
 def test_upserts_move_only_columns_that_are_wanted(spark, sf):
     text = plan(QUERIES["projection_counts"](spark, sf))
     assert not any(c in text for c in ("l_extendedprice", "l_quantity", "o_totalprice", "o_custkey"))
