@@ -20,6 +20,8 @@ from ..operators import aggregates as A
 
 SUMS = ("volume_mm3", "weight_gram")
 DECIMAL = "decimal(28,3)"
+#: Task columns that totals are made of.
+READ = ("wave_code", "wave_remark", "source_type", "status", "scanned_at", "resolved_dock_code", "is_exception", "created_time", "updated_time", *SUMS)
 SIGN = "sign"
 
 
@@ -80,8 +82,9 @@ class Kept:
     reread: DataFrame
 
 
-def apply_changes(totals: DataFrame, changes: DataFrame, tasks_of: Callable[[DataFrame], DataFrame]) -> Kept:
-    """Totals after signed changes. tasks_of(waves): tasks after the changes of the waves listed (column wave), which are few; it is asked once."""
+def apply_changes(totals: DataFrame, changes: DataFrame, tasks_of: Callable[[DataFrame], DataFrame], stage: Callable[[DataFrame], DataFrame] = lambda df: df) -> Kept:
+    """Totals after signed changes. tasks_of(waves): tasks after the changes of the waves listed (column wave), which are few; it is asked once. stage: keeps the moved totals, a row for each
+    wave, as they are read twice; else totals and changes are made twice."""
     delta = _signed(changes)
     both = totals.select("wave", *(F.col(c).alias(f"o_{c}") for c in (*COUNTS, *SUMS, "earliest_created", "newest"))).join(delta, "wave", "full")
     summed = lambda n, zero: (F.coalesce(f"o_{n}", zero) + F.coalesce(n, zero)).alias(n)
@@ -89,14 +92,14 @@ def apply_changes(totals: DataFrame, changes: DataFrame, tasks_of: Callable[[Dat
     late = F.col("first_in").isNull() | (F.col("first_in") > F.col("o_earliest_created"))
     old_news = F.col("remark_in").isNull() | (F.col("remark_in") < F.col("o_newest"))
     gone = (F.coalesce(F.col("first_out") <= F.col("o_earliest_created"), F.lit(False)) & late) | (F.coalesce(F.col("remark_out") >= F.col("o_newest"), F.lit(False)) & old_news)
-    moved = both.select(
+    moved = stage(both.select(
         "wave",
         *(summed(n, F.lit(0).cast("long")) for n in COUNTS),
         *(summed(n, F.lit(0).cast(DECIMAL)).cast(DECIMAL).alias(n) for n in SUMS),
         F.least("o_earliest_created", "first_in").alias("earliest_created"),
         F.greatest("o_newest", "remark_in").alias("newest"),
         gone.alias("gone"),
-    ).filter("total > 0")
+    ).filter("total > 0"))
     marked = moved.filter("gone").select("wave")
     again = wave_totals(tasks_of(marked)).select("wave", F.struct("earliest_created", "newest").alias("found"))
     out = moved.join(again, "wave", "left")
@@ -109,9 +112,10 @@ def tasks_of_waves(tasks: DataFrame) -> Callable[[DataFrame], DataFrame]:
     return lambda waves: tasks.join(waves.select(F.col("wave").alias("__wave")), C.normalized_wave() == F.col("__wave"), "left_semi")
 
 
-def changes_between(before: DataFrame, after: DataFrame, keys: tuple[str, ...] = ("id", "shard_month")) -> DataFrame:
-    """Signed images of the rows that two states of a table, or of its touched months, don't share. Rows are held against each other by key, and those that are equal left out."""
-    columns = before.columns
+def changes_between(before: DataFrame, after: DataFrame, keys: tuple[str, ...] = ("id", "shard_month"), columns: tuple[str, ...] | None = None) -> DataFrame:
+    """Signed images of the rows that two states of a table, or of its touched months, don't share. Rows are held against each other by key, and those that are equal left out. columns: those
+    that count and that images have, all if None; totals want READ."""
+    columns = columns or before.columns
     old = before.select(*(F.col(k).alias(f"k_{k}") for k in keys), F.struct(*columns).alias("old"))
     new = after.select(*(F.col(k).alias(f"k_{k}") for k in keys), F.struct(*columns).alias("new"))
     both = old.join(new, [f"k_{k}" for k in keys], "full").filter(~F.col("old").eqNullSafe(F.col("new")))

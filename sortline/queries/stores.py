@@ -117,8 +117,14 @@ def wave_totals_kept(spark, d):
     after = before.filter(of != 0).withColumns(
         {"status": F.when(of == 1, V.DROPPED).otherwise(F.col("status")), "wave_remark": F.when(of == 1, "late").otherwise(F.col("wave_remark")), "wave_code": F.when(of == 2, "W3").otherwise(F.col("wave_code"))}
     )
-    changes = T.changes_between(before.filter(of <= 2), after.filter(of <= 2))
-    return T.cleanable_waves(T.apply_changes(T.wave_totals(before), changes, T.tasks_of_waves(after)).totals)
+    changes = T.changes_between(before.filter(of <= 2), after.filter(of <= 2), columns=T.READ)
+
+    def kept(moved):
+        path = folder(spark, "totals")
+        moved.write.parquet(path)
+        return spark.read.schema(moved.schema).parquet(path)
+
+    return T.cleanable_waves(T.apply_changes(T.wave_totals(before), changes, T.tasks_of_waves(after), kept).totals)
 
 
 def ranked(spark, d) -> Store:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sortline.operators import search as S
 from sortline.plans import rank_index as K
+from sortline.plans import wave_totals as T
 from sortline.queries import QUERIES
 from sortline.sources import fixtures as X
 from sortline.sources import key_filters
@@ -49,6 +50,17 @@ def test_upserts_move_only_columns_that_are_wanted(spark, sf):
     assert not any(c in text for c in ("l_extendedprice", "l_quantity", "o_totalprice", "o_custkey"))
 
 
+def test_changes_of_columns_that_do_not_count_are_none(spark):
+    before = tasks(spark, {}, dict(product_code="p"), dict(barcode="b", status=3))
+    after = before.withColumn("product_code", F.lit("q")).withColumn("status", F.when(F.col("id") == 3, 1).otherwise(F.col("status")))
+    images = T.changes_between(before, after, columns=T.READ)
+    assert images.columns == [*T.READ, T.SIGN] and sorted((r.status, r.sign) for r in images.collect()) == [(1, 1), (3, -1)]
+    staged = []
+    kept = T.apply_changes(T.wave_totals(before), images, T.tasks_of_waves(after), lambda df: staged.append(df) or df.localCheckpoint())
+    want = T.wave_totals(after)
+    assert len(staged) == 1 and kept.totals.collect() == want.select(kept.totals.columns).collect()
+
+
 def test_lines_are_sorted_once(spark, sf):
     kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
