@@ -155,7 +155,7 @@ def appended_months(spark, d):
     """Tasks appended to a table by month in two batches, read back."""
     path, rows = folder(spark, "appended"), X.tasks(spark, d).drop("shard_month")
     for k in range(2):
-        tables.append_by_month(rows.filter(F.col("id") % 2 == k), path, "created_time")
+        tables.append_by_month(rows.filter(F.col("id") % 2 == k), path, "created_time", ["order_id"])
     return tables.read_months(spark, path).groupBy("shard_month").agg(F.count("*").cast("long").alias("rows"))
 
 

@@ -37,10 +37,11 @@ def with_legacy(months: DataFrame, legacy: DataFrame) -> DataFrame:
     return months.unionByName(legacy.withColumn("shard_month", F.lit(LEGACY)), allowMissingColumns=True)
 
 
-def append_by_month(df: DataFrame, path: str, time: str) -> None:
-    """Append rows to the months of their time. Rows are dealt by month and hash, so a month makes few files and a large month isn't one task."""
+def append_by_month(df: DataFrame, path: str, time: str, near: list[str] | None = None) -> None:
+    """Append rows to the months of their time. Rows are dealt by month and hash, so a month makes few files and a large month isn't one task. near: columns that are hashed, all if None; rows
+    that agree in them stay together, so that what they share is moved and kept compressed. No value of them should have many rows."""
     routed = df.withColumn("shard_month", C.month_key(time))
-    routed.repartition("shard_month", F.pmod(F.xxhash64(*df.columns), F.lit(8))).write.partitionBy("shard_month").mode("append").parquet(path)
+    routed.repartition("shard_month", F.pmod(F.xxhash64(*(near or df.columns)), F.lit(8))).write.partitionBy("shard_month").mode("append").parquet(path)
 
 
 def month_counts(df: DataFrame, time: str) -> DataFrame:

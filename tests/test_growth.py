@@ -10,6 +10,7 @@ from sortline.plans import wave_totals as T
 from sortline.queries import QUERIES
 from sortline.sources import fixtures as X
 from sortline.sources import key_filters
+from sortline.sources import tables
 from sortline.sources.versions import Store, retried
 
 from .test_warehouse import T0, tasks
@@ -69,3 +70,10 @@ def test_lines_are_sorted_once(spark, sf):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
     assert text.count(" Sort [") == 2 and text.count("Exchange ") == 2  # lines and orders
+
+
+def test_rows_of_an_order_stay_in_one_file(spark, tmp_path):
+    rows = tasks(spark, *(dict(id=i, order_id=str(i // 5)) for i in range(100))).drop("shard_month")
+    tables.append_by_month(rows, str(tmp_path / "t"), "created_time", ["order_id"])
+    kept = tables.read_months(spark, str(tmp_path / "t")).withColumn("file", F.input_file_name())
+    assert kept.count() == 100 and kept.groupBy("order_id").agg(F.countDistinct("file").alias("n")).filter("n > 1").isEmpty()
