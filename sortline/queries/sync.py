@@ -30,10 +30,12 @@ def incoming(spark, d):
 
 
 def state(spark, d):
-    rows = incoming(spark, d).filter("cursor < '1998-01-01' AND seq.turn = 0")
-    rest = F.struct("digest", "cursor")
-    return rows.groupBy("business_key").agg(F.max_by(rest, "seq").alias("r")).select(
-        "business_key", "r.*", C.month_key("r.cursor").alias("shard_month"), F.lit(False).alias("is_soft_deleted"), C.ntz("1998-01-01 00:00:00").alias("updated_time")
+    """Only the values of a key's last row are moved, and only if a digest of them is wanted; the cursor, by which seq begins, is that of the last row too."""
+    rows = X.incoming(spark, d).filter("cursor < '1998-01-01' AND seq.turn = 0")
+    last = rows.groupBy("business_key").agg(F.max("cursor").alias("cursor"), F.max_by(F.struct(*COLUMNS), "seq").alias("r"))
+    digest = F.when(F.col("cursor").isNotNull(), C.row_digest(*COLUMNS))  # it never is null, but so all that read a digest move the same columns and share them
+    return last.select("business_key", "r.*", "cursor").select(
+        "business_key", digest.alias("digest"), "cursor", C.month_key("cursor").alias("shard_month"), F.lit(False).alias("is_soft_deleted"), C.ntz("1998-01-01 00:00:00").alias("updated_time")
     )
 
 

@@ -1,10 +1,13 @@
 """What steps read, move and write as tables grow."""
 
-from datetime import timedelta
+import random
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from sortline.operators import reconcile as R
 from sortline.operators import search as S
+from sortline.operators import sync
 from sortline.plans import rank_index as K
 from sortline.plans import wave_totals as T
 from sortline.queries import QUERIES
@@ -13,6 +16,8 @@ from sortline.sources import key_filters
 from sortline.sources import tables
 from sortline.sources.versions import Store, retried
 
+from .test_plans import state_of
+from .test_store import shown
 from .test_warehouse import T0, tasks
 
 
@@ -77,3 +82,51 @@ def test_rows_of_an_order_stay_in_one_file(spark, tmp_path):
     tables.append_by_month(rows, str(tmp_path / "t"), "created_time", ["order_id"])
     kept = tables.read_months(spark, str(tmp_path / "t")).withColumn("file", F.input_file_name())
     assert kept.count() == 100 and kept.groupBy("order_id").agg(F.countDistinct("file").alias("n")).filter("n > 1").isEmpty()
+
+
+def ran(query, spark, sf):
+    """The plan that a query ended with, without broadcasts by size."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = QUERIES[query](spark, sf)
+        df.collect()
+        return plan(df).split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_reconciliation_deals_state_and_source_once(spark, sf):
+    text = ran("reconciled_deletions", spark, sf)
+    assert text.count("FileScan parquet") == 2 and "ReusedExchange" in text  # one for the state and one for the source's keys
+    assert not any(c in text for c in ("l_suppkey", "l_quantity", "sha2"))
+
+
+def test_states_that_are_read_twice_are_made_once(spark, sf):
+    assert ran("merge_state", spark, sf).count("FileScan parquet") == 3  # of the state one, of what comes in two
+
+
+def test_a_bucket_whose_counts_are_far_apart_is_not_parted(spark, monkeypatch):
+    monkeypatch.setattr(R, "BUCKETS", 4)
+    monkeypatch.setattr(R, "PARTS", 8)
+    ours, start, end = [(f"k{i}", 3) for i in range(40)], datetime(2026, 1, 1), datetime(2026, 2, 1)
+    state, lacks = state_of(spark, ours), {"k7", "k15"}
+    window = [k for k, _ in ours if k not in lacks]
+    for more, least, most in ((400, 438, 438), (0, 0, 10)):  # with other keys than the window's all are compared at once, else few are
+        keys = spark.createDataFrame([(k,) for k in window + [f"n{i}" for i in range(more)]], "business_key string")
+        got = R.reconcile(state, keys, start, end, large=3)
+        assert {r.business_key for r in got.gone.collect()} == lacks and least <= got.fetched.count() <= most
+
+
+def test_deletions_are_the_same_however_buckets_are_parted(spark, monkeypatch):
+    monkeypatch.setattr(R, "BUCKETS", 8)
+    monkeypatch.setattr(R, "PARTS", 16)
+    rng = random.Random(1)
+    ours = [(f"k{i}", rng.randrange(0, 9)) for i in range(300)] + [("K7", 1), ("k8", 2), ("k8", 2)]
+    theirs = [k.upper() if rng.random() < 0.3 else k for k, d in ours if 2 <= d < 8 and rng.random() < 0.9]
+    state, start, end = state_of(spark, ours), datetime(2026, 1, 2), datetime(2026, 1, 8)
+    for more in (0, 100, 1000):  # few, some and all buckets are apart by their parts
+        keys = spark.createDataFrame([(k,) for k in theirs + theirs[:20] + [f"n{i}" for i in range(more)] + [None]], "business_key string")
+        want = shown(sync.deleted_keys(state, keys, start, end), "business_key", "cursor")
+        for large in (0, 20):
+            assert shown(R.reconcile(state, keys, start, end, large=large).gone, "business_key", "cursor") == want
