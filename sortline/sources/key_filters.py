@@ -1,4 +1,4 @@
-"""Filters of keys: which months may hold a key, told without reading their rows.
+"""Filters of keys: which months may hold a key, told without reading their rows, and which rows may have a key of a batch, told before they are moved.
 
 A month has a Bloom filter of the texts in a column, in blocks of 32,768 bits. A key has one block and a few bits in it, so looking it up in a month reads one block. Blocks are made by
 aggregates of words and looked into by column functions; nothing leaves Spark but the months that are hit.
@@ -21,6 +21,9 @@ KEY_BITS, HASHES = 24, 12
 PLACE_BITS, PLACES = 15, 4
 #: A hash share of one in so many keys is looked up in all months, the others only in those that it doesn't hit.
 SHARES = 256
+#: A batch's own filter: words of a chunk, how many chunks at most (16 MiB), for how many keys there is a word, and how many of its bits a key sets. Few other rows are taken for one of the
+#: batch, and more than few only if it has more than four million keys.
+CHUNK, MOST_CHUNKS, KEYS_OF_WORD, SET_BITS = 1024, 2048, 2, 5
 
 
 def _hash(key: Column) -> Column:
@@ -79,3 +82,40 @@ def months_hit(filters: DataFrame, keys: DataFrame) -> list[str]:
     told = found(filters, keys.filter(first))
     left = filters.filter(~F.col("shard_month").isin(told)) if told else filters
     return told if left.isEmpty() else told + found(left, keys.filter(~first))
+
+
+def _nth(hashed: Column, words: Column) -> Column:
+    """The word of a key in the filter of a batch. Their number is a power of two, and the hash's last bits tell."""
+    return F.pmod(hashed, words)
+
+
+def _mask(hashed: Column) -> Column:
+    """The bits that a key sets in its word, told by the hash's first bits."""
+    place = lambda k: F.shiftrightunsigned(hashed, 34 + 6 * k).bitwiseAND(F.lit(WORD_BITS - 1)).cast("int")
+    return reduce(Column.bitwiseOR, (F.call_function("shiftleft", F.lit(1).cast("long"), place(k)) for k in range(SET_BITS)))
+
+
+def of_batch(keys: DataFrame) -> DataFrame:
+    """One row, the filter of all keys of a batch (one column of texts): bits (words). It is of bounded size, however many the keys. Nulls aren't held."""
+    asked = keys.select(F.col(keys.columns[0]).cast("string").alias("key")).filter("key IS NOT NULL")
+    wanted = asked.agg(F.approx_count_distinct("key")).first()[0]
+    chunks = 1
+    while chunks < MOST_CHUNKS and chunks * CHUNK * KEYS_OF_WORD < wanted:
+        chunks *= 2
+    words = F.lit(chunks * CHUNK)
+    hashed = asked.select(_hash(F.col("key")).alias("hash"))
+    blank = keys.sparkSession.range(chunks * CHUNK).select(F.col("id").alias("nth"), F.lit(0).cast("long").alias("mask"))
+    masks = hashed.select(_nth(F.col("hash"), words).alias("nth"), _mask(F.col("hash")).alias("mask")).unionByName(blank).groupBy("nth").agg(F.bit_or("mask").alias("mask"))
+    ordered = lambda *of: F.array_sort(F.collect_list(F.struct(*of)))[of[-1]]
+    dealt = masks.groupBy(F.floor(F.col("nth") / CHUNK).alias("chunk")).agg(ordered("nth", "mask").alias("masks"))
+    return dealt.agg(F.flatten(ordered("chunk", "masks")).alias("bits"))
+
+
+def split(rows: DataFrame, key: Column, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be of the batch, the others), told where they lie. All that are of the batch are among the first, and few others."""
+    # a function of one element, so that a key is made in one place
+    held = F.array(F.struct(key.cast("string").alias("key"), F.col("bits").alias("bits")))
+    is_set = lambda hashed, bits: F.get(bits, _nth(hashed, F.size(bits)).cast("int")).bitwiseAND(_mask(hashed)) == _mask(hashed)
+    of_it = F.exists(held, lambda x: x["key"].isNotNull() & is_set(_hash(x["key"]), x["bits"]))
+    one = F.broadcast(batch)  # of bounded size
+    return rows.join(one, of_it, "left_semi"), rows.join(one, of_it, "left_anti")

@@ -22,6 +22,8 @@ from . import key_filters
 
 #: A month that would have more files of ranges has larger ones, up to FULL_FILE rows each, so that files don't grow in number with small ranges.
 FILES_OF_MONTH, FULL_FILE = 16, 100_000
+#: Codec of a store's files. A version stays on disk beside the one that follows it.
+CODEC = "zstd"
 
 
 class Conflict(Exception):
@@ -173,7 +175,7 @@ class Attempt:
     def stage(self, df: DataFrame, name: str) -> DataFrame:
         """df as files of this attempt: steps that read it several times make it once, and lost executors cost no recomputation."""
         path = f"{self.store.files.root}/stage/{self.name}/{name}"
-        df.write.parquet(path)
+        df.write.parquet(path, compression=CODEC)
         return self.store.spark.read.schema(df.schema).parquet(path)
 
     def _write(self, table: str, df: DataFrame, month: Column | None, order: list[Column] | None = None, rows_per_file: int = 0) -> dict[str, str]:
@@ -186,26 +188,33 @@ class Attempt:
             most = rows.groupBy("of_month").count().agg(F.max("count")).first()[0] or 0
             rows_per_file = max(rows_per_file, min(FULL_FILE, -(-most // FILES_OF_MONTH)))
             rows = rows.repartitionByRange("of_month", *order).sortWithinPartitions("of_month", *order)
-        rows.write.mode("append").option("maxRecordsPerFile", rows_per_file).partitionBy("of_month").parquet(f"{self.store.files.root}/{place}")
+        rows.write.mode("append").option("maxRecordsPerFile", rows_per_file).partitionBy("of_month").parquet(f"{self.store.files.root}/{place}", compression=CODEC)
         names = [n for n in self.store.files.names(place) if n.startswith("of_month=")]
         return {n.removeprefix("of_month=").replace("__HIVE_DEFAULT_PARTITION__", ""): f"{place}/{n}" for n in names}
 
-    def replace(self, table: str, df: DataFrame, months: list[str] | None = None, keys: dict[str, Column] | None = None, time: str | None = None, rows_per_file: int = 0) -> None:
+    def replace(self, table: str, df: DataFrame, months: list[str] | None = None, keys: dict[str, Column] | None = None, time: str | None = None, rows_per_file: int = 0, same_keys: bool = False) -> None:
         """df has all rows of `months` as they are from now on, or all rows of the table if None. Months without rows go. keys: columns of texts, of which each month gets a
-        filter; time: the column whose bounds each file is listed with; rows_per_file: files hold ranges of a month's rows by time and id, the newest first; see _write() for large months."""
+        filter; time: the column whose bounds each file is listed with; rows_per_file: files hold ranges of a month's rows by time and id, the newest first; see _write() for large months;
+        same_keys: no month has a key that it had not before, so that a month's filters still hold and stay as they are."""
         made = self._write(table, df, None, [F.desc(time), F.desc("id")] if rows_per_file else None, rows_per_file)
         held = {m: {"places": [p]} for m, p in made.items()}
-        if keys and made:
+        before = self.tables.get(table, {"months": {}})["months"]
+        unfiltered = set(made) if keys else set()
+        if same_keys:
+            for m in [m for m in unfiltered if before.get(m, {}).get("filtered") == sorted(keys)]:
+                held[m] |= {k: before[m][k] for k in ("filter", "filtered")}
+                unfiltered.remove(m)
+        if unfiltered:
             place = f"filters/{self.name}-{table}"
-            written = self.store.spark.read.schema(df.schema).parquet(*(f"{self.store.files.root}/{p}" for p in made.values()))
+            written = self.store.spark.read.schema(df.schema).parquet(*(f"{self.store.files.root}/{made[m]}" for m in sorted(unfiltered)))
             key_filters.build(written, keys).withColumn("of_table", F.lit(table)).write.parquet(f"{self.store.files.root}/{place}")
-            for m in held:
+            for m in unfiltered:
                 held[m] |= {"filter": place, "filtered": sorted(keys)}
         if time and made:
             bounds = self.file_bounds(df.schema, made, time)
             for m in held:
                 held[m] |= {"time": time, "files": bounds.get(m, {}), "ranked": bool(rows_per_file)}
-        kept = {} if months is None else {m: h for m, h in self.tables.get(table, {"months": {}})["months"].items() if m not in months}
+        kept = {} if months is None else {m: h for m, h in before.items() if m not in months}
         self.tables[table] = {"schema": df.schema.json(), "months": kept | held}
 
     def file_bounds(self, schema: StructType, made: dict[str, str], time: str) -> dict[str, dict[str, list]]:

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions import columns as C
 from ..operators.events import apply_folded, brought_by, fold_scans, match_scans, parse_scans, scan_log_rows, scan_state
 from ..plans.snapshots import Snapshots, refresh_all
+from ..sources import key_filters
 from ..sources.versions import Files, MonthTable, retried
 
 
@@ -25,9 +26,14 @@ def minute_counts(scans: DataFrame, late: str = "10 minutes") -> DataFrame:
 BARCODE = "barcode"
 
 
+def _code() -> Column:
+    """A task's barcode as scans look for it."""
+    return C.key_text(C.blank_to_null("barcode"))
+
+
 def scanned_tasks(spark: SparkSession, root: str) -> MonthTable:
     """A task table whose months have a filter of their barcodes, as scans look for them."""
-    return MonthTable(spark, root, {BARCODE: C.key_text(C.blank_to_null("barcode"))})
+    return MonthTable(spark, root, {BARCODE: _code()})
 
 
 SCAN_STATE = "scan_state"
@@ -35,7 +41,8 @@ SCAN_STATE = "scan_state"
 
 def apply_scan_stream(scans: DataFrame, tasks: MonthTable, log_path: str, checkpoint: str, now: Callable[[], object], keep: int = 2, late: str | None = None) -> StreamingQuery:
     """Apply a stream of scans to a task table and write the scan log. A micro-batch looks its barcodes up in the months whose filter may hold one of them (in all months of a table
-    without filters), and rewrites those of the tasks that it finds. The newest task of a barcode is in one of these months. Delivery is at least once; the commit names the last batch of
+    without filters), and rewrites those of the tasks that it finds. The newest task of a barcode is in one of these months. Tasks that may have a barcode of the batch are staged, and only these
+    are matched and updated; the others are copied where they lie, and no filter is made anew, as a scan gives no task a barcode that it lacks: those that have none aren't found. Delivery is at least once; the commit names the last batch of
     this stream, and the log's folder its batch, so the effect of each is once. The commit lists the months opened and rewritten. Where other jobs commit meanwhile, the batch is made anew.
 
     late: how far a scan may be behind the newest, such as "10 minutes". Then a scan that is delivered again (by event_id) within that time counts once, scans behind it are dropped, and an older
@@ -55,19 +62,25 @@ def apply_scan_stream(scans: DataFrame, tasks: MonthTable, log_path: str, checkp
             told = streams.get(checkpoint, {})
             if told.get("batch", -1) >= number:
                 return None
-            opened = store.months_that_may_hold(table, BARCODE, parse_scans(df).select("code"), base)
-            matched = match_scans(df, store.read(table, opened, base)).persist()
+            codes = parse_scans(df).select("code")
+            opened = store.months_that_may_hold(table, BARCODE, codes, base)
+            asked = key_filters.of_batch(codes).persist()
+            held.append(asked)
+            near = attempt.stage(key_filters.split(store.read(table, opened, base), _code(), asked)[0], "near")
+            matched = match_scans(df, near).persist()
             held.append(matched)
             scan_log_rows(matched).write.mode("overwrite").parquet(f"{log_path}/batch={number}")
             months = sorted(r[0] for r in matched.filter(F.col("task_month").isNotNull()).select("task_month").distinct().collect())  # a table has few
-            rows = store.read(table, months, base)
+            others = key_filters.split(store.read(table, months, base), _code(), asked)[1]
+            rows = near.filter(F.coalesce("shard_month", F.lit("")).isin(months))
             folded = fold_scans(matched, brought_by(df, rows))
+            same_keys = {BARCODE}.issuperset(tasks.keys or {})
             newest = told.get("newest")
             if late is None:
-                attempt.replace(table, apply_folded(rows, folded, now()), months, tasks.keys)
+                attempt.replace(table, apply_folded(rows, folded, now()).unionByName(others), months, tasks.keys, same_keys=same_keys)
             else:
                 state = store.read(SCAN_STATE, months, base) if SCAN_STATE in base.tables else None
-                attempt.replace(table, apply_folded(rows, folded, now(), state), months, tasks.keys)
+                attempt.replace(table, apply_folded(rows, folded, now(), state).unionByName(others), months, tasks.keys, same_keys=same_keys)
                 attempt.replace(SCAN_STATE, scan_state(folded, state), months, time="at")
                 newest = max(filter(None, (newest, _text(df.agg(F.max("scan_time")).first()[0]))), default=None)
                 if newest:

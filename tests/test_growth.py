@@ -1,10 +1,12 @@
 """What steps read, move and write as tables grow."""
 
 import random
+import re
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from sortline.operators import events as E
 from sortline.operators import reconcile as R
 from sortline.operators import search as S
 from sortline.operators import sync
@@ -15,10 +17,11 @@ from sortline.sources import fixtures as X
 from sortline.sources import key_filters
 from sortline.sources import tables
 from sortline.sources.versions import Store, retried
+from sortline.streaming import scans as stream
 
 from .test_plans import state_of
 from .test_store import shown
-from .test_warehouse import T0, tasks
+from .test_warehouse import T0, scan, tasks
 
 
 def plan(df):
@@ -130,3 +133,43 @@ def test_deletions_are_the_same_however_buckets_are_parted(spark, monkeypatch):
         want = shown(sync.deleted_keys(state, keys, start, end), "business_key", "cursor")
         for large in (0, 20):
             assert shown(R.reconcile(state, keys, start, end, large=large).gone, "business_key", "cursor") == want
+
+
+def test_scans_move_only_tasks_that_may_be_scanned(spark, tmp_path, monkeypatch):
+    rows = tasks(spark, *(dict(created_time=datetime(2026, 1 + i % 2, 5), barcode=None if i % 50 == 0 else f"02{i % 10}b{i // 2}", task_code=f"T{i}") for i in range(600)))
+    table = stream.scanned_tasks(spark, f"file://{tmp_path}/tasks")
+    table.write(rows, 0)
+    first = table.store.last().months("rows")
+    src = str(tmp_path / "in")
+    scan(spark, ("021B5", 5, None), ("021b5 ", 6, None), ("022b6", 7, None), ("02", 8, None), ("??", 9, None)).coalesce(1).write.parquet(src)
+    source = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
+    moved, apply_folded = [], stream.apply_folded
+    monkeypatch.setattr(stream, "apply_folded", lambda some, *rest: moved.append(some.count()) or apply_folded(some, *rest))
+    stream.apply_scan_stream(source, table, str(tmp_path / "log"), str(tmp_path / "c"), lambda: T0).awaitTermination()
+    assert 2 <= moved[0] < 20  # 600 before
+    assert shown(table.read()) == shown(E.apply_scans(rows, spark.read.parquet(src), T0).select(table.read().columns))
+    after = table.store.last().months("rows")
+    assert all(after[m]["places"] != first[m]["places"] and after[m]["filter"] == first[m]["filter"] for m in first)  # rows are new, filters stay
+    assert all(f.endswith(".zstd.parquet") for f in table.read().inputFiles())
+
+
+def test_rows_are_split_by_a_batch_where_they_lie(spark, monkeypatch):
+    rows = spark.range(3000).select(F.when(F.col("id") % 100 > 0, F.concat(F.lit("k"), "id")).alias("k"))
+    every = [r.k for r in rows.collect()]
+    for chunks, most in ((2048, 15), (1, 3000)):  # a filter that is too full tells less, and as rightly
+        monkeypatch.setattr(key_filters, "MOST_CHUNKS", chunks)
+        asked = {f"k{i}" for i in range(0, 3000, 7)}
+        more = [f"other {i}" for i in range(0 if chunks > 1 else 20_000)]
+        batch = key_filters.of_batch(spark.createDataFrame([(k,) for k in [*asked, *asked, *more, None]], "code string"))
+        may, others = ([r.k for r in part.collect()] for part in key_filters.split(rows, F.col("k"), batch))
+        assert sorted(may + others, key=str) == sorted(every, key=str) and None not in may and asked & set(every) <= set(may)
+        assert len(set(may) - asked) <= most
+    empty = key_filters.of_batch(spark.createDataFrame([(None,)], "code string"))
+    assert [part.count() for part in key_filters.split(rows, F.col("k"), empty)] == [0, 3000]
+
+
+def test_codes_of_orders_without_events_are_not_dealt(spark, sf):
+    text = plan(X.scan_events(spark, sf))
+    assert all(re.search(rf"{key}#\d+L < Subquery", text) for key in ("l_orderkey", "o_orderkey"))
+    few = X.tasks(spark, sf, F.lit(40))
+    assert few.count() > 0 and shown(few) == shown(X.tasks(spark, sf).filter("CAST(order_id AS BIGINT) < 40"))
